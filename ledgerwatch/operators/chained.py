@@ -1,0 +1,153 @@
+"""Sequential per-key state machines over keys of any size.
+
+Some rules depend on their own earlier decisions and cannot be a window expression. One task
+per key would fail on a key that holds a third of all rows. Here the rows of a key are cut
+into time slices and every slice is run in parallel from an assumed start state. The chain of
+slice end states is then checked on the summary (one row per key and slice): where a slice
+assumed the wrong start, its true end state either follows from its summary (``jump``) or the
+slice is run again. The loop ends when every assumption was right, which makes the result
+equal to the sequential one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+from typing import Any, Protocol
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType, LongType, StringType, StructField, StructType,
+)
+
+from ledgerwatch.operators.ordered import time_slice
+from ledgerwatch.session import materialise
+
+
+class Machine(Protocol):
+    """A state machine over the ordered rows of one key. States travel as text."""
+
+    outputs: list[StructField]
+
+    def start(self) -> str:
+        """State before the first row of a key."""
+
+    def open(self, state: str) -> Any:
+        """A running machine with ``feed(batch) -> columns`` and ``close() -> (state, note)``."""
+
+    def jump(self, state: str, note: str, end_from_start: str) -> str | None:
+        """End state of a slice for another start state, from its note; None if unknown."""
+
+
+def _in_order(batches: Iterator[pd.DataFrame], order: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Batches checked to arrive in order, which the sort before the grouping provides."""
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        heads = [tuple(batch.iloc[i][c] for c in order) for i in (0, -1)]
+        if (last is not None and heads[0] < last) or heads[1] < heads[0]:
+            raise RuntimeError("rows of a group did not arrive in order")
+        last = heads[1]
+        yield batch
+
+
+def run(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, machine: Machine,
+    columns: Sequence[str], slice_seconds: float,
+) -> DataFrame:
+    """Rows (keys, columns) with the outputs of the machine.
+
+    Memory per task is one Arrow batch; work per task is one slice of one key.
+    """
+    keys, order, columns = list(keys), list(order), list(columns)
+    kept = list(dict.fromkeys([*keys, *order, *columns]))
+    rows = df.select(
+        *kept, F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros"),
+        time_slice(ts, slice_seconds).alias("_slice"),
+    )
+    group = [*keys, "_slice"]
+    key_fields = [rows.schema[k] for k in keys]
+    summary_schema = StructType([
+        *key_fields, StructField("_slice", LongType()), StructField("_in", StringType()),
+        StructField("_out", StringType()), StructField("_note", StringType()),
+    ])
+
+    def arranged(source: DataFrame) -> DataFrame:
+        return source.repartition(*group).sortWithinPartitions(*group, "_micros", *order)
+
+    def summarise(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        running, begin = None, None
+        for batch in _in_order(batches, ["_micros"]):
+            if running is None:
+                begin = batch["_in"].iloc[0]
+                running = machine.open(begin)
+            running.feed(batch)
+        state, note = running.close()
+        yield pd.DataFrame([[*key, begin, state, note]], columns=summary_schema.names)
+
+    def emit(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        running = None
+        for batch in _in_order(batches, ["_micros"]):
+            if running is None:
+                running = machine.open(batch["_in"].iloc[0])
+            yield pd.concat(
+                [batch[list(dict.fromkeys([*keys, *columns]))].reset_index(drop=True),
+                 running.feed(batch).reset_index(drop=True)], axis=1,
+            )
+
+    def summaries(source: DataFrame) -> DataFrame:
+        return arranged(source).groupBy(*group).applyInPandas(summarise, summary_schema)
+
+    first = rows.withColumn("_in", F.lit(machine.start()))
+    summary = materialise(
+        summaries(first).withColumn("_base", F.col("_out")), "slices"
+    )
+    while True:
+        chain = materialise(_stitch(summary, keys, machine), "chain")
+        # Slices to run again: few, and none once every start state was right.
+        wrong = chain.where("not _known").select(*group, "_need")
+        if wrong.isEmpty():
+            break
+        again = summaries(
+            rows.join(wrong.withColumnRenamed("_need", "_in"), group)
+        ).select(*group, F.struct("_in", "_out").alias("_new"))
+        summary = materialise(
+            summary.join(again, group, "left").select(
+                *group, F.coalesce("_new._in", "_in").alias("_in"),
+                F.coalesce("_new._out", "_out").alias("_out"), "_note", "_base",
+            ),
+            "slices",
+        )
+    starts = chain.select(*group, F.col("_need").alias("_in"))
+    out_schema = StructType([
+        *[rows.schema[c] for c in dict.fromkeys([*keys, *columns])], *machine.outputs,
+    ])
+    return arranged(rows.join(starts, group)).groupBy(*group).applyInPandas(emit, out_schema)
+
+
+def _stitch(summary: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
+    """Walk the slices of each key: the start state each one needs, and whether its end
+    state for that start is known. The group is one row per slice, bounded by the time
+    range."""
+    schema = StructType([
+        *[summary.schema[k] for k in keys], StructField("_slice", LongType()),
+        StructField("_need", StringType()), StructField("_known", BooleanType()),
+    ])
+    begin = machine.start()
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        state, found = begin, []
+        for row in pdf.sort_values("_slice").itertuples(index=False):
+            values = dict(zip(pdf.columns, row))
+            end = values["_out"] if values["_in"] == state else None
+            if end is None and state == begin:
+                end = values["_base"]
+            if end is None:
+                end = machine.jump(state, values["_note"], values["_base"])
+            found.append([*key, values["_slice"], state, end is not None])
+            state = values["_out"] if end is None else end
+        return pd.DataFrame(found, columns=schema.names)
+
+    return summary.groupBy(*keys).applyInPandas(walk, schema)

@@ -1,0 +1,181 @@
+"""Rate limits replayed over request logs."""
+
+from __future__ import annotations
+
+import json
+from collections import deque
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField
+
+from ledgerwatch.operators import chained
+from ledgerwatch.operators.ordered import DAY
+
+
+class TokenBucket:
+    """A bucket of ``capacity`` tokens that refills evenly within ``window`` seconds.
+
+    The state is one number: the time at which the bucket would be full again. With times
+    multiplied by the capacity everything is an integer, so results do not depend on rounding.
+    """
+
+    outputs = [
+        StructField("allowed", BooleanType()), StructField("tokens", DoubleType()),
+        StructField("wait_seconds", DoubleType()),
+    ]
+
+    def __init__(self, capacity: int, window_seconds: float) -> None:
+        if capacity < 1 or window_seconds <= 0:
+            raise ValueError("capacity and window must be positive")
+        self.capacity = int(capacity)
+        self.unit = int(round(window_seconds * 1_000_000))
+
+    def start(self) -> str:
+        return "full"
+
+    def open(self, state: str) -> "_RunningBucket":
+        return _RunningBucket(self.capacity, self.unit, None if state == "full" else int(state))
+
+    def jump(self, state: str, note: str, end_from_start: str) -> str | None:
+        full_at, seen = int(state), json.loads(note)
+        if full_at <= seen["first"] or seen["refilled"]:
+            return end_from_start
+        if full_at >= seen["late"] and seen["steady"]:
+            spent = self.capacity + (seen["bound"] - full_at) // self.unit
+            return str(full_at + self.unit * min(seen["n"], spent))
+        return None
+
+
+class _RunningBucket:
+    """The replay itself, with the facts that ``TokenBucket.jump`` needs.
+
+    Without a refill to the brim, the number of accepted requests after n of them is
+    min(n, capacity + floor((bound - full_at) / unit)) with bound the smallest of
+    ``t_j + (n - j) * unit``: the running minimum of what the refill permits.
+    """
+
+    def __init__(self, capacity: int, unit: int, full_at: int | None) -> None:
+        self.capacity, self.unit, self.full_at = capacity, unit, full_at
+        self.n, self.first, self.bound, self.late = 0, None, None, None
+        self.latest, self.refilled, self.steady = None, False, True
+
+    def feed(self, batch: pd.DataFrame) -> pd.DataFrame:
+        cap, unit, full_at = self.capacity, self.unit, self.full_at
+        room = (cap - 1) * unit
+        allowed, tokens, waits = [], [], []
+        for micros in batch["_micros"].tolist():
+            t = micros * cap
+            self._note(t, room)
+            if full_at is None or full_at < t:
+                full_at = t
+            ok = full_at - t <= room
+            if ok:
+                full_at += unit
+                waits.append(0.0)
+            else:
+                waits.append((full_at - t - room) / cap / 1e6)
+            allowed.append(ok)
+            tokens.append(cap - (full_at - t) / unit)
+        self.full_at = full_at
+        return pd.DataFrame({"allowed": allowed, "tokens": tokens, "wait_seconds": waits})
+
+    def _note(self, t: int, room: int) -> None:
+        unit = self.unit
+        if self.first is None:
+            self.first, self.bound, self.late = t, t, t
+            self.latest = t + (self.capacity + 1) * unit
+        else:
+            if t >= self.latest:
+                self.refilled = True
+            if t > self.bound + room:
+                self.steady = False
+            self.late = max(self.late, t - self.n * unit)
+            self.bound = min(self.bound + unit, t)
+        self.latest = min(max(t, self.latest) + unit, t + self.capacity * unit)
+        self.n += 1
+
+    def close(self) -> tuple[str, str]:
+        note = {
+            "n": self.n, "first": self.first, "bound": self.bound, "late": self.late,
+            "refilled": self.refilled, "steady": self.steady,
+        }
+        return str(self.full_at), json.dumps(note)
+
+
+class SlidingLog:
+    """At most ``limit`` accepted requests in any ``window``; refused ones do not count."""
+
+    outputs = [
+        StructField("allowed", BooleanType()), StructField("used", LongType()),
+        StructField("retry_after", LongType()),
+    ]
+
+    def __init__(self, limit: int = 100, window_seconds: float = 60) -> None:
+        if limit < 1 or window_seconds <= 0:
+            raise ValueError("limit and window must be positive")
+        self.limit, self.window = int(limit), int(round(window_seconds * 1_000_000))
+
+    def start(self) -> str:
+        return "[]"
+
+    def open(self, state: str) -> "_RunningLog":
+        return _RunningLog(self.limit, self.window, deque(json.loads(state)))
+
+    def jump(self, state: str, note: str, end_from_start: str) -> str | None:
+        seen, accepted = json.loads(note), json.loads(state)
+        if seen["gap"] or accepted[-1] < seen["first"] - self.window:
+            return end_from_start
+        return None
+
+
+class _RunningLog:
+    def __init__(self, limit: int, window: int, accepted: deque) -> None:
+        self.limit, self.window, self.accepted = limit, window, accepted
+        self.first, self.last, self.gap = None, None, False
+
+    def feed(self, batch: pd.DataFrame) -> pd.DataFrame:
+        accepted, window, limit = self.accepted, self.window, self.limit
+        allowed, used, retry = [], [], []
+        for t in batch["_micros"].tolist():
+            if self.first is None:
+                self.first = t
+            elif t - self.last > window:
+                self.gap = True
+            self.last = t
+            while accepted and accepted[0] < t - window:
+                accepted.popleft()
+            ok = len(accepted) < limit
+            retry.append(0 if ok else (window - (t - accepted[0])) // 1_000_000)
+            if ok:
+                accepted.append(t)
+            allowed.append(ok)
+            used.append(len(accepted))
+        return pd.DataFrame({"allowed": allowed, "used": used, "retry_after": retry})
+
+    def close(self) -> tuple[str, str]:
+        # What has expired by the last row can play no part in a later slice.
+        while self.accepted and self.accepted[0] < self.last - self.window:
+            self.accepted.popleft()
+        return json.dumps(list(self.accepted)), json.dumps({"first": self.first, "gap": self.gap})
+
+
+def token_bucket_audit(
+    requests: DataFrame, keys: Sequence[str], capacity: int, window_seconds: float,
+    ts: str = "ts", tie: str = "id", slice_seconds: float = DAY,
+) -> DataFrame:
+    """Which requests a token bucket per key lets pass, the tokens left and the wait."""
+    return chained.run(
+        requests, keys, [tie], ts, TokenBucket(capacity, window_seconds), [tie], slice_seconds
+    )
+
+
+def sliding_log_audit(
+    requests: DataFrame, keys: Sequence[str], limit: int = 100, window_seconds: float = 60,
+    ts: str = "ts", tie: str = "id", slice_seconds: float = DAY,
+) -> DataFrame:
+    """Which requests a sliding log per key accepts."""
+    return chained.run(
+        requests, keys, [tie], ts, SlidingLog(limit, window_seconds), [tie], slice_seconds
+    )

@@ -45,7 +45,6 @@ def running_sums(
     keys = list(keys)
     per_value = value_counts(df, [*keys, value], weights)
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    # All consumers use all columns, so that they share one shuffle of ``per_value``.
     cut_table = per_value.groupBy(*keys).agg(
         F.percentile_approx(value, shares, F.lit(ranges * 20)).alias("_cuts"),
         *[F.sum(w).alias(f"{w}_total") for w in weights],
@@ -56,11 +55,18 @@ def running_sums(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")
 
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "_range").agg(*[F.sum(w).alias(w) for w in weights])
-    offsets = totals.select(
+    # The sum before a range is the total less the sum from it on. Reading the totals here
+    # too keeps this plan like the main one, so that both share one shuffle of ``per_value``.
+    onward = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    per_range = placed.groupBy(*keys, "_range").agg(
+        *[F.sum(w).alias(w) for w in weights],
+        *[F.max(f"{w}_total").alias(f"{w}_total") for w in weights],
+    )
+    offsets = per_range.select(
         *keys, "_range",
-        *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_{w}_before") for w in weights],
+        *[(F.col(f"{w}_total") - F.sum(w).over(onward)).alias(f"_{w}_before") for w in weights],
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
