@@ -126,6 +126,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not used:
         return body
-    if body.lower().startswith("with "):
-        return f"with {ctes},\n{body[5:]}"
+    for start in ("with recursive ", "with "):
+        if body.lower().startswith(start):
+            return f"{start}{ctes},\n{body[len(start):]}"
     return f"with {ctes}\n{body}"
