@@ -9,11 +9,17 @@ from ledgerwatch.functions.features import BASE_FEATURES, value_per_gas
 from ledgerwatch.functions.numeric import rounded
 from ledgerwatch.operators import extras, forest, joins
 from ledgerwatch.operators.evaluate import anomaly_evaluation
-from ledgerwatch.session import new_path
+from ledgerwatch.session import new_path, spread
 
 PREDICT_FEATURES = (*BASE_FEATURES, "value_per_gas")
 
 
+def _tx(v):
+    """The transactions spread over all tasks: the test file is one row group, which would
+    leave the scoring to a single task."""
+    return spread(v.tx, "hash")
+
+
 def _with_ratio(tx):
     return tx.withColumn("value_per_gas", value_per_gas(F.col("value"), F.col("gas")))
 
@@ -24,28 +30,53 @@ def _(v):
     return forest.tree_nodes(v.tx, BASE_FEATURES, [forest.Spec()], 42, "hash", total)
 
 
+@query("M1_rows_per_tree", """
+    select cast(tree as int) as tree, cast(least(256, n) as bigint) as root_rows,
+           cast(least(256, n) as bigint) as leaf_rows
+    from range(100) t(tree), (select count(*) as n from tx)""")
+def _(v):
+    nodes = forest.tree_nodes(v.tx, BASE_FEATURES, [forest.Spec()], 42, "hash", v.tx.count())
+    return nodes.groupBy("tree").agg(
+        F.sum(F.when(F.col("node") == 0, F.col("size"))).alias("root_rows"),
+        F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaf_rows"))
+
+
+@query("M2_scores_in_range", "select count(*) as rows, count(*) as in_range from tx")
+def _(v):
+    scored = forest.score(_tx(v), forest.fit(v.tx, threshold="none"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("anomaly_score").between(-1.0, 0.0)).cast("bigint").alias("in_range"))
+
+
 @query("M2_score")
 def _(v):
     model = forest.fit(v.tx, threshold="none")
-    return forest.score(v.tx, model).select("hash", "anomaly_score")
+    return forest.score(_tx(v), model).select("hash", "anomaly_score")
 
 
 @query("M3_detect")
 def _(v):
-    detected = forest.detect(v.tx, forest.fit(v.tx))
+    detected = forest.detect(_tx(v), forest.fit(_tx(v)))
     return detected.groupBy("anomaly").agg(
         F.count(F.lit(1)).alias("n"), F.avg("anomaly_score").alias("avg_score"))
 
 
+@query("M3_label_counts", """
+    with n as (select count(*) as n, cast(floor((count(*) - 1) * 0.01e0) as bigint) + 1 as a from tx)
+    select 'anomaly' as anomaly, a as n from n union all select 'normal', n - a from n""")
+def _(v):
+    return forest.detect(_tx(v), forest.fit(_tx(v))).groupBy("anomaly").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("M4_only_anomalies")
 def _(v):
-    detected = forest.detect(v.tx, forest.fit(v.tx, threshold="approximate"))
+    detected = forest.detect(_tx(v), forest.fit(_tx(v), threshold="approximate"))
     return forest.only_anomalies(detected).select("hash", "value", "anomaly_score")
 
 
-@query("M6_batch_predict")
-def _(v):
-    tx = _with_ratio(v.tx)
+def _predicted(v):
+    tx = _with_ratio(_tx(v))
     model = forest.fit(tx, PREDICT_FEATURES)
     known = v.anomalies.select(
         F.col("tx_hash").alias("hash"), F.lit(True).alias("is_anomaly"), "confidence",
@@ -56,37 +87,77 @@ def _(v):
     )
 
 
-@query("M7_retrain")
+@query("M6_batch_predict")
+def _(v):
+    return _predicted(v)
+
+
+@query("M6_predicted_once", """
+    with live as (select distinct tx_hash from anomalies
+                  where detected_at > timestamp '1998-01-01' - interval 31536000 seconds
+                    and detected_at <= timestamp '1998-01-01')
+    select hash in (select tx_hash from live) as from_cache, count(*) as n, count(*) as in_range
+    from tx group by 1""")
 def _(v):
+    good = (F.col("confidence") == F.abs("anomaly_score")) & F.col("is_anomaly").isNotNull()
+    return _predicted(v).groupBy("from_cache").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(good).cast("bigint").alias("in_range"))
+
+
+def _retrained(v):
     from ledgerwatch.plans.lifecycle import retrain
 
     _, row = retrain(
         v.tx, v.model_versions, model_id=1, path=new_path(v.spark, "model"),
-        start=datetime(1995, 1, 1), end=datetime(2001, 12, 31), trials=4,
+        start=datetime(1995, 1, 1), end=datetime(2001, 6, 30), trials=4,
     )
     return row
 
 
+@query("M7_retrain")
+def _(v):
+    return _retrained(v)
+
+
+@query("M7_registered_version", """
+    select cast(1 as int) as model_id, (select '1.0.' || count(*) from model_versions where model_id = 1)
+               as version, count(*) as training_dataset_size, false as is_deployed
+    from tx where timestamp between timestamp '1995-01-01' and timestamp '2001-06-30'""")
+def _(v):
+    return _retrained(v).select("model_id", "version", "training_dataset_size", "is_deployed")
+
+
 @query("M8_explanation")
 def _(v):
-    found = forest.only_anomalies(forest.detect(v.tx, forest.fit(v.tx)))
+    found = forest.only_anomalies(forest.detect(_tx(v), forest.fit(_tx(v))))
     return forest.with_explanation(found, BASE_FEATURES).select("hash", "features_used", "explanation")
 
 
 @query("M9_tune")
 def _(v):
-    return forest.tune(v.tx, trials=6)[0]
+    return forest.tune(_tx(v), trials=6)[0]
 
 
 @query("A9_save_and_load")
 def _(v):
     path = new_path(v.spark, "model")
-    model = forest.fit(v.tx)
+    model = forest.fit(_tx(v))
     forest.save(v.spark, model, path)
-    again = forest.detect(v.tx, forest.load(v.spark, path))
+    again = forest.detect(_tx(v), forest.load(v.spark, path))
     return anomaly_evaluation(again, F.col("anomaly") == "anomaly", "anomaly_score")
 
 
+@query("A9_same_scores_after_load", "select count(*) as rows, count(*) as same from tx")
+def _(v):
+    path = new_path(v.spark, "model")
+    model = forest.fit(_tx(v))
+    forest.save(v.spark, model, path)
+    both = forest.score(forest.score(_tx(v), model, "before"), forest.load(v.spark, path), "after")
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("before") == F.col("after")).cast("bigint").alias("same"))
+
+
 @query("O3_permutation_importance")
 def _(v):
     return forest.permutation_importance(v.tx, forest.fit(v.tx, threshold="none"))

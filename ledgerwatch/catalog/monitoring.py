@@ -53,13 +53,28 @@ def _(v):
 @query("F2_ar1_slope", f"""
     with {_MANY}, pairs as (select from_address, value, lag(value) over (partition by from_address
                                    order by day) as before from filled where value is not null)
-    select from_address, count(*) as pairs, round(regr_slope(value, before), 6) as slope
+    select from_address, count(*) as pairs,
+           case when var_pop(before) > 0 then round(regr_slope(value, before), 6) end as slope
     from pairs where before is not null group by 1""")
 def _(v):
     dense = series.daily_series(v.tx, ["from_address"])
     return series.ar1_slopes(dense, ["from_address"]).withColumn("slope", rounded(F.col("slope")))
 
 
+@query("F2_ar1_of_differences", f"""
+    with {_MANY}, d as (select from_address, day, value - lag(value) over (partition by from_address
+                               order by day) as w from filled where value is not null),
+    l as (select from_address, w, lag(w) over (partition by from_address order by day) as before from d
+          where w is not null)
+    select from_address, 
+           round(coalesce(sum(w * before) / nullif(sum(before * before), 0), 0), 5) + 0.0e0 as ar1
+    from l where before is not null group by 1""")
+def _(v):
+    dense = series.daily_series(v.tx, ["from_address"])
+    fitted = series.fit_arima(dense, ["from_address"], (1, 1, 0)).where("status = 'ok' and points >= 3")
+    return fitted.select("from_address", rounded(F.element_at("ar", 1), 5).alias("ar1"))
+
+
 @query("F2_fit_arima")
 def _(v):
     return series.fit_arima(series.daily_series(v.tx, ["from_address"]), ["from_address"])
@@ -70,6 +85,18 @@ def _(v):
     return series.forecast(series.daily_series(v.tx), steps=10)
 
 
+@query("F3_forecast_days", f"""
+    with {_MANY}, ends as (select from_address, max(day) as last from filled group by 1
+                           having count(value) >= 6)
+    select from_address, cast(s as int) as step, (last + cast(s as int))::date as day, true as finite
+    from ends, range(1, 11) r(s)""")
+def _(v):
+    dense = series.daily_series(v.tx, ["from_address"])
+    ahead = series.forecast(dense, ["from_address"], steps=10)
+    finite = F.col("forecast").isNotNull() & ~F.isnan("forecast")
+    return ahead.select("from_address", "step", "day", finite.alias("finite"))
+
+
 @query("F3_forecast_per_address")
 def _(v):
     return series.forecast(series.daily_series(v.tx, ["from_address"]), ["from_address"], steps=10)
@@ -113,7 +140,7 @@ _ROLLING = ", ".join(
     for c in BASE_FEATURES
 )
 _ROLLED = ", ".join(
-    f"round({c}_m, 7) as {c}_rolling_mean, round({c}_s, 6) as {c}_rolling_std, {c}_x as {c}_rolling_max, "
+    f"round({c}_m, 7) as {c}_rolling_mean, round({c}_s, 5) as {c}_rolling_std, {c}_x as {c}_rolling_max, "
     f"round(({c} - {c}_m) / case when {c}_s < 1e-6 then 1 else {c}_s end, 6) + 0.0e0 as {c}_zscore"
     for c in BASE_FEATURES
 )
@@ -125,11 +152,11 @@ _ROLLED = ", ".join(
                w as (partition by from_address order by timestamp, hash rows between 9 preceding and current row))
     select hash, {_ROLLED}, time_delta from r""")
 def _(v):
-    rolled = series.rolling_features(v.tx)
+    rolled, digits = series.rolling_features(v.tx), {"mean": 7, "std": 5, "zscore": 6}
     names = [f"{c}_{s}" for c in BASE_FEATURES for s in ("rolling_mean", "rolling_std", "zscore")]
     return rolled.select(
         "hash", "time_delta", *[f"{c}_rolling_max" for c in BASE_FEATURES],
-        *[rounded(F.col(n), 7 if n.endswith("mean") else 6).alias(n) for n in names],
+        *[rounded(F.col(n), digits[n.rsplit("_", 1)[1]]).alias(n) for n in names],
     )
 
 

@@ -17,13 +17,13 @@ from typing import Any, Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    BooleanType, LongType, StringType, StructField, StructType,
-)
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ledgerwatch.operators.ordered import time_slice
 from ledgerwatch.session import materialise
 
+_GROUP = ["_key", "_slice"]
+
 
 class Machine(Protocol):
     """A state machine over the ordered rows of one key. States travel as text."""
@@ -34,23 +34,38 @@ class Machine(Protocol):
         """State before the first row of a key."""
 
     def open(self, state: str) -> Any:
-        """A running machine with ``feed(batch) -> columns`` and ``close() -> (state, note)``."""
+        """A running machine with ``feed(columns) -> output rows`` for a stretch of rows
+        (lists by column name) and ``close() -> (state, note)``."""
 
     def jump(self, state: str, note: str, end_from_start: str) -> str | None:
         """End state of a slice for another start state, from its note; None if unknown."""
 
 
-def _in_order(batches: Iterator[pd.DataFrame], order: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Batches checked to arrive in order, which the sort before the grouping provides."""
-    last = None
+def _stretches(
+    batches: Iterator[pd.DataFrame], group: list[str], order: str,
+) -> Iterator[tuple[pd.DataFrame, list[tuple[tuple, bool, dict[str, list]]]]]:
+    """Each batch with its stretches of one group: (group, is the group new, columns).
+
+    Rows of a group must arrive together and in order; the hash partitioning and the sort
+    before this step provide that, and it is checked.
+    """
+    current, last = None, None
     for batch in batches:
-        if not len(batch):
-            continue
-        heads = [tuple(batch.iloc[i][c] for c in order) for i in (0, -1)]
-        if (last is not None and heads[0] < last) or heads[1] < heads[0]:
-            raise RuntimeError("rows of a group did not arrive in order")
-        last = heads[1]
-        yield batch
+        columns = {c: batch[c].tolist() for c in batch.columns}
+        ids = list(zip(*[columns[g] for g in group]))
+        found, at = [], 0
+        while at < len(ids):
+            end = at + 1
+            while end < len(ids) and ids[end] == ids[at]:
+                end += 1
+            new = ids[at] != current
+            part = {c: values[at:end] for c, values in columns.items()}
+            times = part[order]
+            if (not new and times[0] < last) or any(b < a for a, b in zip(times, times[1:])):
+                raise RuntimeError("rows of a group did not arrive in order")
+            found.append((ids[at], new, part))
+            current, last, at = ids[at], times[-1], end
+        yield batch, found
 
 
 def run(
@@ -59,95 +74,107 @@ def run(
 ) -> DataFrame:
     """Rows (keys, columns) with the outputs of the machine.
 
-    Memory per task is one Arrow batch; work per task is one slice of one key.
+    Rows are hashed by key and slice and sorted within the task, and Python reads them as a
+    stream: memory per task is one Arrow batch, work per group is one slice of one key.
     """
     keys, order, columns = list(keys), list(order), list(columns)
-    kept = list(dict.fromkeys([*keys, *order, *columns]))
+    shown = list(dict.fromkeys([*keys, *columns]))
     rows = df.select(
-        *kept, F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros"),
+        *dict.fromkeys([*shown, *order]),
+        F.to_json(F.struct(*keys)).alias("_key"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros"),
         time_slice(ts, slice_seconds).alias("_slice"),
     )
-    group = [*keys, "_slice"]
-    key_fields = [rows.schema[k] for k in keys]
-    summary_schema = StructType([
-        *key_fields, StructField("_slice", LongType()), StructField("_in", StringType()),
-        StructField("_out", StringType()), StructField("_note", StringType()),
-    ])
+    # A fixed number of tasks: by bytes alone, adaptive execution would merge small inputs
+    # into one task although the work is in Python.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summary_schema = "_key string, _slice bigint, _in string, _out string, _note string"
+    names = ["_key", "_slice", "_in", "_out", "_note"]
 
     def arranged(source: DataFrame) -> DataFrame:
-        return source.repartition(*group).sortWithinPartitions(*group, "_micros", *order)
-
-    def summarise(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        running, begin = None, None
-        for batch in _in_order(batches, ["_micros"]):
-            if running is None:
-                begin = batch["_in"].iloc[0]
-                running = machine.open(begin)
-            running.feed(batch)
-        state, note = running.close()
-        yield pd.DataFrame([[*key, begin, state, note]], columns=summary_schema.names)
-
-    def emit(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return source.repartition(tasks, *_GROUP).sortWithinPartitions(*_GROUP, "_micros", *order)
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        running, group, begin, done = None, None, None, []
+        for _batch, stretches in _stretches(batches, _GROUP, "_micros"):
+            for this, new, part in stretches:
+                if new:
+                    if running is not None:
+                        done.append((*group, begin, *running.close()))
+                    group, begin = this, part["_in"][0]
+                    running = machine.open(begin)
+                running.feed(part)
+            yield pd.DataFrame(done, columns=names)
+            done = []
+        if running is not None:
+            yield pd.DataFrame([(*group, begin, *running.close())], columns=names)
+
+    out_names = [f.name for f in machine.outputs]
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         running = None
-        for batch in _in_order(batches, ["_micros"]):
-            if running is None:
-                running = machine.open(batch["_in"].iloc[0])
-            yield pd.concat(
-                [batch[list(dict.fromkeys([*keys, *columns]))].reset_index(drop=True),
-                 running.feed(batch).reset_index(drop=True)], axis=1,
-            )
+        for batch, stretches in _stretches(batches, _GROUP, "_micros"):
+            made = []
+            for _this, new, part in stretches:
+                if new:
+                    running = machine.open(part["_in"][0])
+                made.extend(running.feed(part))
+            results = pd.DataFrame(made, columns=out_names, dtype=object, index=batch.index)
+            yield pd.concat([batch[shown], results], axis=1)
 
     def summaries(source: DataFrame) -> DataFrame:
-        return arranged(source).groupBy(*group).applyInPandas(summarise, summary_schema)
+        return arranged(source).mapInPandas(summarise, summary_schema)
 
     first = rows.withColumn("_in", F.lit(machine.start()))
-    summary = materialise(
-        summaries(first).withColumn("_base", F.col("_out")), "slices"
-    )
+    summary = materialise(summaries(first).withColumn("_base", F.col("_out")), "slices")
     while True:
-        chain = materialise(_stitch(summary, keys, machine), "chain")
+        chain = materialise(_stitch(summary, machine, tasks), "chain")
         # Slices to run again: few, and none once every start state was right.
-        wrong = chain.where("not _known").select(*group, "_need")
+        wrong = chain.where("not _known").select(*_GROUP, "_need")
         if wrong.isEmpty():
             break
         again = summaries(
-            rows.join(wrong.withColumnRenamed("_need", "_in"), group)
-        ).select(*group, F.struct("_in", "_out").alias("_new"))
+            rows.join(wrong.withColumnRenamed("_need", "_in"), _GROUP)
+        ).select(*_GROUP, F.struct("_in", "_out").alias("_new"))
         summary = materialise(
-            summary.join(again, group, "left").select(
-                *group, F.coalesce("_new._in", "_in").alias("_in"),
+            summary.join(again, _GROUP, "left").select(
+                *_GROUP, F.coalesce("_new._in", "_in").alias("_in"),
                 F.coalesce("_new._out", "_out").alias("_out"), "_note", "_base",
             ),
             "slices",
         )
-    starts = chain.select(*group, F.col("_need").alias("_in"))
-    out_schema = StructType([
-        *[rows.schema[c] for c in dict.fromkeys([*keys, *columns])], *machine.outputs,
-    ])
-    return arranged(rows.join(starts, group)).groupBy(*group).applyInPandas(emit, out_schema)
+    starts = chain.select(*_GROUP, F.col("_need").alias("_in"))
+    out_schema = StructType([*[rows.schema[c] for c in shown], *machine.outputs])
+    return arranged(rows.join(starts, _GROUP)).mapInPandas(emit, out_schema)
 
 
-def _stitch(summary: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
+def _stitch(summary: DataFrame, machine: Machine, tasks: int) -> DataFrame:
     """Walk the slices of each key: the start state each one needs, and whether its end
-    state for that start is known. The group is one row per slice, bounded by the time
-    range."""
+    state for that start is known. A key has one row per slice here, which the time range
+    bounds."""
     schema = StructType([
-        *[summary.schema[k] for k in keys], StructField("_slice", LongType()),
+        StructField("_key", StringType()), StructField("_slice", LongType()),
         StructField("_need", StringType()), StructField("_known", BooleanType()),
     ])
     begin = machine.start()
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, found = begin, []
-        for row in pdf.sort_values("_slice").itertuples(index=False):
-            values = dict(zip(pdf.columns, row))
-            end = values["_out"] if values["_in"] == state else None
-            if end is None and state == begin:
-                end = values["_base"]
-            if end is None:
-                end = machine.jump(state, values["_note"], values["_base"])
-            found.append([*key, values["_slice"], state, end is not None])
-            state = values["_out"] if end is None else end
-        return pd.DataFrame(found, columns=schema.names)
-
-    return summary.groupBy(*keys).applyInPandas(walk, schema)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = begin
+        for _batch, stretches in _stretches(batches, ["_key"], "_slice"):
+            found = []
+            for (key,), new, part in stretches:
+                state = begin if new else state
+                for at, taken, out, note, base in zip(*[
+                    part[c] for c in ("_slice", "_in", "_out", "_note", "_base")
+                ]):
+                    end = out if taken == state else None
+                    if end is None and state == begin:
+                        end = base
+                    if end is None:
+                        end = machine.jump(state, note, base)
+                    found.append((key, at, state, end is not None))
+                    state = out if end is None else end
+            yield pd.DataFrame(found, columns=schema.names)
+
+    ordered = summary.repartition(tasks, "_key").sortWithinPartitions("_key", "_slice")
+    return ordered.mapInPandas(walk, schema)

@@ -90,6 +90,11 @@ class Forest:
     def trees(self) -> int:
         return len(self.split_feature)
 
+    @property
+    def arrays(self) -> tuple:
+        """What scoring needs, as plain arrays that any Python worker can read."""
+        return self.rows, self.split_feature, self.split_value, self.leaf_path
+
     @property
     def checksum(self) -> str:
         digest = hashlib.sha256(json.dumps([list(self.features), self.rows]).encode())
@@ -274,16 +279,19 @@ def _mean_path(x: np.ndarray, feature: np.ndarray, value: np.ndarray, path: np.n
     return total / len(feature)
 
 
-def score_arrays(x: np.ndarray, forest: Forest) -> np.ndarray:
-    """Scores of a block of rows: near -1 for outliers, towards 0 for ordinary rows."""
-    mean = _mean_path(x, forest.split_feature, forest.split_value, forest.leaf_path)
-    return -np.exp2(-mean / max(expected_path(forest.rows), 1e-12))
+def score_arrays(x: np.ndarray, arrays: tuple) -> np.ndarray:
+    """Scores of a block of rows: near -1 for outliers, towards 0 for ordinary rows.
+
+    ``arrays`` is ``Forest.arrays``.
+    """
+    rows, feature, value, path = arrays
+    return -np.exp2(-_mean_path(x, feature, value, path) / max(expected_path(rows), 1e-12))
 
 
 def score(df: DataFrame, forest: Forest, name: str = "anomaly_score") -> DataFrame:
     """Add the score; a row with a missing feature gets null."""
     require_columns(df, *forest.features)
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    shared = df.sparkSession.sparkContext.broadcast(forest.arrays)
 
     @F.pandas_udf(DoubleType())
     def scores(*columns: pd.Series) -> pd.Series:
@@ -291,14 +299,16 @@ def score(df: DataFrame, forest: Forest, name: str = "anomaly_score") -> DataFra
         found = score_arrays(x, shared.value)
         return pd.Series(np.where(np.isnan(x).any(axis=1), np.nan, found))
 
-    raw = scores(*[F.col(f).cast("double") for f in forest.features])
+    # Marked as not repeatable, or the optimizer would copy the walk into pushed-down filters
+    # on the score and run it twice.
+    raw = scores.asNondeterministic()(*[F.col(f).cast("double") for f in forest.features])
     return df.withColumn(name, raw).withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
 def score_many(df: DataFrame, forests: Sequence[Forest], name: str = "scores") -> DataFrame:
     """Add an array with the score of every forest (same features), in one pass."""
     features = forests[0].features
-    shared = df.sparkSession.sparkContext.broadcast(list(forests))
+    shared = df.sparkSession.sparkContext.broadcast([f.arrays for f in forests])
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def scores(*columns: pd.Series) -> pd.Series:
@@ -306,7 +316,8 @@ def score_many(df: DataFrame, forests: Sequence[Forest], name: str = "scores") -
         found = np.column_stack([score_arrays(x, f) for f in shared.value])
         return pd.Series(list(found))
 
-    return df.withColumn(name, scores(*[F.col(f).cast("double") for f in features]))
+    walked = scores.asNondeterministic()
+    return df.withColumn(name, walked(*[F.col(f).cast("double") for f in features]))
 
 
 def detect(df: DataFrame, forest: Forest) -> DataFrame:
@@ -402,7 +413,7 @@ def permutation_importance(
 
     own = numbered(1, [F.col(f) for f in features])
     partner = numbered(2, [F.col(f).alias(f"p_{f}") for f in features])
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    shared = df.sparkSession.sparkContext.broadcast(forest.arrays)
     width = len(features)
 
     @F.pandas_udf(ArrayType(DoubleType()))
@@ -416,7 +427,7 @@ def permutation_importance(
         return pd.Series(list(np.column_stack(out)))
 
     paired = own.join(partner, "_at").select(
-        changes(*features, *[f"p_{f}" for f in features]).alias("change")
+        changes.asNondeterministic()(*features, *[f"p_{f}" for f in features]).alias("change")
     )
     wide = paired.agg(*[
         F.avg(F.element_at("change", i + 1)).alias(f) for i, f in enumerate(features)

@@ -6,7 +6,6 @@ import json
 from collections import deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField
 
@@ -61,25 +60,22 @@ class _RunningBucket:
         self.n, self.first, self.bound, self.late = 0, None, None, None
         self.latest, self.refilled, self.steady = None, False, True
 
-    def feed(self, batch: pd.DataFrame) -> pd.DataFrame:
+    def feed(self, columns: dict[str, list]) -> list[tuple]:
         cap, unit, full_at = self.capacity, self.unit, self.full_at
         room = (cap - 1) * unit
-        allowed, tokens, waits = [], [], []
-        for micros in batch["_micros"].tolist():
+        results = []
+        for micros in columns["_micros"]:
             t = micros * cap
             self._note(t, room)
             if full_at is None or full_at < t:
                 full_at = t
             ok = full_at - t <= room
+            wait = 0.0 if ok else (full_at - t - room) / cap / 1e6
             if ok:
                 full_at += unit
-                waits.append(0.0)
-            else:
-                waits.append((full_at - t - room) / cap / 1e6)
-            allowed.append(ok)
-            tokens.append(cap - (full_at - t) / unit)
+            results.append((ok, cap - (full_at - t) / unit, wait))
         self.full_at = full_at
-        return pd.DataFrame({"allowed": allowed, "tokens": tokens, "wait_seconds": waits})
+        return results
 
     def _note(self, t: int, room: int) -> None:
         unit = self.unit
@@ -135,10 +131,10 @@ class _RunningLog:
         self.limit, self.window, self.accepted = limit, window, accepted
         self.first, self.last, self.gap = None, None, False
 
-    def feed(self, batch: pd.DataFrame) -> pd.DataFrame:
+    def feed(self, columns: dict[str, list]) -> list[tuple]:
         accepted, window, limit = self.accepted, self.window, self.limit
-        allowed, used, retry = [], [], []
-        for t in batch["_micros"].tolist():
+        results = []
+        for t in columns["_micros"]:
             if self.first is None:
                 self.first = t
             elif t - self.last > window:
@@ -147,12 +143,11 @@ class _RunningLog:
             while accepted and accepted[0] < t - window:
                 accepted.popleft()
             ok = len(accepted) < limit
-            retry.append(0 if ok else (window - (t - accepted[0])) // 1_000_000)
+            retry = 0 if ok else (window - (t - accepted[0])) // 1_000_000
             if ok:
                 accepted.append(t)
-            allowed.append(ok)
-            used.append(len(accepted))
-        return pd.DataFrame({"allowed": allowed, "used": used, "retry_after": retry})
+            results.append((ok, len(accepted), retry))
+        return results
 
     def close(self) -> tuple[str, str]:
         # What has expired by the last row can play no part in a later slice.

@@ -6,7 +6,6 @@ import json
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField
@@ -224,12 +223,9 @@ class _RunningDeployments:
     def __init__(self, live: dict, ever: dict) -> None:
         self.live, self.ever = dict(live), dict(ever)
 
-    def feed(self, batch: pd.DataFrame) -> pd.DataFrame:
-        columns = ("event", "version_id", "strategy", "traffic", "restore", "created_seq")
-        rows = zip(*[batch[c].tolist() for c in columns])
-        return pd.DataFrame(
-            [self._apply(*row) for row in rows], columns=[f.name for f in Deployments.outputs]
-        )
+    def feed(self, columns: dict[str, list]) -> list[tuple]:
+        names = ("event", "version_id", "strategy", "traffic", "restore", "created_seq")
+        return [self._apply(*row) for row in zip(*[columns[n] for n in names])]
 
     def _apply(self, event, version, strategy, traffic, restore, created) -> tuple:
         version, reason, restored = str(version), None, None

@@ -9,12 +9,13 @@ from ledgerwatch.functions.classify import transaction_severity
 from ledgerwatch.functions.features import MODEL_FEATURES, with_model_features
 from ledgerwatch.operators import forest
 from ledgerwatch.operators.clean import clean
+from ledgerwatch.session import spread
 from ledgerwatch.sources.views import Views
 
 
 def severity_by_label(spark: SparkSession, folder: str) -> DataFrame:
     """Transactions by severity and label: counts, value and mean score."""
-    rows = with_model_features(clean(Views(spark, folder).tx))
+    rows = spread(with_model_features(clean(Views(spark, folder).tx)), "hash")
     detected = forest.detect(rows, forest.fit(rows, MODEL_FEATURES))
     graded = detected.withColumn("severity", transaction_severity(F.col("value"), F.col("gas_price")))
     return graded.groupBy("severity", "anomaly").agg(

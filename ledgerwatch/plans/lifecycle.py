@@ -11,7 +11,7 @@ from ledgerwatch.functions.features import BASE_FEATURES, MODEL_FEATURES, with_m
 from ledgerwatch.operators import forest
 from ledgerwatch.operators.clean import min_max_scale
 from ledgerwatch.operators.evaluate import anomaly_evaluation
-from ledgerwatch.session import materialise
+from ledgerwatch.session import materialise, spread
 
 MIN_TRAINING_ROWS = 1000
 
@@ -33,11 +33,11 @@ def retrain(
 ) -> tuple[forest.Forest, DataFrame]:
     """(the fitted forest, its row for the table of versions).
 
-    The features are written once to the shared folder: search, fit and evaluation each read
-    them, and a lost executor costs no recomputation of the scaling.
+    The features are written once to the shared folder, in even parts: search, fit and
+    evaluation each read them, and a lost executor costs no recomputation of the scaling.
     """
     period = tx.where(F.col("timestamp").between(F.lit(start), F.lit(end)))
-    rows = materialise(training_features(period), "training")
+    rows = materialise(spread(training_features(period), "hash"), "training")
     total = rows.count()
     if total < MIN_TRAINING_ROWS:
         raise ValueError(f"insufficient training data: {total} rows, {MIN_TRAINING_ROWS} needed")

@@ -49,6 +49,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows evenly over the configured number of tasks.
+
+    For stages that compute long per row over files that cannot be split, such as a file of
+    one row group. Not for tables that already come in many partitions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a result to the shared folder and read it back: survives executor loss."""
     spark = df.sparkSession
