@@ -160,6 +160,18 @@ def _(v):
     )
 
 
+@query("O2_rolling_features_of_hot_addresses", f"""
+    with r as (select *, {_ROLLING}, coalesce(epoch(timestamp - lag(timestamp) over o), 0)::double as time_delta
+               from tx window o as (partition by to_address order by timestamp, hash),
+               w as (partition by to_address order by timestamp, hash rows between 9 preceding and current row))
+    select hash, round(value_m, 7) as value_rolling_mean, gas_x as gas_rolling_max, time_delta from r""")
+def _(v):
+    rolled = series.rolling_features(v.tx, "to_address", hot_rows=500)
+    return rolled.select(
+        "hash", "time_delta", "gas_rolling_max",
+        rounded(F.col("value_rolling_mean"), 7).alias("value_rolling_mean"))
+
+
 @query("O5_address_profile", """
     select from_address, count(*) as transactions, min(timestamp) as first_seen,
            max(timestamp) as last_seen, date_diff('day', min(timestamp), max(timestamp))::double as age_days
@@ -187,10 +199,11 @@ def _(v):
     daily = v.metrics.withColumn("day", F.to_date("timestamp"))
     counter = running_total(
         daily, ["metric_name", "instance", "day"], ["timestamp", "metric_value"],
-        time_slice("timestamp", 3600), F.col("metric_value"), "counter",
+        time_slice("timestamp", 3600), F.col("metric_value"), "counter", hot_rows=10,
     )
     rate = monitor.counter_rate(
-        counter, ["metric_name", "instance"], "timestamp", "counter", "1 hour", 3600, ["metric_value"]
+        counter, ["metric_name", "instance"], "timestamp", "counter", "1 hour", 3600, ["metric_value"],
+        hot_rows=100,
     )
     return rate.withColumns({
         "increase": rounded(F.col("increase"), 4), "rate": rounded(F.col("rate"))})
@@ -252,7 +265,7 @@ _ISLANDS = """
 def _(v):
     return monitor.held_alerts(
         v.metrics, ["metric_name", "instance"], "timestamp", F.col("metric_value") > 20, 7200,
-        ["metric_value"], 6 * 3600,
+        ["metric_value"], 6 * 3600, hot_rows=100,
     )
 
 
@@ -331,7 +344,7 @@ def _(v):
            cast(case when position <= 3 then 0 else (win + 1) * 86400 - s end as bigint) as retry_after
     from r""")
 def _(v):
-    return monitor.fixed_window_audit(v.request_log, ["ip"], 3, 86400).select(
+    return monitor.fixed_window_audit(v.request_log, ["ip"], 3, 86400, hot_rows=3).select(
         "id", "ip", "position", "allowed", "remaining", "reset", "retry_after")
 
 
@@ -356,7 +369,7 @@ def _(v):
                range between 86400000000 preceding and current row), 0) as bigint) as recent_failures
     from audit_logs""")
 def _(v):
-    return monitor.recent_failures(v.audit_logs, seconds=86400).select("id", "user_id", "recent_failures")
+    return monitor.recent_failures(v.audit_logs, seconds=86400, hot_rows=60).select("id", "user_id", "recent_failures")
 
 
 @query("P11_rolling_request_count", """
@@ -364,4 +377,4 @@ def _(v):
                                   range between 7200000000 preceding and current row) as recent
     from request_log""")
 def _(v):
-    return monitor.rolling_request_count(v.request_log, ["ip"], 7200).select("id", "ip", "recent")
+    return monitor.rolling_request_count(v.request_log, ["ip"], 7200, hot_rows=60).select("id", "ip", "recent")

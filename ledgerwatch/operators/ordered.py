@@ -1,19 +1,22 @@
 """Ordered per-key operators that survive a key holding a third of all rows.
 
-A window over the whole key would put that key into one task. Here every key is cut into
-time slices, the window runs per (key, slice), and what a slice needs from the slices before
-it travels as a few summary rows: the last rows, the running total, or the touching island.
-The number of summary rows per key is the number of slices, which the time range bounds.
+A window over a whole key puts that key into one task. Keys with more than ``hot_rows`` rows
+are therefore cut into time slices; the window runs per (key, slice), and what a slice needs
+from the slices before it travels as a few summary rows: the last rows, the running total,
+or the touching island. The number of summary rows per key is the number of slices, which
+the time range bounds. All other keys keep one plain window and cost one shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400
+HOT_ROWS = 1_000_000
 
 
 def time_slice(ts: str, seconds: float) -> Column:
@@ -21,9 +24,31 @@ def time_slice(ts: str, seconds: float) -> Column:
     return F.floor(micros / F.lit(int(seconds * 1_000_000))).cast("bigint")
 
 
+def with_slices(
+    df: DataFrame, keys: Sequence[str], part: Column, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``_slice``: the part for rows of hot keys, null for all others.
+
+    Counting keys combines on the map side. At most (all rows / hot_rows) keys can be hot, so
+    their table is small for certain and is broadcast: a million keys at 10^12 rows.
+    """
+    if hot_rows < 1:
+        raise ValueError("hot_rows must be positive")
+    sliced = df.withColumn("_part", part)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    if not keys:
+        n = df.agg(F.count(F.lit(1))).scalar()
+        return sliced.withColumn("_slice", F.when(n > hot_rows, F.col("_part"))).drop("_part")
+    flags = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_is_hot"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    return sliced.join(F.broadcast(flags), same, "left").withColumn(
+        "_slice", F.when(F.col("_is_hot"), F.col("_part"))
+    ).drop("_is_hot", "_part", *[f"_hot_{k}" for k in keys])
+
+
 def with_preceding_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, rows: int,
-    columns: Sequence[str], slice_seconds: float = DAY,
+    columns: Sequence[str], slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows with their ``_slice``, and for every slice copies of the ``rows`` rows before it.
 
@@ -31,12 +56,13 @@ def with_preceding_rows(
     of up to ``rows`` preceding rows per (keys, _slice) is then exact; drop the copies after.
     """
     keys, order = list(keys), list(order)
-    sliced = df.withColumn("_slice", time_slice(ts, slice_seconds))
+    sliced = with_slices(df, keys, time_slice(ts, slice_seconds), hot_rows)
     carried = list(dict.fromkeys([*order, ts, *columns]))
     last_first = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
     # Rank filters of this form cut the rows per group before the shuffle.
     tails = (
-        sliced.select(*dict.fromkeys([*keys, "_slice", *carried]))
+        sliced.where(F.col("_slice").isNotNull())
+        .select(*dict.fromkeys([*keys, "_slice", *carried]))
         .withColumn("_rank", F.row_number().over(last_first)).where(F.col("_rank") <= rows)
         .groupBy(*keys, "_slice")
         .agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("_tail"))
@@ -56,33 +82,39 @@ def with_preceding_rows(
 
 def previous_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, columns: Sequence[str],
-    slice_seconds: float = DAY,
+    slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``prev_<column>`` from the row before, across slices."""
-    rows = with_preceding_rows(df, keys, order, ts, 1, columns, slice_seconds)
+    rows = with_preceding_rows(df, keys, order, ts, 1, columns, slice_seconds, hot_rows)
     window = Window.partitionBy(*keys, "_slice").orderBy(*order)
     lagged = rows.withColumns({f"prev_{c}": F.lag(c).over(window) for c in columns})
     return lagged.where(~F.col("_halo")).drop("_halo", "_slice")
 
 
-def with_range_halo(df: DataFrame, ts: str, seconds: float, slice_seconds: float = DAY) -> DataFrame:
+def with_range_halo(
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: float, slice_seconds: float = DAY,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Rows with their ``_slice``, repeated (as ``_halo``) in each later slice that begins
     within ``seconds`` after them. Rows per slice grow by at most seconds / slice_seconds."""
-    first = time_slice(ts, slice_seconds)
+    own = with_slices(df, keys, time_slice(ts, slice_seconds), hot_rows)
     shifted = F.unix_micros(F.col(ts).cast("timestamp")) + F.lit(int(seconds * 1_000_000))
     last = F.floor(shifted / F.lit(int(slice_seconds * 1_000_000))).cast("bigint")
-    rows = df.withColumn("_own", first).withColumn("_slice", F.explode(F.sequence(F.col("_own"), last)))
-    return rows.withColumn("_halo", F.col("_slice") != F.col("_own")).drop("_own")
+    seen_in = F.when(F.col("_own").isNotNull(), F.sequence(F.col("_own"), last)).otherwise(
+        F.array(F.lit(None).cast("bigint"))
+    )
+    rows = own.withColumnRenamed("_slice", "_own").withColumn("_slice", F.explode(seen_in))
+    return rows.withColumn("_halo", ~F.col("_slice").eqNullSafe(F.col("_own"))).drop("_own")
 
 
 def count_within(
     df: DataFrame, keys: Sequence[str], ts: str, seconds: float, name: str,
-    condition: Column | None = None, slice_seconds: float = DAY,
+    condition: Column | None = None, slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the number of (matching) rows of the key in the ``seconds`` up to each row."""
     rows = with_range_halo(
         df.withColumn("_hit", (F.lit(True) if condition is None else condition).cast("int")),
-        ts, seconds, slice_seconds,
+        keys, ts, seconds, slice_seconds, hot_rows,
     ).withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
     window = Window.partitionBy(*keys, "_slice").orderBy("_micros").rangeBetween(
         -int(seconds * 1_000_000), 0
@@ -93,30 +125,41 @@ def count_within(
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, value: Column, name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows of the key up to and including each row.
 
-    ``part`` cuts a key into pieces and must grow with the order: a time slice, say.
+    ``part`` cuts a hot key into pieces and must grow with the order: a time slice, say.
     """
     keys = list(keys)
-    rows = df.withColumns({"_slice": part, "_v": value})
+    rows = with_slices(df.withColumn("_v", value), keys, part, hot_rows)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_sum")).select(
-        *keys, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
+    offsets = (
+        rows.where(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(F.sum("_v").alias("_sum"))
+        .select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k"),
+            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+        )
+    )
+    same = reduce(
+        lambda x, y: x & y,
+        [F.col("_slice") == F.col("_k"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]],
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return rows.join(offsets, [*keys, "_slice"]).withColumn(
-        name, F.col("_before") + F.sum("_v").over(inside)
-    ).drop("_slice", "_v", "_before")
+    summed = rows.withColumn("_inside", F.sum("_v").over(inside))
+    return summed.join(offsets, same, "left").withColumn(
+        name, F.coalesce("_before", F.lit(0)) + F.col("_inside")
+    ).drop("_slice", "_v", "_before", "_inside", "_k", *[f"_k_{k}" for k in keys])
 
 
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the position of each row within its key, from 1."""
-    return running_total(df, keys, order, part, F.lit(1).cast("bigint"), name)
+    return running_total(df, keys, order, part, F.lit(1).cast("bigint"), name, hot_rows)
 
 
 def newest_per_group(
@@ -139,7 +182,7 @@ def newest_per_group(
 
 def islands(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, condition: Column,
-    slice_seconds: float = DAY,
+    slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Stretches of consecutive rows of a key that meet the condition.
 
@@ -147,9 +190,9 @@ def islands(
     go on in a neighbour, so at most two rows per slice enter the second step.
     """
     keys = list(keys)
-    rows = df.select(
-        *keys, *dict.fromkeys([*order, ts]), F.coalesce(condition, F.lit(False)).alias("_on"),
-        time_slice(ts, slice_seconds).alias("_slice"),
+    rows = with_slices(
+        df.select(*keys, *dict.fromkeys([*order, ts]), F.coalesce(condition, F.lit(False)).alias("_on")),
+        keys, time_slice(ts, slice_seconds), hot_rows,
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     changed = (F.lag("_on").over(inside) != F.col("_on")).cast("int")
@@ -160,7 +203,9 @@ def islands(
         F.first("_on").alias("_on"), F.min(ts).alias("start"), F.max(ts).alias("end"),
         F.count(F.lit(1)).alias("n"),
     ).withColumn("_last", F.max("_island").over(Window.partitionBy(*keys, "_slice")))
-    on_border = (F.col("_island") == 0) | (F.col("_island") == F.col("_last"))
+    on_border = F.col("_slice").isNotNull() & (
+        (F.col("_island") == 0) | (F.col("_island") == F.col("_last"))
+    )
     final = local.where(~on_border & F.col("_on")).select(*keys, "start", "end", "n")
 
     across = Window.partitionBy(*keys).orderBy("_slice", "_island")
