@@ -54,17 +54,23 @@ class Paths:
 
 
 def parsed(messages: DataFrame, arrived: Column | None = None) -> DataFrame:
-    """Typed records with their reject reason, from a batch or a stream of JSON text."""
-    if arrived is None and "arrived" in messages.columns:
-        arrived = F.col("arrived")
-    return validate(from_json_text(messages), arrived)
+    """Typed records with their arrival time and reject reason, from a batch or a stream of
+    JSON text. The arrival is that of the source where it has one."""
+    if arrived is None:
+        arrived = F.col("arrived") if "arrived" in messages.columns else F.current_timestamp()
+    timed = messages.withColumn("arrived", arrived.cast("timestamp"))
+    return validate(from_json_text(timed), F.col("arrived"))
 
 
-def unique(records: DataFrame, delay: str = "1 day", ts: str = "timestamp") -> DataFrame:
-    """One record per hash among those that arrive within the delay of each other."""
+def unique(records: DataFrame, delay: str = "1 day", key: str = "hash", ts: str = "arrived") -> DataFrame:
+    """One record per key among those that arrive within the delay of each other.
+
+    The watermark runs on the arrival, not on the time inside the record: arrivals only move
+    forward, so an old record, or one with a wrong clock, is never dropped as late.
+    """
     if not records.isStreaming:
-        return records.dropDuplicates(["hash"])
-    return records.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["hash"])
+        return records.dropDuplicates([key])
+    return records.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -162,7 +168,7 @@ def start(
 ) -> StreamingQuery:
     """Start the job. ``available_now`` drains what is there, in bounded batches, and ends.
 
-    Rejected records keep no hash to compare, so they bypass the removal of repeats.
+    A rejected record may have no hash, so it is compared by its text.
     """
     records = unique_good(parsed(messages, arrived), delay)
     writer = records.writeStream.foreachBatch(scorer).option(
@@ -173,13 +179,11 @@ def start(
 
 
 def unique_good(records: DataFrame, delay: str) -> DataFrame:
-    """Repeats removed among good records; a rejected one counts as itself."""
+    """Repeats removed among good records; a rejected one counts as its own text."""
     marked = records.withColumn("_id", F.when(F.col("reason").isNull(), F.col("hash")).otherwise(
         F.concat(F.lit("rejected "), F.coalesce("raw", F.lit("")))
     ))
-    if not marked.isStreaming:
-        return marked.dropDuplicates(["_id"]).drop("_id")
-    return marked.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["_id"]).drop("_id")
+    return unique(marked, delay, "_id").drop("_id")
 
 
 def read_sink(spark: SparkSession, path: str) -> DataFrame:

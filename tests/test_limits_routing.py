@@ -1,0 +1,170 @@
+import json
+import random
+from datetime import datetime, timedelta
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerwatch.operators import limits, routing
+
+BASE = datetime(2024, 1, 1)
+
+
+def requests(frame, seconds, key="a"):
+    rows = [(i, key, BASE + timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    return frame(rows, "id int, ip string, ts timestamp")
+
+
+def test_bucket_by_hand(frame):
+    audit = limits.token_bucket_audit(requests(frame, (0, 0, 0, 5, 5)), ["ip"], 2, 10)
+    got = [(r.allowed, r.wait_seconds) for r in audit.orderBy("id").collect()]
+    assert got == [(True, 0), (True, 0), (False, 5), (True, 0), (False, 5)]
+
+
+@pytest.fixture(scope="module")
+def traffic(spark):
+    rng, rows = random.Random(3), []
+    for key, mean in (("hot", 0.2), ("mid", 1.5), ("cold", 30.0), ("burst", None)):
+        t = 0.0
+        for _ in range(1200):
+            t += rng.choice([0.01] * 30 + [rng.uniform(0, 25)]) if mean is None else rng.expovariate(1 / mean)
+            rows.append((len(rows), key, BASE + timedelta(microseconds=int(t * 1e6))))
+    return spark.createDataFrame(rows, "id int, ip string, ts timestamp").repartition(7).cache(), rows
+
+
+@pytest.mark.parametrize("capacity, window, slice_seconds", [(10, 60, 60), (3, 10, 120), (2, 1, 300)])
+def test_bucket_equals_sequential_replay(traffic, capacity, window, slice_seconds):
+    df, rows = traffic
+    want, state = {}, {}
+    for i, key, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        t = Fraction((ts - BASE) // timedelta(microseconds=1), 1_000_000)
+        tokens, last = state.get(key, (Fraction(capacity), t))
+        tokens = min(Fraction(capacity), tokens + (t - last) * Fraction(capacity, window))
+        ok = tokens >= 1
+        state[key] = (tokens - 1 if ok else tokens, t)
+        want[i] = (ok, float(state[key][0]))
+    audit = limits.token_bucket_audit(df, ["ip"], capacity, window, slice_seconds=slice_seconds)
+    got = {r.id: (r.allowed, r.tokens) for r in audit.collect()}
+    assert len(got) == len(want)
+    assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-6) for i in want)
+
+
+def test_sliding_log_equals_sequential_replay(traffic):
+    df, rows = traffic
+    want, state = {}, {}
+    for i, key, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        t, kept = (ts - BASE) // timedelta(microseconds=1), state.setdefault(key, [])
+        while kept and kept[0] < t - 60_000_000:
+            kept.pop(0)
+        want[i] = len(kept) < 10
+        if want[i]:
+            kept.append(t)
+    audit = limits.sliding_log_audit(df, ["ip"], 10, 60, slice_seconds=120)
+    assert {r.id: r.allowed for r in audit.collect()} == want
+
+
+def test_one_saturated_key_needs_no_rerun(spark, monkeypatch):
+    """A key far beyond its limit over many slices resolves from the slice summaries."""
+    writes = []
+    original = limits.chained.materialise
+    monkeypatch.setattr(limits.chained, "materialise", lambda df, label: writes.append(label) or original(df, label))
+    df = spark.range(20_000).select(
+        F.col("id"), F.lit("one").alias("ip"), F.timestamp_micros(F.col("id") * 37_123).alias("ts"))
+    audit = limits.token_bucket_audit(df, ["ip"], 10, 60, slice_seconds=20)
+    assert audit.where("allowed").count() == 10 + int(19_999 * 0.037123 / 6)
+    assert len(writes) == 2
+
+
+def versions(frame, *rows):
+    return frame(list(rows), "id int, model_id int, version string, is_deployed boolean, "
+                             "traffic_percentage double, created_seq int")
+
+
+def test_routes(frame, spark):
+    users = spark.range(2000).select(
+        "id", F.col("id").cast("string").alias("user_id"), F.lit(1).alias("model_id"))
+    two = versions(frame, (1, 1, "a", True, 70.0, 1), (2, 1, "b", True, 20.0, 2), (3, 1, "c", False, 100.0, 3))
+    routed = routing.route(users, two)
+    share = {r.version_id: r.n / 2000 for r in routed.groupBy("version_id").agg(F.count("*").alias("n")).collect()}
+    assert share[1] == pytest.approx(0.7, abs=0.04) and share[2] == pytest.approx(0.2, abs=0.04)
+    assert share[None] == pytest.approx(0.1, abs=0.04)
+    again = routing.route(users.repartition(3), two)
+    assert routed.exceptAll(again).count() == 0
+    fixed = routing.route(users, two, "reference").select("version_id").distinct().collect()
+    assert [r.version_id for r in fixed] == [1]
+    single = versions(frame, (1, 1, "a", True, 30.0, 1))
+    part = routing.route(users, single, "reference").where("version_id is not null")
+    assert part.count() / 2000 == pytest.approx(0.3, abs=0.04)
+    with pytest.raises(ValueError):
+        routing.route(users, single, "other")
+
+
+@pytest.mark.parametrize("deployed, traffic, share", [(True, 0.0, 0), (True, 100.0, 1), (False, 100.0, 0), (True, 50.0, .5)])
+def test_one_version(frame, spark, deployed, traffic, share):
+    users = spark.range(1000).select("id", F.col("id").cast("string").alias("user_id"))
+    decided = routing.with_version_decision(users, versions(frame, (9, 1, "a", deployed, traffic, 1)), 9)
+    assert decided.where("use_version").count() / 1000 == pytest.approx(share, abs=0.05)
+
+
+def test_ranges_with_fractions_follow_the_traffic(frame):
+    rows = [(i, 1, "v", True, t, i) for i, t in enumerate((10.5, 11.0, 11.0, 10.9, 0.4, 30.0))]
+    got = [(r.version_id, r.rank, round(r.until, 6)) for r in
+           routing.ranked_versions(versions(frame, *rows)).orderBy("rank").collect()]
+    assert got == [(5, 1, 30.0), (1, 2, 41.0), (2, 3, 52.0), (3, 4, 62.9), (0, 5, 73.4), (4, 6, 73.8)]
+
+
+def test_winner(frame):
+    now = datetime(2024, 1, 2)
+    schema = "model_version_id int, detected_at timestamp, confidence double, anomaly_score double, severity string"
+
+    def compare(a, b):
+        rows = [(1, now, c, -c, s) for c, s in a] + [(2, now, c, -c, s) for c, s in b]
+        return routing.compare_versions(frame(rows, schema), 1, 2, now).first().winner
+
+    assert compare([(0.9, "low")], [(0.8, "critical")]) == "model_a"
+    assert compare([(0.80, "low")], [(0.82, "critical")]) == "model_b"
+    assert compare([(0.8, "low")] * 3, [(0.8, "low")]) == "model_a"
+    assert compare([(0.8, "low")], [(0.8, "low")]) == "tie"
+    assert compare([], [(0.8, "low")]) == "model_b"
+
+
+def deployments(frame, *events):
+    rows = [(i, BASE + timedelta(days=9 * i), 1, *e) for i, e in enumerate(events)]
+    return frame(rows, "event_id int, at timestamp, model_id int, event string, version_id int, strategy string, "
+                       "traffic double, restore boolean, created_seq int")
+
+
+def test_deployment_history(frame):
+    log = deployments(
+        frame,
+        ("deploy", 1, "full", None, None, 1), ("deploy", 2, "canary", None, None, 2),
+        ("traffic", 2, None, 130.0, None, 2), ("traffic", 3, None, 10.0, None, 3),
+        ("traffic", 2, None, 100.0, None, 2), ("rollback", 2, None, None, True, 2),
+        ("deploy", 3, "shadow", None, None, 3), ("rollback", 3, None, None, False, 3),
+    )
+    # Slices of five days: every event is in a slice of its own.
+    replayed = routing.replay_deployments(log, slice_seconds=5 * 86_400)
+    got = [(r.accepted, json.loads(r.state), r.restored_version) for r in replayed.orderBy("event_id").collect()]
+    assert got == [
+        (True, {"1": 100.0}, None), (True, {"1": 100.0, "2": 10.0}, None),
+        (False, {"1": 100.0, "2": 10.0}, None), (False, {"1": 100.0, "2": 10.0}, None),
+        (True, {"2": 100.0}, None), (True, {"1": 100.0}, "1"),
+        (True, {"1": 100.0, "3": 0.0}, None), (True, {"1": 100.0}, None),
+    ]
+    intervals = routing.traffic_intervals(replayed).where("version_id = 2").orderBy("valid_from").collect()
+    assert [(r.traffic, (r.valid_to - BASE).days) for r in intervals] == [(10.0, 36), (100.0, 45)]
+
+
+def test_deployment_slices_equal_one_pass(frame):
+    rng = random.Random(11)
+    events = []
+    for _ in range(300):
+        v = rng.randint(1, 6)
+        kind = rng.choice(["deploy", "traffic", "rollback"])
+        traffic = rng.choice([None, 0.0, 50.0, 100.0, 120.0])
+        events.append((kind, v, rng.choice(["shadow", "canary", "full"]), traffic, rng.random() < 0.5, v))
+    log = deployments(frame, *events)
+    one = routing.replay_deployments(log, slice_seconds=86_400 * 100_000)
+    many = routing.replay_deployments(log, slice_seconds=86_400 * 200)
+    assert one.exceptAll(many).count() == 0 and many.count() == 300
