@@ -34,23 +34,21 @@ def batch_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def merge_moments(*states: DataFrame) -> DataFrame:
     """Combine any number of states (Chan, Golub and LeVeque 1979).
 
-    One row per feature and state, so a whole history merges in one small aggregate.
+    The spread between the states needs the common mean, so the states are read twice; they
+    hold one row per feature and batch.
     """
     every = states[0]
     for state in states[1:]:
         every = every.unionByName(state)
-    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-    total = every.groupBy("feature").agg(
-        n.cast("bigint").alias("n"), mean.alias("mean"),
-        F.sum("m2").alias("_within"),
-        F.collect_list(F.struct("n", "mean")).alias("_parts"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    common = every.groupBy("feature").agg(
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean")
     )
-    between = F.aggregate(
-        "_parts", F.lit(0.0),
-        lambda acc, p: acc + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")),
+    gap = F.col("mean") - F.col("_mean")
+    return every.join(common, "feature").groupBy("feature").agg(
+        F.sum("n").cast("bigint").alias("n"), F.max("_mean").alias("mean"),
+        F.sum(F.col("m2") + F.col("n") * gap * gap).alias("m2"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
     )
-    return total.select("feature", "n", "mean", (F.col("_within") + between).alias("m2"), "lo", "hi")
 
 
 def scale_with_state(df: DataFrame, state: DataFrame, columns: Sequence[str], mode: str = "zscore") -> DataFrame:

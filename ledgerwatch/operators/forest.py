@@ -370,13 +370,21 @@ def trial_specs(trials: int = 20, seed: int = 42) -> list[Spec]:
 
 def tune(
     df: DataFrame, features: Sequence[str] = BASE_FEATURES, trials: int = 20, seed: int = 42,
-    key: str = "hash", contamination: float = 0.01,
+    key: str = "hash", contamination: float = 0.01, objective_rows: int | None = None,
 ) -> tuple[DataFrame, Forest]:
     """(one row per trial, the forest of the best trial): best is the largest variance of
-    scores. All trials share the fitting pass and the scoring pass."""
+    scores. All trials share the fitting pass and the scoring pass.
+
+    Every row enters the objective; ``objective_rows`` draws about that many by hash instead,
+    where walking all trials over a very large table is not worth its time.
+    """
     specs = trial_specs(trials, seed)
     forests = fit_trials(df, specs, features, contamination, seed, key)
-    scored = score_many(_feature_rows(df, features, key), forests)
+    rows = _feature_rows(df, features, key)
+    if objective_rows is not None:
+        share = min(1.0, objective_rows / rows.count())
+        rows = rows.where(unit_hash(F.col("_key"), F.lit(seed + 3)) < share)
+    scored = score_many(rows, forests)
     spread = scored.agg(*[
         F.var_pop(F.element_at("scores", i + 1)).alias(f"t{i}") for i in range(len(specs))
     ]).first()
@@ -384,11 +392,11 @@ def tune(
         (i, s.trees, s.rows, float(spread[f"t{i}"] or 0.0)) for i, s in enumerate(specs)
     ]
     best = max(table, key=lambda row: (row[3], -row[0]))[0]
-    rows = df.sparkSession.createDataFrame(
+    trial_table = df.sparkSession.createDataFrame(
         [(*row, row[0] == best) for row in table],
         "trial int, n_estimators int, max_samples int, score_variance double, is_best boolean",
     )
-    return rows, forests[best]
+    return trial_table, forests[best]
 
 
 def permutation_importance(

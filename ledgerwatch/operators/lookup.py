@@ -85,10 +85,13 @@ def members_of(tx: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def lookup_totals(tx: DataFrame, wanted: DataFrame) -> DataFrame:
-    """How many distinct hashes were asked for and how many of them exist."""
+    """How many distinct hashes were asked for and how many of them exist.
+
+    The stored side is cut down to the wanted hashes before anything is made distinct.
+    """
     asked = wanted.select("hash").distinct()
-    stored = tx.select("hash").distinct().withColumn("_found", F.lit(1))
-    return asked.join(stored, "hash", "left").agg(
+    stored = tx.select("hash").join(asked, "hash", "left_semi").distinct()
+    return asked.join(stored.withColumn("_found", F.lit(1)), "hash", "left").agg(
         F.count(F.lit(1)).alias("requested"),
         F.count("_found").alias("found"),
     ).withColumn("missing", F.col("requested") - F.col("found"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField
 
@@ -216,12 +216,18 @@ class Deployments:
         return _RunningDeployments(held["live"], held["ever"])
 
     def jump(self, state: str, note: str, end_from_start: str) -> str | None:
-        return None
+        """After a full deployment the live versions no longer depend on what was before,
+        unless a rollback then restores one that may be older than the slice."""
+        if note != "settled":
+            return None
+        end = json.loads(end_from_start)
+        ever = json.loads(state)["ever"] | end["ever"]
+        return json.dumps({"live": end["live"], "ever": ever}, sort_keys=True)
 
 
 class _RunningDeployments:
     def __init__(self, live: dict, ever: dict) -> None:
-        self.live, self.ever = dict(live), dict(ever)
+        self.live, self.ever, self.settled = dict(live), dict(ever), False
 
     def feed(self, columns: dict[str, list]) -> list[tuple]:
         names = ("event", "version_id", "strategy", "traffic", "restore", "created_seq")
@@ -241,10 +247,12 @@ class _RunningDeployments:
             self.live[version] = float(traffic)
             if event == "deploy":
                 self.ever[version] = int(created)
+                self.settled = self.settled or traffic == 100.0
         elif event == "rollback":
             self.live.pop(version, None)
             others = [v for v in self.ever if v != version]
             if restore is None or restore != restore or restore:
+                self.settled = False
                 if others:
                     restored = max(others, key=lambda v: (self.ever[v], v))
                     self.live[restored] = 100.0
@@ -254,7 +262,8 @@ class _RunningDeployments:
         return reason is None, reason, state, restored
 
     def close(self) -> tuple[str, str]:
-        return json.dumps({"live": self.live, "ever": self.ever}, sort_keys=True), ""
+        note = "settled" if self.settled else ""
+        return json.dumps({"live": self.live, "ever": self.ever}, sort_keys=True), note
 
 
 def replay_deployments(
@@ -292,8 +301,16 @@ def traffic_intervals(replayed: DataFrame, ts: str = "at", tie: str = "event_id"
         "model_id", ts, tie, "version_id", F.col("_now")[F.col("version_id")].alias("traffic"),
         F.col("_before")[F.col("version_id")].alias("was"),
     ).where(~F.col("traffic").eqNullSafe(F.col("was")))
-    window = Window.partitionBy("model_id", "version_id").orderBy(ts, tie)
-    return changes.withColumn("valid_to", F.lead(ts).over(window)).where("traffic is not null").select(
-        "model_id", F.col("version_id").cast("int").alias("version_id"), "traffic",
-        F.col(ts).alias("valid_from"), "valid_to",
+    keys = ["model_id", "version_id"]
+    lagged = previous_values(changes, keys, [ts, tie], ts, [ts], 30 * DAY)
+    closed = lagged.where("was is not null").select(
+        *keys, F.col("was").alias("traffic"), F.col(f"prev_{ts}").alias("valid_from"),
+        F.col(ts).alias("valid_to"),
     )
+    last = changes.groupBy(*keys).agg(F.max(F.struct(ts, tie, "traffic")).alias("_last"))
+    still_open = last.where("_last.traffic is not null").select(
+        *keys, F.col("_last.traffic").alias("traffic"), F.col(f"_last.{ts}").alias("valid_from"),
+        F.lit(None).cast(changes.schema[ts].dataType).alias("valid_to"),
+    )
+    every = closed.unionByName(still_open)
+    return every.withColumn("version_id", F.col("version_id").cast("int"))

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = 8, app: str = "ledgerwatch", **conf: str) -> SparkSession:
     """A local session with adaptive execution, UTC and no web page."""
     builder = (
@@ -39,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    named = tempfile.mkdtemp(prefix="ledgerwatch-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="ledgerwatch-")
+    return _LOCAL_FOLDERS[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
