@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ledgerwatch.operators.ordered import time_slice
-from ledgerwatch.session import materialise
+from ledgerwatch.session import materialise, python_tasks
 
 _GROUP = ["_key", "_slice"]
 
@@ -85,9 +85,7 @@ def run(
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros"),
         time_slice(ts, slice_seconds).alias("_slice"),
     )
-    # A fixed number of tasks: by bytes alone, adaptive execution would merge small inputs
-    # into one task although the work is in Python.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = python_tasks(df.sparkSession)
     summary_schema = "_key string, _slice bigint, _in string, _out string, _note string"
     names = ["_key", "_slice", "_in", "_out", "_note"]
 

@@ -26,7 +26,7 @@ from ledgerwatch.functions.features import BASE_FEATURES
 from ledgerwatch.functions.hashing import unit_hash
 from ledgerwatch.functions.numeric import num
 from ledgerwatch.operators.prefix import exact_quantiles
-from ledgerwatch.session import require_columns
+from ledgerwatch.session import python_tasks, require_columns
 
 TREES = 100
 ROWS_PER_TREE = 256
@@ -179,10 +179,8 @@ def tree_nodes(
             [(trial, tree, *node) for node in grown], columns=_NODE_SCHEMA.names
         )
 
-    # A group holds about twice the rows of a tree, independent of the table. The rows are so
-    # few that adaptive execution would put all trees into one task; a given number keeps
-    # the building parallel.
-    tasks = min(sum(s.trees for s in specs), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    # A group holds about twice the rows of a tree, independent of the table.
+    tasks = min(sum(s.trees for s in specs), python_tasks(df.sparkSession))
     return drawn.repartition(tasks, "trial", "tree").groupBy("trial", "tree").applyInPandas(build, _NODE_SCHEMA)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,13 +54,39 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def python_tasks(spark: SparkSession) -> int:
+    """Tasks of a stage that works in Python: the configured number of shuffle partitions.
+
+    Adaptive execution goes by bytes and would merge a small input into one task. A local
+    session has no use for more than two tasks per core.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    context = spark.sparkContext
+    return min(tasks, 2 * context.defaultParallelism) if context.master.startswith("local") else tasks
+
+
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Partitions for the state of a stream that starts inside this block.
+
+    A stream takes the setting over when it starts and keeps it. A local session need not
+    keep hundreds of state stores; on a cluster this changes nothing.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(python_tasks(spark)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows evenly over the configured number of tasks.
+    """Rows evenly over as many tasks as ``python_tasks`` gives.
 
     For stages that compute long per row over files that cannot be split, such as a file of
     one row group. Not for tables that already come in many partitions.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(python_tasks(df.sparkSession), *keys)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

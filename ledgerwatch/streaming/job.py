@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerwatch.functions.classify import transaction_severity
 from ledgerwatch.operators import forest
+from ledgerwatch.session import state_partitions
 from ledgerwatch.streaming.parse import from_json_text, good_records, rejected_records, validate
 
 STREAM_FEATURES = ("value", "gas", "gasPrice")
@@ -175,7 +176,8 @@ def start(
         "checkpointLocation", scorer.paths.checkpoint
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": every}
-    return writer.trigger(**trigger).start()
+    with state_partitions(messages.sparkSession):
+        return writer.trigger(**trigger).start()
 
 
 def unique_good(records: DataFrame, delay: str) -> DataFrame:
@@ -208,10 +210,12 @@ def windowed_counts(
 
 def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a table until the present input is used up."""
-    return (
+    writer = (
         df.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
+    with state_partitions(df.sparkSession):
+        return writer.start()
 
 
 # -- status ------------------------------------------------------------------------------
