@@ -81,6 +81,25 @@ def _(v):
     return evaluate.roc_auc(v.scored).withColumn("roc_auc", rounded(F.col("roc_auc")))
 
 
+@query("E5_compare_evaluations", """
+    with m as (select status, metric, value from (
+            select case when y_true = 1 then 'a' else 'b' end as status, count(*)::double as num_samples,
+                   avg(score) as mean_anomaly_score, max(score) - min(score) as score_range
+            from scored group by 1) unpivot (value for metric in (num_samples, mean_anomaly_score, score_range)))
+    select a.metric, round(a.value, 6) as model1, round(b.value, 6) as model2,
+           round(b.value - a.value, 6) as difference, round((b.value - a.value) * 100 / a.value, 6) as percent_change
+    from m a join m b on a.metric = b.metric where a.status = 'a' and b.status = 'b'""")
+def _(v):
+    from ledgerwatch.operators.joins import compare_metrics
+
+    def side(label):
+        return evaluate.anomaly_evaluation(v.scored.where(F.col("y_true") == label), F.col("y_pred") == 1)
+
+    both = compare_metrics(side(1), side(0), ["num_samples", "mean_anomaly_score", "score_range"])
+    return both.select("metric", *[
+        rounded(F.col(c)).alias(c) for c in ("model1", "model2", "difference", "percent_change")])
+
+
 _TAGGED = """
     tagged as (select *, case when timestamp between timestamp '1997-11-25' and timestamp '1997-12-25'
                               then 1 else 0 end as ref,

@@ -22,12 +22,16 @@ _LONG = "400 days"
 def messages(v, files: int = 6) -> str:
     """The raw transactions as JSON lines in a new folder."""
     path = new_path(v.spark, "messages")
+    _lines(v).repartition(files).write.text(path)
+    return path
+
+
+def _lines(v):
     record = F.struct(
         "hash", "value", "gas", F.col("gas_price").alias("gasPrice"), F.col("from_address").alias("from"),
         F.date_format(unix_timestamp(F.col("time_stamp")), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
     )
-    v.tx_raw.select(F.to_json(record).alias("value")).repartition(files).write.text(path)
-    return path
+    return v.tx_raw.select(F.to_json(record).alias("value"))
 
 
 def _drain(stream, label: str):
@@ -101,6 +105,57 @@ def _score(v):
     return paths, running
 
 
+def _large_values(df):
+    """A scoring function whose result SQL can state."""
+    return df.withColumns({
+        "anomaly_score": -F.col("value"), "confidence": F.col("value"),
+        "anomaly": F.when(F.col("value") > 30_000, "anomaly").otherwise("normal")})
+
+
+@query("T3_drained_remainder", "select count(*) as rows, cast(2 as bigint) as batches from tx_raw")
+def _(v):
+    spark, path, checkpoint = v.spark, new_path(v.spark, "lines"), new_path(v.spark, "offsets")
+    running = job.append_to(read_lines(spark, messages(v, 6), 4), path, checkpoint)
+    running.awaitTermination()
+    with_rows = [p for p in job.progress_rows(running) if p[1] > 0]
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).withColumn(
+        "batches", F.lit(len(with_rows)).cast("bigint"))
+
+
+@query("T7_restart", f"""
+    select count(distinct hash) as rows, count(distinct hash) as hashes
+    from tx_raw where {_REASON} is null""")
+def _(v):
+    """Two runs from one checkpoint; the second finds files that came in between."""
+    folder, paths = new_path(v.spark, "messages"), job.Paths(new_path(v.spark, "job"))
+    early = F.xxhash64("value") > 0
+    for part in (early, ~early):
+        _lines(v).where(part).repartition(2).write.mode("append").text(folder)
+        scorer = job.BatchScorer(paths, score_fn=_large_values)
+        running = job.start(read_lines(v.spark, folder, 1), scorer, _LONG, arrived=_arrived())
+        running.awaitTermination()
+    return v.spark.read.parquet(paths.predictions).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("hash").alias("hashes"))
+
+
+@query("A8_sinks", f"""
+    with r as (select hash, {_REASON} as reason, try_cast(value as double) as value from tx_raw)
+    select 'predictions' as sink, count(distinct hash) as rows from r where reason is null
+    union all select 'anomalies', count(distinct hash) from r where reason is null and value > 30000
+    union all select 'rejects', count(distinct hash) from r where reason is not null""")
+def _(v):
+    paths = job.Paths(new_path(v.spark, "job"))
+    scorer = job.BatchScorer(paths, score_fn=_large_values)
+    running = job.start(read_lines(v.spark, messages(v, 4), 2), scorer, _LONG, arrived=_arrived())
+    running.awaitTermination()
+    sinks = None
+    for name in ("predictions", "anomalies", "rejects"):
+        rows = v.spark.read.parquet(getattr(paths, name)).agg(F.count(F.lit(1)).alias("rows"))
+        rows = rows.withColumn("sink", F.lit(name))
+        sinks = rows if sinks is None else sinks.unionByName(rows)
+    return sinks
+
+
 @query("T2_score_batches")
 def _(v):
     paths, _running = _score(v)

@@ -414,7 +414,7 @@ def permutation_importance(
     def numbered(salt: int, columns: list[Column]) -> DataFrame:
         hashed = rows.withColumn("_h", unit_hash(F.col("_key"), F.lit(seed + salt)))
         part = F.floor(F.col("_h") * parts).cast("int")
-        placed = row_numbers(hashed, [], ["_h", "_key"], part, "_at")
+        placed = row_numbers(hashed, [], ["_h", "_key"], part, "_at", hot_rows=10_000)
         return placed.select("_at", *columns)
 
     own = numbered(1, [F.col(f) for f in features])

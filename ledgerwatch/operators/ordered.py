@@ -129,29 +129,27 @@ def running_total(
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows of the key up to and including each row.
 
-    ``part`` cuts a hot key into pieces and must grow with the order: a time slice, say.
+    ``part`` cuts a hot key into pieces and must grow with the order: a time slice, say. The
+    sum before a piece enters it as one extra first row, so rows are shuffled once and not
+    joined.
     """
     keys = list(keys)
     rows = with_slices(df.withColumn("_v", value), keys, part, hot_rows)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    heads = (
         rows.where(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(F.sum("_v").alias("_sum"))
-        .select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k"),
-            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
-        )
+        .select(*keys, "_slice", F.sum("_sum").over(before).alias("_v"))
+        .where(F.col("_v").isNotNull())
     )
-    same = reduce(
-        lambda x, y: x & y,
-        [F.col("_slice") == F.col("_k"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]],
+    every = rows.withColumn("_head", F.lit(0)).unionByName(
+        heads.withColumn("_head", F.lit(1)), allowMissingColumns=True
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
+    inside = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_head"), *order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    summed = rows.withColumn("_inside", F.sum("_v").over(inside))
-    return summed.join(offsets, same, "left").withColumn(
-        name, F.coalesce("_before", F.lit(0)) + F.col("_inside")
-    ).drop("_slice", "_v", "_before", "_inside", "_k", *[f"_k_{k}" for k in keys])
+    return every.withColumn(name, F.sum("_v").over(inside)).where("_head = 0").drop(
+        "_slice", "_v", "_head"
+    )
 
 
 def row_numbers(
