@@ -9,7 +9,7 @@ from ledgerwatch.functions.features import BASE_FEATURES, with_extended_features
 from ledgerwatch.functions.numeric import rounded
 from ledgerwatch.operators import monitor, series
 from ledgerwatch.operators.buffer import live_entries, live_by_severity
-from ledgerwatch.operators.ordered import running_total, time_slice
+from ledgerwatch.operators.ordered import running_total
 
 _SERIES = """
     daily as (select {key} cast(timestamp as date) as day, sum(value) as total from tx group by all),
@@ -199,7 +199,7 @@ def _(v):
     daily = v.metrics.withColumn("day", F.to_date("timestamp"))
     counter = running_total(
         daily, ["metric_name", "instance", "day"], ["timestamp", "metric_value"],
-        time_slice("timestamp", 3600), F.col("metric_value"), "counter", hot_rows=10,
+        "timestamp", F.col("metric_value"), "counter", hot_rows=10,
     )
     rate = monitor.counter_rate(
         counter, ["metric_name", "instance"], "timestamp", "counter", "1 hour", 3600, ["metric_value"],
@@ -265,7 +265,7 @@ _ISLANDS = """
 def _(v):
     return monitor.held_alerts(
         v.metrics, ["metric_name", "instance"], "timestamp", F.col("metric_value") > 20, 7200,
-        ["metric_value"], 6 * 3600, hot_rows=100,
+        ["metric_value"], hot_rows=100,
     )
 
 

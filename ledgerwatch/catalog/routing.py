@@ -115,12 +115,12 @@ def _deployment_log(v):
 
 @query("R4_replay_deployments")
 def _(v):
-    return routing.replay_deployments(_deployment_log(v))
+    return routing.replay_deployments(_deployment_log(v), hot_rows=500)
 
 
 @query("R4_traffic_intervals")
 def _(v):
-    return routing.traffic_intervals(routing.replay_deployments(_deployment_log(v)))
+    return routing.traffic_intervals(routing.replay_deployments(_deployment_log(v), hot_rows=500))
 
 
 _ORDERED = """
@@ -143,7 +143,7 @@ _ORDERED = """
                as wait_seconds
     from walk""")
 def _(v):
-    audit = limits.token_bucket_audit(v.request_log, ["ip"], 3, 86_400, slice_seconds=10 * 86_400)
+    audit = limits.token_bucket_audit(v.request_log, ["ip"], 3, 86_400, hot_rows=25)
     return audit.withColumns({
         "tokens": rounded(F.col("tokens")), "wait_seconds": rounded(F.col("wait_seconds"))})
 
@@ -159,4 +159,4 @@ def _(v):
               from walk w join log l on l.ip = w.ip and l.rn = w.rn + 1))
     select ip, id, allowed, len(kept) as used, cast(retry as bigint) as retry_after from walk""")
 def _(v):
-    return limits.sliding_log_audit(v.request_log, ["ip"], 3, 86_400, slice_seconds=10 * 86_400)
+    return limits.sliding_log_audit(v.request_log, ["ip"], 3, 86_400, hot_rows=25)

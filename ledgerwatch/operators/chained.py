@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from ledgerwatch.operators.ordered import time_slice
+from ledgerwatch.operators.ordered import HOT_ROWS, with_time_slices
 from ledgerwatch.session import materialise, python_tasks
 
 _GROUP = ["_key", "_slice"]
@@ -70,20 +70,21 @@ def _stretches(
 
 def run(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, machine: Machine,
-    columns: Sequence[str], slice_seconds: float,
+    columns: Sequence[str], hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows (keys, columns) with the outputs of the machine.
 
-    Rows are hashed by key and slice and sorted within the task, and Python reads them as a
-    stream: memory per task is one Arrow batch, work per group is one slice of one key.
+    A key with more than ``hot_rows`` rows is cut into slices of about that many. Rows are
+    hashed by key and slice and sorted within the task, and Python reads them as a stream:
+    memory per task is one Arrow batch, work per group is one slice of one key.
     """
     keys, order, columns = list(keys), list(order), list(columns)
     shown = list(dict.fromkeys([*keys, *columns]))
-    rows = df.select(
+    rows = with_time_slices(df, keys, ts, hot_rows).select(
         *dict.fromkeys([*shown, *order]),
         F.to_json(F.struct(*keys)).alias("_key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros"),
-        time_slice(ts, slice_seconds).alias("_slice"),
+        F.coalesce("_slice", F.lit(0)).cast("bigint").alias("_slice"),
     )
     tasks = python_tasks(df.sparkSession)
     summary_schema = "_key string, _slice bigint, _in string, _out string, _note string"
@@ -148,8 +149,8 @@ def run(
 
 def _stitch(summary: DataFrame, machine: Machine, tasks: int) -> DataFrame:
     """Walk the slices of each key: the start state each one needs, and whether its end
-    state for that start is known. A key has one row per slice here, which the time range
-    bounds."""
+    state for that start is known. A key has one row per slice here, a millionth of its
+    rows."""
     schema = StructType([
         StructField("_key", StringType()), StructField("_slice", LongType()),
         StructField("_need", StringType()), StructField("_known", BooleanType()),

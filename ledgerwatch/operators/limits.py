@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField
 
 from ledgerwatch.operators import chained
-from ledgerwatch.operators.ordered import DAY
+from ledgerwatch.operators.ordered import HOT_ROWS
 
 
 class TokenBucket:
@@ -158,19 +158,19 @@ class _RunningLog:
 
 def token_bucket_audit(
     requests: DataFrame, keys: Sequence[str], capacity: int, window_seconds: float,
-    ts: str = "ts", tie: str = "id", slice_seconds: float = DAY,
+    ts: str = "ts", tie: str = "id", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Which requests a token bucket per key lets pass, the tokens left and the wait."""
     return chained.run(
-        requests, keys, [tie], ts, TokenBucket(capacity, window_seconds), [tie], slice_seconds
+        requests, keys, [tie], ts, TokenBucket(capacity, window_seconds), [tie], hot_rows
     )
 
 
 def sliding_log_audit(
     requests: DataFrame, keys: Sequence[str], limit: int = 100, window_seconds: float = 60,
-    ts: str = "ts", tie: str = "id", slice_seconds: float = DAY,
+    ts: str = "ts", tie: str = "id", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Which requests a sliding log per key accepts."""
     return chained.run(
-        requests, keys, [tie], ts, SlidingLog(limit, window_seconds), [tie], slice_seconds
+        requests, keys, [tie], ts, SlidingLog(limit, window_seconds), [tie], hot_rows
     )

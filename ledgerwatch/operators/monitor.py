@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions.classify import endpoint
 from ledgerwatch.functions.numeric import rounded, safe_divide
 from ledgerwatch.operators.ordered import (
-    DAY, HOT_ROWS, count_within, islands, previous_values, row_numbers, time_slice,
+    HOT_ROWS, count_within, islands, previous_values, row_numbers,
 )
 from ledgerwatch.operators.prefix import exact_quantiles
 
@@ -44,13 +44,13 @@ def _window_start(ts: str, length: str) -> Column:
 
 def counter_rate(
     samples: DataFrame, keys: Sequence[str], ts: str, value: str, length: str, seconds: float,
-    tie: Sequence[str] = (), slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
+    tie: Sequence[str] = (), hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per-second increase of a counter per series and window.
 
     A fall of the counter means a restart; the new value is then the increase.
     """
-    lagged = previous_values(samples, keys, [ts, *tie], ts, [value], slice_seconds, hot_rows)
+    lagged = previous_values(samples, keys, [ts, *tie], ts, [value], hot_rows)
     before, now = F.col(f"prev_{value}"), F.col(value)
     increase = F.when(before.isNull(), 0.0).when(now < before, now).otherwise(now - before)
     return lagged.groupBy(*keys, _window_start(ts, length)).agg(
@@ -119,10 +119,10 @@ def raw_quantile(
 
 def held_alerts(
     samples: DataFrame, keys: Sequence[str], ts: str, condition: Column, hold_seconds: float,
-    tie: Sequence[str] = (), slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
+    tie: Sequence[str] = (), hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Stretches in which a condition held for at least the given time."""
-    found = islands(samples, keys, [ts, *tie], ts, condition, slice_seconds, hot_rows)
+    found = islands(samples, keys, [ts, *tie], ts, condition, hot_rows)
     micros = F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
     return found.withColumn("held_seconds", micros / F.lit(1e6)).where(
         F.col("held_seconds") >= hold_seconds
@@ -147,9 +147,8 @@ def silent_periods(
     borders = active.select(*keys).distinct().withColumn(
         "step", F.explode(F.array(F.lit(first - 1), F.lit(beyond)).cast("array<bigint>"))
     )
-    # A day of steps per slice keeps the window groups small for any range.
     every = active.unionByName(borders).withColumn("at", F.timestamp_seconds(F.col("step") * step))
-    lagged = previous_values(every, keys, ["step"], "at", ["step"], DAY)
+    lagged = previous_values(every, keys, ["step"], "at", ["step"])
     silent = (F.col("step") - F.col("prev_step") - 1) * step
     return lagged.where(silent >= silent_seconds).select(
         *keys, F.timestamp_seconds((F.col("prev_step") + 1) * step).alias("silent_from"),
@@ -223,21 +222,17 @@ def request_metrics(
 
 def fixed_window_audit(
     requests: DataFrame, keys: Sequence[str], limit: int, window_seconds: int, ts: str = "ts",
-    tie: str = "id", slices: int = 24, hot_rows: int = HOT_ROWS,
+    tie: str = "id", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Which requests exceed ``limit`` per fixed window of their key.
 
-    The position inside the window is counted over slices of the window, so a window that
-    holds a flood of more than ``hot_rows`` requests is spread over ``slices`` groups.
+    The position inside a window with a flood of requests is counted over time slices of it.
     """
     if limit < 1 or window_seconds < 1:
         raise ValueError("limit and window must be positive")
     second = F.unix_seconds(F.col(ts).cast("timestamp"))
     windowed = requests.withColumn("window", F.floor(second / window_seconds).cast("bigint"))
-    ranked = row_numbers(
-        windowed, [*keys, "window"], [ts, tie],
-        time_slice(ts, max(window_seconds / slices, 1e-3)), "position", hot_rows,
-    )
+    ranked = row_numbers(windowed, [*keys, "window"], [ts, tie], ts, "position", hot_rows)
     allowed = F.col("position") <= limit
     reset = (F.col("window") + 1) * window_seconds
     return ranked.withColumns({
@@ -252,10 +247,10 @@ def fixed_window_audit(
 
 def rolling_request_count(
     requests: DataFrame, keys: Sequence[str], seconds: float = 60, ts: str = "ts",
-    slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Requests of the key in the last seconds, the request itself included."""
-    return count_within(requests, keys, ts, seconds, "recent", None, slice_seconds, hot_rows)
+    return count_within(requests, keys, ts, seconds, "recent", None, hot_rows)
 
 
 # -- keys and logins ---------------------------------------------------------------------
@@ -277,10 +272,9 @@ def key_usage(usage: DataFrame, keys: DataFrame, key: str = "key_id", ts: str =
 
 def recent_failures(
     logs: DataFrame, user: str = "user_id", ts: str = "timestamp", seconds: float = 300,
-    status: str = "status", slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
+    status: str = "status", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Failures of the same user in the seconds up to each row."""
     return count_within(
-        logs, [user], ts, seconds, "recent_failures", F.col(status) == "failure", slice_seconds,
-        hot_rows,
+        logs, [user], ts, seconds, "recent_failures", F.col(status) == "failure", hot_rows
     )

@@ -1,10 +1,10 @@
 """Ordered per-key operators that survive a key holding a third of all rows.
 
 A window over a whole key puts that key into one task. Keys with more than ``hot_rows`` rows
-are therefore cut into time slices; the window runs per (key, slice), and what a slice needs
-from the slices before it travels as a few summary rows: the last rows, the running total,
-or the touching island. The number of summary rows per key is the number of slices, which
-the time range bounds. All other keys keep one plain window and cost one shuffle.
+are therefore cut into time slices of about that many rows; the window runs per (key, slice),
+and what a slice needs from the slices before it travels as a few summary rows: the last
+rows, the running total, or the touching island. All other keys keep one plain window and
+cost one shuffle.
 """
 
 from __future__ import annotations
@@ -15,40 +15,67 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400
 HOT_ROWS = 1_000_000
 
 
-def time_slice(ts: str, seconds: float) -> Column:
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return F.floor(micros / F.lit(int(seconds * 1_000_000))).cast("bigint")
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], part: Column, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Add ``_slice``: the part for rows of hot keys, null for all others.
+def with_hot_keys(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], hot_rows: int) -> DataFrame:
+    """Add ``_hot``: a struct of the measures for rows of hot keys, null for all others.
 
     Counting keys combines on the map side. At most (all rows / hot_rows) keys can be hot, so
     their table is small for certain and is broadcast: a million keys at 10^12 rows.
     """
     if hot_rows < 1:
         raise ValueError("hot_rows must be positive")
-    sliced = df.withColumn("_part", part)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    found = F.struct(F.count(F.lit(1)).alias("n"), *[m.alias(name) for name, m in measures.items()])
     if not keys:
-        n = df.agg(F.count(F.lit(1))).scalar()
-        return sliced.withColumn("_slice", F.when(n > hot_rows, F.col("_part"))).drop("_part")
-    flags = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_is_hot"))
+        whole = df.agg(found.alias("f")).scalar()
+        return df.withColumn("_hot", F.when(whole.getField("n") > hot_rows, whole))
+    hot = df.groupBy(*keys).agg(found.alias("_hot")).where(F.col("_hot.n") > hot_rows)
+    flags = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_hot")
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    return sliced.join(F.broadcast(flags), same, "left").withColumn(
-        "_slice", F.when(F.col("_is_hot"), F.col("_part"))
-    ).drop("_is_hot", "_part", *[f"_hot_{k}" for k in keys])
+    return df.join(F.broadcast(flags), same, "left").drop(*[f"_hot_{k}" for k in keys])
+
+
+def with_slices(
+    df: DataFrame, keys: Sequence[str], part: Column, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``_slice``: the given part for rows of hot keys, null for all others."""
+    rows = with_hot_keys(df.withColumn("_part", part), keys, {}, hot_rows)
+    return rows.withColumn("_slice", F.when(F.col("_hot").isNotNull(), F.col("_part"))).drop("_part", "_hot")
+
+
+def with_time_slices(
+    df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS, ahead_seconds: float = 0.0,
+) -> DataFrame:
+    """Add ``_slice`` by time for rows of hot keys, null for all others.
+
+    The time span of a hot key is cut evenly into as many slices as it has ``hot_rows`` rows,
+    so slices do not grow with the data. With ``ahead_seconds``, slices are at least that long
+    and ``_ahead`` is the slice in which the row lies that much later.
+    """
+    ahead = int(ahead_seconds * 1_000_000)
+    rows = with_hot_keys(
+        df.withColumn("_at", _micros(ts)), keys, {"lo": F.min("_at"), "hi": F.max("_at")}, hot_rows
+    )
+    slices = F.ceil(F.col("_hot.n") / F.lit(hot_rows))
+    width = F.greatest(F.ceil((F.col("_hot.hi") - F.col("_hot.lo") + 1) / slices), F.lit(max(ahead, 1)))
+
+    def place(shift: int) -> Column:
+        return F.floor((F.col("_at") + shift - F.col("_hot.lo")) / width).cast("bigint")
+
+    placed = rows.withColumn("_slice", place(0))
+    if ahead:
+        placed = placed.withColumn("_ahead", place(ahead))
+    return placed.drop("_at", "_hot")
 
 
 def with_preceding_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, rows: int,
-    columns: Sequence[str], slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
+    columns: Sequence[str], hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows with their ``_slice``, and for every slice copies of the ``rows`` rows before it.
 
@@ -56,7 +83,7 @@ def with_preceding_rows(
     of up to ``rows`` preceding rows per (keys, _slice) is then exact; drop the copies after.
     """
     keys, order = list(keys), list(order)
-    sliced = with_slices(df, keys, time_slice(ts, slice_seconds), hot_rows)
+    sliced = with_time_slices(df, keys, ts, hot_rows)
     carried = list(dict.fromkeys([*order, ts, *columns]))
     last_first = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
     # Rank filters of this form cut the rows per group before the shuffle.
@@ -82,40 +109,37 @@ def with_preceding_rows(
 
 def previous_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, columns: Sequence[str],
-    slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``prev_<column>`` from the row before, across slices."""
-    rows = with_preceding_rows(df, keys, order, ts, 1, columns, slice_seconds, hot_rows)
+    rows = with_preceding_rows(df, keys, order, ts, 1, columns, hot_rows)
     window = Window.partitionBy(*keys, "_slice").orderBy(*order)
     lagged = rows.withColumns({f"prev_{c}": F.lag(c).over(window) for c in columns})
     return lagged.where(~F.col("_halo")).drop("_halo", "_slice")
 
 
 def with_range_halo(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: float, slice_seconds: float = DAY,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: float, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Rows with their ``_slice``, repeated (as ``_halo``) in each later slice that begins
-    within ``seconds`` after them. Rows per slice grow by at most seconds / slice_seconds."""
-    own = with_slices(df, keys, time_slice(ts, slice_seconds), hot_rows)
-    shifted = F.unix_micros(F.col(ts).cast("timestamp")) + F.lit(int(seconds * 1_000_000))
-    last = F.floor(shifted / F.lit(int(slice_seconds * 1_000_000))).cast("bigint")
-    seen_in = F.when(F.col("_own").isNotNull(), F.sequence(F.col("_own"), last)).otherwise(
+    """Rows with their ``_slice``, repeated (as ``_halo``) in the next slice if that begins
+    within ``seconds`` after them. Slices are at least that long, so a row comes twice at most."""
+    own = with_time_slices(df, keys, ts, hot_rows, seconds)
+    seen_in = F.when(F.col("_own").isNotNull(), F.sequence(F.col("_own"), F.col("_ahead"))).otherwise(
         F.array(F.lit(None).cast("bigint"))
     )
     rows = own.withColumnRenamed("_slice", "_own").withColumn("_slice", F.explode(seen_in))
-    return rows.withColumn("_halo", ~F.col("_slice").eqNullSafe(F.col("_own"))).drop("_own")
+    return rows.withColumn("_halo", ~F.col("_slice").eqNullSafe(F.col("_own"))).drop("_own", "_ahead")
 
 
 def count_within(
     df: DataFrame, keys: Sequence[str], ts: str, seconds: float, name: str,
-    condition: Column | None = None, slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
+    condition: Column | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the number of (matching) rows of the key in the ``seconds`` up to each row."""
     rows = with_range_halo(
         df.withColumn("_hit", (F.lit(True) if condition is None else condition).cast("int")),
-        keys, ts, seconds, slice_seconds, hot_rows,
-    ).withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
+        keys, ts, seconds, hot_rows,
+    ).withColumn("_micros", _micros(ts))
     window = Window.partitionBy(*keys, "_slice").orderBy("_micros").rangeBetween(
         -int(seconds * 1_000_000), 0
     )
@@ -124,17 +148,21 @@ def count_within(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, value: Column, name: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column | str, value: Column,
+    name: str, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows of the key up to and including each row.
 
-    ``part`` cuts a hot key into pieces and must grow with the order: a time slice, say. The
-    sum before a piece enters it as one extra first row, so rows are shuffled once and not
-    joined.
+    ``part`` names the time column to slice by, or is an expression that cuts a hot key into
+    pieces and grows with the order. The sum before a piece enters it as one extra first
+    row, so rows are shuffled once and not joined.
     """
     keys = list(keys)
-    rows = with_slices(df.withColumn("_v", value), keys, part, hot_rows)
+    valued = df.withColumn("_v", value)
+    rows = (
+        with_time_slices(valued, keys, part, hot_rows) if isinstance(part, str)
+        else with_slices(valued, keys, part, hot_rows)
+    )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = (
         rows.where(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(F.sum("_v").alias("_sum"))
@@ -153,7 +181,7 @@ def running_total(
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, name: str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column | str, name: str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the position of each row within its key, from 1."""
@@ -180,7 +208,7 @@ def newest_per_group(
 
 def islands(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, condition: Column,
-    slice_seconds: float = DAY, hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Stretches of consecutive rows of a key that meet the condition.
 
@@ -188,9 +216,9 @@ def islands(
     go on in a neighbour, so at most two rows per slice enter the second step.
     """
     keys = list(keys)
-    rows = with_slices(
+    rows = with_time_slices(
         df.select(*keys, *dict.fromkeys([*order, ts]), F.coalesce(condition, F.lit(False)).alias("_on")),
-        keys, time_slice(ts, slice_seconds), hot_rows,
+        keys, ts, hot_rows,
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     changed = (F.lag("_on").over(inside) != F.col("_on")).cast("int")

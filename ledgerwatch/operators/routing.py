@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField
 
 from ledgerwatch.functions.hashing import unit_hash, user_bucket
 from ledgerwatch.operators import chained
-from ledgerwatch.operators.ordered import DAY, running_total
+from ledgerwatch.operators.ordered import HOT_ROWS, running_total
 from ledgerwatch.operators.stats import model_metrics
 from ledgerwatch.session import require_columns
 
@@ -267,7 +267,7 @@ class _RunningDeployments:
 
 
 def replay_deployments(
-    log: DataFrame, ts: str = "at", tie: str = "event_id", slice_seconds: float = 30 * DAY,
+    log: DataFrame, ts: str = "at", tie: str = "event_id", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every event with its verdict and the live versions after it (JSON: version, traffic).
 
@@ -277,7 +277,7 @@ def replay_deployments(
     columns = ["event", "version_id", "strategy", "traffic", "restore", "created_seq"]
     require_columns(log, "model_id", ts, tie, *columns)
     return chained.run(
-        log, ["model_id"], [tie], ts, Deployments(), [tie, ts, *columns], slice_seconds
+        log, ["model_id"], [tie], ts, Deployments(), [tie, ts, *columns], hot_rows
     )
 
 
@@ -290,7 +290,7 @@ def traffic_intervals(replayed: DataFrame, ts: str = "at", tie: str = "event_id"
     from ledgerwatch.operators.ordered import previous_values
 
     accepted = replayed.where("accepted")
-    steps = previous_values(accepted, ["model_id"], [ts, tie], ts, ["state"], 30 * DAY)
+    steps = previous_values(accepted, ["model_id"], [ts, tie], ts, ["state"])
     as_map = "map<string,double>"
     now = F.from_json("state", as_map)
     before = F.coalesce(F.from_json("prev_state", as_map), F.create_map().cast(as_map))
@@ -302,7 +302,7 @@ def traffic_intervals(replayed: DataFrame, ts: str = "at", tie: str = "event_id"
         F.col("_before")[F.col("version_id")].alias("was"),
     ).where(~F.col("traffic").eqNullSafe(F.col("was")))
     keys = ["model_id", "version_id"]
-    lagged = previous_values(changes, keys, [ts, tie], ts, [ts], 30 * DAY)
+    lagged = previous_values(changes, keys, [ts, tie], ts, [ts])
     closed = lagged.where("was is not null").select(
         *keys, F.col("was").alias("traffic"), F.col(f"prev_{ts}").alias("valid_from"),
         F.col(ts).alias("valid_to"),

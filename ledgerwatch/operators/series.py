@@ -14,7 +14,7 @@ from pyspark.sql.types import (
 
 from ledgerwatch.functions.features import BASE_FEATURES
 from ledgerwatch.functions.numeric import num
-from ledgerwatch.operators.ordered import DAY, HOT_ROWS, with_preceding_rows
+from ledgerwatch.operators.ordered import HOT_ROWS, with_preceding_rows
 from ledgerwatch.session import require_columns
 
 
@@ -50,13 +50,13 @@ def daily_series(
 
 def rolling_features(
     tx: DataFrame, key: str = "from_address", ts: str = "timestamp", tie: str = "hash",
-    columns: Sequence[str] = BASE_FEATURES, rows: int = 10, slice_seconds: float = 30 * DAY,
+    columns: Sequence[str] = BASE_FEATURES, rows: int = 10,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Mean, deviation, maximum and z-score over the last rows of an address, and the
     seconds since its previous row."""
     require_columns(tx, key, ts, tie, *columns)
-    seen = with_preceding_rows(tx, [key], [ts, tie], ts, rows - 1, columns, slice_seconds, hot_rows)
+    seen = with_preceding_rows(tx, [key], [ts, tie], ts, rows - 1, columns, hot_rows)
     order = Window.partitionBy(key, "_slice").orderBy(ts, tie)
     frame = order.rowsBetween(-(rows - 1), 0)
     rolled = {}

@@ -33,8 +33,8 @@ def traffic(spark):
     return spark.createDataFrame(rows, "id int, ip string, ts timestamp").repartition(7).cache(), rows
 
 
-@pytest.mark.parametrize("capacity, window, slice_seconds", [(10, 60, 60), (3, 10, 120), (2, 1, 300)])
-def test_bucket_equals_sequential_replay(traffic, capacity, window, slice_seconds):
+@pytest.mark.parametrize("capacity, window, hot_rows", [(10, 60, 100), (3, 10, 250), (2, 1, 40)])
+def test_bucket_equals_sequential_replay(traffic, capacity, window, hot_rows):
     df, rows = traffic
     want, state = {}, {}
     for i, key, ts in sorted(rows, key=lambda r: (r[2], r[0])):
@@ -44,7 +44,7 @@ def test_bucket_equals_sequential_replay(traffic, capacity, window, slice_second
         ok = tokens >= 1
         state[key] = (tokens - 1 if ok else tokens, t)
         want[i] = (ok, float(state[key][0]))
-    audit = limits.token_bucket_audit(df, ["ip"], capacity, window, slice_seconds=slice_seconds)
+    audit = limits.token_bucket_audit(df, ["ip"], capacity, window, hot_rows=hot_rows)
     got = {r.id: (r.allowed, r.tokens) for r in audit.collect()}
     assert len(got) == len(want)
     assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-6) for i in want)
@@ -60,7 +60,7 @@ def test_sliding_log_equals_sequential_replay(traffic):
         want[i] = len(kept) < 10
         if want[i]:
             kept.append(t)
-    audit = limits.sliding_log_audit(df, ["ip"], 10, 60, slice_seconds=120)
+    audit = limits.sliding_log_audit(df, ["ip"], 10, 60, hot_rows=150)
     assert {r.id: r.allowed for r in audit.collect()} == want
 
 
@@ -71,7 +71,7 @@ def test_one_saturated_key_needs_no_rerun(spark, monkeypatch):
     monkeypatch.setattr(limits.chained, "materialise", lambda df, label: writes.append(label) or original(df, label))
     df = spark.range(20_000).select(
         F.col("id"), F.lit("one").alias("ip"), F.timestamp_micros(F.col("id") * 37_123).alias("ts"))
-    audit = limits.token_bucket_audit(df, ["ip"], 10, 60, slice_seconds=20)
+    audit = limits.token_bucket_audit(df, ["ip"], 10, 60, hot_rows=500)
     assert audit.where("allowed").count() == 10 + int(19_999 * 0.037123 / 6)
     assert len(writes) == 2
 
@@ -143,8 +143,8 @@ def test_deployment_history(frame):
         ("traffic", 2, None, 100.0, None, 2), ("rollback", 2, None, None, True, 2),
         ("deploy", 3, "shadow", None, None, 3), ("rollback", 3, None, None, False, 3),
     )
-    # Slices of five days: every event is in a slice of its own.
-    replayed = routing.replay_deployments(log, slice_seconds=5 * 86_400)
+    # Every event is in a slice of its own.
+    replayed = routing.replay_deployments(log, hot_rows=1)
     got = [(r.accepted, json.loads(r.state), r.restored_version) for r in replayed.orderBy("event_id").collect()]
     assert got == [
         (True, {"1": 100.0}, None), (True, {"1": 100.0, "2": 10.0}, None),
@@ -165,6 +165,6 @@ def test_deployment_slices_equal_one_pass(frame):
         traffic = rng.choice([None, 0.0, 50.0, 100.0, 120.0])
         events.append((kind, v, rng.choice(["shadow", "canary", "full"]), traffic, rng.random() < 0.5, v))
     log = deployments(frame, *events)
-    one = routing.replay_deployments(log, slice_seconds=86_400 * 100_000)
-    many = routing.replay_deployments(log, slice_seconds=86_400 * 200)
+    one = routing.replay_deployments(log)
+    many = routing.replay_deployments(log, hot_rows=20)
     assert one.exceptAll(many).count() == 0 and many.count() == 300
