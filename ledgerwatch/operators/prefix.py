@@ -7,15 +7,16 @@ totals are summed (a few rows), and the sums inside each range run in parallel.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 128
+RANGES = 256
 
 
-MAX_BROADCAST_GROUPS = 10_000
+MAX_BROADCAST_GROUPS = 1000
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], weights: Sequence[str]) -> DataFrame:
@@ -43,17 +44,31 @@ def running_sums(
         whole = df.withColumn("_all", F.lit(0))
         return running_sums(whole, ["_all"], value, weights, ranges, groups=1).drop("_all")
     keys = list(keys)
+    step = max(2, math.isqrt(ranges))
+    ranges = step * step
     per_value = value_counts(df, [*keys, value], weights)
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cut_table = per_value.groupBy(*keys).agg(
-        F.percentile_approx(value, shares, F.lit(ranges * 20)).alias("_cuts"),
+        F.percentile_approx(value, shares, F.lit(max(ranges * 4, 2000))).alias("_cuts"),
         *[F.sum(w).alias(f"{w}_total") for w in weights],
     )
-    if groups is not None and groups <= MAX_BROADCAST_GROUPS:
-        cut_table = F.broadcast(cut_table)
-    placed = per_value.join(cut_table, keys).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c < F.col(value)))
+
+    # Two short searches, first among every step-th cut, then between two of those.
+    coarse = F.transform(
+        F.sequence(F.lit(step), F.lit(ranges - step), F.lit(step)), lambda i: F.element_at("_cuts", i)
+    )
+    searchable = cut_table.withColumn("_coarse", coarse)
+    small = groups is not None and groups <= MAX_BROADCAST_GROUPS
+    hinted = F.broadcast(searchable) if small else searchable
+    placed = (
+        per_value.join(hinted, keys)
+        .withColumn("_at", below(F.col("_coarse")) * step)
+        .withColumn("_range", F.col("_at") + below(F.slice("_cuts", F.col("_at") + 1, F.lit(step - 1))))
+        .drop("_cuts", "_coarse", "_at")
+    )
 
     # The sum before a range is the total less the sum from it on. Reading the totals here
     # too keeps this plan like the main one, so that both share one shuffle of ``per_value``.
