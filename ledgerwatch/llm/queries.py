@@ -30,6 +30,41 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_pii")
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm import pii_crf
+
+    found = pii_crf.find(table(spark, sf_dir, "documents"), "doc_id", "text", pii_crf.standard_field())
+
+    def joined(name: str):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op2_warc", sql="""
+select page_id, cast(strlen(h) as bigint) as payload_bytes, sha256(h) as payload_digest,
+       case when page_id > first then 'revisit' else 'response' end as record_type,
+       case when page_id > first then first end as refers_to
+from (select page_id, h, case when strlen(h) >= 100 then min(page_id) over (partition by h) end as first
+      from (select page_id, coalesce(html, '') as h from pages))
+""")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm import warc_zst
+
+    records = warc_zst.round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_license_scan")
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm import license_scan
+
+    found = license_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query("op4_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm import token_file
@@ -50,6 +85,66 @@ def byte_bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _quality_sql() -> str:
+    """The quality query in SQL: measures, votes, then expectation-maximisation as a recursive query."""
+    from ledgerwatch.llm.quality_votes import LEAST, MOST, ROUNDS, RULES, START
+
+    numbers = range(1, len(RULES) + 1)
+    votes = ", ".join(
+        f"case when n_words = 0 then 0 when {good.replace('x ', f'({m}) ')} then 1 when {bad.replace('x ', f'({m}) ')} then -1 else 0 end"
+        for _, m, good, bad in RULES)
+    odds = "ln(good / (1 - good)) + " + " + ".join(f"votes[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in numbers)
+    right = ", ".join(
+        f"least({MOST}, greatest({LEAST}, (sum(n * case votes[{j}] when 1 then q when -1 then 1 - q else 0e0 end) + {START}) / (sum(case when votes[{j}] = 0 then 0e0 else n end) + 1e0)))"
+        for j in numbers)
+    return f"""
+with recursive words as (
+  select doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+  from (select doc_id, coalesce(text, '') as t from documents)
+), windows as (
+  select doc_id, i, count(*) over (partition by doc_id, w) as times
+  from (select doc_id, i, array_to_string(words[i : i + 4], ' ') as w
+        from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from words where len(words) >= 5))
+), repeated as (
+  select doc_id, count(distinct i + k) as n from windows, range(0, 5) r(k) where times > 1 group by doc_id
+), measured as (
+  select doc_id, cast(len(words) as bigint) as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(lines) as n_lines,
+         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
+         length(t) - length(regexp_replace(t, '[.!?]', '', 'g')) as n_ends, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_upper
+  from words left join repeated using (doc_id)
+), voted as (select *, [{votes}] as votes from measured
+), patterns as (select votes, cast(count(*) as double) as n from voted group by votes
+), em(r, good, acc) as (
+  select 0, {START}e0, [{", ".join([f"{START}e0"] * len(RULES))}]
+  union all
+  select any_value(r) + 1, least({MOST}, greatest(1 - {MOST}, sum(n * q) / sum(n))), [{right}]
+  from (select r, n, votes, 1 / (1 + exp(-({odds}))) as q from em, patterns where r < {ROUNDS}) having count(*) > 0
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed,
+       not failed and 1 / (1 + exp(-({odds}))) >= 0.5 as kept
+from (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as failed from voted), (select good, acc from em where r = {ROUNDS})
+"""
+
+
+@query("op6_quality_votes", sql=_quality_sql())
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm import quality_votes
+
+    found = quality_votes.judged(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept")
+
+
+@query("op7_tag_paths")
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm import tag_paths
+
+    found = tag_paths.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op8_simhash_groups")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwatch.llm import simhash_ring
@@ -97,3 +192,10 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   table(spark, sf_dir, "benchmark"), "item_id", "text", size=5, least=0.8)
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_shared",
                         F.round("containment", 6).alias("containment"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
