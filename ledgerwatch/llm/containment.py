@@ -15,6 +15,7 @@ The items are a stated query set. They are sent to the tasks in blocks of at mos
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -29,9 +30,12 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 FOUND = "id long, item long, n_shingles long, n_shared long, containment double, first_word long, last_word long"
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, lower-cased in A-Z."""
-    return text.encode().lower().split()
+_words = re.compile(r"\w+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits in lower case (sharp s as ss), so that case and marks around words don't matter."""
+    return _words(text.lower().replace("ß", "ss"))
 
 
 def shingles_of(words: list, size: int) -> list[tuple]:
@@ -46,7 +50,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], size: int, least: float):
         self.size, self.least = size, least
-        self.words: dict[bytes, int] = {}
+        self.words: dict[str, int] = {}
         by_length, self.items = defaultdict(list), []
         for item, text in items:
             words = [self.words.setdefault(w, len(self.words) + 1) for w in words_of(text)]
@@ -126,8 +130,8 @@ def contained(df: DataFrame, id_col: str, text_col: str, items: DataFrame, item_
               item_text: str, size: int = 5, least: float = 0.8) -> DataFrame:
     """Every pair of a text and an item of which it holds at least ``least`` of the shingles.
 
-    Words lie between ASCII white space and ignore the case of A-Z; shingles are ``size``
-    words and count once; an item of fewer words is one shingle. Gives ``id, item,
+    Words are runs of letters and digits, whatever their case; shingles are ``size`` words and
+    count once; an item of fewer words is one shingle. Gives ``id, item,
     n_shingles, n_shared, containment, first_word, last_word`` (positions, from 0, of the
     outermost shared shingles in the text). Null texts are empty; empty items are in no
     text; repeated rows of the texts each give their pairs, repeated items give one; null

@@ -1,10 +1,12 @@
 """Quality rules under weak supervision, in DataFrame and SQL functions only.
 
 Each rule votes for a text (1), against it (-1) or abstains (0). Expectation-maximisation
-over all texts estimates how often each rule is right when it votes and the share of good
-texts; a text is kept if its posterior probability of being good is at least one half. The
-votes of m rules make at most 3^m patterns, so the estimation works on counts of patterns in
-one row, whatever the number of texts.
+over all texts that pass the base rules estimates the share of good texts and, for good and for bad ones, how often
+each rule is right when it votes; a text is kept if its posterior probability of being good
+is at least one half. So a vote weighs by what it tells: one against, from a rule that
+hardly ever errs on good texts, outweighs many that nearly all texts get. The votes of m
+rules make at most 3^m patterns, so the estimation works on counts of patterns in one row,
+whatever the number of texts.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from ledgerwatch.session import materialise
 
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
+_MARK = f"[^\\p{{L}}\\p{{M}}\\p{{N}}{SPACE}]"
 WINDOW = 5
 ROUNDS = 40
-START, LEAST, MOST = 0.8, 0.55, 0.99
+#: Before the first round: share of good texts, accuracy on good texts and on bad ones; bounds of all three.
+GOOD, ON_GOOD, ON_BAD, LEAST, MOST = 0.8, 0.9, 0.6, 0.02, 0.98
 
 #: Rule, measure, condition for a vote for, condition for a vote against; otherwise it abstains.
 RULES = (
@@ -28,6 +32,7 @@ RULES = (
     ("repeated_lines", "case when n_lines >= 3 then 1e0 * n_dup_lines / n_lines end", "x <= 0.1", "x > 0.3"),
     ("repeated_words", "1e0 * n_repeat_words / n_words", "x <= 0.05", "x > 0.2"),
     ("sentences", "1e0 * n_ends / n_words", "x between 0.02 and 0.4", "x < 0.005"),
+    ("marks", "1e0 * n_marks / word_chars", "x <= 0.06", "x > 0.1"),
     ("capitals", "1e0 * n_upper / word_chars", "x <= 0.15", "x > 0.4"),
 )
 
@@ -48,11 +53,11 @@ def _without(text: str, chars: str) -> Column:
 
 
 def measures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Counts of every whole text: ``id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_ends, n_upper``.
+    """Counts of every whole text: ``id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_ends, n_upper, n_marks``.
 
     Words lie between ASCII white space. ``n_lines`` are lines with a word, ``n_dup_lines``
     those equal to an earlier one, ``n_repeat_words`` the words in 5-word windows that occur
-    twice or more. Null texts are empty and count 0 everywhere.
+    twice or more, ``n_marks`` the characters that are no letters, digits or blanks. Null texts are empty and count 0 everywhere.
     """
     t = ids_and_texts(df, id_col, text_col)
     t = t.withColumn("words", F.expr(f"filter(split(text, '[{SPACE}]+'), w -> w <> '')"))
@@ -69,6 +74,7 @@ def measures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.expr(_REPEATED).alias("n_repeat_words"),
         _without("text", ".!?").cast("long").alias("n_ends"),
         _without("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
+        (F.length("text") - F.length(F.regexp_replace("text", _MARK, ""))).cast("long").alias("n_marks"),
     )
 
 
@@ -83,28 +89,36 @@ def votes(measured: DataFrame) -> DataFrame:
 
 
 def accuracies(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row with ``model``: the share of good texts and each rule's accuracy, after ``rounds`` rounds.
+    """One row with ``model``: the share of good texts and each rule's accuracy on good and on
+    bad ones, after ``rounds`` rounds.
 
     Counts of vote patterns are aggregated before and after one shuffle; their number is at
-    most 3 to the number of rules. Accuracies stay between ``LEAST`` and ``MOST``: a rule is
-    taken to be better than chance.
+    most 3 to the number of rules. A rule's accuracy counts only the texts it votes on.
     """
     m = len(RULES)
     patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     gathered = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p"))
-    start = f"named_struct('good', {START}D, 'right', array_repeat({START}D, {m}))"
-    posterior = _posterior("x.votes", "s")
-    voted_for = "aggregate(sequence(0, size(p) - 1), 0D, (a, k) -> a + p[k].n * case p[k].votes[j] when 1 then q[k] when -1 then 1 - q[k] else 0D end)"
-    cast = "aggregate(p, 0D, (a, x) -> a + if(x.votes[j] = 0, 0D, x.n))"
-    step = f"""(s, r) -> get(transform(array(transform(p, x -> {posterior})), q -> named_struct(
-      'good', least({MOST}D, greatest(1 - {MOST}D, aggregate(sequence(0, size(p) - 1), 0D, (a, k) -> a + p[k].n * q[k]) / aggregate(p, 0D, (a, x) -> a + x.n))),
-      'right', transform(sequence(0, {m - 1}), j -> least({MOST}D, greatest({LEAST}D, ({voted_for} + {START}D) / ({cast} + 1D)))))), 0)"""
+    start = f"named_struct('good', {GOOD}D, 'on_good', array_repeat({ON_GOOD}D, {m}), 'on_bad', array_repeat({ON_BAD}D, {m}))"
+
+    def total(weight: str) -> str:
+        return f"aggregate(sequence(0, size(p) - 1), 0D, (a, k) -> a + {weight})"
+
+    def share(part: str, whole: str) -> str:
+        return f"least({MOST}D, greatest({LEAST}D, ({part} + 0.5D) / ({whole} + 1D)))"
+
+    on_good = share(total("if(p[k].votes[j] = 1, p[k].n * q[k], 0D)"), total("if(p[k].votes[j] = 0, 0D, p[k].n * q[k])"))
+    on_bad = share(total("if(p[k].votes[j] = -1, p[k].n * (1 - q[k]), 0D)"), total("if(p[k].votes[j] = 0, 0D, p[k].n * (1 - q[k]))"))
+    step = f"""(s, r) -> get(transform(array(transform(p, x -> {_posterior("x.votes", "s")})), q -> named_struct(
+      'good', {share(total("p[k].n * q[k]"), total("p[k].n"))},
+      'on_good', transform(sequence(0, {m - 1}), j -> {on_good}), 'on_bad', transform(sequence(0, {m - 1}), j -> {on_bad}))), 0)"""
     return gathered.select(F.expr(f"case when size(p) = 0 then {start} else aggregate(sequence(1, {rounds}), {start}, {step}) end").alias("model"))
 
 
 def _posterior(votes_of: str, model: str) -> str:
     """Probability of a good text from its votes, the votes taken to be independent given the truth."""
-    odds = f"aggregate(sequence(0, {len(RULES) - 1}), ln({model}.good / (1 - {model}.good)), (o, v) -> o + {votes_of}[v] * ln({model}.right[v] / (1 - {model}.right[v])))"
+    weight = (f"case {votes_of}[v] when 1 then ln({model}.on_good[v] / (1 - {model}.on_bad[v])) "
+              f"when -1 then ln((1 - {model}.on_good[v]) / {model}.on_bad[v]) else 0D end")
+    odds = f"aggregate(sequence(0, {len(RULES) - 1}), ln({model}.good / (1 - {model}.good)), (o, v) -> o + {weight})"
     return f"1 / (1 + exp(-({odds})))"
 
 
@@ -116,8 +130,9 @@ def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     least one half. Null texts are empty and fail; null ids stay; repeated rows count and
     appear as often as they occur; other columns are ignored; an empty table gives no rows.
     """
-    voted = materialise(votes(measures(df, id_col, text_col)), "quality-votes")
-    scored = voted.withColumn("model", accuracies(voted).scalar())
-    scored = scored.withColumn("posterior", F.expr(_posterior("votes", "model"))).drop("model")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= 0.5))
+    voted = votes(measures(df, id_col, text_col)).withColumn("base_failed", failed)
+    voted = materialise(voted, "quality-votes")
+    scored = voted.withColumn("model", accuracies(voted.filter("not base_failed")).scalar())
+    scored = scored.withColumn("posterior", F.expr(_posterior("votes", "model"))).drop("model")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))

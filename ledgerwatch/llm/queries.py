@@ -87,16 +87,21 @@ def byte_bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality_sql() -> str:
     """The quality query in SQL: measures, votes, then expectation-maximisation as a recursive query."""
-    from ledgerwatch.llm.quality_votes import LEAST, MOST, ROUNDS, RULES, START
+    from ledgerwatch.llm.quality_votes import GOOD, LEAST, MOST, ON_BAD, ON_GOOD, ROUNDS, RULES
 
     numbers = range(1, len(RULES) + 1)
     votes = ", ".join(
         f"case when n_words = 0 then 0 when {good.replace('x ', f'({m}) ')} then 1 when {bad.replace('x ', f'({m}) ')} then -1 else 0 end"
         for _, m, good, bad in RULES)
-    odds = "ln(good / (1 - good)) + " + " + ".join(f"votes[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in numbers)
-    right = ", ".join(
-        f"least({MOST}, greatest({LEAST}, (sum(n * case votes[{j}] when 1 then q when -1 then 1 - q else 0e0 end) + {START}) / (sum(case when votes[{j}] = 0 then 0e0 else n end) + 1e0)))"
+    odds = "ln(good / (1 - good)) + " + " + ".join(
+        f"case votes[{j}] when 1 then ln(on_good[{j}] / (1 - on_bad[{j}])) when -1 then ln((1 - on_good[{j}]) / on_bad[{j}]) else 0 end"
         for j in numbers)
+
+    def share(part: str, whole: str) -> str:
+        return f"least({MOST}, greatest({LEAST}, (sum({part}) + 0.5e0) / (sum({whole}) + 1e0)))"
+
+    on_good = ", ".join(share(f"if(votes[{j}] = 1, n * q, 0e0)", f"if(votes[{j}] = 0, 0e0, n * q)") for j in numbers)
+    on_bad = ", ".join(share(f"if(votes[{j}] = -1, n * (1 - q), 0e0)", f"if(votes[{j}] = 0, 0e0, n * (1 - q))") for j in numbers)
     return f"""
 with recursive words as (
   select doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words,
@@ -112,19 +117,20 @@ with recursive words as (
   select doc_id, cast(len(words) as bigint) as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(lines) as n_lines,
          cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
-         length(t) - length(regexp_replace(t, '[.!?]', '', 'g')) as n_ends, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_upper
+         length(t) - length(regexp_replace(t, '[.!?]', '', 'g')) as n_ends, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_upper,
+         length(t) - length(regexp_replace(t, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\x20\\x09-\\x0D]', '', 'g')) as n_marks
   from words left join repeated using (doc_id)
-), voted as (select *, [{votes}] as votes from measured
-), patterns as (select votes, cast(count(*) as double) as n from voted group by votes
-), em(r, good, acc) as (
-  select 0, {START}e0, [{", ".join([f"{START}e0"] * len(RULES))}]
+), voted as (select *, [{votes}] as votes, n_words < 10 or 100 * n_repeat_words > 20 * n_words as failed from measured
+), patterns as (select votes, cast(count(*) as double) as n from voted where not failed group by votes
+), em(r, good, on_good, on_bad) as (
+  select 0, {GOOD}e0, [{", ".join([f"{ON_GOOD}e0"] * len(RULES))}], [{", ".join([f"{ON_BAD}e0"] * len(RULES))}]
   union all
-  select any_value(r) + 1, least({MOST}, greatest(1 - {MOST}, sum(n * q) / sum(n))), [{right}]
+  select any_value(r) + 1, {share("n * q", "n")}, [{on_good}], [{on_bad}]
   from (select r, n, votes, 1 / (1 + exp(-({odds}))) as q from em, patterns where r < {ROUNDS}) having count(*) > 0
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed,
        not failed and 1 / (1 + exp(-({odds}))) >= 0.5 as kept
-from (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as failed from voted), (select good, acc from em where r = {ROUNDS})
+from voted, (select good, on_good, on_bad from em where r = {ROUNDS})
 """
 
 
@@ -167,14 +173,14 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_decontamination", sql="""
 with item_words as (
-  select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
+  select item_id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') as words
   from (select distinct item_id, text from benchmark)
 ), grams as (
   select distinct item_id, words, array_to_string(words[i : least(i + 4, len(words))], ' ') as gram
   from (select item_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from item_words where len(words) > 0)
 ), items as (select item_id, words, count(*) as n from grams group by all),
 doc_words as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents
+  select doc_id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') as words from documents
 ), doc_grams as (
   select doc_id, size, array_to_string(words[i : i + size - 1], ' ') as gram
   from (select doc_id, words, size, unnest(range(1, len(words) - size + 2)) as i from doc_words, (select distinct least(5, len(words)) as size from item_words where len(words) > 0) s where len(words) >= size)

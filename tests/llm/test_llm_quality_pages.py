@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import regex
+
 from ledgerwatch.llm import quality_votes as Q, tag_paths as T
 
 
@@ -14,25 +16,30 @@ def plain_measures(text):
     times = Counter(windows)
     repeated = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(5)}
     return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines), len(lines) - len(set(lines)), len(repeated),
-            sum(text.count(c) for c in ".!?"), len(re.findall("[A-Z]", text)))
+            sum(text.count(c) for c in ".!?"), len(re.findall("[A-Z]", text)),
+            len(regex.findall(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]", text)))
 
 
 def plain_verdicts(measured, votes):
     """Expectation-maximisation by plain loops over texts."""
-    m, good, right = len(Q.RULES), Q.START, [Q.START] * len(Q.RULES)
+    m, good, on_good, on_bad = len(Q.RULES), Q.GOOD, [Q.ON_GOOD] * len(Q.RULES), [Q.ON_BAD] * len(Q.RULES)
 
     def posterior(v):
-        odds = math.log(good / (1 - good)) + sum(x * math.log(r / (1 - r)) for x, r in zip(v, right))
+        odds = math.log(good / (1 - good))
+        for x, g, b in zip(v, on_good, on_bad):
+            odds += math.log(g / (1 - b)) if x == 1 else math.log((1 - g) / b) if x == -1 else 0
         return 1 / (1 + math.exp(-odds))
 
+    def share(part, whole):
+        return min(Q.MOST, max(Q.LEAST, (part + 0.5) / (whole + 1)))
+
+    every, votes = votes, [v for n, v in zip(measured, votes) if not (n[0] < 10 or 100 * n[5] > 20 * n[0])]
     for _ in range(Q.ROUNDS):
         p = [posterior(v) for v in votes]
-        new = []
-        for j in range(m):
-            yes = sum(q if v[j] == 1 else 1 - q if v[j] == -1 else 0 for v, q in zip(votes, p))
-            new.append(min(Q.MOST, max(Q.LEAST, (yes + Q.START) / (sum(v[j] != 0 for v in votes) + 1))))
-        good, right = min(Q.MOST, max(1 - Q.MOST, sum(p) / len(p))), new
-    return [not (n[0] < 10 or 100 * n[5] > 20 * n[0]) and posterior(v) >= 0.5 for n, v in zip(measured, votes)]
+        good = share(sum(p), len(p))
+        on_good = [share(sum(q for v, q in zip(votes, p) if v[j] == 1), sum(q for v, q in zip(votes, p) if v[j])) for j in range(m)]
+        on_bad = [share(sum(1 - q for v, q in zip(votes, p) if v[j] == -1), sum(1 - q for v, q in zip(votes, p) if v[j])) for j in range(m)]
+    return [not (n[0] < 10 or 100 * n[5] > 20 * n[0]) and posterior(v) >= 0.5 for n, v in zip(measured, every)]
 
 
 def some_texts(seed=1):
@@ -60,7 +67,7 @@ def test_measures(spark):
     got = {r.id: r for r in Q.measures(df, "doc_id", "text").collect()}
     for i, t in enumerate(texts):
         r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words, r.n_ends, r.n_upper) == plain_measures(t), repr(t)[:80]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words, r.n_ends, r.n_upper, r.n_marks) == plain_measures(t), repr(t)[:80]
     assert len(got) == len(texts) + 1
 
 
@@ -78,13 +85,14 @@ def test_verdicts(spark):
 
 def test_rule_accuracies_are_found(spark):
     """Votes drawn with known accuracies: the estimates come near."""
-    rnd, right, rows = random.Random(2), [0.95, 0.9, 0.85, 0.8, 0.9, 0.7, 0.6], []
-    for _ in range(20_000):
+    rnd, rows = random.Random(2), []
+    on_good, on_bad = [0.95, 0.9, 0.97, 0.92, 0.9, 0.8, 0.95, 0.9], [0.9, 0.6, 0.4, 0.8, 0.9, 0.7, 0.3, 0.6]
+    for _ in range(30_000):
         good = rnd.random() < 0.7
-        rows.append(([0 if rnd.random() < 0.2 else (1 if (rnd.random() < a) == good else -1) for a in right],))
+        rows.append(([0 if rnd.random() < 0.2 else (1 if (rnd.random() < g if good else rnd.random() > b) else -1) for g, b in zip(on_good, on_bad)],))
     model = Q.accuracies(spark.createDataFrame(rows, "votes array<int>")).collect()[0].model
     assert abs(model.good - 0.7) < 0.02
-    assert all(abs(a - b) < 0.03 for a, b in zip(model.right, right))
+    assert all(abs(a - b) < 0.03 for a, b in zip([*model.on_good, *model.on_bad], on_good + on_bad))
 
 
 def test_no_texts(spark):

@@ -116,16 +116,20 @@ def test_groups_of_documents(spark):
         assert got[d.doc_id].component_id == docs[w].doc_id
 
 
+def plain_words(text):
+    return "".join(c if c.isalnum() or c == "_" else " " for c in (text or "").lower().replace("ß", "ss")).split()
+
+
 def plain_contained(docs, items, size=5, least=0.8):
     def grams(text):
-        words = (text or "").encode().lower().split()
+        words = plain_words(text)
         return words, set(containment.shingles_of(words, size))
 
     out = set()
     for i, item in set(items):
         words, want = grams(item)
         for d, text in docs:
-            have = set(zip(*((text or "").encode().lower().split()[k:] for k in range(min(size, len(words))))))
+            have = set(zip(*(plain_words(text)[k:] for k in range(min(size, len(words))))))
             if want and len(want & have) / len(want) >= least - 1e-12:
                 out.add((d, i, len(want), len(want & have)))
     return out
