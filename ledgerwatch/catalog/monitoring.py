@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.catalog.registry import query
@@ -75,6 +76,42 @@ def _(v):
     return fitted.select("from_address", rounded(F.element_at("ar", 1), 5).alias("ar1"))
 
 
+@query("F2_ar5_residual", f"""
+    with {_ONE}, d as (select row_number() over (order by day) as t, value - lag(value) over (order by day) as w
+                       from filled where value is not null),
+    l as (select w, lag(w, 1) over o as a, lag(w, 2) over o as b, lag(w, 3) over o as c, lag(w, 4) over o as d, lag(w, 5) over o as e
+          from d where w is not null window o as (order by t))
+    select count(*) as rows, true as orthogonal from l where e is not null""")
+def _(v):
+    """The default order on the whole table: least squares leaves residuals orthogonal to all five lags."""
+    daily = series.daily_series(v.tx).where("value is not null")
+    fitted = series.fit_arima(series.daily_series(v.tx)).select(F.col("ar").alias("ar")).scalar()
+    whole = Window.partitionBy(F.lit(0)).orderBy("day")
+    w = daily.withColumn("w", F.col("value") - F.lag("value").over(whole)).where("w is not null")
+    lags = w.withColumns({f"l{k}": F.lag("w", k).over(whole) for k in range(1, 6)}).where("l5 is not null")
+    rest = lags.withColumn("ar", fitted).withColumn(
+        "r", F.col("w") - sum((F.element_at("ar", k) * F.col(f"l{k}") for k in range(2, 6)), F.element_at("ar", 1) * F.col("l1")))
+    small = [F.abs(F.sum(F.col("r") * F.col(f"l{k}"))) <= 1e-6 * F.sqrt(F.sum(F.col("r") * F.col("r")) * F.sum(F.col(f"l{k}") * F.col(f"l{k}"))) for k in range(1, 6)]
+    return rest.agg(F.count(F.lit(1)).alias("rows"), (small[0] & small[1] & small[2] & small[3] & small[4]).alias("orthogonal"))
+
+
+@query("F3_ar1_forecast", f"""
+    with {_MANY}, v as (select from_address, day, value, value - lag(value) over w as d
+                        from filled where value is not null window w as (partition by from_address order by day)),
+    l as (select *, lag(d) over (partition by from_address order by day) as before from v),
+    f as (select from_address, count(*) as n, max(day) as last, arg_max(value, day) as y, arg_max(d, day) as w,
+                 coalesce(sum(d * before) / nullif(sum(before * before), 0), 0) as phi from l group by 1),
+    e as (select from_address, max(day) as last from filled group by 1)
+    select f.from_address, cast(s as int) as step, (e.last + cast(s as int))::date as day,
+           round(y + w * list_sum(list_transform(range(1, s + 1), lambda k: pow(phi, k))), 2) as forecast
+    from f join e on f.from_address = e.from_address, range(1, 6) r(s) where n >= 4""")
+def _(v):
+    dense = series.daily_series(v.tx, ["from_address"])
+    long = dense.groupBy("from_address").agg(F.count("value").alias("n")).where("n >= 4").select("from_address")
+    ahead = series.forecast(dense, ["from_address"], (1, 1, 0), 5).join(long, "from_address", "left_semi")
+    return ahead.withColumn("forecast", rounded(F.col("forecast"), 2))
+
+
 @query("F2_fit_arima")
 def _(v):
     return series.fit_arima(series.daily_series(v.tx, ["from_address"]), ["from_address"])
@@ -166,7 +203,7 @@ def _(v):
                w as (partition by to_address order by timestamp, hash rows between 9 preceding and current row))
     select hash, round(value_m, 7) as value_rolling_mean, gas_x as gas_rolling_max, time_delta from r""")
 def _(v):
-    rolled = series.rolling_features(v.tx, "to_address", hot_rows=500)
+    rolled = series.rolling_features(v.tx, "to_address")
     return rolled.select(
         "hash", "time_delta", "gas_rolling_max",
         rounded(F.col("value_rolling_mean"), 7).alias("value_rolling_mean"))
@@ -198,12 +235,10 @@ def _(v):
 def _(v):
     daily = v.metrics.withColumn("day", F.to_date("timestamp"))
     counter = running_total(
-        daily, ["metric_name", "instance", "day"], ["timestamp", "metric_value"],
-        "timestamp", F.col("metric_value"), "counter", hot_rows=10,
+        daily, ["metric_name", "instance", "day"], ["timestamp", "metric_value"], F.col("metric_value"), "counter",
     )
     rate = monitor.counter_rate(
         counter, ["metric_name", "instance"], "timestamp", "counter", "1 hour", 3600, ["metric_value"],
-        hot_rows=100,
     )
     return rate.withColumns({
         "increase": rounded(F.col("increase"), 4), "rate": rounded(F.col("rate"))})
@@ -243,7 +278,7 @@ def _(v):
 @query("P3_raw_quantile", """
     select method, round(quantile_cont(duration_s, 0.99), 6) as quantile from request_log group by 1""")
 def _(v):
-    return monitor.raw_quantile(v.request_log, ["method"], "duration_s", 0.99, groups=5).withColumn(
+    return monitor.raw_quantile(v.request_log, ["method"], "duration_s", 0.99).withColumn(
         "quantile", rounded(F.col("quantile")))
 
 
@@ -265,7 +300,7 @@ _ISLANDS = """
 def _(v):
     return monitor.held_alerts(
         v.metrics, ["metric_name", "instance"], "timestamp", F.col("metric_value") > 20, 7200,
-        ["metric_value"], hot_rows=100,
+        ["metric_value"],
     )
 
 
@@ -285,6 +320,38 @@ def _(v):
         v.events, ["event_type"], datetime(2024, 1, 1), datetime(2024, 1, 31), 3600)
 
 
+@query("P5_silent_keys", """
+    with k as (select distinct event_type from events union all select 'heartbeat'),
+         a as (select distinct event_type, epoch_us(ts) // 60000000 as step from events
+               where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31'),
+         b as (select event_type, step from a union all select event_type, 28401120 - 1 from k
+               union all select event_type, 28401120 + 43200 from k),
+         l as (select event_type, step, lag(step) over (partition by event_type order by step) as prev from b)
+    select event_type, make_timestamp((prev + 1) * 60000000) as silent_from,
+           make_timestamp(step * 60000000) as silent_until,
+           cast((step - prev - 1) * 60 as bigint) as silent_seconds
+    from l where (step - prev - 1) * 60 >= 3600""")
+def _(v):
+    """A kind of event that should come and never does is silent throughout."""
+    expected = v.events.select("event_type").distinct().union(
+        v.events.sparkSession.range(1).select(F.lit("heartbeat").alias("event_type")))
+    return monitor.silent_periods(
+        v.events, ["event_type"], datetime(2024, 1, 1), datetime(2024, 1, 31), 3600, expected=expected)
+
+
+@query("P5_silent_table", """
+    with b as (select distinct epoch_us(ts) // 60000000 as step from events
+               where ts >= timestamp '2024-01-20' and ts < timestamp '2024-03-01'
+               union all select 28428480 - 1 union all select 28428480 + 59040),
+         l as (select step, lag(step) over (order by step) as prev from b)
+    select make_timestamp((prev + 1) * 60000000) as silent_from, make_timestamp(step * 60000000) as silent_until,
+           cast((step - prev - 1) * 60 as bigint) as silent_seconds
+    from l where (step - prev - 1) * 60 >= 86400""")
+def _(v):
+    """The whole table as one series; it ends a month before the observed range does."""
+    return monitor.silent_periods(v.events, [], datetime(2024, 1, 20), datetime(2024, 3, 1), 86400)
+
+
 _HEALTH_METRIC = """
     case event_type when 'click' then 'cpu_percent' when 'view' then 'memory_percent'
                     when 'purchase' then 'disk_percent' when 'signup' then 'hit_rate'
@@ -344,10 +411,33 @@ def _(v):
            cast(case when position <= 3 then 0 else (win + 1) * 86400 - s end as bigint) as retry_after
     from r""")
 def _(v):
-    return monitor.fixed_window_audit(v.request_log, ["ip"], 3, 86400, hot_rows=3).select(
+    return monitor.fixed_window_audit(v.request_log, ["ip"], 3, 86400).select(
         "id", "ip", "position", "allowed", "remaining", "reset", "retry_after")
 
 
+_CLASS = """case when contains(path, '/predict/batch') then 'batch_predict' when contains(path, '/predict') then 'predict'
+                when contains(path, '/train') then 'train' when contains(path, '/auth') then 'auth' end"""
+
+
+@query("P8_named_limits", f"""
+    with limits(limit_type, n, s) as (values ('global', 10000, 60), ('per_ip', 100, 60), ('per_user', 200, 60),
+             ('predict', 500, 60), ('batch_predict', 50, 60), ('train', 5, 3600), ('auth', 10, 300)),
+         q as (select id, ts, ip, user_id, {_CLASS} as kind from request_log),
+         e as (select id, ts, 'global' as limit_type, 'global' as key from q
+               union all select id, ts, 'per_ip', ip from q
+               union all select id, ts, 'per_user', user_id from q where user_id <> ''
+               union all select id, ts, kind, user_id from q where kind is not null),
+         w as (select e.*, n, s, epoch_us(ts) // 1000000 // s as win from e join limits using (limit_type)),
+         r as (select *, row_number() over (partition by limit_type, key, win order by ts, id) as position from w)
+    select id, limit_type, key, position, position <= n as allowed, greatest(n - position, 0) as remaining,
+           cast((win + 1) * s as bigint) as reset,
+           cast(case when position <= n then 0 else (win + 1) * s - epoch_us(ts) // 1000000 end as bigint) as retry_after
+    from r""")
+def _(v):
+    return monitor.named_limits_audit(v.request_log).select(
+        "id", "limit_type", "key", "position", "allowed", "remaining", "reset", "retry_after")
+
+
 @query("P10_key_usage", """
     select r.id, r.user_id, case when k.user_id is null then 'unknown' when not active then 'inactive'
                                  when expires_at < r.ts then 'expired' else 'ok' end as verdict
@@ -369,7 +459,7 @@ def _(v):
                range between 86400000000 preceding and current row), 0) as bigint) as recent_failures
     from audit_logs""")
 def _(v):
-    return monitor.recent_failures(v.audit_logs, seconds=86400, hot_rows=60).select("id", "user_id", "recent_failures")
+    return monitor.recent_failures(v.audit_logs, seconds=86400).select("id", "user_id", "recent_failures")
 
 
 @query("P11_rolling_request_count", """
@@ -377,4 +467,4 @@ def _(v):
                                   range between 7200000000 preceding and current row) as recent
     from request_log""")
 def _(v):
-    return monitor.rolling_request_count(v.request_log, ["ip"], 7200, hot_rows=60).select("id", "ip", "recent")
+    return monitor.rolling_request_count(v.request_log, ["ip"], 7200).select("id", "ip", "recent")

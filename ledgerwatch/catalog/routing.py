@@ -1,12 +1,11 @@
-"""Queries: routing, comparison, deployment history, replayed limits."""
+"""Queries: routing and comparison of model versions."""
 
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from ledgerwatch.catalog.registry import query
-from ledgerwatch.functions.numeric import rounded
-from ledgerwatch.operators import limits, routing
+from ledgerwatch.operators import routing
 
 _BUCKET = """
     cast((((('0x' || substr(md5(user_id), 1, 16))::ubigint % 100) * 16
@@ -97,66 +96,3 @@ def _(v):
 def _(v):
     champions = v.anomalies.select("model_version_id").distinct().withColumn("champion_id", F.lit(0))
     return routing.compare_with_champion(v.anomalies, champions, datetime(1998, 1, 1), 720)
-
-
-def _deployment_log(v):
-    """Events of the test data read as deployment events of 60 versions of 5 models."""
-    kind = F.col("event_type")
-    event = F.when(kind == "error", "rollback").when(kind == "view", "traffic").otherwise("deploy")
-    return v.events.select(
-        F.col("event_id"), F.col("ts").alias("at"), (F.col("user_id") % 5).cast("int").alias("model_id"),
-        event.alias("event"), (F.col("user_id") % 60).cast("int").alias("version_id"),
-        F.when(kind == "signup", "full").when(kind == "click", "canary").otherwise("shadow").alias("strategy"),
-        F.when(event == "traffic", F.when(F.col("value") > 120, 100.0).otherwise(F.round("value")))
-        .alias("traffic"),
-        (F.col("value") > 20).alias("restore"), (F.col("user_id") % 60).alias("created_seq"),
-    )
-
-
-@query("R4_replay_deployments")
-def _(v):
-    return routing.replay_deployments(_deployment_log(v), hot_rows=500)
-
-
-@query("R4_traffic_intervals")
-def _(v):
-    return routing.traffic_intervals(routing.replay_deployments(_deployment_log(v), hot_rows=500))
-
-
-_ORDERED = """
-    log as (select id, ip, epoch_us(ts)::hugeint as t,
-                   row_number() over (partition by ip order by ts, id) as rn from request_log)"""
-
-
-@query("P9_token_bucket_audit", f"""
-    with recursive {_ORDERED},
-    walk as (
-        select ip, id, rn, true as allowed, t * 3 + 86400000000 as full_at, t from log where rn = 1
-        union all
-        select l.ip, l.id, l.rn, greatest(w.full_at, l.t * 3) - l.t * 3 <= 2 * 86400000000::hugeint,
-               greatest(w.full_at, l.t * 3)
-               + case when greatest(w.full_at, l.t * 3) - l.t * 3 <= 2 * 86400000000::hugeint
-                      then 86400000000 else 0 end, l.t
-        from walk w join log l on l.ip = w.ip and l.rn = w.rn + 1)
-    select ip, id, allowed, round(3 - (full_at - t * 3) / 86400000000.0e0, 6) as tokens,
-           round(case when allowed then 0 else (full_at - t * 3 - 2 * 86400000000::hugeint) / 3e6 end, 6)
-               as wait_seconds
-    from walk""")
-def _(v):
-    audit = limits.token_bucket_audit(v.request_log, ["ip"], 3, 86_400, hot_rows=25)
-    return audit.withColumns({
-        "tokens": rounded(F.col("tokens")), "wait_seconds": rounded(F.col("wait_seconds"))})
-
-
-@query("P11_sliding_log_audit", f"""
-    with recursive {_ORDERED},
-    walk as (
-        select ip, id, rn, true as allowed, [t] as kept, cast(0 as hugeint) as retry from log where rn = 1
-        union all
-        select ip, id, rn, len(live) < 3, case when len(live) < 3 then list_append(live, t) else live end,
-               case when len(live) < 3 then 0 else (86400000000 - (t - live[1])) // 1000000 end
-        from (select l.ip, l.id, l.rn, l.t, list_filter(w.kept, lambda x: x >= l.t - 86400000000) as live
-              from walk w join log l on l.ip = w.ip and l.rn = w.rn + 1))
-    select ip, id, allowed, len(kept) as used, cast(retry as bigint) as retry_after from walk""")
-def _(v):
-    return limits.sliding_log_audit(v.request_log, ["ip"], 3, 86_400, hot_rows=25)

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwatch.functions.classify import endpoint
+from ledgerwatch.functions.classify import REQUEST_CLASSES, endpoint, request_class
 from ledgerwatch.functions.numeric import rounded, safe_divide
 from ledgerwatch.operators.ordered import (
     HOT_ROWS, count_within, islands, previous_values, row_numbers,
@@ -50,7 +50,7 @@ def counter_rate(
 
     A fall of the counter means a restart; the new value is then the increase.
     """
-    lagged = previous_values(samples, keys, [ts, *tie], ts, [value], hot_rows)
+    lagged = previous_values(samples, keys, [ts, *tie], [value], hot_rows)
     before, now = F.col(f"prev_{value}"), F.col(value)
     increase = F.when(before.isNull(), 0.0).when(now < before, now).otherwise(now - before)
     return lagged.groupBy(*keys, _window_start(ts, length)).agg(
@@ -107,14 +107,9 @@ def bucket_quantile(buckets: DataFrame, keys: Sequence[str], share: float) -> Da
     return hit.groupBy(*keys).agg(F.min_by(value, "le").alias("quantile"))
 
 
-def raw_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, share: float, exact: bool = True,
-    groups: int | None = None,
-) -> DataFrame:
-    """Quantile of raw values, exact or (one pass, mergeable) approximate."""
-    if exact:
-        return exact_quantiles(df, keys, value, share, groups=groups)
-    return df.groupBy(*keys).agg(F.percentile_approx(value, share, 10_000).alias("quantile"))
+def raw_quantile(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
+    """Exact quantile of raw values."""
+    return exact_quantiles(df, keys, value, share)
 
 
 def held_alerts(
@@ -131,24 +126,30 @@ def held_alerts(
 
 def silent_periods(
     events: DataFrame, keys: Sequence[str], start: datetime, end: datetime, silent_seconds: int,
-    step_seconds: int = 60, ts: str = "ts",
+    step_seconds: int = 60, ts: str = "ts", expected: DataFrame | None = None,
 ) -> DataFrame:
     """Stretches of at least ``silent_seconds`` without any event of a key.
 
     Events shrink to the active steps (minutes, say) first; a stretch is the distance between
     two active steps, so no row per silent minute is ever made. The ends of the observed
-    range count as borders.
+    range count as borders. ``expected`` names keys that should send something, so that one
+    without a single event is silent throughout; without keys the whole table is one series,
+    silent even if empty.
     """
-    step = F.lit(step_seconds)
+    keys, step = list(keys), F.lit(step_seconds)
     at = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / step).cast("bigint")
     inside = events.where((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
     active = inside.select(*keys, at.alias("step")).distinct()
     first, beyond = int(_epoch(start) // step_seconds), int(-(-_epoch(end) // step_seconds))
-    borders = active.select(*keys).distinct().withColumn(
+    if keys:
+        known = active.select(*keys)
+        known = (known if expected is None else known.union(expected.select(*keys))).distinct()
+    else:
+        known = events.sparkSession.range(1).select()
+    borders = known.withColumn(
         "step", F.explode(F.array(F.lit(first - 1), F.lit(beyond)).cast("array<bigint>"))
     )
-    every = active.unionByName(borders).withColumn("at", F.timestamp_seconds(F.col("step") * step))
-    lagged = previous_values(every, keys, ["step"], "at", ["step"])
+    lagged = previous_values(active.unionByName(borders), keys, ["step"], ["step"])
     silent = (F.col("step") - F.col("prev_step") - 1) * step
     return lagged.where(silent >= silent_seconds).select(
         *keys, F.timestamp_seconds((F.col("prev_step") + 1) * step).alias("silent_from"),
@@ -202,14 +203,11 @@ def health_report(metrics: DataFrame, keys: Sequence[str], metric: str, value: s
 
 def request_metrics(
     requests: DataFrame, method: str = "method", path: str = "path", status: str = "status_code",
-    duration: str = "duration_s", sizes: Sequence[str] = (), percentiles: Sequence[float] = (),
+    duration: str = "duration_s", sizes: Sequence[str] = (),
 ) -> DataFrame:
     """Counts, errors, slow requests, latency and sizes per method, endpoint and status."""
     seconds = F.col(duration)
     extra = [F.sum(s).alias(f"total_{s}") for s in sizes]
-    extra += [
-        F.percentile_approx(duration, p, 10_000).alias(f"p{round(p * 100)}") for p in percentiles
-    ]
     return requests.groupBy(
         method, endpoint(F.col(path)).alias("endpoint"), status
     ).agg(
@@ -232,7 +230,7 @@ def fixed_window_audit(
         raise ValueError("limit and window must be positive")
     second = F.unix_seconds(F.col(ts).cast("timestamp"))
     windowed = requests.withColumn("window", F.floor(second / window_seconds).cast("bigint"))
-    ranked = row_numbers(windowed, [*keys, "window"], [ts, tie], ts, "position", hot_rows)
+    ranked = row_numbers(windowed, [*keys, "window"], [ts, tie], "position", hot_rows)
     allowed = F.col("position") <= limit
     reset = (F.col("window") + 1) * window_seconds
     return ranked.withColumns({
@@ -245,6 +243,46 @@ def fixed_window_audit(
     })
 
 
+def named_limits_audit(
+    requests: DataFrame, ip: str = "ip", user: str = "user_id", path: str = "path", ts: str = "ts",
+    tie: str = "id", limits: dict[str, tuple[int, int]] = LIMITS, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Every request against each named limit that applies to it, in one pass.
+
+    All requests share the global limit, each address and each known user has its own, and
+    the classes of paths count per user, or per address where there is none. A row per
+    request and limit: ``limit_type, key`` and what ``fixed_window_audit`` says; refused
+    requests count as well.
+    """
+    who = F.when(F.coalesce(F.col(user), F.lit("")) != "", F.col(user))
+    kind = request_class(F.col(path))
+    subjects = [("global", F.lit("global")), ("per_ip", F.col(ip)), ("per_user", who)]
+    entries = [
+        F.when(F.lit(True), F.struct(
+            F.lit(name).alias("limit_type"), key.cast("string").alias("key"), F.lit(limits[name][0]).alias("max_requests"),
+            F.lit(limits[name][1]).alias("window_seconds")))
+        for name, key in subjects
+    ] + [
+        F.when(kind == name, F.struct(
+            F.lit(name).alias("limit_type"), F.coalesce(who, F.col(ip)).cast("string").alias("key"),
+            F.lit(limits[name][0]).alias("max_requests"), F.lit(limits[name][1]).alias("window_seconds")))
+        for _text, name in REQUEST_CLASSES
+    ]
+    applied = F.filter(F.array(*entries), lambda e: e.isNotNull() & e["key"].isNotNull())
+    rows = requests.select("*", F.inline(applied))
+    second = F.unix_seconds(F.col(ts).cast("timestamp"))
+    windowed = rows.withColumn("window", F.floor(second / F.col("window_seconds")).cast("bigint"))
+    ranked = row_numbers(windowed, ["limit_type", "key", "window"], [ts, tie], "position", hot_rows)
+    allowed = F.col("position") <= F.col("max_requests")
+    reset = (F.col("window") + 1) * F.col("window_seconds")
+    return ranked.withColumns({
+        "allowed": allowed,
+        "remaining": F.greatest(F.col("max_requests") - F.col("position"), F.lit(0)).cast("bigint"),
+        "reset": reset.cast("bigint"),
+        "retry_after": F.when(allowed, 0).otherwise(reset - second).cast("bigint"),
+    })
+
+
 def rolling_request_count(
     requests: DataFrame, keys: Sequence[str], seconds: float = 60, ts: str = "ts",
     hot_rows: int = HOT_ROWS,

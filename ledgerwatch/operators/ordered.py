@@ -1,10 +1,12 @@
 """Ordered per-key operators that survive a key holding a third of all rows.
 
 A window over a whole key puts that key into one task. Keys with more than ``hot_rows`` rows
-are therefore cut into time slices of about that many rows; the window runs per (key, slice),
-and what a slice needs from the slices before it travels as a few summary rows: the last
-rows, the running total, or the touching island. All other keys keep one plain window and
-cost one shuffle.
+are therefore cut into slices of about that many rows; the window runs per (key, slice), and
+what a slice needs from the slices before it travels as a few summary rows: the last rows,
+the running total, or the touching island. All other keys keep one plain window.
+
+Slices are cut at quantiles of the order itself, so a burst of rows at one time is cut by the
+columns behind the time. No join is hinted: sizes decide.
 """
 
 from __future__ import annotations
@@ -15,66 +17,87 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwatch.functions.hashing import unit_hash
+
 HOT_ROWS = 1_000_000
+#: Slices of one key at most, and rows drawn for each to find the cuts.
+MOST_SLICES = 4096
+DRAWN = 50
+_STEP = 64
 
 
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def with_hot_keys(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], hot_rows: int) -> DataFrame:
-    """Add ``_hot``: a struct of the measures for rows of hot keys, null for all others.
-
-    Counting keys combines on the map side. At most (all rows / hot_rows) keys can be hot, so
-    their table is small for certain and is broadcast: a million keys at 10^12 rows.
-    """
-    if hot_rows < 1:
-        raise ValueError("hot_rows must be positive")
-    found = F.struct(F.count(F.lit(1)).alias("n"), *[m.alias(name) for name, m in measures.items()])
-    if not keys:
-        whole = df.agg(found.alias("f")).scalar()
-        return df.withColumn("_hot", F.when(whole.getField("n") > hot_rows, whole))
-    hot = df.groupBy(*keys).agg(found.alias("_hot")).where(F.col("_hot.n") > hot_rows)
-    flags = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_hot")
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    return df.join(F.broadcast(flags), same, "left").drop(*[f"_hot_{k}" for k in keys])
-
-
-def with_slices(
-    df: DataFrame, keys: Sequence[str], part: Column, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Add ``_slice``: the given part for rows of hot keys, null for all others."""
-    rows = with_hot_keys(df.withColumn("_part", part), keys, {}, hot_rows)
-    return rows.withColumn("_slice", F.when(F.col("_hot").isNotNull(), F.col("_part"))).drop("_part", "_hot")
+def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys that may be null; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def with_time_slices(
-    df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS, ahead_seconds: float = 0.0,
+def with_row_slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``_slice`` by time for rows of hot keys, null for all others.
+    """Add ``_slice`` for rows of hot keys, null for all others.
 
-    The time span of a hot key is cut evenly into as many slices as it has ``hot_rows`` rows,
-    so slices do not grow with the data. With ``ahead_seconds``, slices are at least that long
-    and ``_ahead`` is the slice in which the row lies that much later.
+    A slice holds about ``hot_rows`` rows in the order (more only in a key of over
+    ``MOST_SLICES`` times that). The cuts come from a draw of some ``DRAWN`` rows for each
+    slice by a hash of the order, so an array of cuts is bounded and every use of the same
+    rows finds the same cuts. Rows that are equal in all of the order stay together.
     """
-    ahead = int(ahead_seconds * 1_000_000)
-    rows = with_hot_keys(
-        df.withColumn("_at", _micros(ts)), keys, {"lo": F.min("_at"), "hi": F.max("_at")}, hot_rows
+    if hot_rows < 1:
+        raise ValueError("hot_rows must be positive")
+    keys, order = list(keys), list(order)
+    slices = F.least(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(MOST_SLICES)).cast("int")
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = counted.select(*keys, slices.alias("_slices"), (F.lit(DRAWN) * slices / F.col("_n")).alias("_share"))
+    narrow = df.select(*dict.fromkeys([*keys, *order]))
+    if keys:
+        drawn = join_nullsafe(narrow, hot, keys, "inner")
+    else:
+        whole = hot.agg(F.max(F.struct("_slices", "_share")).alias("h")).scalar()
+        drawn = narrow.withColumn("_whole", whole).select(*narrow.columns, "_whole.*").where("_share is not null")
+    place = F.struct(*order)
+    drawn = drawn.where(unit_hash(*[F.col(c) for c in order]) < F.col("_share"))
+    sorted_rows = drawn.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(place)).alias("_s"), F.max("_slices").alias("_slices")
     )
-    slices = F.ceil(F.col("_hot.n") / F.lit(hot_rows))
-    width = F.greatest(F.ceil((F.col("_hot.hi") - F.col("_hot.lo") + 1) / slices), F.lit(max(ahead, 1)))
-
-    def place(shift: int) -> Column:
-        return F.floor((F.col("_at") + shift - F.col("_hot.lo")) / width).cast("bigint")
-
-    placed = rows.withColumn("_slice", place(0))
-    if ahead:
-        placed = placed.withColumn("_ahead", place(ahead))
-    return placed.drop("_at", "_hot")
+    fine = F.filter(
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.col("_slices") - 1, F.lit(1))),
+            lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_slices")).cast("int")),
+        ), lambda c: c.isNotNull(),
+    )
+    # Every 64th cut is searched first, then those up to the next.
+    cuts = sorted_rows.select(*keys, fine.alias("_cuts")).select(
+        *keys, "_cuts", F.filter("_cuts", lambda c, i: (i + 1) % _STEP == 0).alias("_coarse")
+    )
+    if keys:
+        # A hot key without a drawn row is one slice.
+        flags = join_nullsafe(hot.select(*keys), cuts, keys)
+        rows = join_nullsafe(df, flags.withColumn("_hot", F.lit(True)), keys)
+    else:
+        table = cuts.agg(F.max(F.struct("_cuts", "_coarse")).alias("c")).scalar()
+        rows = df.withColumn("_table", table).withColumns({
+            "_cuts": F.col("_table._cuts"), "_coarse": F.col("_table._coarse"), "_hot": whole.isNotNull(),
+        }).drop("_table")
+
+    def reached(among: Column) -> Column:
+        return F.coalesce(F.size(F.filter(among, lambda c: c <= place)), F.lit(0))
+
+    at = F.when(F.col("_coarse").isNull(), 0).otherwise(reached(F.col("_coarse")) * _STEP)
+    rows = rows.withColumn("_at", at)
+    inner = F.when(F.col("_cuts").isNull(), 0).otherwise(
+        reached(F.slice("_cuts", F.col("_at") + 1, F.lit(_STEP - 1)))
+    )
+    found = (F.col("_at") + inner).cast("bigint")
+    return rows.withColumn("_slice", F.when(F.col("_hot"), found)).drop("_cuts", "_coarse", "_hot", "_at")
 
 
 def with_preceding_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, rows: int,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int,
     columns: Sequence[str], hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows with their ``_slice``, and for every slice copies of the ``rows`` rows before it.
@@ -83,8 +106,8 @@ def with_preceding_rows(
     of up to ``rows`` preceding rows per (keys, _slice) is then exact; drop the copies after.
     """
     keys, order = list(keys), list(order)
-    sliced = with_time_slices(df, keys, ts, hot_rows)
-    carried = list(dict.fromkeys([*order, ts, *columns]))
+    sliced = with_row_slices(df, keys, order, hot_rows)
+    carried = list(dict.fromkeys([*order, *columns]))
     last_first = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
     # Rank filters of this form cut the rows per group before the shuffle.
     tails = (
@@ -108,61 +131,57 @@ def with_preceding_rows(
 
 
 def previous_values(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, columns: Sequence[str],
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``prev_<column>`` from the row before, across slices."""
-    rows = with_preceding_rows(df, keys, order, ts, 1, columns, hot_rows)
+    rows = with_preceding_rows(df, keys, order, 1, columns, hot_rows)
     window = Window.partitionBy(*keys, "_slice").orderBy(*order)
     lagged = rows.withColumns({f"prev_{c}": F.lag(c).over(window) for c in columns})
     return lagged.where(~F.col("_halo")).drop("_halo", "_slice")
 
 
-def with_range_halo(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: float, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Rows with their ``_slice``, repeated (as ``_halo``) in the next slice if that begins
-    within ``seconds`` after them. Slices are at least that long, so a row comes twice at most."""
-    own = with_time_slices(df, keys, ts, hot_rows, seconds)
-    seen_in = F.when(F.col("_own").isNotNull(), F.sequence(F.col("_own"), F.col("_ahead"))).otherwise(
-        F.array(F.lit(None).cast("bigint"))
-    )
-    rows = own.withColumnRenamed("_slice", "_own").withColumn("_slice", F.explode(seen_in))
-    return rows.withColumn("_halo", ~F.col("_slice").eqNullSafe(F.col("_own"))).drop("_own", "_ahead")
-
-
 def count_within(
     df: DataFrame, keys: Sequence[str], ts: str, seconds: float, name: str,
     condition: Column | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the number of (matching) rows of the key in the ``seconds`` up to each row."""
-    rows = with_range_halo(
-        df.withColumn("_hit", (F.lit(True) if condition is None else condition).cast("int")),
-        keys, ts, seconds, hot_rows,
-    ).withColumn("_micros", _micros(ts))
-    window = Window.partitionBy(*keys, "_slice").orderBy("_micros").rangeBetween(
-        -int(seconds * 1_000_000), 0
+    """Add the number of (matching) rows of the key in the ``seconds`` up to each row.
+
+    Rows shrink to one per key and time first. The count is the running total at a time less
+    the one just before the range begins; both come from one running total over the times
+    and the range beginnings together, so nothing is repeated however long the range is.
+    """
+    keys, span = list(keys), int(seconds * 1_000_000)
+    hit = F.lit(1) if condition is None else F.coalesce(condition, F.lit(False)).cast("int")
+    timed = df.withColumn("_micros", _micros(ts))
+    moments = timed.where(F.col("_micros").isNotNull()).groupBy(*keys, "_micros").agg(
+        F.sum(hit.cast("bigint")).alias("_hits")
+    )
+    ends = F.array(
+        F.struct(F.col("_micros").alias("_when"), F.lit(0).alias("_probe"), F.col("_hits").alias("_hit")),
+        F.struct((F.col("_micros") - span - 1).alias("_when"), F.lit(1).alias("_probe"), F.lit(0).cast("bigint").alias("_hit")),
+    )
+    events = moments.select(*keys, "_micros", F.inline(ends))
+    summed = running_total(events, keys, ["_when", "_probe"], F.col("_hit"), "_upto", hot_rows)
+    found = summed.groupBy(*keys, "_micros").agg(
+        (F.max(F.when(F.col("_probe") == 0, F.col("_upto"))) - F.max(F.when(F.col("_probe") == 1, F.col("_upto"))))
+        .alias(name)
+    )
+    return join_nullsafe(timed, found, [*keys, "_micros"]).drop("_micros").withColumn(
+        name, F.coalesce(name, F.lit(0)).cast("bigint")
     )
-    counted = rows.withColumn(name, F.coalesce(F.sum("_hit").over(window), F.lit(0)).cast("bigint"))
-    return counted.where(~F.col("_halo")).drop("_hit", "_slice", "_halo", "_micros")
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column | str, value: Column,
-    name: str, hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows of the key up to and including each row.
 
-    ``part`` names the time column to slice by, or is an expression that cuts a hot key into
-    pieces and grows with the order. The sum before a piece enters it as one extra first
-    row, so rows are shuffled once and not joined.
+    The sum before a slice enters it as one extra first row, so rows are not joined.
     """
     keys = list(keys)
-    valued = df.withColumn("_v", value)
-    rows = (
-        with_time_slices(valued, keys, part, hot_rows) if isinstance(part, str)
-        else with_slices(valued, keys, part, hot_rows)
-    )
+    rows = with_row_slices(df.withColumn("_v", value), keys, order, hot_rows)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = (
         rows.where(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(F.sum("_v").alias("_sum"))
@@ -181,11 +200,10 @@ def running_total(
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column | str, name: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the position of each row within its key, from 1."""
-    return running_total(df, keys, order, part, F.lit(1).cast("bigint"), name, hot_rows)
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), name, hot_rows)
 
 
 def newest_per_group(
@@ -216,9 +234,9 @@ def islands(
     go on in a neighbour, so at most two rows per slice enter the second step.
     """
     keys = list(keys)
-    rows = with_time_slices(
+    rows = with_row_slices(
         df.select(*keys, *dict.fromkeys([*order, ts]), F.coalesce(condition, F.lit(False)).alias("_on")),
-        keys, ts, hot_rows,
+        keys, order, hot_rows,
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     changed = (F.lag("_on").over(inside) != F.col("_on")).cast("int")

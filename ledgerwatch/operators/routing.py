@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField
 
 from ledgerwatch.functions.hashing import unit_hash, user_bucket
-from ledgerwatch.operators import chained
-from ledgerwatch.operators.ordered import HOT_ROWS, running_total
+from ledgerwatch.operators.ordered import row_numbers, running_total
 from ledgerwatch.operators.stats import model_metrics
 from ledgerwatch.session import require_columns
 
 BUCKETS = 100
+# Fixed value: a smaller difference of confidence decides nothing.
 CONFIDENCE_GAP = 0.05
 
 # Deployment strategy and its initial traffic in percent.
@@ -49,23 +46,14 @@ def with_version_decision(
 def traffic_ranges(versions: DataFrame) -> DataFrame:
     """Deployed versions by falling traffic with their cumulative range of buckets.
 
-    The sum runs over pieces of similar traffic, so a model with very many versions is not
-    put into one task.
+    A model with very many versions is cut into slices, not put into one task.
     """
     deployed = versions.where("is_deployed").select(
         "model_id", F.col("id").alias("version_id"),
         F.col("traffic_percentage").cast("double").alias("traffic"),
         (-F.col("traffic_percentage")).alias("_down"),
     )
-    whole = F.col("_down") == F.floor("_down")
-    # Pieces in the order (traffic down, id): equal whole percentages are cut by id as well.
-    piece = F.struct(
-        F.floor("_down"), (~whole).cast("int"),
-        F.when(whole, F.floor(F.col("version_id") / 1000)).otherwise(0),
-    )
-    summed = running_total(
-        deployed, ["model_id"], ["_down", "version_id"], piece, F.col("traffic"), "until",
-    )
+    summed = running_total(deployed, ["model_id"], ["_down", "version_id"], F.col("traffic"), "until")
     return summed.select(
         "model_id", "version_id", "traffic", (F.col("until") - F.col("traffic")).alias("from"), "until"
     )
@@ -116,11 +104,8 @@ def route(
 def ranked_versions(versions: DataFrame) -> DataFrame:
     """Position and cumulative traffic of each deployed version within its model."""
     ranges = traffic_ranges(versions)
-    down = F.floor(-F.col("traffic"))
-    placed = running_total(
-        ranges.withColumn("_down", -F.col("traffic")), ["model_id"], ["_down", "version_id"],
-        down, F.lit(1).cast("bigint"), "rank",
-    )
+    placed = row_numbers(
+        ranges.withColumn("_down", -F.col("traffic")), ["model_id"], ["_down", "version_id"], "rank")
     return placed.select("model_id", "version_id", "traffic", "rank", "until")
 
 
@@ -192,125 +177,3 @@ def _shown(pair: DataFrame) -> DataFrame:
         F.coalesce(F.col(f"{s}.{n}"), F.lit(0)).alias(f"{n}_{s}") for s in ("a", "b") for n in names
     ]
     return pair.select("version_a", "version_b", *shown, "winner")
-
-
-# -- deployment history ------------------------------------------------------------------
-
-
-class Deployments:
-    """Replays deploy, traffic and rollback events of one model.
-
-    State: traffic of the deployed versions, and creation order of all ever deployed ones.
-    """
-
-    outputs = [
-        StructField("accepted", BooleanType()), StructField("reason", StringType()),
-        StructField("state", StringType()), StructField("restored_version", StringType()),
-    ]
-
-    def start(self) -> str:
-        return json.dumps({"live": {}, "ever": {}})
-
-    def open(self, state: str) -> "_RunningDeployments":
-        held = json.loads(state)
-        return _RunningDeployments(held["live"], held["ever"])
-
-    def jump(self, state: str, note: str, end_from_start: str) -> str | None:
-        """After a full deployment the live versions no longer depend on what was before,
-        unless a rollback then restores one that may be older than the slice."""
-        if note != "settled":
-            return None
-        end = json.loads(end_from_start)
-        ever = json.loads(state)["ever"] | end["ever"]
-        return json.dumps({"live": end["live"], "ever": ever}, sort_keys=True)
-
-
-class _RunningDeployments:
-    def __init__(self, live: dict, ever: dict) -> None:
-        self.live, self.ever, self.settled = dict(live), dict(ever), False
-
-    def feed(self, columns: dict[str, list]) -> list[tuple]:
-        names = ("event", "version_id", "strategy", "traffic", "restore", "created_seq")
-        return [self._apply(*row) for row in zip(*[columns[n] for n in names])]
-
-    def _apply(self, event, version, strategy, traffic, restore, created) -> tuple:
-        version, reason, restored = str(version), None, None
-        if traffic is None or traffic != traffic:
-            traffic = STRATEGY_TRAFFIC.get(strategy, 0.0) if event == "deploy" else None
-        if event in ("deploy", "traffic") and (traffic is None or not 0.0 <= traffic <= 100.0):
-            reason = "invalid traffic"
-        elif event == "traffic" and version not in self.live:
-            reason = "not deployed"
-        elif event in ("deploy", "traffic"):
-            if traffic == 100.0:
-                self.live = {}
-            self.live[version] = float(traffic)
-            if event == "deploy":
-                self.ever[version] = int(created)
-                self.settled = self.settled or traffic == 100.0
-        elif event == "rollback":
-            self.live.pop(version, None)
-            others = [v for v in self.ever if v != version]
-            if restore is None or restore != restore or restore:
-                self.settled = False
-                if others:
-                    restored = max(others, key=lambda v: (self.ever[v], v))
-                    self.live[restored] = 100.0
-        else:
-            reason = "unknown event"
-        state = json.dumps(self.live, sort_keys=True)
-        return reason is None, reason, state, restored
-
-    def close(self) -> tuple[str, str]:
-        note = "settled" if self.settled else ""
-        return json.dumps({"live": self.live, "ever": self.ever}, sort_keys=True), note
-
-
-def replay_deployments(
-    log: DataFrame, ts: str = "at", tie: str = "event_id", hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Every event with its verdict and the live versions after it (JSON: version, traffic).
-
-    Log columns: model_id, event (deploy, traffic, rollback), version_id, strategy, traffic,
-    restore, created_seq, a time and a tie-break.
-    """
-    columns = ["event", "version_id", "strategy", "traffic", "restore", "created_seq"]
-    require_columns(log, "model_id", ts, tie, *columns)
-    return chained.run(
-        log, ["model_id"], [tie], ts, Deployments(), [tie, ts, *columns], hot_rows
-    )
-
-
-def traffic_intervals(replayed: DataFrame, ts: str = "at", tie: str = "event_id") -> DataFrame:
-    """Validity intervals (model_id, version_id, traffic, valid_from, valid_to).
-
-    Changes of one version only: the traffic map of each accepted event is compared with the
-    one before it, so a quiet version costs no rows.
-    """
-    from ledgerwatch.operators.ordered import previous_values
-
-    accepted = replayed.where("accepted")
-    steps = previous_values(accepted, ["model_id"], [ts, tie], ts, ["state"])
-    as_map = "map<string,double>"
-    now = F.from_json("state", as_map)
-    before = F.coalesce(F.from_json("prev_state", as_map), F.create_map().cast(as_map))
-    touched = F.array_union(F.map_keys(now), F.map_keys(before))
-    changes = steps.withColumns({"_now": now, "_before": before}).select(
-        "model_id", ts, tie, F.explode(touched).alias("version_id"), "_now", "_before"
-    ).select(
-        "model_id", ts, tie, "version_id", F.col("_now")[F.col("version_id")].alias("traffic"),
-        F.col("_before")[F.col("version_id")].alias("was"),
-    ).where(~F.col("traffic").eqNullSafe(F.col("was")))
-    keys = ["model_id", "version_id"]
-    lagged = previous_values(changes, keys, [ts, tie], ts, [ts])
-    closed = lagged.where("was is not null").select(
-        *keys, F.col("was").alias("traffic"), F.col(f"prev_{ts}").alias("valid_from"),
-        F.col(ts).alias("valid_to"),
-    )
-    last = changes.groupBy(*keys).agg(F.max(F.struct(ts, tie, "traffic")).alias("_last"))
-    still_open = last.where("_last.traffic is not null").select(
-        *keys, F.col("_last.traffic").alias("traffic"), F.col(f"_last.{ts}").alias("valid_from"),
-        F.lit(None).cast(changes.schema[ts].dataType).alias("valid_to"),
-    )
-    every = closed.unionByName(still_open)
-    return every.withColumn("version_id", F.col("version_id").cast("int"))

@@ -56,7 +56,7 @@ def rolling_features(
     """Mean, deviation, maximum and z-score over the last rows of an address, and the
     seconds since its previous row."""
     require_columns(tx, key, ts, tie, *columns)
-    seen = with_preceding_rows(tx, [key], [ts, tie], ts, rows - 1, columns, hot_rows)
+    seen = with_preceding_rows(tx, [key], [ts, tie], rows - 1, columns, hot_rows)
     order = Window.partitionBy(key, "_slice").orderBy(ts, tie)
     frame = order.rowsBetween(-(rows - 1), 0)
     rolled = {}
@@ -126,8 +126,16 @@ def _fit(y: np.ndarray, order: tuple[int, int, int]):
             beta = np.linalg.lstsq(x, w[long:], rcond=None)[0]
             residuals[long:] = w[long:] - x @ beta
     start = max(p, q)
+    if 1 < len(w) <= start:  # too short for a full row of lags: those before the series are zero
+        w, residuals = np.concatenate([np.zeros(start), w]), np.concatenate([np.zeros(start), residuals])
+        mean, ar, ma, errors, variance = _least_squares(w, residuals, mean, p, q, start + 1)
+        return mean, ar, ma, errors[start:], variance
     if start == 0 or len(w) <= start:
         return mean, np.zeros(p), np.zeros(q), w, float(np.var(w)) if len(w) else 0.0
+    return _least_squares(w, residuals, mean, p, q, start)
+
+
+def _least_squares(w: np.ndarray, residuals: np.ndarray, mean: float, p: int, q: int, start: int):
     x = np.hstack([_lagged(w, p, start), _lagged(residuals, q, start)])
     beta = np.linalg.lstsq(x, w[start:], rcond=None)[0]
     errors = np.zeros(len(w))
@@ -169,7 +177,9 @@ def _as_arrays(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _enough(y: np.ndarray, order: tuple[int, int, int]) -> bool:
-    return len(y) >= max(sum(order), 1) and len(y) > order[1]
+    """Points for all coefficients, and two differences at least where lags are fitted."""
+    p, d, q = order
+    return len(y) >= max(p + d + q, 1) and len(y) - d >= (2 if max(p, q) else 1)
 
 
 def fit_arima(

@@ -33,9 +33,9 @@ HOT = pytest.mark.parametrize("hot_rows", [1, 17, 10**6])
 @HOT
 def test_previous_and_running(log, hot_rows):
     df, by_key = log
-    lagged = ordered.previous_values(df, ["k"], ["ts", "id"], "ts", ["v"], hot_rows)
+    lagged = ordered.previous_values(df, ["k"], ["ts", "id"], ["v"], hot_rows)
     total = ordered.running_total(
-        lagged, ["k"], ["ts", "id"], "ts", F.col("v"), "total", hot_rows)
+        lagged, ["k"], ["ts", "id"], F.col("v"), "total", hot_rows)
     got = {r.id: (r.prev_v, r.total) for r in total.collect()}
     assert len(got) == 1200
     for rows in by_key.values():
@@ -51,7 +51,7 @@ def test_preceding_rows_window(log, hot_rows):
     from pyspark.sql import Window
 
     df, by_key = log
-    rows = ordered.with_preceding_rows(df, ["k"], ["ts", "id"], "ts", 4, ["v"], hot_rows)
+    rows = ordered.with_preceding_rows(df, ["k"], ["ts", "id"], 4, ["v"], hot_rows)
     frame = Window.partitionBy("k", "_slice").orderBy("ts", "id").rowsBetween(-4, 0)
     got = {r.id: r.s for r in rows.withColumn("s", F.sum("v").over(frame)).where("not _halo").collect()}
     for group in by_key.values():
@@ -86,6 +86,42 @@ def test_islands_across_slices(log, hot_rows):
     assert got == sorted(want)
 
 
+def test_a_burst_is_cut_by_rows(spark):
+    """99 % of a key at one time: no slice holds more than twice the wanted rows."""
+    rows = [(i, "k", BASE + timedelta(seconds=0 if i < 9900 else i), 1.0) for i in range(10_000)] + [(10_000, "cold", BASE, 1.0)]
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp, v double").repartition(4)
+    for keys in (["k"], []):
+        sliced = ordered.with_row_slices(df, keys, ["ts", "id"], 100)
+        sizes = [r.n for r in sliced.where("_slice is not null").groupBy("_slice").agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) <= 200 and sum(sizes) == (10_000 if keys else 10_001)
+        edges = sliced.where("_slice is not null").groupBy("_slice").agg(
+            F.min(F.struct("ts", "id")).alias("a"), F.max(F.struct("ts", "id")).alias("b")).orderBy("_slice").collect()
+        assert all(tuple(x.b) < tuple(y.a) for x, y in zip(edges, edges[1:]))
+    total = ordered.running_total(df, ["k"], ["ts", "id"], F.col("v"), "total", 100)
+    assert sorted(r.total for r in total.where("k = 'k'").collect()) == [float(i) for i in range(1, 10_001)]
+    counted = ordered.count_within(df, ["k"], "ts", 10, "n", hot_rows=100)
+    got = {r.id: r.n for r in counted.collect()}
+    assert got[0] == got[9899] == 9900 and got[9999] == 11 and got[10_000] == 1
+
+
+def test_hot_keys_are_not_hinted(spark):
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("k"), F.timestamp_seconds("id").alias("ts"))
+    plan = ordered.running_total(df, ["k"], ["ts"], F.lit(1), "n", 10)._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in plan.lower()
+
+
+def test_silence_without_events(frame):
+    none = frame([], "k string, ts timestamp")
+    hour = (BASE, BASE + timedelta(hours=1), 600)
+    assert [r.silent_seconds for r in monitor.silent_periods(none, [], *hour).collect()] == [3600]
+    expected = frame([("a",), ("b",)], "k string")
+    got = monitor.silent_periods(none, ["k"], *hour, expected=expected).collect()
+    assert sorted((r.k, r.silent_seconds) for r in got) == [("a", 3600), ("b", 3600)]
+    some = frame([("a", BASE + timedelta(seconds=1800))], "k string, ts timestamp")
+    got = monitor.silent_periods(some, ["k"], *hour, expected=expected).collect()
+    assert sorted((r.k, r.silent_seconds) for r in got) == [("a", 1740), ("a", 1800), ("b", 3600)]
+
+
 def test_fixed_window(frame):
     rows = [(i, "a", BASE + timedelta(seconds=s)) for i, s in enumerate((0, 10, 20, 60))]
     audit = monitor.fixed_window_audit(frame(rows, "id int, ip string, ts timestamp"), ["ip"], 2, 60, hot_rows=1)

@@ -50,9 +50,23 @@ def test_short_series_and_bad_arguments(frame):
     short = frame([(date(2024, 1, 1), 1.0), (date(2024, 1, 2), 2.0)], "day date, value double")
     assert series.fit_arima(short).first().status == "insufficient"
     assert series.forecast(short).count() == 0
+    two = frame([(date(2024, 1, 1 + i), float(v)) for i, v in enumerate((1, 4))], "day date, value double")
+    assert series.fit_arima(two, order=(1, 1, 0)).first().status == "insufficient"
     for order, kind in (([5, 1, 0], TypeError), ((1, 2), ValueError), ((1.0, 0, 0), TypeError), ((-1, 0, 0), ValueError)):
         with pytest.raises(kind):
             series.check_order(order)
     for steps, kind in ((0, ValueError), (1.5, TypeError)):
         with pytest.raises(kind):
             series.check_steps(steps)
+
+
+def test_six_points_have_coefficients(frame):
+    """One difference fewer than a full row of lags: the lags before the series count as zero."""
+    y = (10.0, 13.0, 11.0, 16.0, 12.0, 19.0)
+    six = frame([(date(2024, 1, 1 + i), v) for i, v in enumerate(y)], "day date, value double")
+    fitted = series.fit_arima(six).first()
+    assert fitted.status == "ok" and any(abs(c) > 1e-6 for c in fitted.ar)
+    w = np.concatenate([np.zeros(5), np.diff(y)])
+    x = np.column_stack([w[6 - k : len(w) - k] for k in range(1, 6)])
+    assert fitted.ar == pytest.approx(np.linalg.lstsq(x, w[6:], rcond=None)[0].tolist())
+    assert series.forecast(six, steps=2).count() == 2
