@@ -263,6 +263,10 @@ _LADDER = """
          when f then 'feature_low' else 'none' end"""
 
 
+_ADVICE = "case " + _LADDER + " " + " ".join(
+    f"when '{code}' then '{level.upper()}: {words}'" for code, level, words in drift.RECOMMENDATIONS) + " end"
+
+
 @query("K9_recommendation", f"""
     with flags as (select id, value > 250 as p, event_type = 'click' as c, event_type <> 'view' as f,
                           case when value > 150 then 'critical' when value > 100 then 'high'
@@ -294,7 +298,7 @@ def _(v):
     select model_version_id, reference_count, detection_count, false as insufficient_data,
            f as feature_drift, c as concept_drift, p as performance_drift, s as drift_severity,
            anomaly_rate_change_pct, confidence_change, precision_change, f or c or p as drift_detected,
-           {_LADDER} as recommendation
+           {_LADDER} as recommendation, {_ADVICE} as advice
     from j""")
 def _(v):
     return drift.drift_report(v.tx, v.anomalies, PERIODS)
@@ -304,7 +308,7 @@ def _(v):
     select severity, round(quantile_cont(confidence::double, 0.37), 6) as quantile
     from anomalies group by severity""")
 def _(v):
-    return prefix.exact_quantiles(v.anomalies, ["severity"], "confidence", 0.37, groups=4).withColumn(
+    return prefix.exact_quantiles(v.anomalies, ["severity"], "confidence", 0.37).withColumn(
         "quantile", rounded(F.col("quantile")))
 
 

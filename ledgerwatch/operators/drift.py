@@ -19,6 +19,7 @@ from ledgerwatch.functions.numeric import num, rounded, safe_divide
 from ledgerwatch.operators.prefix import running_sums, value_counts
 from ledgerwatch.operators.stats import bin_index
 
+# Levels above which a change counts as drift, and the number of bins.
 KS_LEVEL = 0.05
 PSI_LIMIT = 0.2
 PSI_BINS = 10
@@ -51,27 +52,13 @@ class Periods:
         return ts.between(F.lit(self.reference_start), F.lit(self.as_of))
 
 
-def tagged(
-    tx: DataFrame, periods: Periods, ts: str = "timestamp", limit: int | None = None,
-    tie: str = "hash",
-) -> DataFrame:
-    """The rows of both windows with the weights ``ref`` and ``det``.
-
-    ``limit`` keeps only the oldest rows of each window; by default all rows count.
-    """
+def tagged(tx: DataFrame, periods: Periods, ts: str = "timestamp") -> DataFrame:
+    """The rows of both windows with the weights ``ref`` and ``det``."""
     col = F.col(ts)
-    if limit is None:
-        return tx.where(periods.within(col)).withColumns({
-            "ref": periods.in_reference(col).cast("bigint"),
-            "det": periods.in_detection(col).cast("bigint"),
-        })
-
-    def oldest(condition: Column, ref: int, det: int) -> DataFrame:
-        return tx.where(condition).orderBy(ts, tie).limit(limit).withColumns({
-            "ref": F.lit(ref).cast("bigint"), "det": F.lit(det).cast("bigint"),
-        })
-
-    return oldest(periods.in_reference(col), 1, 0).unionByName(oldest(periods.in_detection(col), 0, 1))
+    return tx.where(periods.within(col)).withColumns({
+        "ref": periods.in_reference(col).cast("bigint"),
+        "det": periods.in_detection(col).cast("bigint"),
+    })
 
 
 def window_counts(tagged_rows: DataFrame) -> DataFrame:
@@ -90,9 +77,9 @@ def by_feature(tagged_rows: DataFrame, features: Sequence[str] = BASE_FEATURES)
     return wide.unpivot(["ref", "det"], present, "feature", "x").where(F.col("x").isNotNull())
 
 
-def ks_statistic(long_rows: DataFrame, features: int = len(BASE_FEATURES)) -> DataFrame:
+def ks_statistic(long_rows: DataFrame) -> DataFrame:
     """Largest distance of the two empirical distribution functions, per feature."""
-    sums = running_sums(long_rows, ["feature"], "x", ["ref", "det"], groups=features)
+    sums = running_sums(long_rows, ["feature"], "x", ["ref", "det"])
     distance = F.abs(
         F.col("ref_upto") / F.col("ref_total") - F.col("det_upto") / F.col("det_total")
     )
@@ -171,7 +158,7 @@ def feature_drift(
     """
     rows = value_counts(by_feature(tagged_rows, features), ["feature", "x"], ["ref", "det"])
     joined = (
-        ks_statistic(rows, len(features)).join(psi(rows), "feature")
+        ks_statistic(rows).join(psi(rows), "feature")
         .join(feature_means(rows), "feature")
         .withColumn("_p", ks_pvalue(F.col("ks_statistic"), F.col("n_reference"), F.col("n_detection")))
         .withColumn("_change", F.abs(F.col("detection_mean") - F.col("reference_mean")) / (
@@ -278,7 +265,7 @@ def performance_drift(
     )
 
 
-# Outcomes in the order in which they are tried: code, level, advice.
+# Outcomes in the order in which they are tried: code, level, advice.
 RECOMMENDATIONS = (
     ("performance", "critical", "Precision fell: retrain now on recent rows."),
     ("feature_critical", "critical", "Inputs changed strongly: retrain on recent rows."),
@@ -308,7 +295,8 @@ def recommendation(
 
 
 def advice(code: Column) -> Column:
-    text = F.lit(None).cast("string")
+    """The outcome's level and advice; too few rows for a verdict say so."""
+    text = F.when(code == "insufficient_data", "NONE: Too few rows in a window to judge.")
     for name, level, words in RECOMMENDATIONS:
         text = F.when(code == name, F.lit(f"{level.upper()}: {words}")).otherwise(text)
     return text
@@ -316,13 +304,13 @@ def advice(code: Column) -> Column:
 
 def drift_report(
     tx: DataFrame, anomalies: DataFrame, periods: Periods, threshold: float = 0.1,
-    versions: DataFrame | None = None, limit: int | None = None,
+    versions: DataFrame | None = None,
 ) -> DataFrame:
     """One row per model version with all three kinds of drift and the advice.
 
     Feature drift does not depend on the version; it enters as one constant struct.
     """
-    rows = tagged(tx, periods, limit=limit)
+    rows = tagged(tx, periods)
     counts = window_counts(rows).select(F.struct("*").alias("c")).scalar()
     feature = drift_severity(feature_drift(rows, threshold)).select(F.struct("*").alias("f")).scalar()
     ids = (anomalies if versions is None else versions).select("model_version_id").distinct()
@@ -363,4 +351,4 @@ def drift_report(
     return flagged.withColumn(
         "drift_detected",
         F.col("feature_drift") | F.col("concept_drift") | F.col("performance_drift"),
-    ).withColumn("recommendation", code)
+    ).withColumn("recommendation", code).withColumn("advice", advice(F.col("recommendation")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.numeric import num
@@ -21,30 +21,31 @@ def address_profile(tx: DataFrame, address: str = "from_address", ts: str = "tim
     )
 
 
-def batch_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sum of squared deviations, min and max per column of one batch."""
-    wide = df.select(*[num(F.col(c)).alias(c) for c in columns])
-    long = wide.unpivot([], list(columns), "feature", "x").where("x is not null")
-    return long.groupBy("feature").agg(
+def batch_moments(df: DataFrame, columns: Sequence[str], by: Sequence[Column] = ()) -> DataFrame:
+    """Count, mean, sum of squared deviations, min and max per column, of one batch or of each
+    part that ``by`` (named expressions) tells apart; one pass either way."""
+    wide = df.select(*[b.alias(f"_by{i}") for i, b in enumerate(by)], *[num(F.col(c)).alias(c) for c in columns])
+    parts = [f"_by{i}" for i in range(len(by))]
+    long = wide.unpivot(parts, list(columns), "feature", "x").where("x is not null")
+    return long.groupBy("feature", *parts).agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"),
         (F.var_pop("x") * F.count("x")).alias("m2"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-    )
+    ).drop(*parts)
 
 
 def merge_moments(*states: DataFrame) -> DataFrame:
-    """Combine any number of states (Chan, Golub and LeVeque 1979).
+    """Combine any number of states, of several tables or of one (Chan, Golub and LeVeque 1979).
 
-    The spread between the states needs the common mean, so the states are read twice; they
-    hold one row per feature and batch.
+    The spread between the states needs the common mean: a window over the states of a
+    feature, of which there is one per batch, gives it in the pass that adds them up.
     """
     every = states[0]
     for state in states[1:]:
         every = every.unionByName(state)
-    common = every.groupBy("feature").agg(
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean")
-    )
+    feature = Window.partitionBy("feature")
+    common = F.sum(F.col("n") * F.col("mean")).over(feature) / F.sum("n").over(feature)
     gap = F.col("mean") - F.col("_mean")
-    return every.join(common, "feature").groupBy("feature").agg(
+    return every.withColumn("_mean", common).groupBy("feature").agg(
         F.sum("n").cast("bigint").alias("n"), F.max("_mean").alias("mean"),
         F.sum(F.col("m2") + F.col("n") * gap * gap).alias("m2"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"),

@@ -25,8 +25,8 @@ from pyspark.sql.types import (
 from ledgerwatch.functions.features import BASE_FEATURES
 from ledgerwatch.functions.hashing import unit_hash
 from ledgerwatch.functions.numeric import num
-from ledgerwatch.operators.prefix import exact_quantiles
-from ledgerwatch.session import python_tasks, require_columns
+from ledgerwatch.operators.prefix import exact_quantile
+from ledgerwatch.session import materialise, python_tasks, require_columns
 
 TREES = 100
 ROWS_PER_TREE = 256
@@ -143,7 +143,6 @@ def tree_nodes(
     share = min(1.0, wanted / total)
     pool_size = share * total
     pool = _feature_rows(df, features, key).where(unit_hash(F.col("_key"), F.lit(seed)) < share)
-    drawing = unit_hash(F.col("_key"), F.lit(seed + 1))
 
     def member(trial: int, spec: Spec) -> Column:
         p = min(1.0, OVERDRAW * spec.rows / pool_size)
@@ -153,16 +152,10 @@ def tree_nodes(
         )
         return F.transform(chosen, lambda t: F.struct(F.lit(trial).alias("trial"), t.alias("tree")))
 
-    if share < 1.0 and len(specs) == 1:
-        # With rows enough for all trees, a pool row serves one tree.
-        drawn = pool.select(
-            F.lit(0).alias("trial"), F.floor(drawing * specs[0].trees).cast("int").alias("tree"),
-            "_key", *features,
-        )
-    else:
-        drawn = pool.withColumn(
-            "_t", F.explode(F.concat(*[member(i, s) for i, s in enumerate(specs)]))
-        ).select("_t.trial", "_t.tree", "_key", *features)
+    # One rule at every size: each tree draws from the pool by a hash of its own.
+    drawn = pool.withColumn(
+        "_t", F.explode(F.concat(*[member(i, s) for i, s in enumerate(specs)]))
+    ).select("_t.trial", "_t.tree", "_key", *features)
     drawn = drawn.select(
         "trial", "tree", *features,
         F.xxhash64("_key", F.lit(seed + 2), "trial", "tree").alias("_order"),
@@ -219,14 +212,30 @@ def fit(
     """Fit a forest and its decision threshold.
 
     ``threshold``: ``exact`` is the interpolated contamination quantile of the training
-    scores, ``approximate`` a mergeable sketch that shuffles almost nothing, ``none`` skips
-    the scoring pass.
+    scores, ``none`` skips the scoring pass. Rows that are labelled as well are better given
+    to ``fit_detect``, which scores them once for both.
     """
     return fit_trials(
         df, [Spec(trees, rows_per_tree)], features, contamination, seed, key, threshold
     )[0]
 
 
+def fit_detect(
+    df: DataFrame, features: Sequence[str] = BASE_FEATURES, contamination: float = 0.01,
+    seed: int = 42, trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE, key: str = "hash",
+) -> tuple[Forest, DataFrame]:
+    """(the forest, the labelled rows of ``df``): as ``fit`` and then ``detect``.
+
+    The rows are written once and counted and drawn from there; scores are written once, and
+    threshold and labels come from the stored scores. Give it the columns that are needed.
+    """
+    rows = materialise(df, "forest-rows")
+    forest = fit(rows, features, contamination, seed, trees, rows_per_tree, key, "none")
+    scored = materialise(score(rows, forest), "forest-scores")
+    forest.threshold = exact_quantile(scored, "anomaly_score", contamination)
+    return forest, labelled(scored, forest)
+
+
 def fit_trials(
     df: DataFrame, specs: Sequence[Spec], features: Sequence[str] = BASE_FEATURES,
     contamination: float = 0.01, seed: int = 42, key: str = "hash", threshold: str = "none",
@@ -234,8 +243,8 @@ def fit_trials(
     """Fit one forest per trial; all trials share one pass over the data."""
     check_parameters(contamination, seed)
     require_columns(df, key, *features)
-    if threshold not in ("exact", "approximate", "none"):
-        raise ValueError("threshold must be exact, approximate or none")
+    if threshold not in ("exact", "none"):
+        raise ValueError("threshold must be exact or none")
     total = _feature_rows(df, features, key).count()
     if total == 0:
         raise ValueError("cannot fit on an empty table")
@@ -246,18 +255,15 @@ def fit_trials(
         heaps = _heaps(grown[grown["trial"] == trial], depth_limit(rows))
         forest = Forest(tuple(features), rows, contamination, seed, *heaps)
         if threshold != "none":
-            forest.threshold = score_threshold(df, forest, threshold == "exact")
+            forest.threshold = score_threshold(df, forest)
         forests.append(forest)
     return forests
 
 
-def score_threshold(df: DataFrame, forest: Forest, exact: bool = True) -> float:
-    scored = score(df, forest).select("anomaly_score").where(F.col("anomaly_score").isNotNull())
-    if exact:
-        found = exact_quantiles(scored, [], "anomaly_score", forest.contamination)
-        return float(found.first()["quantile"])
-    at = F.percentile_approx("anomaly_score", forest.contamination, 100_000)
-    return float(scored.agg(at).first()[0])
+def score_threshold(df: DataFrame, forest: Forest) -> float:
+    """The contamination quantile of the scores, which are computed and stored once."""
+    scored = materialise(score(df, forest).select("anomaly_score"), "forest-scores")
+    return exact_quantile(scored, "anomaly_score", forest.contamination)
 
 
 # -- scoring -----------------------------------------------------------------------------
@@ -318,17 +324,22 @@ def score_many(df: DataFrame, forests: Sequence[Forest], name: str = "scores") -
     return df.withColumn(name, walked(*[F.col(f).cast("double") for f in features]))
 
 
-def detect(df: DataFrame, forest: Forest) -> DataFrame:
-    """Add score, confidence and the label; an anomaly lies strictly below the threshold."""
+def labelled(scored: DataFrame, forest: Forest) -> DataFrame:
+    """Add confidence and label to scores; an anomaly lies strictly below the threshold."""
     if forest.threshold is None:
         raise ValueError("the forest has no threshold; fit it with one")
     below = F.col("anomaly_score") < F.lit(forest.threshold)
-    return score(df, forest).withColumns({
+    return scored.withColumns({
         "confidence": F.abs("anomaly_score"),
         "anomaly": F.when(below, "anomaly").otherwise("normal"),
     })
 
 
+def detect(df: DataFrame, forest: Forest) -> DataFrame:
+    """Add score, confidence and the label."""
+    return labelled(score(df, forest), forest)
+
+
 def only_anomalies(detected: DataFrame) -> DataFrame:
     require_columns(detected, "anomaly")
     return detected.where(F.col("anomaly") == "anomaly")
@@ -368,20 +379,14 @@ def trial_specs(trials: int = 20, seed: int = 42) -> list[Spec]:
 
 def tune(
     df: DataFrame, features: Sequence[str] = BASE_FEATURES, trials: int = 20, seed: int = 42,
-    key: str = "hash", contamination: float = 0.01, objective_rows: int | None = None,
+    key: str = "hash", contamination: float = 0.01,
 ) -> tuple[DataFrame, Forest]:
     """(one row per trial, the forest of the best trial): best is the largest variance of
-    scores. All trials share the fitting pass and the scoring pass.
-
-    Every row enters the objective; ``objective_rows`` draws about that many by hash instead,
-    where walking all trials over a very large table is not worth its time.
+    scores over all rows. All trials share the fitting pass and the scoring pass.
     """
     specs = trial_specs(trials, seed)
     forests = fit_trials(df, specs, features, contamination, seed, key)
     rows = _feature_rows(df, features, key)
-    if objective_rows is not None:
-        share = min(1.0, objective_rows / rows.count())
-        rows = rows.where(unit_hash(F.col("_key"), F.lit(seed + 3)) < share)
     scored = score_many(rows, forests)
     spread = scored.agg(*[
         F.var_pop(F.element_at("scores", i + 1)).alias(f"t{i}") for i in range(len(specs))
@@ -398,23 +403,22 @@ def tune(
 
 
 def permutation_importance(
-    df: DataFrame, forest: Forest, key: str = "hash", seed: int = 42, parts: int = 256,
+    df: DataFrame, forest: Forest, key: str = "hash", seed: int = 42,
 ) -> DataFrame:
     """Mean absolute score change per feature when its values are shuffled between rows.
 
     Two hash orders number the rows; joining on the number pairs every row with a partner.
-    The numbering runs per hash range, so there is no global sort, and one join serves all
-    features: each is replaced by the partner's value in turn.
+    The numbering runs per slice of the order, so there is no global sort, and one join serves
+    all features: each is replaced by the partner's value in turn.
     """
     from ledgerwatch.operators.ordered import row_numbers
 
     features = list(forest.features)
-    rows = _feature_rows(df, features, key)
+    rows = materialise(_feature_rows(df, features, key), "importance-rows")
 
     def numbered(salt: int, columns: list[Column]) -> DataFrame:
         hashed = rows.withColumn("_h", unit_hash(F.col("_key"), F.lit(seed + salt)))
-        part = F.floor(F.col("_h") * parts).cast("int")
-        placed = row_numbers(hashed, [], ["_h", "_key"], part, "_at", hot_rows=10_000)
+        placed = row_numbers(hashed, [], ["_h", "_key"], "_at")
         return placed.select("_at", *columns)
 
     own = numbered(1, [F.col(f) for f in features])
@@ -444,18 +448,27 @@ def permutation_importance(
 # -- storage -----------------------------------------------------------------------------
 
 
-def save(spark: SparkSession, forest: Forest, path: str) -> str:
-    """Write the trees as a table and the parameters as one row; returns the checksum."""
+def node_rows(forest: Forest) -> list[tuple]:
+    """(tree, node, feature, threshold, path): inner nodes in heap order, then the leaves' paths."""
     rows = []
     for tree in range(forest.trees):
         for node, (f, v) in enumerate(zip(forest.split_feature[tree], forest.split_value[tree])):
             rows.append((tree, node, int(f), float(v), None))
         for leaf, p in enumerate(forest.leaf_path[tree]):
             rows.append((tree, leaf, None, None, float(p)))
-    nodes = pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "path"])
-    nodes["feature"] = nodes["feature"].astype("Int32")
-    schema = "tree int, node int, feature int, threshold double, path double"
-    spark.createDataFrame(nodes, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    return rows
+
+
+NODE_TABLE = "tree int, node int, feature int, threshold double, path double"
+
+
+def save(spark: SparkSession, forest: Forest, path: str) -> str:
+    """Write the trees as a table and the parameters as one row; returns the checksum.
+
+    The rows are plain tuples: a pandas column with missing integers becomes floats in a
+    session without Arrow.
+    """
+    spark.createDataFrame(node_rows(forest), NODE_TABLE).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
     meta = [(
         list(forest.features), forest.rows, forest.contamination, forest.seed, forest.threshold,
         forest.checksum,
@@ -468,16 +481,17 @@ def save(spark: SparkSession, forest: Forest, path: str) -> str:
 
 
 def load(spark: SparkSession, path: str) -> Forest:
-    """Read a saved forest; raises ``ValueError`` when the checksum does not match."""
+    """Read a saved forest (bounded by its parameters); raises ``ValueError`` when the checksum does not match."""
     meta = spark.read.parquet(f"{path}/meta").first()
-    nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])
-    trees = int(nodes["tree"].max()) + 1
-    inner, leaves = nodes[nodes["path"].isna()], nodes[nodes["path"].notna()]
+    nodes = sorted(spark.read.parquet(f"{path}/nodes").collect(), key=lambda r: (r["tree"], r["node"]))
+    trees = nodes[-1]["tree"] + 1
+    inner = [r for r in nodes if r["path"] is None]
     forest = Forest(
         tuple(meta["features"]), meta["rows"], meta["contamination"], meta["seed"],
-        inner["feature"].to_numpy(np.int32).reshape(trees, -1),
-        inner["threshold"].to_numpy(float).reshape(trees, -1),
-        leaves["path"].to_numpy(float).reshape(trees, -1), meta["threshold"],
+        np.array([r["feature"] for r in inner], np.int32).reshape(trees, -1),
+        np.array([r["threshold"] for r in inner], float).reshape(trees, -1),
+        np.array([r["path"] for r in nodes if r["path"] is not None], float).reshape(trees, -1),
+        meta["threshold"],
     )
     if forest.checksum != meta["checksum"]:
         raise ValueError(f"checksum of the model in {path} does not match")

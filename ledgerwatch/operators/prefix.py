@@ -13,10 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
-
-
-MAX_BROADCAST_GROUPS = 1000
+#: Ranges at least and at most; between, as many as the session has shuffle partitions.
+RANGES, MOST_RANGES = 256, 4096
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], weights: Sequence[str]) -> DataFrame:
@@ -27,24 +25,25 @@ def value_counts(df: DataFrame, keys: Sequence[str], weights: Sequence[str]) ->
     ])
 
 
+def _ranges(df: DataFrame, ranges: int | None) -> int:
+    if ranges is None:
+        ranges = min(MOST_RANGES, max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, math.isqrt(ranges))
+
+
 def running_sums(
-    df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], ranges: int = RANGES,
-    groups: int | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], ranges: int | None = None,
 ) -> DataFrame:
     """One row per (keys, value) with, for each weight ``w``, its sum ``w``, the sum up to
     and including this value ``w_upto`` and the total of the key group ``w_total``.
 
     A value shared by a third of all rows is one row after the first aggregate, which also
     combines on the map side. Cut points come from the distinct values, so the ranges stay
-    balanced whatever the frequencies are. ``groups`` is the number of key groups when the
-    caller knows it: the table of cut points (``ranges`` numbers per group) is then small for
-    certain and is broadcast; without it the join strategy follows from measured sizes.
+    balanced whatever the frequencies are. Their number follows the session's shuffle
+    partitions. Without keys the cut points are one constant row.
     """
-    if not keys:
-        whole = df.withColumn("_all", F.lit(0))
-        return running_sums(whole, ["_all"], value, weights, ranges, groups=1).drop("_all")
     keys = list(keys)
-    step = max(2, math.isqrt(ranges))
+    step = _ranges(df, ranges)
     ranges = step * step
     per_value = value_counts(df, [*keys, value], weights)
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
@@ -61,11 +60,14 @@ def running_sums(
         F.sequence(F.lit(step), F.lit(ranges - step), F.lit(step)), lambda i: F.element_at("_cuts", i)
     )
     searchable = cut_table.withColumn("_coarse", coarse)
-    small = groups is not None and groups <= MAX_BROADCAST_GROUPS
-    hinted = F.broadcast(searchable) if small else searchable
+    if keys:
+        beside = per_value.join(searchable, keys)
+    else:
+        names = ["_cuts", "_coarse", *[f"{w}_total" for w in weights]]
+        row = searchable.select(F.struct(*names).alias("t")).scalar()
+        beside = per_value.withColumn("_t", row).withColumns({n: F.col(f"_t.{n}") for n in names}).drop("_t")
     placed = (
-        per_value.join(hinted, keys)
-        .withColumn("_at", below(F.col("_coarse")) * step)
+        beside.withColumn("_at", below(F.col("_coarse")) * step)
         .withColumn("_range", F.col("_at") + below(F.slice("_cuts", F.col("_at") + 1, F.lit(step - 1))))
         .drop("_cuts", "_coarse", "_at")
     )
@@ -94,8 +96,7 @@ def running_sums(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, share: float, ranges: int = RANGES,
-    groups: int | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, share: float, ranges: int | None = None,
 ) -> DataFrame:
     """The quantile with linear interpolation, exact at any size.
 
@@ -108,7 +109,7 @@ def exact_quantiles(
     ones = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_x"), F.lit(1).cast("bigint").alias("_n")
     )
-    sums = running_sums(ones, keys, "_x", ["_n"], ranges, groups)
+    sums = running_sums(ones, keys, "_x", ["_n"], ranges)
     place = F.lit(share) * (F.col("_n_total") - 1)
 
     def at(rank):
@@ -122,3 +123,49 @@ def exact_quantiles(
     return found.select(
         *keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile")
     )
+
+
+#: Parts of a range in one pass, and values that may come to the driver.
+PARTS, FEW = 1024, 100_000
+
+
+def exact_quantile(df: DataFrame, value: str, share: float) -> float | None:
+    """The quantile of a whole stored column, exact at any size, without a sort or a shuffle of rows.
+
+    Each pass counts the rows in parts of the range that holds the wanted place, and goes on
+    with one part; the last few distinct values come to the driver. The rows are read once a
+    pass (three passes for 10^9 rows), so ``df`` should be stored. Null and NaN don't count;
+    without values the answer is None.
+    """
+    if not 0 <= share <= 1:
+        raise ValueError("share must be between 0 and 1")
+    rows = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    whole = rows.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not whole["n"]:
+        return None
+    place = share * (whole["n"] - 1)
+    low = _order_statistic(rows, math.floor(place), whole)
+    if place == math.floor(place):
+        return low
+    high = _order_statistic(rows, math.ceil(place), whole)
+    return low + (high - low) * (place - math.floor(place))
+
+
+def _order_statistic(rows: DataFrame, rank: int, whole) -> float:
+    """The value with ``rank`` values before it."""
+    before, n, lo, hi = 0, whole["n"], whole["lo"], whole["hi"]
+    while lo < hi:
+        inside = rows.where(F.col("x").between(lo, hi))
+        if n <= FEW:
+            steps = [(r["x"], r["x"], r["n"]) for r in inside.groupBy("x").agg(F.count("x").alias("n")).collect()]
+        else:
+            width = hi / PARTS - lo / PARTS
+            part = F.least(F.floor((F.col("x") - lo) / F.lit(width)), F.lit(PARTS - 1))
+            found = inside.groupBy(part.alias("part")).agg(
+                F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+            steps = [(r["lo"], r["hi"], r["n"]) for r in found]
+        for lo, hi, n in sorted(steps):
+            if rank < before + n:
+                break
+            before += n
+    return lo

@@ -11,6 +11,7 @@ from ledgerwatch.functions.features import BASE_FEATURES, MODEL_FEATURES, with_m
 from ledgerwatch.operators import forest
 from ledgerwatch.operators.clean import min_max_scale
 from ledgerwatch.operators.evaluate import anomaly_evaluation
+from ledgerwatch.operators.prefix import exact_quantile
 from ledgerwatch.session import materialise, spread
 
 MIN_TRAINING_ROWS = 1000
@@ -43,12 +44,13 @@ def retrain(
         raise ValueError(f"insufficient training data: {total} rows, {MIN_TRAINING_ROWS} needed")
     if tune:
         _, model = forest.tune(rows, MODEL_FEATURES, trials, seed, contamination=contamination)
-        model.threshold = forest.score_threshold(rows, model)
     else:
-        model = forest.fit(rows, MODEL_FEATURES, contamination, seed)
+        model = forest.fit(rows, MODEL_FEATURES, contamination, seed, threshold="none")
+    scored = materialise(forest.score(rows, model), "training-scores")
+    model.threshold = exact_quantile(scored, "anomaly_score", contamination)
     checksum = forest.save(tx.sparkSession, model, path)
     quality = anomaly_evaluation(
-        forest.detect(rows, model), F.col("anomaly") == "anomaly", "anomaly_score"
+        forest.labelled(scored, model), F.col("anomaly") == "anomaly", "anomaly_score"
     )
     names = [c for c in quality.columns if c != "num_samples"]
     metrics = F.map_from_arrays(

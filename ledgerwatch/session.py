@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -36,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of its own: a machine-local folder is
-    not visible to the executors of a cluster.
+    not visible to the executors of a cluster. That folder goes when the process ends; the
+    cluster's keeps what results still read, as its own rules say.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -46,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="ledgerwatch-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
     return _LOCAL_FOLDERS[app]
 
 
@@ -80,13 +84,28 @@ def state_partitions(spark: SparkSession):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+#: Bytes that one task of a scan takes at most by default.
+SCAN_BYTES = 128 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows evenly over as many tasks as ``python_tasks`` gives.
+    """Rows evenly over as many tasks as ``python_tasks`` gives, if they come in few files.
 
-    For stages that compute long per row over files that cannot be split, such as a file of
-    one row group. Not for tables that already come in many partitions.
+    For stages that compute long per row over a small table, such as one file of one row
+    group. A table of many files, or of files large enough to be read in many parts, comes
+    back as it is, without a shuffle.
     """
-    return df.repartition(python_tasks(df.sparkSession), *keys)
+    tasks, files = python_tasks(df.sparkSession), df.inputFiles()
+    if len(files) >= tasks or _file_bytes(df.sparkSession, files) >= tasks * SCAN_BYTES:
+        return df
+    return df.repartition(tasks, *keys)
+
+
+def _file_bytes(spark: SparkSession, files: list[str]) -> int:
+    """Size of a few files, at most one per task."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -84,6 +84,31 @@ def test_save_load_and_tampering(spark, planted, tmp_path):
         forest.load(spark, f"{path}2")
 
 
+def test_save_and_load_without_arrow(spark, planted, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        model = forest.fit(planted)
+        forest.save(spark, model, str(tmp_path / "plain"))
+        again = forest.load(spark, str(tmp_path / "plain"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
+    assert again.checksum == model.checksum and again.threshold == model.threshold
+
+
+def test_fit_detect_equals_fit_and_detect(planted):
+    model, found = forest.fit_detect(planted, contamination=0.03)
+    assert model.threshold == forest.fit(planted, contamination=0.03).threshold
+    assert found.select("hash", "anomaly").exceptAll(forest.detect(planted, model).select("hash", "anomaly")).count() == 0
+    assert found.columns == [*planted.columns, "anomaly_score", "confidence", "anomaly"]
+
+
+def test_one_sampling_rule(planted):
+    """A tree's rows do not depend on the other trials of the same pass."""
+    alone = forest.tree_nodes(planted, BASE_FEATURES, [forest.Spec(3, 32)], 1, "hash", 2000).toPandas()
+    assert alone[alone.node == 0]["size"].tolist() == [32] * 3
+
+
 def test_null_feature_gives_null_score(frame, planted):
     model = forest.fit(planted)
     df = frame([("a", None, 1.0, 1.0)], "hash string, value double, gas double, gas_price double")
