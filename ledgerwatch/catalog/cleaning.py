@@ -51,6 +51,15 @@ def _(v):
     return account_dump(valid_addresses(dump, "from_address"), account, 10, 1_000_000)
 
 
+@query("A6_append_count", "select count(*) as returned, count(*) as stored from tx")
+def _(v):
+    """The number that an append returns is the number of rows it stored."""
+    path = new_path(v.spark, "transactions")
+    returned = tables.append_transactions(v.tx, path, grain="year")
+    return tables.read_transactions(v.spark, path, grain="year").agg(
+        F.lit(returned).cast("bigint").alias("returned"), F.count(F.lit(1)).alias("stored"))
+
+
 @query("A6_append_read_back", """
     select strftime(timestamp, '%Y') as period, count(*) as n, round(sum(value), 2) as total,
            min(hash) as first_hash
@@ -294,3 +303,28 @@ def _(v):
     from request_log""")
 def _(v):
     return v.request_log.select("id", user_bucket(F.col("user_id")).alias("bucket"))
+
+
+@query("B1_batch_pipeline", f"""
+    with typed as (select distinct hash, {_TIME} as moment, try_cast(value as double) as value, try_cast(gas as double) as gas,
+                          try_cast(gas_price as double) as gas_price from tx_raw),
+         kept as (select * from typed where value > 0 and not isnan(value)),
+         scaled as (select cast(moment as date) as day, (value - min(value) over ()) / (max(value) over () - min(value) over ()) as value
+                    from kept),
+         daily as (select day, sum(value) as total from scaled where day is not null group by 1)
+    select (select count(*) from kept) as rows, (select cast(floor((count(*) - 1) * 0.01e0) as bigint) + 1 from kept) as anomalies,
+           cast(case when date_diff('day', min(day), max(day)) + 1 >= 6 then 10 else 0 end as bigint) as steps, cast(date_diff('day', min(day), max(day)) + 1 as bigint) as days,
+           round(sum(total), 4) as total from daily""")
+def _(v):
+    """Clean, transform, detect, forecast and plot data as one flow."""
+    from ledgerwatch.plans.flagship import batch_pipeline
+
+    raw = v.tx_raw.select("hash", "time_stamp", *[as_double(F.col(c)).alias(c) for c in ("value", "gas", "gas_price")])
+    done = batch_pipeline(raw)
+    real = F.when(F.col("n") > 0, F.col("value"))
+    counted = done.labelled.groupBy(F.to_date("time_stamp").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return done.plot.join(counted, "day", "left").agg(
+        F.lit(done.labelled.count()).cast("bigint").alias("rows"),
+        F.lit(done.labelled.where("anomaly = 'anomaly'").count()).cast("bigint").alias("anomalies"),
+        F.lit(done.forecast.count()).cast("bigint").alias("steps"), F.count(F.lit(1)).alias("days"),
+        rounded(F.sum(real), 4).alias("total"))

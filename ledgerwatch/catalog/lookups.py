@@ -48,6 +48,18 @@ def _(v):
     ).select("hash", "timestamp", "value")
 
 
+@query("Q3_next_page", """
+    select hash, timestamp, value from tx
+    where timestamp between timestamp '1997-06-01' and timestamp '1997-12-31'
+    order by timestamp, hash limit 50 offset 50""")
+def _(v):
+    """The page after the fiftieth row, found from that row's values."""
+    period = v.tx.where(F.col("timestamp").between(F.lit(datetime(1997, 6, 1)), F.lit(datetime(1997, 12, 31))))
+    order = [("timestamp", True), ("hash", True)]
+    last = lookup.page_after(period, order, None, 50).select("timestamp", "hash").collect()[-1]
+    return lookup.page_after(period, order, list(last), 50).select("hash", "timestamp", "value")
+
+
 @query("Q4_high_value", """
     select hash, value from tx where value >= 90000 order by value desc, hash limit 100""")
 def _(v):

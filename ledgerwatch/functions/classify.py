@@ -116,6 +116,7 @@ def audit_event_severity(event_type: Column, status: Column) -> Column:
 
 def audit_line(severity, event_type, user_id, action, resource, status, ip) -> Column:
     """One log line; a missing or empty user is shown as anonymous."""
+    # Fixed value: the format of the line.
     user = F.when(F.coalesce(user_id, F.lit("")) != "", user_id).otherwise("anonymous")
     return F.format_string(
         "[AUDIT] %s | %s | User:%s | %s on %s | Status:%s | IP:%s",

@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions.classify import SEVERITIES, severity_rank
 from ledgerwatch.session import require_columns
 
+# Fixed value: an address.
 ADDRESS_PATTERN = "^0x[a-fA-F0-9]{40}$"
-MAX_LOOKUP_HASHES = 1000
+#: Hashes that are still a filter.
+FILTER_HASHES = 1000
 
 
 def page(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows ``skip`` to ``skip + limit`` of an order."""
+    """Rows ``skip`` to ``skip + limit`` of an order.
+
+    Skipped rows come to one place, as in any paging by number; ``after`` (see ``page_after``)
+    reads the next page of a large table without them. Without a limit the rows stay spread
+    over the tasks, so ``skip`` needs one.
+    """
+    if skip and limit is None:
+        raise ValueError("skip needs a limit; use page_after for the rest of a table")
     if skip < 0 or (limit is not None and limit < 0):
         raise ValueError("skip and limit must not be negative")
     ordered = df.orderBy(*order)
@@ -29,6 +38,23 @@ def page(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int | Non
     return ordered if limit is None else ordered.limit(limit)
 
 
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], last: Sequence | None, limit: int) -> DataFrame:
+    """The next ``limit`` rows after a row, in an order of (column, ascending) pairs.
+
+    ``last`` holds that row's values of the ordered columns (None for the first page). The
+    condition reaches the scan, so the tenth million costs what the first page does. The
+    columns must not be null and must tell all rows apart.
+    """
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    beyond, same = F.lit(last is None), F.lit(True)
+    for (name, ascending), value in zip(order, last or ()):
+        col = F.col(name)
+        beyond = beyond | (same & ((col > F.lit(value)) if ascending else (col < F.lit(value))))
+        same = same & (col == F.lit(value))
+    return df.where(beyond).orderBy(*[F.asc(n) if up else F.desc(n) for n, up in order]).limit(limit)
+
+
 def list_rows(
     df: DataFrame, order_by: str | None = None, tie: str = "id", skip: int = 0, limit: int = 100,
 ) -> DataFrame:
@@ -69,12 +95,12 @@ def high_value(tx: DataFrame, minimum: float, limit: int = 100) -> DataFrame:
 
 
 def by_hashes(tx: DataFrame, hashes: Iterable[str]) -> DataFrame:
-    """Up to 1000 hashes as one pushed-down filter."""
+    """Transactions with any of the hashes: few as a pushed-down filter, more as a join."""
     wanted = sorted(set(hashes))
     if not wanted:
         raise ValueError("no hashes given")
-    if len(wanted) > MAX_LOOKUP_HASHES:
-        raise ValueError(f"at most {MAX_LOOKUP_HASHES} hashes per lookup; join a table for more")
+    if len(wanted) > FILTER_HASHES:
+        return members_of(tx, tx.sparkSession.createDataFrame([(h,) for h in wanted], "hash string"))
     return tx.where(F.col("hash").isin(wanted))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,15 +41,17 @@ def typed_transactions(raw: DataFrame) -> DataFrame:
 
 def append_transactions(
     tx: DataFrame, path: str, grain: str = "day", ts: str = "timestamp",
-) -> None:
-    """Append to a table partitioned by time.
+) -> int:
+    """Append to a table partitioned by time; gives the number of rows written.
 
     ``rebalance`` gathers the rows of a period into few files, and splits a period that
     holds too much for one task.
     """
     part = F.date_format(F.col(ts), _GRAINS[grain])
-    dated = tx.withColumn("period", part)
+    written = Observation("append")
+    dated = tx.withColumn("period", part).observe(written, F.count(F.lit(1)).alias("rows"))
     dated.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(path)
+    return int(written.get["rows"])
 
 
 def read_transactions(

@@ -2,12 +2,13 @@
 
 Offsets and duplicate state live in the checkpoint. A micro-batch may be run again after a
 failure, so every sink writes it to a folder named by its number and overwrites: a repeat
-leaves the same rows, once.
+leaves the same rows, once. ``compact`` gathers old folders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerwatch.functions.classify import transaction_severity
 from ledgerwatch.operators import forest
+from ledgerwatch.operators.extras import batch_moments, merge_moments
+from ledgerwatch.operators.stats import BUFFER_SIZE, consumer_lag
 from ledgerwatch.session import state_partitions
 from ledgerwatch.streaming.parse import from_json_text, good_records, rejected_records, validate
 
@@ -49,6 +52,15 @@ class Paths:
     def metrics(self) -> str:
         return f"{self.root}/metrics"
 
+    @property
+    def waiting(self) -> str:
+        """Good rows of batches that came before there was a model."""
+        return f"{self.root}/waiting"
+
+    @property
+    def moments(self) -> str:
+        return f"{self.root}/moments"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -67,7 +79,9 @@ def unique(records: DataFrame, delay: str = "1 day", key: str = "hash", ts: str
     """One record per key among those that arrive within the delay of each other.
 
     The watermark runs on the arrival, not on the time inside the record: arrivals only move
-    forward, so an old record, or one with a wrong clock, is never dropped as late.
+    forward, so an old record, or one with a wrong clock, is never dropped as late. A repeat
+    that arrives more than the delay after the first passes: state must end somewhere, so
+    choose a delay beyond which no sender tries again.
     """
     if not records.isStreaming:
         return records.dropDuplicates([key])
@@ -95,9 +109,23 @@ def anomaly_records(detected: DataFrame) -> DataFrame:
     )
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_SCORED = ("hash", "is_anomaly", "confidence", "anomaly_score", "anomaly", "created_at", "value", "gas", "gasPrice",
+           "from", "to", "timestamp")
+
+
 class BatchScorer:
-    """Scores micro-batches with a given model, or with one fitted on the first batch that
-    has enough rows; until then rows pass as ``unscored``."""
+    """Scores micro-batches with a given model, or with one fitted on the first rows.
+
+    Until ``min_training_rows`` good rows have come, they wait: they are stored, visible as
+    ``unscored``. The batch that completes them fits the model on all of them and scores the
+    waiting batches along with its own, in their own folders. Every step overwrites, and the
+    waiting rows go last, so a batch that runs again repeats it all with the same outcome.
+    """
 
     def __init__(
         self, paths: Paths, contamination: float = 0.01, seed: int = 42,
@@ -108,22 +136,37 @@ class BatchScorer:
         self.paths, self.contamination, self.seed = paths, contamination, seed
         self.min_training_rows, self.model, self.score_fn = min_training_rows, model, score_fn
 
-    def _ready(self, good: DataFrame, rows: int) -> bool:
+    def _waiting(self, spark: SparkSession, before: int) -> DataFrame | None:
+        """Rows of earlier batches that have no score yet."""
+        if self.score_fn is not None or not path_exists(spark, self.paths.waiting):
+            return None
+        return spark.read.parquet(self.paths.waiting).where(F.col("batch_id") < before)
+
+    def _ready(self, good: DataFrame, rows: int, waiting: DataFrame | None) -> bool:
         if self.score_fn is not None or self.model is not None:
             return True
         spark = good.sparkSession
         if path_exists(spark, f"{self.paths.model}/meta"):
             self.model = forest.load(spark, self.paths.model)
-        elif rows >= self.min_training_rows:
-            self.model = forest.fit(good, STREAM_FEATURES, self.contamination, self.seed)
-            forest.save(spark, self.model, self.paths.model)
+        else:
+            every = good if waiting is None else good.unionByName(waiting.drop("batch_id"))
+            if rows + (waiting.count() if waiting is not None else 0) >= self.min_training_rows:
+                self.model = forest.fit(every, STREAM_FEATURES, self.contamination, self.seed)
+                forest.save(spark, self.model, self.paths.model)
         return self.model is not None
 
-    def _detect(self, good: DataFrame) -> DataFrame:
-        return self.score_fn(good) if self.score_fn is not None else forest.detect(good, self.model)
+    def _store(self, good: DataFrame, batch_id: int) -> int:
+        """Score and store rows under the number of their batch; the number of anomalies."""
+        detected = self.score_fn(good) if self.score_fn is not None else forest.detect(good, self.model)
+        stored = detected.withColumns({
+            "is_anomaly": F.col("anomaly") == "anomaly", "created_at": F.current_timestamp()})
+        write_batch(stored.select(*_SCORED), self.paths.predictions, batch_id)
+        kept = good.sparkSession.read.parquet(f"{self.paths.predictions}/batch_id={batch_id}")
+        write_batch(anomaly_records(kept), self.paths.anomalies, batch_id)
+        return kept.where("is_anomaly").count()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        began, spark, kept = time.monotonic(), batch.sparkSession, batch.persist()
         try:
             good, bad = good_records(kept), rejected_records(kept)
             write_batch(bad, self.paths.rejects, batch_id)
@@ -131,46 +174,80 @@ class BatchScorer:
                 F.count_if(F.col("reason").isNull()).alias("good"),
                 F.count_if(F.col("reason").isNotNull()).alias("bad"),
             ).first()
-            flagged = 0
-            if counts["good"] and self._ready(good, counts["good"]):
-                detected = self._detect(good)
-                write_batch(detected.select(
-                    "hash", (F.col("anomaly") == "anomaly").alias("is_anomaly"), "confidence",
-                    "anomaly_score", "anomaly", F.current_timestamp().alias("created_at"),
-                    "value", "gas", "gasPrice", "from", "to", "timestamp",
-                ), self.paths.predictions, batch_id)
-                stored = batch.sparkSession.read.parquet(
-                    f"{self.paths.predictions}/batch_id={batch_id}"
-                )
-                write_batch(anomaly_records(stored), self.paths.anomalies, batch_id)
-                flagged = stored.where("is_anomaly").count()
+            flagged, waiting = 0, self._waiting(spark, batch_id)
+            ready = self._ready(good, counts["good"], waiting)
+            if ready:
+                if counts["good"]:
+                    flagged = self._store(good, batch_id)
+                for row in [] if waiting is None else waiting.select("batch_id").distinct().collect():
+                    early = waiting.where(F.col("batch_id") == row["batch_id"]).drop("batch_id")
+                    flagged += self._store(early, row["batch_id"])
             elif counts["good"]:
+                write_batch(good, self.paths.waiting, batch_id)
                 nothing = F.lit(None).cast("double")
-                write_batch(good.select(
-                    "hash", F.lit(None).cast("boolean").alias("is_anomaly"),
-                    nothing.alias("confidence"), nothing.alias("anomaly_score"),
-                    F.lit("unscored").alias("anomaly"), F.current_timestamp().alias("created_at"),
-                    "value", "gas", "gasPrice", "from", "to", "timestamp",
-                ), self.paths.predictions, batch_id)
-            row = [("processed_success", float(counts["good"])), ("processed_error", float(counts["bad"])),
-                   ("anomalies_detected", float(flagged))]
+                write_batch(good.withColumns({
+                    "is_anomaly": F.lit(None).cast("boolean"), "confidence": nothing, "anomaly_score": nothing,
+                    "anomaly": F.lit("unscored"), "created_at": F.current_timestamp(),
+                }).select(*_SCORED), self.paths.predictions, batch_id)
+            row = [
+                ("processed_success", float(counts["good"])), ("processed_error", float(counts["bad"])),
+                ("anomalies_detected", float(flagged)), ("batches", 1.0),
+                ("batch_millis", 1000 * (time.monotonic() - began)),
+            ]
             write_batch(
-                batch.sparkSession.createDataFrame(row, "metric_name string, metric_value double")
+                spark.createDataFrame(row, "metric_name string, metric_value double")
                 .withColumn("timestamp", F.current_timestamp()).coalesce(1),
                 self.paths.metrics, batch_id,
             )
+            if ready and waiting is not None:
+                remove_path(spark, self.paths.waiting)
         finally:
             kept.unpersist()
 
 
+class MomentKeeper:
+    """Keeps count, mean, squared deviations, min and max of every micro-batch as a state row
+    per feature; ``merged_moments`` is the state of all batches so far."""
+
+    def __init__(self, paths: Paths, columns: Sequence[str]) -> None:
+        self.paths, self.columns = paths, tuple(columns)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch_moments(good_records(batch), self.columns).coalesce(1), self.paths.moments, batch_id)
+
+
+def merged_moments(spark: SparkSession, paths: Paths) -> DataFrame:
+    """The stored states of all micro-batches, combined."""
+    return merge_moments(spark.read.parquet(paths.moments).drop("batch_id"))
+
+
+def compact(spark: SparkSession, path: str, upto: int) -> int:
+    """Gather the folders of batches up to a number into one, so that readers list few files.
+
+    The rows are written to ``batch_id=-1`` beside the old folders first, then moved in; give
+    only batches that cannot run again (their number is below the last committed one).
+    Returns the number of folders gathered.
+    """
+    rows = spark.read.parquet(path)
+    done = [r["batch_id"] for r in rows.where(F.col("batch_id") <= upto).select("batch_id").distinct().collect()]
+    if len(done) < 2:
+        return 0
+    fresh = f"{path}/_compacting"
+    rows.where(F.col("batch_id") <= upto).drop("batch_id").write.mode("overwrite").parquet(fresh)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    system = at(path).getFileSystem(conf)
+    for number in done:
+        system.delete(at(f"{path}/batch_id={number}"), True)
+    system.rename(at(fresh), at(f"{path}/batch_id=-1"))
+    return len(done)
+
+
 def start(
     messages: DataFrame, scorer: BatchScorer, delay: str = "1 day", available_now: bool = True,
     arrived: Column | None = None, every: str = "5 seconds",
 ) -> StreamingQuery:
-    """Start the job. ``available_now`` drains what is there, in bounded batches, and ends.
-
-    A rejected record may have no hash, so it is compared by its text.
-    """
+    """Start the job. ``available_now`` drains what is there, in bounded batches, and ends."""
     records = unique_good(parsed(messages, arrived), delay)
     writer = records.writeStream.foreachBatch(scorer).option(
         "checkpointLocation", scorer.paths.checkpoint
@@ -181,15 +258,9 @@ def start(
 
 
 def unique_good(records: DataFrame, delay: str) -> DataFrame:
-    """Repeats removed among good records; a rejected one counts as its own text."""
-    marked = records.withColumn("_id", F.when(F.col("reason").isNull(), F.col("hash")).otherwise(
-        F.concat(F.lit("rejected "), F.coalesce("raw", F.lit("")))
-    ))
-    return unique(marked, delay, "_id").drop("_id")
-
-
-def read_sink(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Repeats removed among good records; every rejected one stays, however often it comes."""
+    good = unique(records.where(F.col("reason").isNull()), delay)
+    return good.unionByName(records.where(F.col("reason").isNotNull()))
 
 
 # -- counts over event time --------------------------------------------------------------
@@ -218,33 +289,44 @@ def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         return writer.start()
 
 
-# -- status ------------------------------------------------------------------------------
+def append_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Give every micro-batch to a sink that stores it under its number, until the input is used up."""
+    writer = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    with state_partitions(df.sparkSession):
+        return writer.trigger(availableNow=True).start()
 
 
-def progress_rows(query: StreamingQuery) -> list[tuple]:
-    """(batch, rows, rows per second, milliseconds) of the recent micro-batches."""
-    return [
-        (
-            int(p["batchId"]), int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0),
-            int((p.get("durationMs") or {}).get("triggerExecution", 0)),
-        )
-        for p in query.recentProgress
-    ]
+# -- status ------------------------------------------------------------------------------
 
 
-def status_table(spark: SparkSession, query: StreamingQuery, paths: Paths) -> DataFrame:
-    """Processed rows, errors and anomalies of the job beside its progress."""
-    totals = spark.read.parquet(paths.metrics).groupBy("metric_name").agg(
+def status_table(
+    spark: SparkSession, paths: Paths, progress: dict | None = None, live: DataFrame | None = None,
+    max_size: int = BUFFER_SIZE,
+) -> DataFrame:
+    """Totals of the whole run, from the metrics that each batch stored: processed rows,
+    errors, anomalies, batches, the slowest batch; from the last progress report of a Kafka
+    source the lag over all partitions; from a live view its size and share of the bound.
+    """
+    stored = spark.read.parquet(paths.metrics)
+    totals = stored.where("metric_name <> 'batch_millis'").groupBy("metric_name").agg(
         F.sum("metric_value").alias("metric_value")
     )
-    progress = spark.createDataFrame(
-        progress_rows(query), "batch_id long, rows long, rows_per_second double, millis long"
-    )
-    speed = progress.agg(
-        F.count(F.lit(1)).cast("double").alias("batches"), F.sum("rows").cast("double").alias("input_rows"),
-        F.max("millis").cast("double").alias("slowest_batch_millis"),
-    ).unpivot([], ["batches", "input_rows", "slowest_batch_millis"], "metric_name", "metric_value")
-    return totals.unionByName(speed)
+    rows = stored.where("metric_name like 'processed%'").agg(F.sum("metric_value").alias("metric_value"))
+    slowest = stored.where("metric_name = 'batch_millis'").agg(F.max("metric_value").alias("metric_value"))
+    table = totals.unionByName(rows.withColumn("metric_name", F.lit("input_rows"))).unionByName(
+        slowest.withColumn("metric_name", F.lit("slowest_batch_millis")))
+    if progress is not None:
+        offsets = spark.createDataFrame(
+            kafka_offsets(progress), "topic string, partition int, position long, end_offset long")
+        lag = consumer_lag(offsets).where("partition >= 0").agg(F.coalesce(F.sum("lag"), F.lit(0)).cast("double").alias("metric_value"))
+        table = table.unionByName(lag.withColumn("metric_name", F.lit("consumer_lag")))
+    if live is not None:
+        size = live.agg(F.count(F.lit(1)).cast("double").alias("n"))
+        table = table.unionByName(size.select(F.inline(F.array(
+            F.struct(F.lit("buffer_size").alias("metric_name"), F.col("n").alias("metric_value")),
+            F.struct(F.lit("buffer_utilization").alias("metric_name"), (F.col("n") / F.lit(max_size)).alias("metric_value")),
+        ))))
+    return table
 
 
 def kafka_offsets(progress: dict) -> list[tuple]:

@@ -66,19 +66,59 @@ def test_restart_neither_loses_nor_repeats(spark, tmp_path):
     rows = spark.read.parquet(paths.predictions)
     assert first == 300
     assert rows.count() == rows.select("hash").distinct().count() == 450
-    status = {r.metric_name: r.metric_value for r in job.status_table(spark, running, paths).collect()}
+    status = {r.metric_name: r.metric_value for r in job.status_table(spark, paths).collect()}
     assert status["processed_success"] == 450
 
 
-def test_cold_start_passes_rows_unscored_until_enough(spark, tmp_path):
+def test_early_rows_wait_and_are_scored_later(spark, tmp_path):
     write_messages(tmp_path / "in", 0, 100)
     paths, _ = run(spark, tmp_path / "in", tmp_path / "job", 1)
     assert {r.anomaly for r in spark.read.parquet(paths.predictions).collect()} == {"unscored"}
-    write_messages(tmp_path / "in", 100, 400)
+    write_messages(tmp_path / "in", 100, 60)
+    run(spark, tmp_path / "in", tmp_path / "job", 1)
+    write_messages(tmp_path / "in", 160, 340)
     paths, _ = run(spark, tmp_path / "in", tmp_path / "job", 1)
-    labels = spark.read.parquet(paths.predictions).groupBy("anomaly").count().collect()
-    assert {r.anomaly: r["count"] for r in labels}["unscored"] == 100 and len(labels) > 1
-    assert forest.load(spark, paths.model).features == job.STREAM_FEATURES
+    rows = spark.read.parquet(paths.predictions)
+    assert {r.anomaly for r in rows.collect()} == {"normal", "anomaly"}
+    assert rows.count() == rows.select("hash").distinct().count() == 500
+    assert not job.path_exists(spark, paths.waiting)
+    model = forest.load(spark, paths.model)
+    assert model.features == job.STREAM_FEATURES
+    status = {r.metric_name: r.metric_value for r in job.status_table(spark, paths).collect()}
+    assert status["anomalies_detected"] == rows.where("is_anomaly").count() == spark.read.parquet(paths.anomalies).count() > 0
+    assert status["processed_success"] == 500 and status["batches"] >= 3
+
+
+def test_equal_bad_records_all_count(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = json.dumps({"hash": "0x1", "value": "1", "gas": "2", "gasPrice": "3"})
+    (tmp_path / "in" / "a.txt").write_text("\n".join(["broken"] * 5 + [good] * 3) + "\n")
+    paths, _ = run(spark, tmp_path / "in", tmp_path / "job", None)
+    assert spark.read.parquet(paths.rejects).count() == 5
+    status = {r.metric_name: r.metric_value for r in job.status_table(spark, paths).collect()}
+    assert (status["processed_error"], status["processed_success"], status["input_rows"]) == (5, 1, 6)
+
+
+def test_status_remembers_all_batches(spark, tmp_path):
+    """More batches than a progress list keeps."""
+    paths = job.Paths(str(tmp_path / "job"))
+    rows = [(k, name, value) for k in range(150) for name, value in
+            (("processed_success", 2.0), ("processed_error", 1.0), ("batches", 1.0), ("batch_millis", float(k)))]
+    df = spark.createDataFrame(rows, "batch_id int, metric_name string, metric_value double").withColumn("timestamp", F.current_timestamp())
+    df.write.partitionBy("batch_id").parquet(paths.metrics)
+    status = {r.metric_name: r.metric_value for r in job.status_table(spark, paths).collect()}
+    assert status == {"processed_success": 300, "processed_error": 150, "batches": 150, "input_rows": 450, "slowest_batch_millis": 149}
+
+
+def test_compaction_keeps_rows(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    for k in range(5):
+        job.write_batch(spark.range(k * 10, k * 10 + 10), path, k)
+    assert job.compact(spark, path, 3) == 4
+    rows = spark.read.parquet(path)
+    assert sorted(r.id for r in rows.collect()) == list(range(50))
+    assert {r.batch_id for r in rows.select("batch_id").distinct().collect()} == {-1, 4}
+    assert job.compact(spark, path, 3) == 0
 
 
 def test_a_repeated_batch_overwrites_itself(spark, tmp_path):
