@@ -1,8 +1,9 @@
 """Byte-level BPE by a hierarchical bitmap over merge ranks.
 
 A pre-token is a linked list of byte ranges. The bucket of a rank holds the list positions
-whose pair merges at this rank; a bitmap of three levels marks the buckets in use, so the
-next rank is three find-first-set steps away however long the pre-token is. A position is
+whose pair merges at this rank; a bitmap of two levels (words of 256 ranks, and a word that
+marks those in use) tells which buckets hold something, so the next rank is two
+find-first-set steps away however long the pre-token is. A position is
 stale if its pair has changed since it was put in; stale ones are skipped when they come up.
 Work is O(n log n) at most in the bytes of a pre-token.
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 import base64
 import re
 from heapq import heappop, heappush
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerwatch.llm.common import ids_and_texts, text_blocks, worker_value
 
 #: Pieces kept by a worker, and the longest piece that is kept.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 1_000_000
 KEPT_CHARS = 64
 
+_BIT = [1 << i for i in range(256)]
+
 #: Cuts that no match of the split pattern crosses.
 cut = re.compile(r" (?=[^\s᠎​﻿])").split
 
@@ -41,8 +44,7 @@ class Ranks:
         self.bytes_of = {r: b for b, r in self.ranks.items()}
         self.matches = regex.compile(pattern).findall
         self.heads, self.tails, self.tokens = {}, {}, {}
-        words = max(self.ranks.values(), default=0) // 64 + 1
-        self._leaf, self._mid = [0] * words, [0] * (words // 64 + 1)
+        self._leaf = [0] * (max(self.ranks.values(), default=0) // 256 + 1)
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -50,58 +52,63 @@ class Ranks:
         whole = ranks.get(raw)
         if whole is not None:
             return [whole]
-        get, n = ranks.get, len(raw)
-        leaf, mid, top = self._leaf, self._mid, 0
-        buckets: dict[int, list[int]] = {}
+        get, n, bit = ranks.get, len(raw), _BIT
+        leaf, top, buckets = self._leaf, 0, {}
         after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
         for i in range(n - 1):
-            r = get(raw[i : i + 2], -1)
-            if r >= 0:
+            r = get(raw[i : i + 2])
+            if r is not None:
                 pair[i] = r
                 if r in buckets:
                     buckets[r].append(i)
                 else:
                     buckets[r] = [i]
-                    w = r >> 6
-                    leaf[w] |= 1 << (r & 63)
-                    mid[w >> 6] |= 1 << (w & 63)
-                    top |= 1 << (w >> 6)
+                    w = r >> 8
+                    leaf[w] |= bit[r & 255]
+                    top |= 1 << w
         while top:
-            m = (top & -top).bit_length() - 1
-            w = (m << 6) + (mid[m] & -mid[m]).bit_length() - 1
-            r = (w << 6) + (leaf[w] & -leaf[w]).bit_length() - 1
+            w = (top & -top).bit_length() - 1
+            word = leaf[w]
+            r = (w << 8) + (word & -word).bit_length() - 1
             bucket = buckets[r]
             i = heappop(bucket)
             if not bucket:
                 del buckets[r]
-                leaf[w] &= leaf[w] - 1
-                if not leaf[w]:
-                    mid[m] &= mid[m] - 1
-                    if not mid[m]:
-                        top &= top - 1
+                leaf[w] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if pair[i] != r:
                 continue
             j = after[i]
             k = after[j]
-            after[i], pair[j] = k, -1
+            after[i] = k
+            pair[j] = pair[i] = -1
             if k < n:
                 before[k] = i
-                pair[i] = q = get(raw[i : after[k]], -1)
-            else:
-                pair[i] = q = -1
+                q = get(raw[i : after[k]])
+                if q is not None:
+                    pair[i] = q
+                    if q in buckets:
+                        heappush(buckets[q], i)
+                    else:
+                        buckets[q] = [i]
+                        w = q >> 8
+                        leaf[w] |= bit[q & 255]
+                        top |= 1 << w
             p = before[i]
-            for at, q in ((i, q), (p, get(raw[p:k], -1))) if p >= 0 else ((i, q),):
-                pair[at] = q
-                if q < 0:
-                    continue
-                if q in buckets:
-                    heappush(buckets[q], at)
+            if p >= 0:
+                q = get(raw[p:k])
+                if q is None:
+                    pair[p] = -1
                 else:
-                    buckets[q] = [at]
-                    w = q >> 6
-                    leaf[w] |= 1 << (q & 63)
-                    mid[w >> 6] |= 1 << (w & 63)
-                    top |= 1 << (w >> 6)
+                    pair[p] = q
+                    if q in buckets:
+                        heappush(buckets[q], p)
+                    else:
+                        buckets[q] = [p]
+                        w = q >> 8
+                        leaf[w] |= bit[q & 255]
+                        top |= 1 << w
         ids, i = [], 0
         while i < n:
             ids.append(ranks[raw[i : after[i]]])
@@ -114,13 +121,14 @@ class Ranks:
         for t in self.matches(piece):
             ids = tokens.get(t)
             if ids is None:
-                ids = self.merge(t.encode())
+                found = self.merge(t.encode())
+                ids = pack(f"<{len(found)}I", *found)
                 if len(t) <= KEPT_CHARS:
                     if len(tokens) >= KEPT_PIECES:
                         tokens.clear()
                     tokens[t] = ids
             out.append(ids)
-        return np.fromiter(chain.from_iterable(out), "<u4").tobytes()
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -131,7 +139,7 @@ class Ranks:
         if len(tails) >= KEPT_PIECES:
             tails.clear()
         extra = {}
-        for t in set(rest) - tails.keys():
+        for t in [t for t in set(rest) if t not in tails]:
             (tails if len(t) <= KEPT_CHARS else extra)[t] = self.piece(f" {t}")
         if extra:
             return self.piece(head) + b"".join([tails[t] if t in tails else extra[t] for t in rest])
