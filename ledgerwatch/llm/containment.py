@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerwatch.llm.common import ids_and_texts, send, text_blocks
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 FOUND = "id long, item long, n_shingles long, n_shared long, containment double, first_word long, last_word long"

@@ -1,12 +1,12 @@
 """Quality rules under weak supervision, in DataFrame and SQL functions only.
 
-Each rule votes for a text (1), against it (-1) or abstains (0). Expectation-maximisation
-over all texts that pass the base rules estimates the share of good texts and, for good and for bad ones, how often
-each rule is right when it votes; a text is kept if its posterior probability of being good
-is at least one half. So a vote weighs by what it tells: one against, from a rule that
-hardly ever errs on good texts, outweighs many that nearly all texts get. The votes of m
-rules make at most 3^m patterns, so the estimation works on counts of patterns in one row,
-whatever the number of texts.
+Each rule votes for a text (1), against it (-1) or abstains (0). Texts are good, or bad in one
+of a few ways; expectation-maximisation over all texts that pass the base rules estimates the
+share of each class and how often each rule is right about it when it votes. A text is kept if
+its posterior probability of being good is at least one half. So a vote weighs by what it
+tells: two against, from rules that agree on one way of being bad, outweigh many that nearly
+all texts get. The votes of m rules make at most 3^m patterns, so the estimation works on
+counts of patterns in one row, whatever the number of texts.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ SYMBOLS = "#*$%&|<>"
 _MARK = f"[^\\p{{L}}\\p{{M}}\\p{{N}}{SPACE}]"
 WINDOW = 5
 ROUNDS = 40
-#: Before the first round: share of good texts, accuracy on good texts and on bad ones; bounds of all three.
-GOOD, ON_GOOD, ON_BAD, LEAST, MOST = 0.8, 0.9, 0.6, 0.02, 0.98
+#: The ways of being bad, by rules that vote against such texts.
+WAYS = (("symbols", "marks"), ("repeated_lines", "repeated_words"), ("capitals", "sentences", "word_length"))
+#: Before the first round: share of good texts; how often a rule votes against a good text, a bad one of its
+#: way, and another bad one. Bounds of all, and the most that a rule may err on good texts.
+GOOD, ON_GOOD, ITS_WAY, OTHER_WAY, LEAST, MOST, MOST_ON_GOOD = 0.85, 0.05, 0.9, 0.15, 0.01, 0.99, 0.5
 
 #: Rule, measure, condition for a vote for, condition for a vote against; otherwise it abstains.
 RULES = (
@@ -55,6 +58,9 @@ def _without(text: str, chars: str) -> Column:
 def measures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Counts of every whole text: ``id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_ends, n_upper, n_marks``.
 
+    Store the result before filtering on it (as ``judged`` does): a pushed-down filter would
+    compute the arrays of words anew for each of their elements.
+
     Words lie between ASCII white space. ``n_lines`` are lines with a word, ``n_dup_lines``
     those equal to an earlier one, ``n_repeat_words`` the words in 5-word windows that occur
     twice or more, ``n_marks`` the characters that are no letters, digits or blanks. Null texts are empty and count 0 everywhere.
@@ -88,38 +94,45 @@ def votes(measured: DataFrame) -> DataFrame:
     return measured.withColumn("votes", F.expr(f"array({', '.join(vote(m, g, b) for _, m, g, b in RULES)})"))
 
 
+def starting_rates() -> tuple[list[float], list[list[float]]]:
+    """Shares of the classes, good texts first, and how often each rule votes against each class."""
+    names = [name for name, *_ in RULES]
+    return ([GOOD] + [(1 - GOOD) / len(WAYS)] * len(WAYS),
+            [[ON_GOOD] * len(names)] + [[ITS_WAY if n in way else OTHER_WAY for n in names] for way in WAYS])
+
+
 def accuracies(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row with ``model``: the share of good texts and each rule's accuracy on good and on
-    bad ones, after ``rounds`` rounds.
+    """One row with ``model``: the classes' shares and each rule's rate of votes against each
+    class, after ``rounds`` rounds; a rule is right about good texts one time less that rate.
 
     Counts of vote patterns are aggregated before and after one shuffle; their number is at
-    most 3 to the number of rules. A rule's accuracy counts only the texts it votes on.
+    most 3 to the number of rules. A rate counts only the texts that a rule votes on, and two
+    more at the rate it began with.
     """
-    m = len(RULES)
+    m, (shares, rates) = len(RULES), starting_rates()
+    classes = len(shares)
     patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     gathered = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p"))
-    start = f"named_struct('good', {GOOD}D, 'on_good', array_repeat({ON_GOOD}D, {m}), 'on_bad', array_repeat({ON_BAD}D, {m}))"
-
-    def total(weight: str) -> str:
-        return f"aggregate(sequence(0, size(p) - 1), 0D, (a, k) -> a + {weight})"
-
-    def share(part: str, whole: str) -> str:
-        return f"least({MOST}D, greatest({LEAST}D, ({part} + 0.5D) / ({whole} + 1D)))"
-
-    on_good = share(total("if(p[k].votes[j] = 1, p[k].n * q[k], 0D)"), total("if(p[k].votes[j] = 0, 0D, p[k].n * q[k])"))
-    on_bad = share(total("if(p[k].votes[j] = -1, p[k].n * (1 - q[k]), 0D)"), total("if(p[k].votes[j] = 0, 0D, p[k].n * (1 - q[k]))"))
+    listed = lambda xs: f"array({', '.join(f'{x!r}D' for x in xs)})"
+    first = f"array({', '.join(listed(r) for r in rates)})"
+    start = f"named_struct('share', {listed(shares)}, 'against', {first})"
+    total = "aggregate(sequence(0, size(p) - 1), 0D, (a, k) -> a + {})".format
+    share = f"least({MOST}D, greatest({LEAST}D, ({total('p[k].n * q[k][c]')} + 0.5D) / ({total('p[k].n')} + 1D)))"
+    against = f"""({total('if(p[k].votes[j] = -1, p[k].n * q[k][c], 0D)')} + 2D * begun[c][j])
+      / ({total('if(p[k].votes[j] = 0, 0D, p[k].n * q[k][c])')} + 2D)"""
     step = f"""(s, r) -> get(transform(array(transform(p, x -> {_posterior("x.votes", "s")})), q -> named_struct(
-      'good', {share(total("p[k].n * q[k]"), total("p[k].n"))},
-      'on_good', transform(sequence(0, {m - 1}), j -> {on_good}), 'on_bad', transform(sequence(0, {m - 1}), j -> {on_bad}))), 0)"""
-    return gathered.select(F.expr(f"case when size(p) = 0 then {start} else aggregate(sequence(1, {rounds}), {start}, {step}) end").alias("model"))
+      'share', transform(sequence(0, {classes - 1}), c -> {share}),
+      'against', transform(sequence(0, {classes - 1}), c -> transform(sequence(0, {m - 1}), j ->
+        least(if(c = 0, {MOST_ON_GOOD}D, {MOST}D), greatest({LEAST}D, {against})))))), 0)"""
+    em = f"get(transform(array({first}), begun -> aggregate(sequence(1, {rounds}), {start}, {step})), 0)"
+    return gathered.select(F.expr(f"case when size(p) = 0 then {start} else {em} end").alias("model"))
 
 
 def _posterior(votes_of: str, model: str) -> str:
-    """Probability of a good text from its votes, the votes taken to be independent given the truth."""
-    weight = (f"case {votes_of}[v] when 1 then ln({model}.on_good[v] / (1 - {model}.on_bad[v])) "
-              f"when -1 then ln((1 - {model}.on_good[v]) / {model}.on_bad[v]) else 0D end")
-    odds = f"aggregate(sequence(0, {len(RULES) - 1}), ln({model}.good / (1 - {model}.good)), (o, v) -> o + {weight})"
-    return f"1 / (1 + exp(-({odds})))"
+    """Probabilities of the classes from a text's votes, taken to be independent given the class."""
+    weight = (f"case {votes_of}[v] when -1 then ln({model}.against[d][v]) when 1 then ln(1 - {model}.against[d][v]) else 0D end")
+    logs = f"transform({model}.share, (h, d) -> aggregate(sequence(0, {len(RULES) - 1}), ln(h), (o, v) -> o + {weight}))"
+    return f"get(transform(array({logs}), l -> transform(l, e -> 1 / aggregate(l, 0D, (z, f) -> z + exp(f - e)))), 0)"
 
 
 def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,5 +147,5 @@ def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     voted = votes(measures(df, id_col, text_col)).withColumn("base_failed", failed)
     voted = materialise(voted, "quality-votes")
     scored = voted.withColumn("model", accuracies(voted.filter("not base_failed")).scalar())
-    scored = scored.withColumn("posterior", F.expr(_posterior("votes", "model"))).drop("model")
+    scored = scored.withColumn("posterior", F.expr(f"get({_posterior('votes', 'model')}, 0)")).drop("model")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))

@@ -87,21 +87,21 @@ def byte_bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality_sql() -> str:
     """The quality query in SQL: measures, votes, then expectation-maximisation as a recursive query."""
-    from ledgerwatch.llm.quality_votes import GOOD, LEAST, MOST, ON_BAD, ON_GOOD, ROUNDS, RULES
+    from ledgerwatch.llm.quality_votes import LEAST, MOST, MOST_ON_GOOD, ROUNDS, RULES, starting_rates
 
-    numbers = range(1, len(RULES) + 1)
+    numbers, (shares, rates) = range(1, len(RULES) + 1), starting_rates()
+    classes = range(1, len(shares) + 1)
     votes = ", ".join(
         f"case when n_words = 0 then 0 when {good.replace('x ', f'({m}) ')} then 1 when {bad.replace('x ', f'({m}) ')} then -1 else 0 end"
         for _, m, good, bad in RULES)
-    odds = "ln(good / (1 - good)) + " + " + ".join(
-        f"case votes[{j}] when 1 then ln(on_good[{j}] / (1 - on_bad[{j}])) when -1 then ln((1 - on_good[{j}]) / on_bad[{j}]) else 0 end"
-        for j in numbers)
-
-    def share(part: str, whole: str) -> str:
-        return f"least({MOST}, greatest({LEAST}, (sum({part}) + 0.5e0) / (sum({whole}) + 1e0)))"
-
-    on_good = ", ".join(share(f"if(votes[{j}] = 1, n * q, 0e0)", f"if(votes[{j}] = 0, 0e0, n * q)") for j in numbers)
-    on_bad = ", ".join(share(f"if(votes[{j}] = -1, n * (1 - q), 0e0)", f"if(votes[{j}] = 0, 0e0, n * (1 - q))") for j in numbers)
+    logs = [f"ln(share[{c}]) + " + " + ".join(
+        f"case votes[{j}] when -1 then ln(against[{c}][{j}]) when 1 then ln(1 - against[{c}][{j}]) else 0 end" for j in numbers) for c in classes]
+    chances = "[" + ", ".join("1 / (" + " + ".join(f"exp(least(700, l{f} - l{c}))" for f in classes) + ")" for c in classes) + "]"
+    named_logs = ", ".join(f"{x} as l{c}" for c, x in zip(classes, logs))
+    new_share = ", ".join(f"least({MOST}, greatest({LEAST}, (sum(n * q[{c}]) + 0.5e0) / (sum(n) + 1e0)))" for c in classes)
+    new_rates = ", ".join("[" + ", ".join(
+        f"least({MOST_ON_GOOD if c == 1 else MOST}, greatest({LEAST}, (sum(if(votes[{j}] = -1, n * q[{c}], 0e0)) + {2 * rates[c - 1][j - 1]!r}e0)"
+        f" / (sum(if(votes[{j}] = 0, 0e0, n * q[{c}])) + 2e0)))" for j in numbers) + "]" for c in classes)
     return f"""
 with recursive words as (
   select doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words,
@@ -122,15 +122,15 @@ with recursive words as (
   from words left join repeated using (doc_id)
 ), voted as (select *, [{votes}] as votes, n_words < 10 or 100 * n_repeat_words > 20 * n_words as failed from measured
 ), patterns as (select votes, cast(count(*) as double) as n from voted where not failed group by votes
-), em(r, good, on_good, on_bad) as (
-  select 0, {GOOD}e0, [{", ".join([f"{ON_GOOD}e0"] * len(RULES))}], [{", ".join([f"{ON_BAD}e0"] * len(RULES))}]
+), em(r, share, against) as (
+  select 0, [{", ".join(f"{x!r}e0" for x in shares)}], [{", ".join("[" + ", ".join(f"{x!r}e0" for x in row) + "]" for row in rates)}]
   union all
-  select any_value(r) + 1, {share("n * q", "n")}, [{on_good}], [{on_bad}]
-  from (select r, n, votes, 1 / (1 + exp(-({odds}))) as q from em, patterns where r < {ROUNDS}) having count(*) > 0
+  select any_value(r) + 1, [{new_share}], [{new_rates}]
+  from (select r, n, votes, {chances} as q from (select r, n, votes, {named_logs} from em, patterns where r < {ROUNDS})) having count(*) > 0
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed,
-       not failed and 1 / (1 + exp(-({odds}))) >= 0.5 as kept
-from voted, (select good, on_good, on_bad from em where r = {ROUNDS})
+       not failed and ({chances})[1] >= 0.5 as kept
+from (select *, {named_logs} from voted, (select share, against from em where r = {ROUNDS}))
 """
 
 
