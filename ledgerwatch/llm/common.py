@@ -8,6 +8,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -56,6 +57,47 @@ def text_blocks(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iter
             yield ids.slice(at, step).to_pylist(), texts.slice(at, step).to_pylist()
 
 
+_ODD = 0x9E3779B97F4A7C15
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """Powers 0 to n-1 of an odd base, modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, dtype=np.uint64)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each range of some bytes; ranges are in order and don't overlap.
+
+    Sums of bytes times powers, taken back to the range's start, and mixed. Works on ``chunk``
+    bytes at a time (on a longer range at once).
+    """
+    out = np.zeros(len(starts), np.uint64)
+    up = down = powers(0, _ODD)
+    at = 0
+    while at < len(starts):  # as many whole ranges as fit
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + chunk, "right")))
+        base, size = starts[at], int(ends[to - 1] - starts[at])
+        if size > len(up):
+            up, down = powers(size + 1, _ODD), powers(size + 1, pow(_ODD, -1, 1 << 64))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((data[base : base + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+        out[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * down[starts[at:to] - base]
+        at = to
+    return mixed(out)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def ragged(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of several ranges, one behind the other."""
+    return np.repeat(offsets - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
 def send(spark: SparkSession, value) -> Callable[[], object]:
     """Broadcast a bounded value with the code of its class; the result gives it back in a task."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -72,6 +114,19 @@ def send(spark: SparkSession, value) -> Callable[[], object]:
     return get
 
 
+def byte_blocks(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Ids, UTF-8 bytes and offsets of texts, without a Python string; blocks as ``text_blocks`` makes them."""
+    for batch in batches:
+        ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "text"))
+        texts, n = texts.cast(pa.large_string()), batch.num_rows
+        step = max(1, min(n, limit * max(1, n) // max(1, texts.nbytes)))
+        for at in range(0, n, step):
+            part = texts.slice(at, step)
+            offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+            data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            yield ids.slice(at, step).to_pylist(), data, offsets - offsets[0]
+
+
 def file_system(uri: str):
     """The file system of a folder and the folder's path in it, on the driver or an executor."""
     from pyarrow import fs

@@ -13,15 +13,15 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerwatch.llm.byte_bpe import KEPT_CHARS, KEPT_PIECES, cut
 from ledgerwatch.llm.common import (
-    file_system, ids_and_texts, per_row_task, shared_folder, text_blocks, unique_name, worker_value,
+    byte_blocks, file_system, ids_and_texts, per_row_task, ragged, range_hashes, shared_folder, unique_name, worker_value,
 )
 from ledgerwatch.session import materialise
 
@@ -29,6 +29,10 @@ MAGIC = b"EFTOKEN1"
 HEADER = "<8sBBxxxxxxQQQQQ"  # magic, id width, low bits, documents, ids, bytes of the three parts
 SAMPLE = 256
 BLOCK_IDS = 1 << 20
+#: Pieces that the library encodes in one call, and pieces and their bytes that a worker keeps.
+TOGETHER, KEPT_PIECES, KEPT_BYTES = 4096, 1_500_000, 64 << 20
+#: Pieces that make one text for the library.
+JOINED = 64
 
 
 class EliasFano:
@@ -134,8 +138,48 @@ class TokenFile:
             at, start = at + keep, int(ends[-1])
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces of texts in UTF-8 begin: at each text, and at each space that a non-space follows.
+
+    No match of the split pattern crosses such a place. Where the next character is outside
+    ASCII and its first two bytes could be those of a space, there is no cut.
+    """
+    padded = np.concatenate([data, np.zeros(2, np.uint8)])
+    one, two = padded[1:-1], padded[2:]
+    space = (data == 32) & ~_BLANK[one]
+    for lead, seconds in _SPACE_LEADS:
+        odd = np.flatnonzero(space & (one == lead))
+        space[odd[np.isin(two[odd], seconds)]] = False
+    last = offsets[1:][offsets[1:] > offsets[:-1]] - 1  # a space that ends a text is not cut off
+    space[last] = False
+    space[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    return np.flatnonzero(space)
+
+
+# White space in ASCII, and the first two bytes of white space and the like outside it.
+_BLANK = np.isin(np.arange(256), [0, *range(9, 14), *range(28, 33)])
+_SPACE_LEADS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,)))
+
+
+class Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, dtype):
+        self.all, self.n = np.zeros(1 << 16, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.zeros(max(len(self.all), 2 * len(values)), self.all.dtype)])
+        self.all[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Pieces:
-    """Ids of pieces from the tokenizers library, kept for pieces met before."""
+    """Ids of texts from the tokenizers library, which sees each new piece once.
+
+    Pieces are found and told apart by hash in numpy; every piece's bytes are compared with
+    those of the kept one, so a collision cannot give wrong ids.
+    """
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
@@ -143,24 +187,94 @@ class Pieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kept: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], dtype: str) -> list[bytes]:
-        kept, split = self.kept, [cut(t) if t else [] for t in texts]
-        if len(kept) >= KEPT_PIECES:
-            kept.clear()
-        tails, long = set(), {}
-        for parts in split:
-            tails.update(parts[1:])
-        new = [t for t in tails if t not in kept]
-        heads = [parts[0] for parts in split if parts]
-        coded = self.tokenizer.encode_batch_fast([f" {t}" for t in new] + heads, add_special_tokens=False)
-        for t, x in zip(new, coded):
-            (kept if len(t) <= KEPT_CHARS else long)[t] = np.array(x.ids, dtype).tobytes()
-        first = iter([np.array(x.ids, dtype).tobytes() for x in coded[len(new) :]])
-        if long:
-            return [next(first) + b"".join([kept[t] if t in kept else long[t] for t in p[1:]]) if p else b"" for p in split]
-        return [next(first) + b"".join(map(kept.__getitem__, p[1:])) if p else b"" for p in split]
+        vocabulary_of = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary_of.values()) + 1, np.int64)
+        for token, i in vocabulary_of.items():  # a character of a byte-level token stands for a byte
+            self.bytes_of[i] = len(token)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.ids, self.bytes, self.hashes, self.uses = Grown(f"<u{self.width}"), Grown(np.uint8), Grown(np.uint64), Grown(np.int64)
+        self.id_at, self.id_n, self.byte_at, self.byte_n = (Grown(np.int64) for _ in range(4))
+
+    def _shrink(self) -> None:
+        """Forget the pieces met least, at least half of all."""
+        n = len(self.slots)
+        uses = self.uses.all[:n]
+        keep = np.flatnonzero(uses > max(1, np.median(uses)))
+        old = {k: getattr(self, k) for k in ("ids", "bytes", "hashes", "uses", "id_at", "id_n", "byte_at", "byte_n")}
+        self.clear()
+        for values, at, sizes in (("ids", "id_at", "id_n"), ("bytes", "byte_at", "byte_n")):
+            lengths = old[sizes].all[keep]
+            getattr(self, values).add(old[values].all[ragged(old[at].all[keep], lengths)])
+            getattr(self, at).add(np.cumsum(lengths) - lengths)
+            getattr(self, sizes).add(lengths)
+        self.uses.add(uses[keep] // 2)
+        self.hashes.add(old["hashes"].all[keep])
+        self.slots = dict(zip(self.hashes.all[: len(keep)].tolist(), range(len(keep))))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several texts, ``end_id`` behind each, and the number of ids of each."""
+        if len(self.slots) >= KEPT_PIECES or self.bytes.n >= KEPT_BYTES:
+            self._shrink()
+        starts = cuts(data, offsets)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        unique, first, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        slot = np.array([self.slots.get(h, -1) for h in unique.tolist()], np.int64)
+        new = np.flatnonzero(slot < 0)
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            slot[part] = self._add(data, starts[first[part]], ends[first[part]], unique[part])
+        self.uses.all[slot] += np.bincount(which, minlength=len(slot))
+        slot = slot[which]
+        own = ragged(self.byte_at.all[slot], self.byte_n.all[slot])
+        sizes = self.byte_n.all[slot]
+        if not (np.array_equal(sizes, ends - starts) and np.array_equal(self.bytes.all[own], data)):
+            return self._plainly(data, offsets, end_id)  # two pieces with one hash
+        lengths = self.id_n.all[slot]
+        ids = self.ids.all[ragged(self.id_at.all[slot], lengths)]
+        upto = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, offsets)]
+        return np.insert(ids, upto[1:], end_id), np.diff(upto) + 1
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        n, byte_n = len(self.slots), ends - starts
+        raw = data[ragged(starts, byte_n)]
+        # Pieces that begin with a space before a plain character may follow one another in one text.
+        second = data[np.minimum(starts + 1, len(data) - 1)]
+        follows = (byte_n > 1) & (data[starts] == 32) & ~_BLANK[second] & ~np.isin(second, [lead for lead, _ in _SPACE_LEADS])
+        run = np.cumsum(~follows)
+        place = np.arange(len(run)) - np.searchsorted(run, run)  # within pieces that follow
+        first = np.flatnonzero(~follows | (place % JOINED == 0))
+        first = first if len(first) and first[0] == 0 else np.concatenate(([0], first))
+        stops = np.cumsum(byte_n)
+        text_ends = stops[np.append(first[1:], len(stops)) - 1]
+        text_starts = np.concatenate(([0], text_ends[:-1]))
+        blob = raw.tobytes()
+        texts = [blob[a:b].decode() for a, b in zip(text_starts.tolist(), text_ends.tolist())]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), self.ids.all.dtype)
+        reached = np.cumsum(self.bytes_of[ids])
+        upto = np.searchsorted(reached, stops, "right")  # ids that end within each piece or before
+        if not np.array_equal(np.concatenate(([0], reached))[upto], stops):
+            raise ValueError("the vocabulary is not byte-level: ids don't add up to the bytes of the pieces")
+        id_n = np.diff(upto, prepend=0)
+        self.id_at.add(self.ids.n + upto - id_n)
+        self.byte_at.add(self.bytes.n + stops - byte_n)
+        self.id_n.add(id_n)
+        self.byte_n.add(byte_n)
+        self.ids.add(ids)
+        self.bytes.add(raw)
+        self.hashes.add(hashes)
+        self.uses.add(np.zeros(len(hashes), np.int64))
+        self.slots.update(zip(hashes.tolist(), range(n, n + len(hashes))))
+        return np.arange(n, n + len(hashes))
+
+    def _plainly(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        found = [[*x.ids, end_id] for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for f in found for i in f], f"<u{self.width}"), np.array([len(f) for f in found], np.int64)
 
 
 def write(df: DataFrame, id_col: str, text_col: str, vocabulary: str, folder: str, end_id: int = 0) -> DataFrame:
@@ -177,22 +291,23 @@ def write(df: DataFrame, id_col: str, text_col: str, vocabulary: str, folder: st
 
     def run(batches):
         pieces = worker_value(f"pieces {vocabulary}", lambda: Pieces(sent.value))
-        width = 2 if max(pieces.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        dtype = f"<u{width}"
-        end, names, parts, lengths = np.array([end_id], dtype).tobytes(), [], [], []
-        for ids, texts in text_blocks(batches):
-            coded = [x + end for x in pieces.encode(texts, dtype)]
+        if end_id >> 8 * pieces.width:
+            raise ValueError(f"end_id {end_id} doesn't fit into {pieces.width} bytes")
+        names, parts, lengths = [], [], []
+        for ids, data, offsets in byte_blocks(batches):
+            coded, sizes = pieces.encode(data, offsets, end_id)
             names += ids
-            lengths += [len(x) // width for x in coded]
-            parts.append(b"".join(coded))
+            lengths.append(sizes)
+            parts.append(coded.tobytes())
         if not names:
             return
         system, inner = file_system(folder)
         part = TaskContext.get().partitionId()
         name = unique_name(part, ".eft")
-        bound = write_file(system, f"{inner}/{name}", names, parts, np.array(lengths, np.int64), width)
+        sizes = np.concatenate(lengths)
+        bound = write_file(system, f"{inner}/{name}", names, parts, sizes, pieces.width)
         yield pa.RecordBatch.from_pydict({
-            "part": [part], "name": [name], "n_docs": [len(names)], "n_ids": [sum(lengths)], "bound_bytes": [bound],
+            "part": [part], "name": [name], "n_docs": [len(names)], "n_ids": [int(sizes.sum())], "bound_bytes": [bound],
         }, pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bound_bytes", pa.int64())]))
 
     rows = ids_and_texts(df, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerwatch.llm.common import ids_and_texts, send, text_blocks, text_of
+from ledgerwatch.llm.common import ids_and_texts, mixed, range_hashes, send, text_blocks, text_of
 
 WINDOW, STRIDE = 32, 16
 #: Bound of the fit: rows of each label.
@@ -34,18 +34,6 @@ _ODD = 0x9E3779B97F4A7C15
 _LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    """Powers 0 to n-1 of an odd base, modulo 2^64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 class Words:
     """The words of some texts, in order; equal words share one entry of ``hashes``."""
 
@@ -59,19 +47,7 @@ class Words:
         starts, ends = edge[::2], edge[1::2]
         text_ends = np.cumsum([len(p) + 1 for p in parts])
         self.counts = np.diff(np.searchsorted(starts, text_ends, "left"), prepend=0)
-        hashes = np.zeros(len(starts), np.uint64)
-        up = down = _powers(0, _ODD)
-        at = 0
-        while at < len(starts):  # as many whole words as fit into a chunk
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
-            base, size = starts[at], int(ends[to - 1] - starts[at])
-            if size > len(up):
-                up, down = _powers(size, _ODD), _powers(size, pow(_ODD, -1, 1 << 64))
-            sums = np.zeros(size + 1, np.uint64)
-            np.cumsum((data[base : base + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-            hashes[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * down[starts[at:to] - base]
-            at = to
-        self.hashes, first, self.which = np.unique(_mix(hashes), return_index=True, return_inverse=True)
+        self.hashes, first, self.which = np.unique(range_hashes(data, starts, ends, CHUNK), return_index=True, return_inverse=True)
         self.buckets = (self.hashes % np.uint64(WORD_BUCKETS)).astype(np.int64)
         self._data, self._starts, self._lengths = data, starts[first], (ends - starts)[first]
 
@@ -85,7 +61,7 @@ class Words:
         before[1:], after[:-1] = here[:-1], here[1:]
         before[offsets[:-1]] = 0
         after[offsets[1:] - 1] = 0
-        return (_mix((before << np.uint64(16) | here << np.uint64(8) | after) * np.uint64(_ODD)) % np.uint64(GRAM_BUCKETS)).astype(np.int64), lengths
+        return (mixed((before << np.uint64(16) | here << np.uint64(8) | after) * np.uint64(_ODD)) % np.uint64(GRAM_BUCKETS)).astype(np.int64), lengths
 
 
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +214,10 @@ class Network:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """A score from 0 to 1 for each whole text; a wordless one scores 0."""
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.worst(texts) + self.shift, -60, 60)))
+        worst = self.worst(texts)
+        wordless = np.isneginf(worst)
+        logit = self.scale * np.where(wordless, 0, worst) + self.shift
+        return np.where(wordless, 0.0, 1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
 def _first_choice(words: Words, starts, lengths, text, toxic) -> np.ndarray:

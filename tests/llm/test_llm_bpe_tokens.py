@@ -141,6 +141,28 @@ def test_token_files(spark):
     assert token_file.round_trip(df.limit(0), "doc_id", "text", VOCABULARY).count() == 0
 
 
+def test_pieces_against_the_library(monkeypatch):
+    """Any texts, many pieces to one call, a small store that forgets, and hashes that collide."""
+    library = Tokenizer.from_file(VOCABULARY)
+    library.encode_special_tokens = True
+    rnd = random.Random(7)
+    odd = ["a", "b", " ", "  ", "\n", "\t ", "é", "ß ", "'s", " \u2003", "\u00a0", "1", ".", " “x”", "日", "\u180e", "\x1c", "\x85", "the", " and"]
+    pieces = token_file.Pieces(open(VOCABULARY, "rb").read())
+    plain = token_file.range_hashes
+    for kept, hashes in ((10**6, plain), (30, plain), (10**6, lambda *a: plain(*a) % np.uint64(50))):
+        monkeypatch.setattr(token_file, "KEPT_PIECES", kept)
+        monkeypatch.setattr(token_file, "range_hashes", hashes)
+        pieces.clear()
+        for _ in range(30):
+            texts = ODD * (rnd.random() < 0.2) + ["".join(rnd.choice(odd) for _ in range(rnd.randrange(30))) for _ in range(20)]
+            data = np.frombuffer("".join(texts).encode(), np.uint8)
+            offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+            ids, lengths = pieces.encode(data, offsets, 7)
+            want = [[*x.ids, 7] for x in library.encode_batch(texts, add_special_tokens=False)]
+            assert lengths.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [i for w in want for i in w]
+
+
 def test_random_access(spark, tmp_path):
     from pyarrow import fs
 
