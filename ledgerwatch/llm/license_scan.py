@@ -51,6 +51,11 @@ BLOCK_WORDS = 60
 CONFIRMED, LEAST_SAVED, MOST_CHANGED = 3, 0.4, 0.25
 
 
+def _plain(text: str) -> bytes:
+    """What is compressed: lower case, single spaces."""
+    return " ".join(text.lower().split()).encode()
+
+
 class Scanner:
     """Templates with their words; compressors are made once a process."""
 
@@ -65,11 +70,11 @@ class Scanner:
     def savings(self, block: str) -> list[tuple[int, str, int, int]]:
         """``(bytes saved, template, bytes alone, bytes given the template)``, best first."""
         if self.packers is None:
-            raw = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw = lambda t: zstandard.ZstdCompressionDict(_plain(t), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False)
             self.packers = {k: zstandard.ZstdCompressor(level=19, dict_data=raw(t), write_content_size=False) for k, t in self.templates.items()}
-            self.sizes = {k: len(self.alone.compress(t.encode())) for k, t in self.templates.items()}
-        data = block.encode()
+            self.sizes = {k: len(self.alone.compress(_plain(t))) for k, t in self.templates.items()}
+        data = _plain(block)
         alone = len(self.alone.compress(data))
         found = [(alone - n, k, alone, n) for k, p in self.packers.items() for n in [len(p.compress(data))]]
         return sorted(found, key=lambda x: (-x[0], x[1]))
@@ -146,7 +151,7 @@ def _joined(lines: list[str], i: int) -> str:
 def candidate_blocks(line: str) -> list[tuple[int, int]]:
     """Sentences of a line with a cue, longer ones in overlapping blocks of ``BLOCK_WORDS`` words."""
     out = []
-    for m in re.finditer(r"\S(?:[^.!?]|[.!?](?!\s|$))*+(?:[.!?](?=\s|$))?", line):
+    for m in re.finditer(r"\S(?:[^.!?]|[.!?](?!\s+[^\s0-9a-z]|\s*$))*+[.!?]?", line):
         if not _cue.search(m[0]):
             continue
         words = [w.span() for w in re.finditer(r"\S+", m[0])]
