@@ -18,6 +18,7 @@ from ledgerwatch.functions.features import BASE_FEATURES
 from ledgerwatch.functions.numeric import num, rounded, safe_divide
 from ledgerwatch.operators.prefix import running_sums, value_counts
 from ledgerwatch.operators.stats import bin_index
+from ledgerwatch.session import materialise
 
 # Levels above which a change counts as drift, and the number of bins.
 KS_LEVEL = 0.05
@@ -153,10 +154,11 @@ def feature_drift(
 ) -> DataFrame:
     """One row per feature that has values in both windows.
 
-    Statistic, index and means all read one table of distinct values with their counts, so
-    the windows are scanned and shuffled once.
+    Statistic, index and means all read one stored table of distinct values with their
+    counts, so the windows are scanned and shuffled once.
     """
-    rows = value_counts(by_feature(tagged_rows, features), ["feature", "x"], ["ref", "det"])
+    counted = value_counts(by_feature(tagged_rows, features), ["feature", "x"], ["ref", "det"])
+    rows = materialise(counted, "drift-values")
     joined = (
         ks_statistic(rows).join(psi(rows), "feature")
         .join(feature_means(rows), "feature")
@@ -308,9 +310,12 @@ def drift_report(
 ) -> DataFrame:
     """One row per model version with all three kinds of drift and the advice.
 
-    Feature drift does not depend on the version; it enters as one constant struct.
+    Feature drift does not depend on the version; it enters as one constant struct. The rows of
+    the two windows are stored once, with the features' columns only.
     """
     rows = tagged(tx, periods)
+    present = [c for c in BASE_FEATURES if c in rows.columns]
+    rows = materialise(rows.select("ref", "det", *present), "drift-rows")
     counts = window_counts(rows).select(F.struct("*").alias("c")).scalar()
     feature = drift_severity(feature_drift(rows, threshold)).select(F.struct("*").alias("f")).scalar()
     ids = (anomalies if versions is None else versions).select("model_version_id").distinct()
