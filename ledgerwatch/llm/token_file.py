@@ -30,7 +30,7 @@ HEADER = "<8sBBxxxxxxQQQQQ"  # magic, id width, low bits, documents, ids, bytes
 SAMPLE = 256
 BLOCK_IDS = 1 << 20
 #: Pieces that the library encodes in one call, and pieces and their bytes that a worker keeps.
-TOGETHER, KEPT_PIECES, KEPT_BYTES = 4096, 1_500_000, 64 << 20
+TOGETHER, KEPT_PIECES, KEPT_BYTES = 4096, 1_000_000, 64 << 20
 #: Pieces that make one text for the library.
 JOINED = 64
 
@@ -294,7 +294,7 @@ def write(df: DataFrame, id_col: str, text_col: str, vocabulary: str, folder: st
         if end_id >> 8 * pieces.width:
             raise ValueError(f"end_id {end_id} doesn't fit into {pieces.width} bytes")
         names, parts, lengths = [], [], []
-        for ids, data, offsets in byte_blocks(batches):
+        for ids, data, offsets in byte_blocks(batches, 2 << 20):
             coded, sizes = pieces.encode(data, offsets, end_id)
             names += ids
             lengths.append(sizes)
