@@ -4,8 +4,10 @@ The text of a page is cut at block tags; every block has the path of tags above
 path the lengths of its blocks and their punctuation are added up and divided by the number
 of its tags, once for lengths and once for punctuation. The ratios, laid along the page, are
 smoothed, fused into one score and compared with a threshold from the page itself; a path
-whose blocks score above it on average is content, and all its blocks are taken. Paths through
-tags or names that never hold an article (menus, forms, adverts) score nothing.
+whose blocks score above it on average is content. The chosen paths show where the article is:
+everything in their containers is taken, so lists, tables and captions, whose scores are low,
+stay. Tags that never hold an article (menus, forms) score nothing, nor do parts named like
+adverts or menus.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead top
 notification popup modal overlay subscribe subscription newsletter signup login search social share sharing related recommended
 recommendations widget comment comments disqus reply replies respondlist discussion pagination pager complementary contentinfo dialog
 header""".split())
+#: Tags that cut a page into parts.
+PARTS = frozenset("body div article section main center".split())
 #: Names that are also used for an article's own parts, where they stand inside the article.
 INSIDE = frozenset(("header",))
 
@@ -64,12 +68,29 @@ class Block:
     text: str
     links: int
     barred: bool
+    node: int
+
+
+@dataclass
+class Node:
+    """An element: the number of the one around it (-1 for none), its tag, and what bars it."""
+
+    parent: int
+    tag: str
+    barred: bool
+    named: int
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text in page order; unclosed and misplaced tags are taken as they come."""
+    return parsed(page)[0]
+
+
+def parsed(page: str) -> tuple[list[Block], list[Node]]:
+    """Blocks with text in page order, and the elements in the order they open."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, whether barred, step of the path
+    nodes: list[Node] = []
+    stack: list[tuple[str, int, str]] = []  # tag, number of the element, step of the path
     parts: list[str] = []
     links = 0
     in_link = 0
@@ -81,7 +102,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 steps = [s for t, _, s in stack if t in BLOCK]
                 out.append(Block("/".join(steps), "/".join(steps[:-1]), next((t for t, _, _ in reversed(stack) if t in BLOCK), ""), text,
-                                 min(links, len(text)), any(b for _, b, _ in stack)))
+                                 min(links, len(text)), False, stack[-1][1] if stack else -1))
             parts.clear()
         links = 0
 
@@ -136,19 +157,59 @@ def blocks_of(page: str) -> list[Block]:
                 ended, limits = ENDS[tag]
                 for t in ended.split():
                     _close(stack, t, limits)
-        names = set()
+        names, named = set(), 0
         for x in _attribute.findall(attributes):
-            names.update(n.lower() for n in _name_parts("".join(x)))
+            for token in "".join(x).split():
+                parts_of = [n.lower() for n in _name_parts(token)]
+                names.update(parts_of)
+                named = max(named, _named(parts_of))
         within = any(t in ("article", "main") for t, _, _ in stack)
-        barred = tag in SKIPPED or tag == "header" and not within or bool(names & (NAMES - INSIDE if within else NAMES)) and tag not in ("html", "body", "article", "main") or bool(_hidden.search(attributes))
+        if tag in ("html", "body", "article", "main") or within and not names & (NAMES - INSIDE):
+            named = 0
+        barred = tag in SKIPPED or tag == "header" and not within or bool(_hidden.search(attributes))
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-            stack.append((tag, barred, tag + "".join(f".{n}" for n in sorted(names))))
+            nodes.append(Node(stack[-1][1] if stack else -1, tag, barred, named))
+            stack.append((tag, len(nodes) - 1, tag + "".join(f".{n}" for n in sorted(names))))
         if tag == "a":
             in_link += 1
     flush()
+    _bar(out, nodes)
+    return out, nodes
+
+
+def _named(parts: list[str]) -> int:
+    """Whether a class, id or role names a part that is not the article."""
+    return int(bool(NAMES.intersection(parts)))
+
+
+def _upwards(nodes: list[Node], of: list[int], values: list) -> list:
+    """The sum of the blocks' values beneath each element."""
+    out = [0] * len(nodes)
+    for n, v in zip(of, values):
+        if n >= 0:
+            out[n] += v
+    for n in range(len(nodes) - 1, -1, -1):
+        if nodes[n].parent >= 0:
+            out[nodes[n].parent] += out[n]
     return out
 
 
+def _downwards(nodes: list[Node], marks: list[bool]) -> list[bool]:
+    """Whether each element or one around it is marked."""
+    out: list[bool] = []
+    for node, m in zip(nodes, marks):
+        out.append(m or node.parent >= 0 and out[node.parent])
+    return out
+
+
+def _bar(blocks: list[Block], nodes: list[Node]) -> None:
+    """Bar blocks by the tags and names around them."""
+    marks = [n.barred or bool(n.named) for n in nodes]
+    barred = _downwards(nodes, marks)
+    for b in blocks:
+        b.barred = b.node >= 0 and barred[b.node]
+
+
 def _close(stack: list, tag: str, limits: tuple = ("table", "td", "th", "div", "article", "section", "main", "body", "button")) -> None:
     """End the nearest open ``tag`` with all in it, unless a limit lies between; inline tags in it end too."""
     for i in range(len(stack) - 1, -1, -1):
@@ -181,11 +242,39 @@ def content_paths(blocks: list[Block]) -> set[str]:
     return chosen | {b.path for b in free if b.leaf in HEADINGS and b.parent in parents}
 
 
+def content(blocks: list[Block], nodes: list[Node]) -> list[Block]:
+    """The blocks of chosen paths, and all that is not barred in their containers.
+
+    The container of a block is the outermost article or main part around it, else the
+    nearest part of the page. The element around all chosen blocks counts too, but for parts
+    of it that hold none of them and mostly links.
+    """
+    paths = content_paths(blocks)
+    free = [b for b in blocks if not b.barred]
+    if not paths:
+        return []
+    of, chosen = [b.node for b in free], [b.path in paths for b in free]
+    marks, outer, nearest = [False] * len(nodes), [], []
+    for i, n in enumerate(nodes):
+        above = n.parent >= 0
+        outer.append(outer[n.parent] if above and outer[n.parent] >= 0 else i if n.tag in ("article", "main") else -1)
+        nearest.append(i if n.tag in PARTS else nearest[n.parent] if above else -1)
+    for n, c in zip(of, chosen):
+        if c and n >= 0 and (at := outer[n] if outer[n] >= 0 else nearest[n]) >= 0:
+            marks[at] = True
+    held, length, links = (_upwards(nodes, of, x) for x in (chosen, [len(b.text) for b in free], [b.links for b in free]))
+    n_chosen = sum(chosen)
+    root = max((i for i, n in enumerate(held) if n == n_chosen), default=-1)
+    for i, n in enumerate(nodes):
+        if n.parent == root and (held[i] or 2 * links[i] <= length[i]):
+            marks[i] = True
+    kept = _downwards(nodes, marks)
+    return [b for b, c in zip(free, chosen) if c or b.node == root or b.node >= 0 and kept[b.node]]
+
+
 def main_text(page: str) -> str:
     """The article of a page, its blocks in page order with an empty line between; empty if there is none."""
-    blocks = blocks_of(page)
-    chosen = content_paths(blocks)
-    return "\n\n".join(b.text for b in blocks if not b.barred and b.path in chosen)
+    return "\n\n".join(b.text for b in content(*parsed(page)))
 
 
 def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 import regex
 
 from ledgerwatch.llm import quality_votes as Q, tag_paths as T
@@ -136,6 +137,28 @@ def test_without_an_article_tag():
     assert text.split("\n\n")[:4] == WANT[:4]
 
 
+LONG = "Words of a long paragraph, with marks; more of them, and so on. " * 8
+ITEMS = "".join(f"<li>a short item of forty characters no {i:02}</li>" for i in range(10))
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main"])
+@pytest.mark.parametrize("part", [
+    f"<ul>{ITEMS}</ul>", "<table><caption>A caption</caption>" + "<tr><th>name<td>12" * 12 + "</table>",
+    "<figure><img src=x><figcaption>Where it was</figcaption></figure>", "<pre>x = 1</pre><div class=code><pre>y = 2</pre></div>",
+    "<dl><dt>term<dd>what it means</dl>", "<div class=table-wrap><table>" + "<tr><td>cell</td></tr>" * 30 + "</table></div>",
+])
+def test_short_blocks_of_an_article_stay(tag, part):
+    page = PAGE % f"<{tag}><h1>Title</h1>{f'<p>{LONG}</p>' * 4}{part}{f'<p>{LONG}</p>' * 4}</{tag}>"
+    blocks = [b.text for b in T.blocks_of(page) if not b.barred]
+    assert T.main_text(page).split("\n\n") == blocks and len(blocks) >= 10
+
+
+def test_unnamed_menu_beside_the_article():
+    links = "".join(f"<li><a href=/{i}>Another page {i}</a></li>" for i in range(9))
+    page = f"<body><div class=top><ul>{links}</ul></div><div class=text><p>{LONG}</p><ul>{ITEMS}</ul><p>{LONG}</p></div></body>"
+    assert T.main_text(page).split("\n\n") == [LONG.strip(), *re.findall("<li>(.*?)</li>", ITEMS), LONG.strip()]
+
+
 def test_odd_pages():
     assert T.main_text("") == T.main_text("<p></p>") == T.main_text("<script>only") == ""
     assert T.main_text("just words") == "just words"
