@@ -41,6 +41,14 @@ navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead top
 notification popup modal overlay subscribe subscription newsletter signup login search social share sharing related recommended
 recommendations widget comment comments disqus reply replies respondlist discussion pagination pager complementary contentinfo dialog
 header""".split())
+#: Names of what readers wrote, which may be longer than the article.
+READERS_NAMES = frozenset("comment comments disqus reply replies respondlist discussion".split())
+#: First or last parts of compounds that tell a wrapper's state, as in has-sidebar and comments-open.
+STATES = frozenset("has no not with without hide show open closed enabled disabled on off".split())
+#: How an element is named: in a compound, by a whole name, or as what readers wrote.
+COMPOUND, WHOLE, READERS = 1, 2, 3
+#: Length of an article beside a named part that keeps the name, as a share of the part's; the same for a part within the article.
+BESIDE, WITHIN = 0.02, 0.5
 #: Tags that cut a page into parts.
 PARTS = frozenset("body div article section main center".split())
 #: Names that are also used for an article's own parts, where they stand inside the article.
@@ -78,7 +86,7 @@ class Node:
     parent: int
     tag: str
     barred: bool
-    named: int
+    named: int  # 0, or COMPOUND, WHOLE or READERS
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -178,8 +186,10 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
 
 
 def _named(parts: list[str]) -> int:
-    """Whether a class, id or role names a part that is not the article."""
-    return int(bool(NAMES.intersection(parts)))
+    """What a class, id or role says: a part that is not the article, by a whole name or one in a compound."""
+    if not NAMES.intersection(parts) or len(parts) > 1 and (parts[0] in STATES or parts[-1] in STATES):
+        return 0
+    return READERS if READERS_NAMES.intersection(parts) else WHOLE if len(parts) == 1 else COMPOUND
 
 
 def _upwards(nodes: list[Node], of: list[int], values: list) -> list:
@@ -203,8 +213,37 @@ def _downwards(nodes: list[Node], marks: list[bool]) -> list[bool]:
 
 
 def _bar(blocks: list[Block], nodes: list[Node]) -> None:
-    """Bar blocks by the tags and names around them."""
-    marks = [n.barred or bool(n.named) for n in nodes]
+    """Bar blocks by tags and by names, but by no name that stands around the article itself.
+
+    A name does not count on an element that holds the main part or most of the text that is
+    not linked: first compound names, measured by the text outside whole names, then whole
+    ones, unless an article with enough sentences stands beside them. Readers' words may well
+    be much longer than the article.
+    """
+    of = [b.node for b in blocks]
+    hard = _downwards(nodes, [n.barred for n in nodes])
+    own = [0 if b.node >= 0 and hard[b.node] else max(0, len(b.text) - b.links) for b in blocks]
+    marks = [n.barred for n in nodes]
+    if any(n.named for n in nodes):
+        holds = [0] * len(nodes)  # 2 with a main part, 1 with an article
+        for n in range(len(nodes) - 1, -1, -1):
+            node = nodes[n]
+            held = 0 if hard[n] else max(holds[n], 2 if node.tag == "main" else 1 if node.tag == "article" else 0)
+            if node.parent >= 0:
+                holds[node.parent] = max(holds[node.parent], held)
+        whole = _downwards(nodes, [n.named >= WHOLE and holds[i] < 2 for i, n in enumerate(nodes)])
+        outside = [0 if b.node >= 0 and whole[b.node] else x for b, x in zip(blocks, own)]
+        text, total = _upwards(nodes, of, outside), sum(outside)
+        everything, most = _upwards(nodes, of, own), sum(own) / 2
+        rival = max((everything[i] for i, n in enumerate(nodes) if n.named == WHOLE), default=0)
+        freed = [holds[i] == 2 or n.named == COMPOUND and (holds[i] == 1 or 2 * text[i] > max(total, rival)) for i, n in enumerate(nodes)]
+        named = _downwards(nodes, [n.named and not f for n, f in zip(nodes, freed)])
+        within = _downwards(nodes, [n.tag in ("article", "main") or n.named == COMPOUND and f for n, f in zip(nodes, freed)])
+        free = sum(x for b, x in zip(blocks, own) if b.node >= 0 and within[b.node] and not named[b.node] and _marks(b.text))
+        for i, n in enumerate(nodes):
+            if n.named >= WHOLE and not freed[i] and everything[i] > most:
+                freed[i] = free < (WITHIN if n.named == WHOLE and within[i] else BESIDE) * everything[i]
+            marks[i] = n.barred or bool(n.named) and not freed[i]
     barred = _downwards(nodes, marks)
     for b in blocks:
         b.barred = b.node >= 0 and barred[b.node]

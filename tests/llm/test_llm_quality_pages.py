@@ -159,6 +159,20 @@ def test_unnamed_menu_beside_the_article():
     assert T.main_text(page).split("\n\n") == [LONG.strip(), *re.findall("<li>(.*?)</li>", ITEMS), LONG.strip()]
 
 
+@pytest.mark.parametrize("start", ["<div class='content has-sidebar'>", "<div class='site-content no-sidebar'>", "<div class='elementor-widget-container'>",
+                                   "<div class='post comments-open'>", "<div id=widget>", "<div class='header-fixed'><div class='with-nav page'>"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_of_wrappers_bar_no_article(start, tag):
+    text = T.main_text(PAGE % f"{start}{ARTICLE.replace('article>', tag + '>')}<div class=share>Share, this, with, all.</div></div></div>")
+    assert text.split("\n\n")[:7] == WANT and "Share" not in text
+
+
+def test_comments_longer_than_the_article():
+    comments = f"<section id=comments><div class=comment-body>{f'<p>{LONG}</p>' * 9}</div></section>"
+    for start in ("<div>", "<div class='elementor-widget-container'>"):
+        assert T.main_text(PAGE % f"{start}{ARTICLE}</div>{comments}").split("\n\n") == WANT
+
+
 def test_odd_pages():
     assert T.main_text("") == T.main_text("<p></p>") == T.main_text("<script>only") == ""
     assert T.main_text("just words") == "just words"
