@@ -1,17 +1,18 @@
 """License notices by conditional compression.
 
-A block of a text that could be a notice is compressed alone and with each template as a raw
-Zstandard dictionary. The bytes that a template saves rank the templates; the best ones are
-confirmed by their exact wording: the words that the block adds inside the notice, lacks or
-replaces are counted and reported, and a notice with too many of them is no match.
-
-Blocks are sentences of a line; a line whose sentences match nothing is tried again joined
-with the lines after it, for notices that are wrapped.
+Around every word that a notice must have, the words of the paragraph, whatever its lines,
+are compared with each template: the words that the text adds inside the notice, lacks or
+replaces are counted and reported, and a notice with too many of them is no match. What is
+found is compressed alone and with the template as a raw Zstandard dictionary; the template
+must save enough bytes, unless the wording is the same, and of equal wordings the one that
+saves more wins. The text before and after a notice is searched again until nothing is found.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -41,14 +42,13 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
-#: A line with none of these words cannot be near any template: each has one of them.
-_cue = re.compile(r"licen[sc]e|\bunder\b|rights\s+reserved|public\s+domain|permission\s+is\s+hereby|redistribution|source\s+code\s+form|\bCC\b", re.I)
+#: A text with none of these words cannot be near any template: each has one of them. Line ends and comment marks may stand between.
+_cue = re.compile(r"licen[sc]e|\bunder\b|rights\W+reserved|public\W+domain|permission\W+is\W+hereby|redistribution|source\W+code\W+form|\bCC\b", re.I)
+_paragraph_end = re.compile(r"\n[^\S\n]*\n")
 _words = re.compile(r"\w+(?:[.-]\w+)*").finditer
 
-#: Words of a block; longer lines are read in blocks that overlap by half.
-BLOCK_WORDS = 60
-#: Templates confirmed, best first; least bytes saved, as a share of the template's own; most wording differences by template word.
-CONFIRMED, LEAST_SAVED, MOST_CHANGED = 3, 0.4, 0.25
+#: Least bytes saved, as a share of the template's own; most wording differences by template word.
+LEAST_SAVED, MOST_CHANGED = 0.4, 0.25
 
 
 def _plain(text: str) -> bytes:
@@ -62,10 +62,14 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.templates = templates
         self.words = {k: [m[0].lower() for m in _words(t)] for k, t in templates.items()}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.most = {k: int(MOST_CHANGED * len(w)) for k, w in self.words.items()}
+        #: Words that a notice can span, so that all of it is within reach of any word in it.
+        self.reach = max((len(w) + self.most[k] for k, w in self.words.items()), default=0)
         self.packers, self.seen = None, {}
 
     def __getstate__(self):
-        return {"templates": self.templates, "words": self.words, "packers": None, "seen": {}}
+        return self.__dict__ | {"packers": None, "seen": {}, "alone": None, "sizes": None}
 
     def savings(self, block: str) -> list[tuple[int, str, int, int]]:
         """``(bytes saved, template, bytes alone, bytes given the template)``, best first."""
@@ -79,89 +83,101 @@ class Scanner:
         found = [(alone - n, k, alone, n) for k, p in self.packers.items() for n in [len(p.compress(data))]]
         return sorted(found, key=lambda x: (-x[0], x[1]))
 
-    def differences(self, block: str, template: str) -> tuple[int, int, int, int] | None:
-        """Words lacking and words put in, and the span of the notice in the block; None if nothing matches."""
-        spans = [m.span() for m in _words(block)]
-        have, want = [block[a:b].lower() for a, b in spans], self.words[template]
-        same = [m for m in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
+    def enough(self, there: Counter, template: str) -> bool:
+        """Whether some words hold as many of the template's as a notice must."""
+        return sum(min(n, there[w]) for w, n in self.counts[template].items() if w in there) >= len(self.words[template]) - self.most[template]
+
+    def differences(self, have: list[str], template: str) -> tuple[int, int, int, int] | None:
+        """Words lacking and words put in, and the first and last word of the notice; None if there is none."""
+        want, most = self.words[template], self.most[template]
+        longest = SequenceMatcher(None, have, want, autojunk=False).find_longest_match()
+        low = max(0, longest.a - longest.b - most)
+        high = longest.a + len(want) - longest.b + most
+        same = [m for m in SequenceMatcher(None, have[low:high], want, autojunk=False).get_matching_blocks() if m.size]
+        # A word that merely stands near the notice is no part of it.
+        while len(same) > 1 and same[1].a - same[0].a - same[0].size > same[0].size:
+            same.pop(0)
+        while len(same) > 1 and same[-1].a - same[-2].a - same[-2].size > same[-1].size:
+            same.pop()
         if not same:
             return None
         first, last = same[0].a, same[-1].a + same[-1].size
         kept = sum(m.size for m in same)
-        return len(want) - kept, (last - first) - kept, spans[first][0], spans[last - 1][1]
-
-    def match(self, block: str):
-        """The best confirmed template: ``(template, lacking, put in, start, end, alone, given)`` or None."""
-        key = block if len(block) <= 500 else None
-        if key is not None and key in self.seen:
-            return self.seen[key]
-        best = None
-        ranked = [x for x in self.savings(block) if x[0] >= LEAST_SAVED * min(x[2], self.sizes[x[1]])]
-        for place, (_, name, alone, given) in enumerate(ranked):
-            if place >= CONFIRMED and best is not None:
-                break
-            found = self.differences(block, name)
-            if found is None or found[0] + found[1] > MOST_CHANGED * len(self.words[name]):
-                continue
-            rank = (found[0] + found[1], -len(self.words[name]), place)
-            if best is None or rank < best[0]:
-                best = (rank, (name, *found, alone, given))
-        result = best and best[1]
-        if key is not None:
+        lacking, added = len(want) - kept, last - first - kept
+        return (lacking, added, low + first, low + last - 1) if lacking + added <= most else None
+
+    def saved(self, notice: str, name: str) -> tuple[int, int, int, bool]:
+        """The template's place by bytes saved, bytes alone and given it, and whether it saves enough."""
+        if notice not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[key] = result
-        return result
+            self.seen[notice] = {k: (place, alone, given, saved >= LEAST_SAVED * min(alone, self.sizes[k]))
+                                 for place, (saved, k, alone, given) in enumerate(self.savings(notice))}
+        return self.seen[notice][name]
+
+    def match(self, text: str, spans: list[tuple[int, int]], have: list[str]):
+        """The best notice among some words of a text: its rank, first and last word and what is reported; or None."""
+        best, there = None, Counter(have)
+        for name, want in self.words.items():
+            found = self.differences(have, name) if self.enough(there, name) else None
+            if found is None:
+                continue
+            lacking, added, first, last = found
+            start, end = spans[first][0], spans[last][1]
+            stop = min(len(text), end + 1)  # a full stop belongs to the notice's wording
+            place, alone, given, enough = self.saved(text[start : stop if not text[end:stop].isspace() else end], name)
+            if not enough and lacking + added:
+                continue
+            rank = (lacking + added, -len(want), place)
+            if best is None or rank < best[0]:
+                best = (rank, first, last, (name, lacking, added, start, end, alone, given))
+        return best
+
+    def near(self, text: str, spans: list[tuple[int, int]], have: list[str]):
+        """Notices among some words of a text; what stands before and after one is searched again."""
+        found = self.match(text, spans, have)
+        if found:
+            rank, first, last, notice = found
+            yield rank, notice
+            for part in (slice(0, first), slice(last + 1, None)):
+                if have[part]:
+                    yield from self.near(text, spans[part], have[part])
 
     def scan(self, text: str):
-        """Every notice of a whole text: ``(template, lacking, put in, start, end, alone, given)`` in order, none inside another."""
+        """Every notice of a whole text: ``(template, lacking, put in, start, end, alone, given)`` in order, none inside another.
+
+        Where two overlap, the one with fewer differences stays, then the longer template.
+        """
         if not _cue.search(text):
             return []
-        out, at, after, lines = [], 0, -1, text.split("\n")
-        for i, line in enumerate(lines):
-            if _cue.search(line):
-                found = self._in(line, at, after) or self._in(_joined(lines, i), at, after)
-                out += found
-                after = found[-1][4] if found else after
-            at += len(line) + 1
-        return out
-
-    def _in(self, part: str, at: int, after: int) -> list:
-        """Matches of the blocks of a part that begins at ``at``, those from ``after`` on."""
-        out = []
-        for start, end in candidate_blocks(part):
-            found = self.match(part[start:end])
-            if found and at + start + found[3] >= after:
-                after = at + start + found[4]
-                out.append((*found[:3], at + start + found[3], after, *found[5:]))
+        out, at = [], 0
+        for m in (*_paragraph_end.finditer(text), None):
+            end = m.start() if m else len(text)
+            if _cue.search(text, at, end):
+                out += self._in(text, at, end)
+            at = m.end() if m else end
         return out
 
-
-def _joined(lines: list[str], i: int) -> str:
-    """A line with the next ones, until the block is long enough; line ends become spaces."""
-    part, n = [], 0
-    for line in lines[i:]:
-        if part and (n >= BLOCK_WORDS or not line.strip()):
-            break
-        part.append(line)
-        n += len(line.split())
-    return " ".join(part)
-
-
-def candidate_blocks(line: str) -> list[tuple[int, int]]:
-    """Sentences of a line with a cue, longer ones in overlapping blocks of ``BLOCK_WORDS`` words."""
-    out = []
-    for m in re.finditer(r"\S(?:[^.!?]|[.!?](?!\s+[^\s0-9a-z]|\s*$))*+[.!?]?", line):
-        if not _cue.search(m[0]):
-            continue
-        words = [w.span() for w in re.finditer(r"\S+", m[0])]
-        step = BLOCK_WORDS // 2
-        for i in range(0, max(1, len(words) - step), step):
-            part = words[i : i + BLOCK_WORDS]
-            a, b = m.start() + part[0][0], m.start() + part[-1][1]
-            if len(words) <= BLOCK_WORDS or _cue.search(line, a, b):
-                out.append((a, b))
-    return out
+    def _in(self, text: str, at: int, end: int) -> list:
+        """Notices of the paragraph between two places."""
+        spans = [m.span() for m in _words(text, at, end)]
+        starts = [a for a, _ in spans]
+        have = [text[a:b].lower() for a, b in spans]
+        found, done = {}, -1  # by place and template; the last word with all of its reach searched
+        for cue in _cue.finditer(text, at, end):
+            first, last = bisect_right(starts, cue.start()) - 1, bisect_left(starts, cue.end())
+            if last <= done:
+                continue
+            low, done = max(0, first - self.reach), last + self.reach
+            high = done + self.reach
+            for rank, notice in self.near(text, spans[low:high], have[low:high]):
+                found[notice[0], notice[3], notice[4]] = (rank, notice)
+        kept = []
+        for _, notice in sorted(found.values(), key=lambda x: (*x[0], x[1][3], x[1][0])):
+            i = bisect_left(kept, notice[3], key=lambda k: k[3])
+            if (i == 0 or kept[i - 1][4] <= notice[3]) and (i == len(kept) or notice[4] <= kept[i][3]):
+                kept.insert(i, notice)
+        return kept
 
 
 FOUND = "id long, license string, start long, end long, words_lacking long, words_added long, bytes_alone long, bytes_given long"

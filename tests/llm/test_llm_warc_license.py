@@ -137,6 +137,17 @@ def test_changed_wording():
     assert scanner.scan("\n".join(" ".join(wrapped[i : i + 9]) for i in range(0, len(wrapped), 9)))[0][0] == "MIT-grant"
 
 
+@pytest.mark.parametrize("name", sorted(L.TEMPLATES))
+def test_wrapped_anywhere(name):
+    """Broken at any word, behind a notice or sixty other words of the line, with comment marks."""
+    scanner, words = L.Scanner(L.TEMPLATES), L.TEMPLATES[name].split()
+    for i in range(1, len(words)):
+        for begin, mark in (("", ""), ("All rights reserved. ", ""), ("word " * 61, ""), ("x\n// ", "// ")):
+            text = f"{begin}{' '.join(words[:i])}\n{mark}{' '.join(words[i:])}\n\nafter"
+            got = [g[:3] for g in scanner.scan(text)]
+            assert got[-1] == (name, 0, 0) and len(got) == 1 + begin.startswith("All"), text
+
+
 def test_templates_save_bytes():
     scanner = L.Scanner(L.TEMPLATES)
     saved, name, alone, given = scanner.savings("Licensed under the Apache License, Version 2.0.")[0]
