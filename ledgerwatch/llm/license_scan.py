@@ -99,12 +99,15 @@ class Scanner:
             same.pop(0)
         while len(same) > 1 and same[-1].a - same[-2].a - same[-2].size > same[-1].size:
             same.pop()
-        if not same:
-            return None
         first, last = same[0].a, same[-1].a + same[-1].size
         kept = sum(m.size for m in same)
         lacking, added = len(want) - kept, last - first - kept
-        return (lacking, added, low + first, low + last - 1) if lacking + added <= most else None
+        if lacking + added <= most:
+            return lacking, added, low + first, low + last - 1
+        for start, stop in ((0, longest.a), (longest.a + longest.size, len(have))):  # the longest run may stand by itself
+            if self.enough(Counter(have[start:stop]), template) and (found := self.differences(have[start:stop], template)):
+                return *found[:2], start + found[2], start + found[3]
+        return None
 
     def saved(self, notice: str, name: str) -> tuple[int, int, int, bool]:
         """The template's place by bytes saved, bytes alone and given it, and whether it saves enough."""

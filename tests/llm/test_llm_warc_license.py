@@ -148,6 +148,22 @@ def test_wrapped_anywhere(name):
             assert got[-1] == (name, 0, 0) and len(got) == 1 + begin.startswith("All"), text
 
 
+def test_every_notice_of_a_block():
+    scanner = L.Scanner(L.TEMPLATES)
+    got = scanner.scan("Code is Released under the MIT License, texts are Licensed under CC BY 4.0.")
+    assert [g[:3] for g in got] == [("MIT", 0, 0), ("CC-BY-4.0", 0, 0)]
+    got = scanner.scan(" / ".join(t.rstrip(".:") for t in L.TEMPLATES.values()))
+    assert [g[:3] for g in got] == [(name, 0, 0) for name in L.TEMPLATES]
+    got = scanner.scan("Released under the MIT License, " * 300)
+    assert [g[0] for g in got] == ["MIT"] * 300 and all(a[4] <= b[3] for a, b in zip(got, got[1:]))
+
+
+def test_words_of_a_template_near_a_changed_notice():
+    text = "Version 2.0 of the Apache License, Version 2.0, and so on; now Licensed under Apache License, Version 2.0."
+    (got,) = L.Scanner(L.TEMPLATES).scan(text)
+    assert got[:3] == ("Apache-2.0", 1, 0) and text[got[3]:].startswith("Licensed under")
+
+
 def test_templates_save_bytes():
     scanner = L.Scanner(L.TEMPLATES)
     saved, name, alone, given = scanner.savings("Licensed under the Apache License, Version 2.0.")[0]
