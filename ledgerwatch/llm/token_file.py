@@ -178,15 +178,19 @@ class Pieces:
     """Ids of texts from the tokenizers library, which sees each new piece once.
 
     Pieces are found and told apart by hash in numpy; every piece's bytes are compared with
-    those of the kept one, so a collision cannot give wrong ids.
+    those of the kept one, so a collision cannot give wrong ids. Texts that hold the string of
+    an added token are encoded whole; with ``added`` false, strings of special tokens are
+    ordinary text.
     """
 
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, added: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (added or not t.special)]
+        self.whole = bool(self.added) and self.tokenizer.normalizer is not None  # added tokens may then look otherwise in a text
         vocabulary_of = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary_of.values()) + 1, np.int64)
         for token, i in vocabulary_of.items():  # a character of a byte-level token stands for a byte
@@ -217,6 +221,33 @@ class Pieces:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of several texts, ``end_id`` behind each, and the number of ids of each."""
+        if self.whole:
+            return self._plainly(data, offsets, end_id)
+        found, at = [], 0
+        for k in [*self._with_added(data, offsets), len(offsets) - 1]:
+            if at < k:
+                found.append(self._by_pieces(data[offsets[at] : offsets[k]], offsets[at : k + 1] - offsets[at], end_id))
+            if k + 1 < len(offsets):
+                found.append(self._plainly(data, offsets[k : k + 2], end_id))
+            at = k + 1
+        if len(found) == 1:
+            return found[0]
+        return np.concatenate([np.zeros(0, f"<u{self.width}"), *(ids for ids, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Numbers of the texts that hold an added token's string, in order."""
+        out, blob = set(), data.tobytes() if self.added else b""
+        for token in self.added:
+            at = blob.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                out.add(k)
+                at = blob.find(token, int(offsets[k + 1]))
+        return sorted(out)
+
+    def _by_pieces(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.full(len(offsets) - 1, end_id, f"<u{self.width}"), np.ones(len(offsets) - 1, np.int64)
         if len(self.slots) >= KEPT_PIECES or self.bytes.n >= KEPT_BYTES:
             self._shrink()
         starts = cuts(data, offsets)
@@ -277,20 +308,22 @@ class Pieces:
         return np.array([i for f in found for i in f], f"<u{self.width}"), np.array([len(f) for f in found], np.int64)
 
 
-def write(df: DataFrame, id_col: str, text_col: str, vocabulary: str, folder: str, end_id: int = 0) -> DataFrame:
+def write(df: DataFrame, id_col: str, text_col: str, vocabulary: str, folder: str, end_id: int = 0, added: bool = False) -> DataFrame:
     """Encode every whole text, add ``end_id`` and write files in ascending id order.
 
     ``vocabulary`` is a file of the tokenizers library with a byte-level pre-tokenizer. Gives
     the manifest, a row per file: ``part, name, n_docs, n_ids, bound_bytes``. Null texts are
     empty and hold the end id alone; null ids come first; repeated ids each keep their place
-    (ordered by text), other columns are ignored, and an empty table gives no file.
+    (ordered by text), other columns are ignored, and an empty table gives no file. With
+    ``added``, strings of added tokens in a text get their ids, as is the library's default;
+    else those of special tokens are ordinary text.
     """
     spark = df.sparkSession
     with open(vocabulary, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        pieces = worker_value(f"pieces {vocabulary}", lambda: Pieces(sent.value))
+        pieces = worker_value(f"pieces {added} {vocabulary}", lambda: Pieces(sent.value, added))
         if end_id >> 8 * pieces.width:
             raise ValueError(f"end_id {end_id} doesn't fit into {pieces.width} bytes")
         names, parts, lengths = [], [], []
@@ -347,9 +380,9 @@ def _walk(spark, folder, manifest, column, made, kind) -> DataFrame:
 
 
 def round_trip(df: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    """Write all texts below the shared folder and read the boundaries and checksums back."""
+    """Write all texts below the shared folder, ids by the library's defaults, and read the boundaries and checksums back."""
     spark = df.sparkSession
     folder = shared_folder(spark, "tokens")
-    manifest = materialise(write(df, id_col, text_col, vocabulary, folder), "tokens-manifest")
+    manifest = materialise(write(df, id_col, text_col, vocabulary, folder, added=True), "tokens-manifest")
     return checksums(spark, folder, manifest).select(
         F.col("id"), F.col("start"), F.col("n_tokens"), F.col("crc"))

@@ -163,6 +163,31 @@ def test_pieces_against_the_library(monkeypatch):
             assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_added_tokens_as_the_library_by_default():
+    library = Tokenizer.from_file(VOCABULARY)  # untouched
+    pieces = token_file.Pieces(open(VOCABULARY, "rb").read(), added=True)
+    rnd, odd = random.Random(8), ["a", " b", " ", "\n", "é", "<|endoftext|>", "<|endoftext|", "|>", "<", "the "]
+    for _ in range(60):
+        texts = ["".join(rnd.choice(odd) for _ in range(rnd.randrange(8))) for _ in range(rnd.randrange(12))] + ODD * (rnd.random() < 0.2)
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts], dtype=np.int64)))
+        ids, lengths = pieces.encode(data, offsets, 0)
+        want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert lengths.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_checksums_of_texts_with_added_tokens(spark):
+    texts = ["a b", "a <|endoftext|> b", "", "<|endoftext|>", "after"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library, start, want = Tokenizer.from_file(VOCABULARY), 0, []
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in token_file.round_trip(df, "doc_id", "text", VOCABULARY).collect()) == want
+
+
 def test_random_access(spark, tmp_path):
     from pyarrow import fs
 
