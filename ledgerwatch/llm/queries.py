@@ -200,6 +200,40 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("containment", 6).alias("containment"))
 
 
+@query("op12_mixing", sql="""
+with rows_ as (
+  select doc_id, source, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) as bigint) as size,
+         md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, ''))[1:15] as hash
+  from documents
+), sources as (
+  select source, cast(sum(size) as bigint) as source_size, [3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] as w
+  from rows_ group by source
+), bounded as (
+  select *, coalesce(sum(2 * source_size) over (order by 2 * source_size / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as before,
+         sum(w) over (order by 2 * source_size / w, source nulls last rows between current row and unbounded following) as onward
+  from sources
+), level as (
+  select max((1.5e0 * total - before) / onward) as level from bounded, (select cast(sum(size) as double) as total from rows_)
+), planned as (
+  select source, source_size, least(cast(2 * source_size as double), level * w) as target,
+         case when source_size > 0 then cast(floor(least(cast(2 * source_size as double), level * w) / source_size) as bigint) else 0 end as whole
+  from sources, level
+), sums as (
+  select source, hash, sum(size) as size, sum(sum(size)) over (partition by source order by hash) as upto from rows_ group by source, hash
+)
+select doc_id, r.size, source_size, target,
+       cast(r.size * (whole + case when upto <= rest or (upto - s.size <= rest and 2 * (rest - (upto - s.size)) > s.size) then 1 else 0 end) as bigint) as taken
+from rows_ r join sums s on r.source is not distinct from s.source and r.hash = s.hash
+join (select *, target - whole * source_size as rest from planned) p on r.source is not distinct from p.source
+""")
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm import mixing as mix
+
+    found = mix.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", weights=(3, 1, 2), shares=(1.5,), most=2)
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target")[0].alias("target"),
+                        F.col("taken")[0].alias("taken"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
