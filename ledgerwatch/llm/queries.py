@@ -234,6 +234,41 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("taken")[0].alias("taken"))
 
 
+@query("op13_ranked_search", sql="""
+with doc_terms as (
+  select row_number() over () as row_no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from documents
+), whole as (select count(*) as n_docs, cast(sum(len(terms)) as hugeint) as n_all from doc_terms where len(terms) > 0
+), items as (
+  select row_number() over () as item_no, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from (select distinct item_id, text from benchmark)
+), asked as (select item_no, term, count(*) as times from (select item_no, unnest(terms) as term from items) group by all
+), held as (
+  select row_no, term, count(*) as tf from (select row_no, unnest(terms) as term from doc_terms) where term in (select term from asked) group by all
+), weights as (
+  select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from held, whole group by term
+), scores as (
+  select item_no, row_no, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from asked join weights using (term) join held using (term)
+  join (select row_no, cast(100 - 75 + (75 * cast(len(terms) as hugeint) * n_docs) // n_all as bigint) as m from doc_terms, whole where len(terms) > 0) using (row_no)
+  group by item_no, row_no having score > 0
+), ranked as (
+  select item_id, item_no, doc_id, score, cast(row_number() over (partition by item_no order by score desc, doc_id nulls last) as integer) as rank
+  from scores join items using (item_no) join (select row_no, doc_id from doc_terms) using (row_no)
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+""")
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm import ranked_search as ranked
+
+    found = ranked.search(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", k=10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
