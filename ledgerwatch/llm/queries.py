@@ -200,6 +200,40 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("containment", 6).alias("containment"))
 
 
+@query("op11_phrases", sql="""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents
+), worded as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') as words from pieces
+), grams as (
+  select lang, k, array_to_string(words[i : i + k - 1], ' ') as phrase
+  from (select lang, words, k, unnest(range(1, len(words) - k + 2)) as i from worded, range(1, 5) r(k) where len(words) >= k)
+), counted as (select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 30
+), candidates as (select * from counted where k > 1
+), dropped as (
+  select distinct c.lang, c.phrase from candidates c join candidates d on c.lang = d.lang and d.k > c.k
+    and contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ') where 100 * d.f >= 80 * c.f
+), cuts as (
+  select c.lang, c.phrase, c.f as a, cut, x.f as l, y.f as r, (2000000 * cast(c.f as hugeint)) // (x.f + y.f) as score
+  from (select *, unnest(range(1, k)) as cut, string_split(phrase, ' ') as w from candidates) c
+  join counted x on x.lang = c.lang and x.phrase = array_to_string(w[1 : cut], ' ')
+  join counted y on y.lang = c.lang and y.phrase = array_to_string(w[cut + 1 : ], ' ')
+  where (c.lang, c.phrase) not in (select (lang, phrase) from dropped)
+), lowest as (
+  select *, row_number() over (partition by lang, phrase order by score, cut) as turn from cuts
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from lowest where turn = 1
+)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score
+from ranked join (select lang, cast(sum(len(words)) as bigint) as n from worded group by lang) using (lang) where rank <= 2000
+""")
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwatch.llm import phrase_graph
+
+    return phrase_graph.collocations(table(spark, sf_dir, "documents"), "text", "lang", least=30, top=2000, covered=80)
+
+
 @query("op12_mixing", sql="""
 with rows_ as (
   select doc_id, source, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) as bigint) as size,
