@@ -7,9 +7,10 @@ from ledgerwatch.catalog.registry import query
 from ledgerwatch.functions.numeric import unix_timestamp
 from ledgerwatch.operators import forest
 from ledgerwatch.session import new_path
+from ledgerwatch.sources import commits
 from ledgerwatch.sources.kafka import read_lines
 from ledgerwatch.sources.views import VIEW_SQL
-from ledgerwatch.streaming import job
+from ledgerwatch.streaming import job, live
 from ledgerwatch.streaming.parse import good_records, rejected_records
 
 def _arrived():
@@ -68,7 +69,7 @@ def _batches(v, files: int, at_once: int):
     running = job.append_batches(
         read_lines(spark, messages(v, files), at_once), lambda df, k: job.write_batch(df, path, k), new_path(spark, "offsets"))
     running.awaitTermination()
-    return spark.read.parquet(path).agg(
+    return commits.read(spark, path).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("batch_id").alias("batches"))
 
 
@@ -139,7 +140,7 @@ def _(v):
     paths = job.Paths(new_path(v.spark, "job"))
     scorer = job.BatchScorer(paths, score_fn=_large_values)
     job.start(read_lines(v.spark, messages(v, 5), 4), scorer, _LONG, arrived=_arrived()).awaitTermination()
-    return v.spark.read.parquet(paths.predictions).agg(
+    return commits.read(v.spark, paths.predictions).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("batch_id").alias("batches"),
         F.count_if(F.col("anomaly") == "unscored").cast("bigint").alias("waiting"))
 
@@ -156,7 +157,7 @@ def _(v):
         scorer = job.BatchScorer(paths, score_fn=_large_values)
         running = job.start(read_lines(v.spark, folder, 1), scorer, _LONG, arrived=_arrived())
         running.awaitTermination()
-    return v.spark.read.parquet(paths.predictions).agg(
+    return commits.read(v.spark, paths.predictions).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("hash").alias("hashes"))
 
 
@@ -172,7 +173,7 @@ def _(v):
     running.awaitTermination()
     sinks = None
     for name in ("predictions", "anomalies", "rejects"):
-        rows = v.spark.read.parquet(getattr(paths, name)).agg(F.count(F.lit(1)).alias("rows"))
+        rows = commits.read(v.spark, getattr(paths, name)).agg(F.count(F.lit(1)).alias("rows"))
         rows = rows.withColumn("sink", F.lit(name))
         sinks = rows if sinks is None else sinks.unionByName(rows)
     return sinks
@@ -181,7 +182,7 @@ def _(v):
 @query("T2_score_batches")
 def _(v):
     paths, _running = _score(v)
-    return v.spark.read.parquet(paths.predictions).select(
+    return commits.read(v.spark, paths.predictions).select(
         "hash", "anomaly", "anomaly_score", "value", "gas", "gasPrice")
 
 
@@ -190,7 +191,7 @@ def _(v):
     from tx_raw where {_REASON} is null""")
 def _(v):
     paths, _running = _score(v)
-    return v.spark.read.parquet(paths.predictions).agg(
+    return commits.read(v.spark, paths.predictions).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("hash").alias("hashes"),
         F.count_if(F.col("anomaly") == "unscored").cast("bigint").alias("unscored"))
 
@@ -198,7 +199,7 @@ def _(v):
 @query("T4_anomaly_records")
 def _(v):
     paths, _running = _score(v)
-    return v.spark.read.parquet(paths.anomalies).drop("batch_id", "detected_at")
+    return commits.read(v.spark, paths.anomalies).drop("batch_id", "detected_at")
 
 
 def _rule_job(v):
@@ -221,7 +222,7 @@ _SEVERITY = """case when value > 1000000 or price > 100000 then 'critical' when
     with {_GOOD} select hash, value, timestamp, {_SEVERITY} as severity, -value as anomaly_score, value as confidence
     from good where value > 30000""")
 def _(v):
-    stored = v.spark.read.parquet(_rule_job(v).anomalies)
+    stored = commits.read(v.spark, _rule_job(v).anomalies)
     return stored.select("hash", "value", "timestamp", "severity", "anomaly_score", "confidence")
 
 
@@ -234,7 +235,7 @@ def _(v):
 
     from ledgerwatch.operators.buffer import live_entries
 
-    stored = v.spark.read.parquet(_rule_job(v).anomalies)
+    stored = commits.read(v.spark, _rule_job(v).anomalies)
     return live_entries(
         stored, datetime(2024, 2, 1), 50, 20 * 86_400, key="hash", inserted_at="timestamp"
     ).select("hash", "severity", "timestamp")
@@ -271,11 +272,66 @@ def _(v):
 
     paths = _rule_job(v)
     progress = {"sources": [{"endOffset": {"tx": {"0": 100}}, "latestOffset": {"tx": {"0": 150, "1": 7}}}]}
-    live = live_entries(v.spark.read.parquet(paths.anomalies), datetime(2030, 1, 1), 1000, 10_000 * 86_400, key="hash")
+    live = live_entries(commits.read(v.spark, paths.anomalies), datetime(2030, 1, 1), 1000, 10_000 * 86_400, key="hash")
     status = job.status_table(v.spark, paths, progress, live, 1000)
     return status.where("metric_name <> 'slowest_batch_millis'")
 
 
+@query("T6_live_state", f"""
+    with {_GOOD}, live as (
+      select hash, {_SEVERITY} as severity, timestamp from good
+      where value > 30000 and timestamp >= (select max(timestamp) from good where value > 30000) - interval 20 days)
+    select severity, hash, timestamp from (
+      select *, row_number() over (partition by severity order by timestamp desc, hash) as place from live) where place <= 25""")
+def _(v):
+    """The view that the state of the stream holds at its end, of four batches."""
+    spark, checkpoint = v.spark, new_path(v.spark, "offsets")
+    stream = good_records(job.parsed(read_lines(spark, messages(v, 4), 1), _arrived())).where("value > 30000")
+    entries = stream.select("hash", job.transaction_severity(F.col("value"), F.col("gasPrice")).alias("severity"), "timestamp", "value")
+    live.keep_live(entries, new_path(spark, "changes"), checkpoint, 25, 20 * 86_400, "hash", "timestamp").awaitTermination()
+    return live.live_view(spark, checkpoint).select("severity", F.col("key").alias("hash"), F.col("inserted_at").alias("timestamp"))
+
+
+@query("T3_short_stream", f"""
+    select count(distinct hash) as rows, cast(0 as bigint) as waiting, 4 as batches
+    from tx_raw where {_REASON} is null""")
+def _(v):
+    """Too few rows for a model on the way: those that wait are scored when the run ends."""
+    paths = job.Paths(new_path(v.spark, "job"))
+    scorer = job.BatchScorer(paths, min_training_rows=1 << 62)
+    job.drain(read_lines(v.spark, messages(v, 4), 1), scorer, _LONG, arrived=_arrived())
+    return commits.read(v.spark, paths.predictions).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("anomaly") == "unscored").cast("bigint").alias("waiting"),
+        F.count_distinct("batch_id").cast("int").alias("batches"))
+
+
+@query("T8_progress_reports", f"""
+    with {_GOOD}, g as (select count(*) as n from good), b as (select count(*) as n from tx_raw where {_REASON} is not null)
+    select cast(3 as bigint) as batches, (select count(*) from tx_raw) as input_rows, g.n as good, b.n as bad,
+           cast(0 as bigint) as lag, true as timed from g, b""")
+def _(v):
+    """What the listener stored of a run, batch by batch."""
+    paths = job.Paths(new_path(v.spark, "job"))
+    job.drain(read_lines(v.spark, messages(v, 6), 2), job.BatchScorer(paths, score_fn=_large_values), _LONG, arrived=_arrived())
+    reports = job.progress_table(v.spark, paths).where("input_rows > 0")
+    return reports.agg(
+        F.count(F.lit(1)).alias("batches"), *[F.sum(c).alias(c) for c in ("input_rows", "good", "bad", "lag")],
+        F.bool_and(F.col("millis") > 0).alias("timed"))
+
+
+@query("A8_compacted_sink", f"""
+    with r as (select hash, {_REASON} as reason from tx_raw)
+    select count(*) as rows, count(distinct hash) as hashes, cast(2 as bigint) as batches from r where reason is null""")
+def _(v):
+    """Good rows of four batches in a table with a log; the first three gathered."""
+    spark, path = v.spark, new_path(v.spark, "sink")
+    good = good_records(job.parsed(read_lines(spark, messages(v, 4), 1), _arrived()))
+    job.append_batches(good, lambda df, k: commits.write_batch(df, path, k), new_path(spark, "offsets")).awaitTermination()
+    commits.compact(spark, path, 2)
+    return commits.read(spark, path).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("hash").alias("hashes"), F.count_distinct("batch_id").alias("batches"))
+
+
 @query("T6_live_view")
 def _(v):
     from datetime import datetime
@@ -283,7 +339,7 @@ def _(v):
     from ledgerwatch.operators.buffer import live_entries
 
     paths, _running = _score(v)
-    stored = v.spark.read.parquet(paths.anomalies)
+    stored = commits.read(v.spark, paths.anomalies)
     return live_entries(
         stored, datetime(2024, 2, 1), 10_000, 40 * 86_400, key="hash", inserted_at="timestamp"
     ).select("hash", "severity", "timestamp", "anomaly_score")

@@ -1,25 +1,29 @@
 """The streaming job: parse, check, remove repeats, score each micro-batch, store.
 
 Offsets and duplicate state live in the checkpoint. A micro-batch may be run again after a
-failure, so every sink writes it to a folder named by its number and overwrites: a repeat
-leaves the same rows, once. ``compact`` gathers old folders.
+failure, so every sink is a table with a commit log that replaces a batch as a whole: a repeat
+leaves the same rows, once, wherever a run was ended. ``compact`` gathers old batches.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerwatch.functions.classify import transaction_severity
 from ledgerwatch.operators import forest
 from ledgerwatch.operators.extras import batch_moments, merge_moments
 from ledgerwatch.operators.stats import BUFFER_SIZE, consumer_lag
 from ledgerwatch.session import state_partitions
+from ledgerwatch.sources import commits
+from ledgerwatch.sources.commits import compact, path_exists, write_batch
 from ledgerwatch.streaming.parse import from_json_text, good_records, rejected_records, validate
 
 STREAM_FEATURES = ("value", "gas", "gasPrice")
@@ -57,6 +61,16 @@ class Paths:
         """Good rows of batches that came before there was a model."""
         return f"{self.root}/waiting"
 
+    @property
+    def flags(self) -> str:
+        """Number of anomalies of every scored batch."""
+        return f"{self.root}/flags"
+
+    @property
+    def progress(self) -> str:
+        """Progress reports by batch."""
+        return f"{self.root}/progress"
+
     @property
     def moments(self) -> str:
         return f"{self.root}/moments"
@@ -88,17 +102,6 @@ def unique(records: DataFrame, delay: str = "1 day", key: str = "hash", ts: str
     return records.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Idempotent append: the folder of this batch is replaced as a whole."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def anomaly_records(detected: DataFrame) -> DataFrame:
     """The stored form of what the model flags."""
     return forest.only_anomalies(detected).select(
@@ -109,11 +112,6 @@ def anomaly_records(detected: DataFrame) -> DataFrame:
     )
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 _SCORED = ("hash", "is_anomaly", "confidence", "anomaly_score", "anomaly", "created_at", "value", "gas", "gasPrice",
            "from", "to", "timestamp")
 
@@ -123,7 +121,8 @@ class BatchScorer:
 
     Until ``min_training_rows`` good rows have come, they wait: they are stored, visible as
     ``unscored``. The batch that completes them fits the model on all of them and scores the
-    waiting batches along with its own, in their own folders. Every step overwrites, and the
+    waiting batches along with its own, in their own places; ``finish`` does so when a run ends
+    before. Every step replaces a batch as a whole, its number of anomalies included, and the
     waiting rows go last, so a batch that runs again repeats it all with the same outcome.
     """
 
@@ -138,9 +137,9 @@ class BatchScorer:
 
     def _waiting(self, spark: SparkSession, before: int) -> DataFrame | None:
         """Rows of earlier batches that have no score yet."""
-        if self.score_fn is not None or not path_exists(spark, self.paths.waiting):
+        if self.score_fn is not None or not commits.log(spark, self.paths.waiting):
             return None
-        return spark.read.parquet(self.paths.waiting).where(F.col("batch_id") < before)
+        return commits.read(spark, self.paths.waiting).where(F.col("batch_id") < before)
 
     def _ready(self, good: DataFrame, rows: int, waiting: DataFrame | None) -> bool:
         if self.score_fn is not None or self.model is not None:
@@ -155,15 +154,40 @@ class BatchScorer:
                 forest.save(spark, self.model, self.paths.model)
         return self.model is not None
 
-    def _store(self, good: DataFrame, batch_id: int) -> int:
-        """Score and store rows under the number of their batch; the number of anomalies."""
+    def _store(self, good: DataFrame, batch_id: int) -> None:
+        """Score and store rows, and the number of anomalies, under the number of their batch."""
+        spark = good.sparkSession
         detected = self.score_fn(good) if self.score_fn is not None else forest.detect(good, self.model)
         stored = detected.withColumns({
             "is_anomaly": F.col("anomaly") == "anomaly", "created_at": F.current_timestamp()})
         write_batch(stored.select(*_SCORED), self.paths.predictions, batch_id)
-        kept = good.sparkSession.read.parquet(f"{self.paths.predictions}/batch_id={batch_id}")
+        kept = commits.read(spark, self.paths.predictions).where(F.col("batch_id") == batch_id)
         write_batch(anomaly_records(kept), self.paths.anomalies, batch_id)
-        return kept.where("is_anomaly").count()
+        counted = kept.agg(F.count_if("is_anomaly").cast("double").alias("metric_value"))
+        write_batch(counted.select(F.lit("anomalies_detected").alias("metric_name"), "metric_value"), self.paths.flags, batch_id)
+
+    def _store_waiting(self, spark: SparkSession, waiting: DataFrame) -> None:
+        for row in waiting.select("batch_id").distinct().collect():
+            self._store(waiting.where(F.col("batch_id") == row["batch_id"]).drop("batch_id"), row["batch_id"])
+        commits.drop(spark, self.paths.waiting)
+
+    def finish(self, spark: SparkSession) -> int:
+        """Score the rows that still wait when a bounded run has ended; their number.
+
+        Without a model one is fitted on all of them, however few they are. Safe to repeat.
+        """
+        if self.score_fn is not None or not commits.log(spark, self.paths.waiting):
+            return 0
+        waiting = commits.read(spark, self.paths.waiting)
+        rows = waiting.count()
+        if rows:
+            if self.model is None and path_exists(spark, f"{self.paths.model}/meta"):
+                self.model = forest.load(spark, self.paths.model)
+            if self.model is None:
+                self.model = forest.fit(waiting.drop("batch_id"), STREAM_FEATURES, self.contamination, self.seed)
+                forest.save(spark, self.model, self.paths.model)
+            self._store_waiting(spark, waiting)
+        return rows
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         began, spark, kept = time.monotonic(), batch.sparkSession, batch.persist()
@@ -174,14 +198,10 @@ class BatchScorer:
                 F.count_if(F.col("reason").isNull()).alias("good"),
                 F.count_if(F.col("reason").isNotNull()).alias("bad"),
             ).first()
-            flagged, waiting = 0, self._waiting(spark, batch_id)
+            waiting = self._waiting(spark, batch_id)
             ready = self._ready(good, counts["good"], waiting)
-            if ready:
-                if counts["good"]:
-                    flagged = self._store(good, batch_id)
-                for row in [] if waiting is None else waiting.select("batch_id").distinct().collect():
-                    early = waiting.where(F.col("batch_id") == row["batch_id"]).drop("batch_id")
-                    flagged += self._store(early, row["batch_id"])
+            if ready and counts["good"]:
+                self._store(good, batch_id)
             elif counts["good"]:
                 write_batch(good, self.paths.waiting, batch_id)
                 nothing = F.lit(None).cast("double")
@@ -191,8 +211,7 @@ class BatchScorer:
                 }).select(*_SCORED), self.paths.predictions, batch_id)
             row = [
                 ("processed_success", float(counts["good"])), ("processed_error", float(counts["bad"])),
-                ("anomalies_detected", float(flagged)), ("batches", 1.0),
-                ("batch_millis", 1000 * (time.monotonic() - began)),
+                ("batches", 1.0), ("batch_millis", 1000 * (time.monotonic() - began)),
             ]
             write_batch(
                 spark.createDataFrame(row, "metric_name string, metric_value double")
@@ -200,7 +219,7 @@ class BatchScorer:
                 self.paths.metrics, batch_id,
             )
             if ready and waiting is not None:
-                remove_path(spark, self.paths.waiting)
+                self._store_waiting(spark, waiting)
         finally:
             kept.unpersist()
 
@@ -218,45 +237,99 @@ class MomentKeeper:
 
 def merged_moments(spark: SparkSession, paths: Paths) -> DataFrame:
     """The stored states of all micro-batches, combined."""
-    return merge_moments(spark.read.parquet(paths.moments).drop("batch_id"))
+    return merge_moments(commits.read(spark, paths.moments).drop("batch_id"))
 
 
-def compact(spark: SparkSession, path: str, upto: int) -> int:
-    """Gather the folders of batches up to a number into one, so that readers list few files.
+class ProgressKeeper(StreamingQueryListener):
+    """Stores each progress report of one query under its batch number; a repeat replaces it.
 
-    The rows are written to ``batch_id=-1`` beside the old folders first, then moved in; give
-    only batches that cannot run again (their number is below the last committed one).
-    Returns the number of folders gathered.
+    The report is a small file, written by the driver as soon as the batch is done: input
+    rows, durations, source offsets, and the good and bad rows that the stream observed.
     """
-    rows = spark.read.parquet(path)
-    done = [r["batch_id"] for r in rows.where(F.col("batch_id") <= upto).select("batch_id").distinct().collect()]
-    if len(done) < 2:
-        return 0
-    fresh = f"{path}/_compacting"
-    rows.where(F.col("batch_id") <= upto).drop("batch_id").write.mode("overwrite").parquet(fresh)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path
-    system = at(path).getFileSystem(conf)
-    for number in done:
-        system.delete(at(f"{path}/batch_id={number}"), True)
-    system.rename(at(fresh), at(f"{path}/batch_id=-1"))
-    return len(done)
+
+    def __init__(self, spark: SparkSession, paths: Paths, name: str) -> None:
+        self.folder, self.name = commits._Folder(spark, paths.progress), name
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        report = event.progress
+        if report.name != self.name:
+            return
+        seen = report.observedMetrics.get("records")
+        text = json.dumps({
+            "batch_id": report.batchId, "reported_at": report.timestamp, "input_rows": report.numInputRows,
+            "good": None if seen is None else seen["good"], "bad": None if seen is None else seen["bad"],
+            "millis": report.durationMs.get("triggerExecution"), "lag": sum(
+                max(0, end - at) for _, _, at, end in kafka_offsets(json.loads(report.json)))})
+        part = f"{self.folder.root}/{report.batchId:020d}"
+        self.folder.write(f"{part}.tmp", text + "\n")
+        self.folder.remove(f"{part}.json")
+        self.folder.system.rename(self.folder.at(f"{part}.tmp"), self.folder.at(f"{part}.json"))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def progress_table(spark: SparkSession, paths: Paths) -> DataFrame:
+    """One row per reported micro-batch of all runs: ``batch_id, reported_at, input_rows, good,
+    bad, millis, lag``. A batch without input reports nothing observed."""
+    schema = "batch_id long, reported_at timestamp, input_rows long, good long, bad long, millis long, lag long"
+    return spark.read.schema(schema).option("pathGlobFilter", "*.json").json(paths.progress)
 
 
 def start(
     messages: DataFrame, scorer: BatchScorer, delay: str = "1 day", available_now: bool = True,
-    arrived: Column | None = None, every: str = "5 seconds",
+    arrived: Column | None = None, every: str = "5 seconds", name: str | None = None,
 ) -> StreamingQuery:
-    """Start the job. ``available_now`` drains what is there, in bounded batches, and ends."""
-    records = unique_good(parsed(messages, arrived), delay)
+    """Start the job. ``available_now`` drains what is there, in bounded batches, and ends.
+
+    Rows that wait for a model stay waiting for the next run; ``drain`` scores them too.
+    """
+    records = unique_good(parsed(messages, arrived), delay).observe(
+        "records", F.count_if(F.col("reason").isNull()).alias("good"), F.count_if(F.col("reason").isNotNull()).alias("bad"))
     writer = records.writeStream.foreachBatch(scorer).option(
         "checkpointLocation", scorer.paths.checkpoint
     )
+    if name is not None:
+        writer = writer.queryName(name)
     trigger = {"availableNow": True} if available_now else {"processingTime": every}
     with state_partitions(messages.sparkSession):
         return writer.trigger(**trigger).start()
 
 
+def drain(
+    messages: DataFrame, scorer: BatchScorer, delay: str = "1 day", arrived: Column | None = None,
+) -> StreamingQuery:
+    """A whole bounded run: all present input, progress reports stored, and every good row scored,
+    also when too few came for a model to be fitted on the way."""
+    spark = messages.sparkSession
+    name = f"job-{uuid.uuid4().hex}"
+    keeper = ProgressKeeper(spark, scorer.paths, name)
+    spark.streams.addListener(keeper)
+    try:
+        running = start(messages, scorer, delay, arrived=arrived, name=name)
+        running.awaitTermination()
+        wait_for_report(running, keeper)
+    finally:
+        spark.streams.removeListener(keeper)
+    scorer.finish(spark)
+    return running
+
+
+def wait_for_report(running: StreamingQuery, keeper: ProgressKeeper, seconds: float = 10) -> None:
+    """Reports come in a thread of their own: wait until that of the last batch is stored."""
+    last, until = running.lastProgress, time.monotonic() + seconds
+    while last is not None and time.monotonic() < until:
+        if f"{last['batchId']:020d}.json" in keeper.folder.names(keeper.folder.root):
+            return
+        time.sleep(0.05)
+
+
 def unique_good(records: DataFrame, delay: str) -> DataFrame:
     """Repeats removed among good records; every rejected one stays, however often it comes."""
     good = unique(records.where(F.col("reason").isNull()), delay)
@@ -303,11 +376,13 @@ def status_table(
     spark: SparkSession, paths: Paths, progress: dict | None = None, live: DataFrame | None = None,
     max_size: int = BUFFER_SIZE,
 ) -> DataFrame:
-    """Totals of the whole run, from the metrics that each batch stored: processed rows,
-    errors, anomalies, batches, the slowest batch; from the last progress report of a Kafka
-    source the lag over all partitions; from a live view its size and share of the bound.
+    """Totals of the whole run, from what each batch stored under its number, so that a batch
+    that ran twice counts once: processed rows, errors, anomalies, batches, the slowest batch; from the last
+    progress report of a Kafka source the lag over all partitions; from a live view its size and share of the bound.
     """
-    stored = spark.read.parquet(paths.metrics)
+    stored = commits.read(spark, paths.metrics).select("metric_name", "metric_value")
+    if path_exists(spark, paths.flags):
+        stored = stored.unionByName(commits.read(spark, paths.flags).select("metric_name", "metric_value"))
     totals = stored.where("metric_name <> 'batch_millis'").groupBy("metric_name").agg(
         F.sum("metric_value").alias("metric_value")
     )
@@ -331,8 +406,6 @@ def status_table(
 
 def kafka_offsets(progress: dict) -> list[tuple]:
     """(topic, partition, position, end_offset) from one progress report of a Kafka source."""
-    import json
-
     def parse(text) -> dict:
         return json.loads(text) if isinstance(text, str) else (text or {})
 

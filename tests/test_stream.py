@@ -154,3 +154,90 @@ def test_kafka_options_and_lag():
             kafka_options(**({"servers": "h:1", "topic": "t"} | bad))
     progress = {"sources": [{"endOffset": {"tx": {"0": 100}}, "latestOffset": '{"tx": {"0": 150, "1": 7}}'}]}
     assert sorted(job.kafka_offsets(progress)) == [("tx", 0, 100, 150), ("tx", 1, 0, 7)]
+
+
+def test_a_short_stream_is_scored_when_it_ends(spark, tmp_path):
+    """100 good rows, fewer than a model asks for on the way."""
+    write_messages(tmp_path / "in", 0, 25, files=4)
+    paths = job.Paths(str(tmp_path / "job"))
+    how = {"arrived": F.lit(ARRIVED).cast("timestamp")}
+    job.drain(read_lines(spark, str(tmp_path / "in"), 1), job.BatchScorer(paths), "30 days", **how)
+    rows = job.commits.read(spark, paths.predictions)
+    assert rows.count() == rows.select("hash").distinct().count() == 100
+    assert {r.anomaly for r in rows.collect()} <= {"normal", "anomaly"}
+    assert not job.path_exists(spark, paths.waiting) and forest.load(spark, paths.model).features == job.STREAM_FEATURES
+    write_messages(tmp_path / "in", 100, 30)
+    job.drain(read_lines(spark, str(tmp_path / "in"), 1), job.BatchScorer(paths), "30 days", **how)
+    rows = job.commits.read(spark, paths.predictions)
+    assert rows.count() == 130 and rows.where("anomaly = 'unscored'").count() == 0
+    reports = job.progress_table(spark, paths).where("input_rows > 0").collect()
+    assert sum(r.good for r in reports) == 130 and sum(r.bad for r in reports) == 5
+    assert len({r.batch_id for r in reports}) == len(reports) >= 5 and all(r.millis > 0 and r.lag == 0 for r in reports)
+
+
+def test_finish_may_be_ended_and_run_again(spark, tmp_path, monkeypatch):
+    write_messages(tmp_path / "in", 0, 40, files=2)
+    paths, _ = run(spark, tmp_path / "in", tmp_path / "job", 1)
+    scorer = job.BatchScorer(paths)
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(job.commits, "drop", lost)
+        with pytest.raises(RuntimeError):
+            scorer.finish(spark)
+    assert job.BatchScorer(paths).finish(spark) == 80 and job.BatchScorer(paths).finish(spark) == 0
+    rows = job.commits.read(spark, paths.predictions)
+    assert rows.count() == 80 and rows.where("anomaly = 'unscored'").count() == 0
+    status = {r.metric_name: r.metric_value for r in job.status_table(spark, paths).collect()}
+    assert status["anomalies_detected"] == rows.where("is_anomaly").count()
+
+
+def test_status_after_a_replayed_batch(spark, tmp_path):
+    """The batch that fits the model also scores those before it; run again, the totals stay."""
+    paths = job.Paths(str(tmp_path / "job"))
+    scorer, batches = job.BatchScorer(paths, min_training_rows=150, contamination=0.1), []
+    for k in range(2):
+        write_messages(tmp_path / f"in{k}", k * 100, 100)
+        parsed = job.parsed(spark.read.text(str(tmp_path / f"in{k}")), F.lit(ARRIVED).cast("timestamp"))
+        batches.append(job.unique_good(parsed, "1 day"))
+        scorer(batches[k], k)
+
+    def status():
+        return {r.metric_name: r.metric_value for r in job.status_table(spark, paths).collect() if "millis" not in r.metric_name}
+
+    first = status()
+    assert first["anomalies_detected"] == job.commits.read(spark, paths.anomalies).count() > 0
+    for again in (scorer, job.BatchScorer(paths, min_training_rows=150, contamination=0.1)):
+        again(batches[1], 1)
+        assert status() == first
+    assert job.commits.read(spark, paths.predictions).count() == 200
+
+
+def test_live_state_equals_the_batch_view(spark, tmp_path):
+    """Bounded per severity, evicted in time, the same over a restart."""
+    from ledgerwatch.operators.buffer import live_by_severity
+    from ledgerwatch.streaming import live
+
+    rng, schema = np.random.default_rng(5), "tx_hash string, severity string, detected_at timestamp, anomaly_score double"
+    start, folder, seen = datetime(2024, 1, 1), str(tmp_path / "in"), []
+    for turn, step in enumerate((0, 100, 200, 900)):
+        rows = [(f"h{turn}-{i}", str(rng.choice(["low", "low", "low", "high"])) if i % 9 else None,
+                 start + timedelta(seconds=int(step + rng.integers(150))), float(i)) for i in range(50)]
+        rows = rows[: 3 if turn == 3 else None]
+        spark.createDataFrame(rows + rows[:2] + [(None, "low", start, 0.0)], schema).coalesce(1).write.mode("append").parquet(folder)
+        if turn == 0:
+            continue  # the first run has two files
+        entries = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        live.keep_live(entries, str(tmp_path / "changes"), str(tmp_path / "offsets"), 10, 120).awaitTermination()
+        stored = spark.read.parquet(folder).where("tx_hash is not null").distinct()
+        now = stored.agg(F.max("detected_at").alias("t")).first()["t"]
+        want = {(r.severity, r.tx_hash, r.detected_at) for r in live_by_severity(stored, now, 10, 120).collect()}
+        view = live.live_view(spark, str(tmp_path / "offsets"))
+        assert {(r.severity, r.key, r.inserted_at) for r in view.collect()} == want
+        changes = live.view_of_changes(job.commits.read(spark, str(tmp_path / "changes")))
+        assert {(r.severity, r.key, r.inserted_at) for r in changes.collect()} == want
+        assert json.loads(view.first()["payload"]).keys() == {"anomaly_score"}
+        seen.append(len(want))
+    assert seen[0] > 20 and seen[-1] == 3  # the last files come long after: the old entries are gone
