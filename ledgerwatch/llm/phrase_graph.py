@@ -18,7 +18,6 @@ to paths: passages of any length that occur as a whole. All edges of a path have
 
 from __future__ import annotations
 
-import io
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerwatch.llm.common import ragged, range_hashes, text_of
@@ -34,15 +34,17 @@ from ledgerwatch.session import materialise, python_tasks, require_columns
 #: Words of an edge.
 EDGE = 4
 #: Bytes of text that a task sums at a time, rows that a bucket gathers before it adds them up.
-TEXT_BYTES, ROWS = 8 << 20, 4 << 20
+TEXT_BYTES, ROWS = 4 << 20, 2 << 20
+#: Level of compression.
+LEVEL = 5
 #: Buckets for each task of the next stage; only one is in memory at a time.
-BUCKETS = 8
+BUCKETS = 3
 #: Ways of a word or a pair in the joins of parts.
 SALTS = 16
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _PACKED = "lang string, bucket long, size long, grams binary"
-_COUNTED = "lang string, size int, phrase string, f long, bucket long, grams binary"
+_COUNTED = "lang string, size long, phrase string, f long, bucket long, grams binary"
 
 
 def _cuts(data: bytes, limit: int) -> Iterator[tuple[bytes, bool]]:
@@ -83,7 +85,7 @@ def grams_of(parts: list[tuple[bytes, bool]]) -> tuple[pa.Array, np.ndarray]:
     names = sorted(set(words) - {b".", b""})
     number = {w: k + 2 for k, w in enumerate(names)} | {b".": 0, b"": 1}
     a = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    del words
+    del words, number
     size = len(names) + 2
     padded = np.concatenate((a, np.zeros(EDGE, np.int64)))
     cells, ended, cut = [], np.zeros(len(a), bool), np.zeros(len(a), bool)
@@ -146,28 +148,42 @@ def packed(lang: str, grams: pa.Array, counts: np.ndarray, size: int, buckets: i
     seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
     bucket = (range_hashes(data, offsets[:-1], ends) ^ seed) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    table = pa.record_batch([grams.take(pa.array(order)), pa.array(counts[order])], ["g", "n"])
     stops = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    data, offsets = _buffers(grams.take(pa.array(order)))
+    counts, lengths, coder = counts[order], np.diff(offsets), zstandard.ZstdCompressor(level=LEVEL)
     for b in np.flatnonzero(np.diff(stops)):
-        sink = io.BytesIO()
-        part = table.slice(stops[b], stops[b + 1] - stops[b])
-        with pa.ipc.new_stream(sink, table.schema, options=options) as out:
-            out.write_batch(part)
-        yield lang, int(b), part.num_rows, sink.getvalue()
+        i, j = stops[b], stops[b + 1]
+        yield lang, int(b), int(j - i), coder.compress(_planes(lengths[i:j], 4) + _planes(counts[i:j], 8) + data[offsets[i] : offsets[j]].tobytes())
 
 
-def _rows(rows: Iterator[tuple], schema: str, kinds: dict, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: the higher ones are zeros in a row."""
+    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def unpacked(blob: bytes, n: int) -> tuple[pa.Array, np.ndarray]:
+    """Grams and counts of a packed table of ``n`` rows."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+
+    def numbers(at, width):
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+    offsets = np.concatenate(([0], np.cumsum(numbers(0, 4)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[12 * n :])]), numbers(4 * n, 8)
+
+
+def _rows(rows: Iterator[tuple], schema: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Rows in batches of about ``limit`` bytes."""
     names, held, got = [c.split()[0] for c in schema.split(", ")], 0, []
     for row in rows:
         got.append(row)
         held += 100 + len(row[-1] or b"")
         if held > limit:
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, zip(*got))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for n, c in zip(names, zip(*got))], names)
             held, got = 0, []
     if got:
-        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, zip(*got))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for n, c in zip(names, zip(*got))], names)
 
 
 _KINDS = {"lang": pa.string(), "bucket": pa.int64(), "size": pa.int64(), "grams": pa.binary(), "phrase": pa.string(), "f": pa.int64()}
@@ -197,18 +213,18 @@ def _text_grams(rows: DataFrame, buckets: int) -> DataFrame:
             for lang in list(held):
                 yield from flushed(lang)
 
-        yield from _rows(made(), _PACKED, _KINDS)
+        yield from _rows(made(), _PACKED)
 
     return rows.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(run, _PACKED)
 
 
 def _counted(grams: DataFrame, size: int, least: int, buckets: int) -> DataFrame:
     """One level: adds up packed grams bucket by bucket. Stored rows hold either a phrase that occurs
-    ``least`` times or more with its count ``f``, or packed sums by the first ``size - 1`` words.
+    ``least`` times or more with its count ``f``, or packed sums by the first ``size - 1`` words (``size`` is then their number).
 
     The last level (size 1) also gives each language's number of words, as a phrase of size 0.
     """
-    tasks, kinds = python_tasks(grams.sparkSession), {**_KINDS, "size": pa.int32()}
+    tasks = python_tasks(grams.sparkSession)
 
     def run(batches):
         def frequent(lang, names, counts, only=None):
@@ -233,32 +249,32 @@ def _counted(grams: DataFrame, size: int, least: int, buckets: int) -> DataFrame
                     yield lang, 0, "", int(counts.sum()), None, None
                 else:
                     onward = summed(first_words(names, size - 1), counts)
-                    for lang, bucket, _, blob in packed(lang, *onward, size - 1, buckets):
-                        yield lang, 0, None, None, bucket, blob
+                    for lang, bucket, n, blob in packed(lang, *onward, size - 1, buckets):
+                        yield lang, n, None, None, bucket, blob
 
         def made():
             parts, now, held = defaultdict(list), None, defaultdict(int)
             for batch in batches:
-                for lang, bucket, n, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                for lang, bucket, n, blob in ([x.as_py() for x in row] for row in zip(*batch.columns)):
                     if bucket != now and parts:
                         yield from closed(parts)
                         parts, held = defaultdict(list), defaultdict(int)
                     now = bucket
-                    parts[lang].append(pa.ipc.open_stream(blob).read_all())
+                    parts[lang].append(unpacked(blob, n))
                     held[lang] += n
                     if held[lang] > ROWS and len(parts[lang]) > 1:
-                        parts[lang], held[lang] = [pa.table(dict(zip("gn", _added(parts[lang]))))], 0
+                        parts[lang], held[lang] = [_added(parts[lang])], 0
             yield from closed(parts)
 
-        yield from _rows(made(), _COUNTED, kinds)
+        yield from _rows(made(), _COUNTED)
 
     dealt = grams.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return materialise(dealt.mapInArrow(run, _COUNTED), f"phrases-{size}")
 
 
-def _added(tables: list[pa.Table]) -> tuple[pa.Array, np.ndarray]:
-    whole = pa.concat_tables(tables).combine_chunks()
-    return summed(whole["g"].chunk(0), whole["n"].chunk(0).to_numpy())
+def _added(tables: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    names, counts = zip(*tables)
+    return summed(pa.concat_arrays(names), np.concatenate(counts))
 
 
 def counts(df: DataFrame, text_col: str, lang_col: str | None = None, least: int = 30) -> DataFrame:
@@ -277,7 +293,7 @@ def counts(df: DataFrame, text_col: str, lang_col: str | None = None, least: int
     for size in range(EDGE - 1, 0, -1):
         level = _counted(grams, size, least, buckets)
         levels.append(level.where("phrase is not null").select("lang", "size", "phrase", "f"))
-        grams = level.where("grams is not null").select("lang", "bucket", F.octet_length("grams").cast("long").alias("size"), "grams")
+        grams = level.where("grams is not null").select("lang", "bucket", "size", "grams")
     found = levels[0].union(levels[1]).union(levels[2])
     total = found.where("size = 0").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
     return found.where("size > 0").union(total)
