@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.catalog.registry import query
 from ledgerwatch.functions.features import BASE_FEATURES, with_extended_features
 from ledgerwatch.functions.numeric import rounded
-from ledgerwatch.operators import monitor, series
+from ledgerwatch.operators import long_series, monitor, series
 from ledgerwatch.operators.buffer import live_entries, live_by_severity
 from ledgerwatch.operators.ordered import running_total
 
@@ -112,6 +112,44 @@ def _(v):
     return ahead.withColumn("forecast", rounded(F.col("forecast"), 2))
 
 
+@query("F2_long_ar2", f"""
+    with {_ONE}, d as (select row_number() over (order by day) as t, value - lag(value) over (order by day) as w
+                       from filled where value is not null),
+    l as (select w, lag(w, 1) over (order by t) as a, lag(w, 2) over (order by t) as b from d where w is not null),
+    s as (select sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * w) as aw, sum(b * w) as bw from l where b is not null)
+    select (select count(*) from d) as points, round((aw * bb - bw * ab) / (aa * bb - ab * ab), 6) as ar1,
+           round((bw * aa - aw * ab) / (aa * bb - ab * ab), 6) as ar2 from s""")
+def _(v):
+    """The whole table as one series, cut into slices: no task holds all of it."""
+    fitted = long_series.fit_long(series.daily_series(v.tx), (2, 1, 0), hot_rows=500)
+    return v.spark.createDataFrame([(fitted.points, round(fitted.ar[0], 6), round(fitted.ar[1], 6))], "points long, ar1 double, ar2 double")
+
+
+@query("F3_long_forecast", f"""
+    with {_ONE}, v as (select day, value, value - lag(value) over (order by day) as d from filled where value is not null),
+    l as (select *, lag(d) over (order by day) as before from v),
+    f as (select max(day) as last, arg_max(value, day) as y, arg_max(d, day) as w,
+                 sum(d * before) / sum(before * before) as phi from l)
+    select cast(s as int) as step, (last + cast(s as int))::date as day,
+           round(y + w * list_sum(list_transform(range(1, s + 1), lambda k: pow(phi, k))), 2) as forecast
+    from f, range(1, 11) r(s)""")
+def _(v):
+    ahead = long_series.forecast_long(series.daily_series(v.tx), (1, 1, 0), 10, hot_rows=500)
+    return ahead.withColumn("forecast", rounded(F.col("forecast"), 2))
+
+
+@query("F2_likelihood", f"""
+    with {_MANY}, v as (select from_address, day, value, value - lag(value) over (partition by from_address order by day) as d
+                        from filled where value is not null)
+    select from_address, count(*) as points, true as never_below_its_start from v group by 1
+    having count(*) >= 20 and max(d) > min(d)""")
+def _(v):
+    """ARMA(1, 1) of the differences by exact likelihood, for all addresses with enough days."""
+    dense = series.daily_series(v.tx, ["from_address"])
+    fitted = series.fit_arima(dense, ["from_address"], (1, 1, 1), "likelihood").where("points >= 20 and loglik is not null")
+    return fitted.select("from_address", "points", (F.col("loglik") >= F.col("start_loglik")).alias("never_below_its_start"))
+
+
 @query("F2_fit_arima")
 def _(v):
     return series.fit_arima(series.daily_series(v.tx, ["from_address"]), ["from_address"])

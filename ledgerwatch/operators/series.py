@@ -12,8 +12,10 @@ from pyspark.sql.types import (
     ArrayType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
+from ledgerwatch.functions.checks import require, require_count
 from ledgerwatch.functions.features import BASE_FEATURES
 from ledgerwatch.functions.numeric import num
+from ledgerwatch.operators import likelihood
 from ledgerwatch.operators.ordered import HOT_ROWS, with_preceding_rows
 from ledgerwatch.session import require_columns
 
@@ -85,21 +87,15 @@ def rolling_features(
 
 
 def check_order(order: tuple[int, int, int]) -> None:
-    if not isinstance(order, tuple):
-        raise TypeError(f"order must be a tuple, got {type(order).__name__}")
-    if len(order) != 3:
-        raise ValueError("order must hold the three numbers p, d and q")
-    if not all(isinstance(n, int) and not isinstance(n, bool) for n in order):
-        raise TypeError("p, d and q must be integers")
-    if min(order) < 0:
-        raise ValueError("p, d and q must not be negative")
+    """A tuple of three whole numbers, none below zero: lags, differences, moving-average terms."""
+    require(isinstance(order, tuple), TypeError, f"expected (p, d, q) as a tuple, not {order!r}")
+    require(len(order) == 3, ValueError, f"expected three numbers (p, d, q), not {len(order)}")
+    for name, n in zip("pdq", order):
+        require_count(name, n, 0)
 
 
 def check_steps(steps: int) -> None:
-    if not isinstance(steps, int) or isinstance(steps, bool):
-        raise TypeError("steps must be an integer")
-    if steps <= 0:
-        raise ValueError("steps must be positive")
+    require_count("steps", steps, 1)
 
 
 def _lagged(x: np.ndarray, lags: int, start: int) -> np.ndarray:
@@ -143,9 +139,12 @@ def _least_squares(w: np.ndarray, residuals: np.ndarray, mean: float, p: int, q:
     return mean, beta[:p], beta[p:], errors, float(np.mean(errors[start:] ** 2))
 
 
-def _forecast(y: np.ndarray, order: tuple[int, int, int], steps: int) -> np.ndarray:
-    p, d, q = order
-    mean, ar, ma, errors, _ = _fit(y, order)
+def forecast_from(
+    y: np.ndarray, order: tuple[int, int, int], steps: int, mean: float, ar: Sequence[float],
+    ma: Sequence[float], errors: Sequence[float],
+) -> np.ndarray:
+    """The next values from the last ones, the coefficients and the last errors."""
+    _, d, _ = order
     w = list((np.diff(y, n=d) if d else y) - mean)
     e = list(errors)
     for _ in range(steps):
@@ -159,6 +158,33 @@ def _forecast(y: np.ndarray, order: tuple[int, int, int], steps: int) -> np.ndar
     return ahead
 
 
+def _fits(values: Sequence, order: tuple[int, int, int], method: str) -> list[tuple | None]:
+    """For each series (constant, ar, ma, errors, variance, log-likelihood, that of the start), or None.
+
+    The likelihoods are None after least squares, and for a series without any change.
+    """
+    ys = [np.asarray(v, float) for v in values]
+    out = [(*_fit(y, order), None, None) if _enough(y, order) else None for y in ys]
+    if method == "likelihood":
+        _, d, _ = order
+        some, found = [], []
+        for i, fit in enumerate(out):
+            if fit is not None:
+                w = (np.diff(ys[i], n=d) if d else ys[i]) - fit[0]
+                if np.ptp(w) > 0 and np.isfinite(w).all():
+                    some.append((i, w))
+        if some:
+            found = likelihood.maximised([w for _, w in some], [(out[i][1], out[i][2]) for i, _ in some])
+        for (i, _), f in zip(some, found):
+            out[i] = (out[i][0], f["ar"], f["ma"], f["errors"], f["sigma2"], f["loglik"], f["start_loglik"])
+    return out
+
+
+def check_method(method: str) -> None:
+    if method not in ("least_squares", "likelihood"):
+        raise ValueError(f"unknown method: {method}")
+
+
 def _grouped(series: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     if keys:
         return series, list(keys)
@@ -183,28 +209,36 @@ def _enough(y: np.ndarray, order: tuple[int, int, int]) -> bool:
 
 
 def fit_arima(
-    series: DataFrame, keys: Sequence[str] = (), order: tuple[int, int, int] = (5, 1, 0),
+    series: DataFrame, keys: Sequence[str] = (), order: tuple[int, int, int] = (5, 1, 0), method: str = "least_squares",
 ) -> DataFrame:
-    """One row per series with its coefficients, or the status ``insufficient``."""
+    """One row per series with its coefficients, or the status ``insufficient``.
+
+    ``method`` is ``least_squares`` or ``likelihood`` (exact, from the least-squares start; then
+    with ``loglik`` and ``start_loglik``, null for a series without any change). Each series is one
+    array in one task; ``long_series`` fits one of any length.
+    """
     check_order(order)
+    check_method(method)
     rows, keys = _grouped(series, keys)
+    extra = [StructField(n, DoubleType()) for n in ("loglik", "start_loglik")] if method == "likelihood" else []
     schema = StructType([
         *[rows.schema[k] for k in keys],
         StructField("points", LongType()), StructField("status", StringType()),
         StructField("constant", DoubleType()), StructField("ar", ArrayType(DoubleType())),
-        StructField("ma", ArrayType(DoubleType())), StructField("sigma2", DoubleType()),
+        StructField("ma", ArrayType(DoubleType())), StructField("sigma2", DoubleType()), *extra,
     ])
 
-    def one(values) -> list:
-        y = np.asarray(values, float)
-        if not _enough(y, order):
-            return [len(y), "insufficient", None, None, None, None]
-        constant, ar, ma, _, sigma2 = _fit(y, order)
-        return [len(y), "ok", constant, list(map(float, ar)), list(map(float, ma)), sigma2]
-
     def fit(batches):
         for pdf in batches:
-            found = [[*row[:-2], *one(row[-1])] for row in pdf.itertuples(index=False, name=None)]
+            found = []
+            listed = list(pdf.itertuples(index=False, name=None))
+            for row, one in zip(listed, _fits([r[-1] for r in listed], order, method)):
+                if one is None:
+                    found.append([*row[:-2], len(row[-1]), "insufficient"] + [None] * (4 + len(extra)))
+                    continue
+                constant, ar, ma, _, sigma2, *more = one
+                found.append([*row[:-2], len(row[-1]), "ok", constant, list(map(float, ar)), list(map(float, ma)), sigma2,
+                              *more[: len(extra)]])
             yield pd.DataFrame(found, columns=schema.names)
 
     return _as_arrays(rows, keys).mapInPandas(fit, schema)
@@ -212,24 +246,25 @@ def fit_arima(
 
 def forecast(
     series: DataFrame, keys: Sequence[str] = (), order: tuple[int, int, int] = (5, 1, 0),
-    steps: int = 10,
+    steps: int = 10, method: str = "least_squares",
 ) -> DataFrame:
     """The next days of every series: (keys, step, day, forecast)."""
     check_order(order)
     check_steps(steps)
+    check_method(method)
     rows, keys = _grouped(series, keys)
     ahead_schema = StructType([
         *[rows.schema[k] for k in keys], StructField("last", DateType()),
         StructField("ahead", ArrayType(DoubleType())),
     ])
 
-    def one(values) -> list[float]:
-        y = np.asarray(values, float)
-        return list(map(float, _forecast(y, order, steps))) if _enough(y, order) else []
-
     def ahead(batches):
         for pdf in batches:
-            found = [[*row[:-1], one(row[-1])] for row in pdf.itertuples(index=False, name=None)]
+            found = []
+            listed = list(pdf.itertuples(index=False, name=None))
+            for row, one in zip(listed, _fits([r[-1] for r in listed], order, method)):
+                y = np.asarray(row[-1], float)
+                found.append([*row[:-1], [] if one is None else list(map(float, forecast_from(y, order, steps, *one[:4])))])
             yield pd.DataFrame(found, columns=ahead_schema.names)
 
     found = _as_arrays(rows, keys).mapInPandas(ahead, ahead_schema)
