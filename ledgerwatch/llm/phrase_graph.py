@@ -34,11 +34,11 @@ from ledgerwatch.session import materialise, python_tasks, require_columns
 #: Words of an edge.
 EDGE = 4
 #: Bytes of text that a task sums at a time, rows that a bucket gathers before it adds them up.
-TEXT_BYTES, ROWS = 4 << 20, 2 << 20
+TEXT_BYTES, ROWS = 2 << 20, 1 << 20
 #: Level of compression.
 LEVEL = 5
 #: Buckets for each task of the next stage; only one is in memory at a time.
-BUCKETS = 3
+BUCKETS = 6
 #: Ways of a word or a pair in the joins of parts.
 SALTS = 16
 
@@ -84,10 +84,10 @@ def grams_of(parts: list[tuple[bytes, bool]]) -> tuple[pa.Array, np.ndarray]:
         words.append(b"" if is_open else b".")
     names = sorted(set(words) - {b".", b""})
     number = {w: k + 2 for k, w in enumerate(names)} | {b".": 0, b"": 1}
-    a = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    a = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
     del words, number
     size = len(names) + 2
-    padded = np.concatenate((a, np.zeros(EDGE, np.int64)))
+    padded = np.concatenate((a, np.zeros(EDGE, np.int32)))
     cells, ended, cut = [], np.zeros(len(a), bool), np.zeros(len(a), bool)
     for k in range(EDGE):  # words after the end of the piece are none (0)
         cell = padded[k : k + len(a)]
@@ -95,10 +95,13 @@ def grams_of(parts: list[tuple[bytes, bool]]) -> tuple[pa.Array, np.ndarray]:
         ended |= cell < 2
         cells.append(np.where(ended, 0, cell))
     keep = (cells[0] > 0) & ~cut
-    first, second = (cells[i][keep] * size + cells[i + 1][keep] for i in (0, 2))
+    first, second = (cells[i][keep].astype(np.int64) * size + cells[i + 1][keep] for i in (0, 2))
+    del cells, ended, cut, padded
     pairs, place = np.unique(np.concatenate((first, second)), return_inverse=True)
     half = len(first)
+    del first, second
     keys, counts = np.unique(place[:half] * len(pairs) + place[half:], return_counts=True)
+    del place
     columns = [x for p in (pairs[keys // max(1, len(pairs))], pairs[keys % max(1, len(pairs))]) for x in (p // size, p % size)]
     texts = pa.array([None, None, *names], pa.binary())
     joined = pc.binary_join_element_wise(*(texts.take(pa.array(c)) for c in columns), pa.scalar(b" "), null_handling="skip")
