@@ -20,13 +20,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerwatch.llm.common import ragged, range_hashes, text_of
 from ledgerwatch.session import materialise, python_tasks, require_columns
@@ -39,6 +40,8 @@ TEXT_BYTES, ROWS = 2 << 20, 1 << 20
 LEVEL = 5
 #: Buckets for each task of the next stage; only one is in memory at a time.
 BUCKETS = 6
+#: Rows (texts or packed tables) that pass to Python at a time.
+BATCH = 256
 #: Ways of a word or a pair in the joins of parts.
 SALTS = 16
 
@@ -271,8 +274,21 @@ def _counted(grams: DataFrame, size: int, least: int, buckets: int) -> DataFrame
 
         yield from _rows(made(), _COUNTED)
 
-    dealt = grams.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return materialise(dealt.mapInArrow(run, _COUNTED), f"phrases-{size}")
+    dealt = grams.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
+    with _small_batches(grams.sparkSession):
+        return materialise(dealt.mapInArrow(run, _COUNTED), f"phrases-{size}")
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Few rows at a time between the JVM and Python inside this block: a packed row is large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _added(tables: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
