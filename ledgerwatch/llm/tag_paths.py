@@ -4,16 +4,24 @@ The text of a page is cut at block tags; every block has the path of tags above
 path the lengths of its blocks and their punctuation are added up and divided by the number
 of its tags, once for lengths and once for punctuation. The ratios, laid along the page, are
 smoothed, fused into one score and compared with a threshold from the page itself; a path
-whose blocks score above it on average is content. The chosen paths show where the article is:
-everything in their containers is taken, so lists, tables and captions, whose scores are low,
-stay. Tags that never hold an article (menus, forms) score nothing, nor do parts named like
-adverts or menus.
+whose blocks score above it on average is content.
+
+The chosen paths show where the article is. If article or main elements hold text of chosen
+paths, nothing outside them counts. Elsewhere the same ratios are taken of every container
+(the part of the page directly around a block): a container stays if it holds chosen paths and
+its own score comes near that of the main one. So a footer or a comment of the same
+path as the article, but in another container, does not. In a container that stays, lists,
+tables and captions stay too, though their scores are low.
+
+Tags that never hold an article (menus, forms) score nothing, nor do parts named like adverts
+or menus; names don't decide between containers.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +59,8 @@ COMPOUND, WHOLE, READERS = 1, 2, 3
 BESIDE, WITHIN = 0.02, 0.5
 #: Tags that cut a page into parts.
 PARTS = frozenset("body div article section main center".split())
+#: What an end tag left out cannot reach across.
+LIMITS = ("table", "td", "th", "div", "article", "section", "main", "body", "button")
 #: Names that are also used for an article's own parts, where they stand inside the article.
 INSIDE = frozenset(("header",))
 
@@ -61,6 +71,11 @@ _name_parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+").findall
 _spaces = re.compile(r"\s+")
 _marks = re.compile(r"[.,;:!?…。，！？、]").findall
 
+#: Share of a main part's chosen text that one article in it must hold to bound it instead.
+WITHIN_MAIN = 0.3
+#: What article and main elements must hold of the chosen text to bound it, and the share of the main container's
+#: score that another must reach.
+BOUND, NEAR = 0.1, 0.2
 #: Kernel along the blocks, and the share of the page's typical score that content must reach.
 KERNEL = np.array([0.25, 0.5, 0.25])
 SHARE = 0.1
@@ -68,10 +83,10 @@ SHARE = 0.1
 
 @dataclass
 class Block:
-    """A block's text, the path above it, and whether anything on the path rules it out."""
+    """A block's text, the numbers of its path and of that path's parent, and whether anything on it rules it out."""
 
-    path: str
-    parent: str
+    path: int
+    parent: int
     leaf: str
     text: str
     links: int
@@ -98,19 +113,20 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
     """Blocks with text in page order, and the elements in the order they open."""
     out: list[Block] = []
     nodes: list[Node] = []
-    stack: list[tuple[str, int, str]] = []  # tag, number of the element, step of the path
+    stack: list[tuple[str, int, int]] = []  # tag, number of the element, number of the path
+    number: dict[tuple[int, str], int] = {}  # paths by the path above and the last step
+    above, leaves = [-1], [""]  # of each path; 0 is the empty one
+    is_open: Counter = Counter()
     parts: list[str] = []
     links = 0
-    in_link = 0
 
     def flush():
         nonlocal links
         if parts:
             text = _spaces.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                steps = [s for t, _, s in stack if t in BLOCK]
-                out.append(Block("/".join(steps), "/".join(steps[:-1]), next((t for t, _, _ in reversed(stack) if t in BLOCK), ""), text,
-                                 min(links, len(text)), False, stack[-1][1] if stack else -1))
+                path = stack[-1][2] if stack else 0
+                out.append(Block(path, above[path], leaves[path], text, min(links, len(text)), False, stack[-1][1] if stack else -1))
             parts.clear()
         links = 0
 
@@ -118,9 +134,20 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
         nonlocal links
         if text:
             parts.append(text)
-            if in_link:
+            if is_open["a"]:
                 links += len(text.strip())
 
+    def close(tag: str, limits: tuple = LIMITS) -> None:
+        """End the nearest open ``tag`` with all in it, unless a limit lies between."""
+        if is_open[tag]:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag:
+                    is_open.subtract(t for t, _, _ in stack[i:])
+                    del stack[i:]
+                    return
+                if stack[i][0] in limits:
+                    return
+
     at, end = 0, len(page)
     while at < end:
         m = _token.search(page, at)
@@ -139,47 +166,53 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
         if tag in BLOCK:
             flush()
         if closing:
-            if any(t == tag for t, _, _ in stack):
+            if is_open[tag]:
                 if tag in BLOCK:
-                    while stack.pop()[0] != tag:
-                        pass
+                    close(tag, ())
                 else:  # an inline tag ends the last of its kind within the block
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == tag:
                             del stack[i]
+                            is_open[tag] -= 1
                             break
                         if stack[i][0] in BLOCK:
                             break
-            in_link = sum(t == "a" for t, _, _ in stack)
             continue
         if tag == "hr":
             continue
         if tag in RAW:  # its content is not markup; up to the end tag, or the end of the page
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else end
+            ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = ended.end() if ended else end
             continue
         if tag in BLOCK:
-            if any(t == "p" for t, _, _ in stack) and tag not in ("html", "body"):
-                _close(stack, "p")
+            if tag not in ("html", "body"):
+                close("p")
             if tag in ENDS:
-                ended, limits = ENDS[tag]
-                for t in ended.split():
-                    _close(stack, t, limits)
+                ends, limits = ENDS[tag]
+                for t in ends.split():
+                    close(t, limits)
         names, named = set(), 0
         for x in _attribute.findall(attributes):
             for token in "".join(x).split():
                 parts_of = [n.lower() for n in _name_parts(token)]
                 names.update(parts_of)
                 named = max(named, _named(parts_of))
-        within = any(t in ("article", "main") for t, _, _ in stack)
+        within = is_open["article"] + is_open["main"] > 0
         if tag in ("html", "body", "article", "main") or within and not names & (NAMES - INSIDE):
             named = 0
         barred = tag in SKIPPED or tag == "header" and not within or bool(_hidden.search(attributes))
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
             nodes.append(Node(stack[-1][1] if stack else -1, tag, barred, named))
-            stack.append((tag, len(nodes) - 1, tag + "".join(f".{n}" for n in sorted(names))))
-        if tag == "a":
-            in_link += 1
+            path = stack[-1][2] if stack else 0
+            if tag in BLOCK:
+                step = (path, tag + "".join(f".{n}" for n in sorted(names)))
+                if step not in number:
+                    number[step] = len(above)
+                    above.append(path)
+                    leaves.append(tag)
+                path = number[step]
+            stack.append((tag, len(nodes) - 1, path))
+            is_open[tag] += 1
     flush()
     _bar(out, nodes)
     return out, nodes
@@ -249,22 +282,12 @@ def _bar(blocks: list[Block], nodes: list[Node]) -> None:
         b.barred = b.node >= 0 and barred[b.node]
 
 
-def _close(stack: list, tag: str, limits: tuple = ("table", "td", "th", "div", "article", "section", "main", "body", "button")) -> None:
-    """End the nearest open ``tag`` with all in it, unless a limit lies between; inline tags in it end too."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == tag:
-            del stack[i:]
-            return
-        if stack[i][0] in limits:
-            return
-
-
-def content_paths(blocks: list[Block]) -> set[str]:
+def content_paths(blocks: list[Block]) -> set[int]:
     """Paths that the ratios choose."""
     free = [b for b in blocks if not b.barred]
     if not free:
         return set()
-    number: dict[str, int] = {}
+    number: dict[int, int] = {}
     of = np.array([number.setdefault(b.path, len(number)) for b in blocks])
     own_text = np.array([0 if b.barred else max(0, len(b.text) - b.links) for b in blocks], float)
     marks = np.array([0 if b.barred else len(_marks(b.text)) for b in blocks], float)
@@ -275,40 +298,103 @@ def content_paths(blocks: list[Block]) -> set[str]:
     fused[np.array([b.barred for b in blocks])] = 0
     typical = (fused * own_text).sum() / max(1.0, own_text.sum())
     mean = np.bincount(of, fused) / n
-    chosen = {p for p, k in number.items() if mean[k] > 0 and mean[k] >= min(SHARE * typical, mean[mean > 0].max())}
+    least = min(SHARE * typical, mean.max())
+    chosen = {p for p, k in number.items() if mean[k] > 0 and mean[k] >= least}
     # Headings are short and bare; they belong to the text that their parent holds.
     parents = {b.parent for b in free if b.path in chosen} | {b.path for b in free if b.path in chosen}
     return chosen | {b.path for b in free if b.leaf in HEADINGS and b.parent in parents}
 
 
 def content(blocks: list[Block], nodes: list[Node]) -> list[Block]:
-    """The blocks of chosen paths, and all that is not barred in their containers.
-
-    The container of a block is the outermost article or main part around it, else the
-    nearest part of the page. The element around all chosen blocks counts too, but for parts
-    of it that hold none of them and mostly links.
-    """
+    """The blocks of the article: chosen paths decide which containers stay, see the module's text."""
     paths = content_paths(blocks)
     free = [b for b in blocks if not b.barred]
     if not paths:
         return []
-    of, chosen = [b.node for b in free], [b.path in paths for b in free]
-    marks, outer, nearest = [False] * len(nodes), [], []
+    chosen = [b.path in paths for b in free]
+    bound = _bounds(free, chosen, nodes)
+    if bound:
+        inside = _downwards(nodes, [i in bound for i in range(len(nodes))])
+        kept = [(b, c) for b, c in zip(free, chosen) if b.node >= 0 and inside[b.node]]
+        free, chosen = [b for b, _ in kept], [c for _, c in kept]
+    return _containers(free, chosen, nodes)
+
+
+def _bounds(free: list[Block], chosen: list[bool], nodes: list[Node]) -> set[int]:
+    """The article and main elements that hold chosen text; none if they hold too little of it.
+
+    Outermost ones; or the articles in a main part, if one holds enough of its chosen text.
+    """
+    own = [len(b.text) - b.links if c else 0 for b, c in zip(free, chosen)]
+    held = _upwards(nodes, [b.node for b in free], own)
+    outer, within = [], [0] * len(nodes)
     for i, n in enumerate(nodes):
-        above = n.parent >= 0
-        outer.append(outer[n.parent] if above and outer[n.parent] >= 0 else i if n.tag in ("article", "main") else -1)
-        nearest.append(i if n.tag in PARTS else nearest[n.parent] if above else -1)
-    for n, c in zip(of, chosen):
-        if c and n >= 0 and (at := outer[n] if outer[n] >= 0 else nearest[n]) >= 0:
-            marks[at] = True
-    held, length, links = (_upwards(nodes, of, x) for x in (chosen, [len(b.text) for b in free], [b.links for b in free]))
-    n_chosen = sum(chosen)
-    root = max((i for i, n in enumerate(held) if n == n_chosen), default=-1)
+        around = outer[n.parent] if n.parent >= 0 else -1
+        outer.append(around if around >= 0 else i if n.tag in ("article", "main") else -1)
+        if around >= 0 and n.tag == "article" and nodes[around].tag == "main":
+            within[around] = max(within[around], held[i])
+    found = {i for i in set(outer) if i >= 0 and held[i]}
+    if sum(held[i] for i in found) < BOUND * sum(own):
+        return set()
+    for i in list(found):
+        if within[i] > WITHIN_MAIN * held[i]:
+            found.remove(i)
+            found |= {j for j, n in enumerate(nodes) if n.tag == "article" and outer[j] == i and held[j]}
+    return found
+
+
+def _containers(free: list[Block], chosen: list[bool], nodes: list[Node]) -> list[Block]:
+    """The blocks of containers that hold chosen paths and whose own ratios come near the main one's.
+
+    What lies in a container that stays, without chosen paths of its own, stays unless it is
+    mostly links, or stands before the first or behind the last chosen block. In a
+    whole page or main part that is so of every block, not only of containers.
+    """
+    nearest: list[int] = []
     for i, n in enumerate(nodes):
-        if n.parent == root and (held[i] or 2 * links[i] <= length[i]):
-            marks[i] = True
-    kept = _downwards(nodes, marks)
-    return [b for b, c in zip(free, chosen) if c or b.node == root or b.node >= 0 and kept[b.node]]
+        nearest.append(i if n.tag in PARTS else nearest[n.parent] if n.parent >= 0 else -1)
+    of = [nearest[b.node] if b.node >= 0 else -1 for b in free]
+    groups: dict[int, list[int]] = {}
+    for k, g in enumerate(of):
+        groups.setdefault(g, []).append(k)
+
+    def text(members):
+        return sum(len(free[k].text) - free[k].links for k in members)
+
+    def score(members):
+        """Length and marks a block, fused, of the blocks that count in the ratios."""
+        marks = sum(len(_marks(free[k].text)) for k in members)
+        return text(members) / len(members) * (1 + marks / len(members))
+
+    told = {g: [k for k in members if chosen[k]] for g, members in groups.items()}
+    main = max((g for g in told if told[g]), key=lambda g: (text(told[g]), -g), default=None)
+    if main is None:
+        return []
+    least = NEAR * score(told[main])
+    article = [*_downwards(nodes, [n.tag == "article" for n in nodes]), False]  # -1 stands for the page
+    stays = {g for g in told if told[g] and (g == main or score(told[g]) >= least or article[g])}
+    inner: list[int | None] = []  # the container that stays around each element
+    for n in nodes:
+        inner.append(n.parent if n.parent in stays else inner[n.parent] if n.parent >= 0 else None)
+    inner.append(None)
+    first, last = {}, {}
+    for k, g in enumerate(of):
+        if g in stays and chosen[k]:
+            first.setdefault(g, k)
+            last[g] = k
+    out = []
+    for k, (b, g) in enumerate(zip(free, of)):
+        if g in stays:
+            whole = g >= 0 and nodes[g].tag not in ("body", "main")
+            if chosen[k] or whole or first[g] <= k <= last[g] or b.leaf in HEADINGS and k < first[g]:
+                out.append(b)
+        elif inner[g] is not None:
+            members, around = groups[g], inner[g]
+            links = sum(free[j].links for j in members)
+            between = first[around] <= members[0] and members[-1] <= last[around] or article[around]
+            if between and 2 * links <= sum(len(free[j].text) for j in members):
+                out.append(b)
+    return out
 
 
 def main_text(page: str) -> str:
@@ -320,7 +406,8 @@ def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     """``page_id, url, text`` of every page, from the whole html.
 
     Null html is empty and gives an empty text; null ids and URLs stay; repeated rows each
-    give a row; other columns are ignored. Each page is worked on by itself, in one pass.
+    give a row; other columns are ignored; an empty table gives no rows. Each page is worked on by itself, in time and memory
+    linear in its length, however long it is and however deep its tags are; of containers with equal text the first is the main one.
     """
     require_columns(pages, id_col, url_col, html_col)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), text_of(html_col).alias("text"))

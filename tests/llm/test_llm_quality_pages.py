@@ -191,6 +191,74 @@ def test_long_and_broken_pages():
     assert time.perf_counter() - begin < 60
 
 
+PARAGRAPH = "A paragraph of the article, with several words; it goes on for a while, as they do. " * 4
+WORDS = f"<h1>Title of it</h1>{f'<p>{PARAGRAPH}</p>' * 5}<ul><li>an item of it<li>another</ul><p>{PARAGRAPH}</p>"
+BEFORE = ["<ul><li>Home</li><li>News</li><li>Contact us</li></ul>", "<p>Site map Contact Press Jobs</p>", "<p>Sign up for our letter…</p>",
+          "<table><tr><td>Menu<td>More</table>"]
+BEHIND = ["<div><p>Great post! I agree…</p><p>First.</p></div>", "<p>Copyright 2024 Example Ltd.</p>", "<div><div><p>Copyright 2024 Example Ltd.</p></div></div>",
+          "<table><tr><td>Imprint<td>Privacy</table>"]
+
+
+def pages_around(tag):
+    """Pages whose other parts have no telling names."""
+    article = f"<{tag}>{WORDS}</{tag}>"
+    for a in BEFORE:
+        for z in BEHIND:
+            yield f"<body>{a}{article}{z}</body>"
+            yield f"<body><div>{a}</div>{article}<div>{z}</div></body>"
+            yield f"<body><div id=x1><div>{a}</div><div class=q7>{article}</div>{z}</div></body>"
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section"])
+def test_unnamed_parts_around_the_article(tag):
+    want = T.main_text(f"<article>{WORDS}</article>")
+    assert want.count("\n\n") == 8
+    for page in pages_around(tag):
+        assert T.main_text(page) == want, page
+
+
+def test_long_comments_behind_an_article():
+    """An article or main part bounds the result, whatever stands behind it; so does an article within main."""
+    comments = f"<div>{f'<p>{PARAGRAPH}</p><p>I agree, all in all.</p>' * 9}</div>"
+    want = T.main_text(f"<article>{WORDS}</article>")
+    for page in (f"<article>{WORDS}</article>{comments}", f"<main><article>{WORDS}</article>{comments}</main>",
+                 f"<div><main><p>Menu</p><article>{WORDS}</article><p>Copyright</p></main></div>"):
+        assert T.main_text(page) == want
+
+
+def test_class_names_do_not_decide(monkeypatch):
+    """The same page with all class names changed alike, and without the list of names."""
+    page = "<body><div class=aa><ul><li>Home<li>News</ul></div><div class=bb>{}</div><div class=cc><p>Copyright 2024</p></div></body>".format(WORDS)
+    want = T.main_text(f"<article>{WORDS}</article>")
+    for names in ("aabbcc", "ccaabb", "xxyyzz"):
+        changed = page.replace("aa", names[:2].upper()).replace("bb", names[2:4].upper()).replace("cc", names[4:].upper())
+        assert T.main_text(changed) == want
+    monkeypatch.setattr(T, "NAMES", frozenset())
+    for tag in ("article", "main", "div"):
+        assert all(T.main_text(p) == want for p in pages_around(tag))
+
+
+def test_without_the_ratios_the_result_is_another(monkeypatch):
+    """Menus and footers come back once the ratios of paths, or of containers too, decide nothing."""
+    want = T.main_text(f"<article>{WORDS}</article>")
+    bare = [f"<body>{a}{WORDS}{z}</body>" for a in (BEFORE[0], BEFORE[3]) for z in (BEHIND[0], BEHIND[3])]
+    boxed = list(pages_around("div"))
+    assert all(T.main_text(p) == want for p in bare + boxed)
+    monkeypatch.setattr(T, "content_paths", lambda blocks: {b.path for b in blocks if not b.barred})
+    assert all(T.main_text(p) != want for p in bare)
+    monkeypatch.setattr(T, "NEAR", 0.0)
+    assert all(T.main_text(p) != want for p in boxed)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    for part in ("<div>a", "<b>a", "<p>a", "<ul><li>a", "<table><tr><td>a", "<section><p>x", "<a>x", "<article>y"):
+        assert T.main_text(part * 100_000) or part == "<a>x"  # links alone are no article
+    assert time.perf_counter() - begin < 120
+
+
 def test_frame(spark):
     rows = [(1, "u", PAGE % ARTICLE), (1, "u", PAGE % ARTICLE), (None, None, "<p>x</p>"), (3, "v", None), (4, "w", "")]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
