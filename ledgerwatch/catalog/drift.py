@@ -179,6 +179,42 @@ def _(v):
         F.col("ks_statistic"), F.col("n_reference"), F.col("n_detection"))).alias("ks_pvalue"))
 
 
+_HALVES = "timestamp '1995-06-01'"
+
+
+@query("K3_exact_pvalue", f"""
+    with recursive long as (select from_address as feature, value as x, case when timestamp < {_HALVES} then 1 else 0 end as ref,
+                                   case when timestamp < {_HALVES} then 0 else 1 end as det from tx),
+    per_value as (select feature, x, sum(ref) as ref, sum(det) as det from long group by 1, 2),
+    cdf as (select feature, sum(ref) over w as r, sum(det) over w as d, sum(ref) over t as m, sum(det) over t as n from per_value
+            window w as (partition by feature order by x), t as (partition by feature)),
+    ks as (select feature, cast(max(m) as bigint) as m, cast(max(n) as bigint) as n, cast(max(abs(r * n - d * m)) as bigint) as h
+           from cdf where m > 0 and n > 0 group by 1),
+    dp(feature, m, n, h, k, b) as (
+      select feature, m, n, h, cast(0 as bigint), [case when h <= 0 then 1e0 else 0e0 end] from ks
+      union all
+      select feature, m, n, h, k + 1, list_transform(range(0, least(m, k + 1) + 1), lambda i: case
+          when k + 1 - i > n then 0e0 when abs(i * n - (k + 1 - i) * m) >= h then 1e0
+          else (coalesce(b[i], 0e0) * i + coalesce(b[i + 1], 0e0) * (k + 1 - i)) / (k + 1) end)
+      from dp where k < m + n)
+    select feature, m as n_reference, n as n_detection, round(h / (m * n), 6) as ks_statistic, round(b[m + 1], 8) as ks_pvalue
+    from dp where k = m + n""")
+def _(v):
+    """Did an address's values change at a date? Few rows each, so the exact law counts."""
+    early = (F.col("timestamp") < F.lit("1995-06-01").cast("timestamp")).cast("bigint")
+    long = v.tx.select(F.col("from_address").alias("feature"), F.col("value").alias("x"), early.alias("ref"), (1 - early).alias("det"))
+    ks = drift.ks_pvalue_exact(drift.ks_statistic(long))
+    return ks.withColumns({"ks_statistic": rounded(F.col("ks_statistic")), "ks_pvalue": rounded(F.col("ks_pvalue"), 8)})
+
+
+@query("W3_quantile_of_a_column", """
+    select round(quantile_cont(value, 0.37), 6) as q37, round(quantile_cont(value, 0.995), 6) as q995 from tx""")
+def _(v):
+    """One column of the whole table, by passes that cut at its own values."""
+    found = [round(prefix.exact_quantile(v.tx, "value", s), 6) for s in (0.37, 0.995)]
+    return v.spark.createDataFrame([tuple(found)], "q37 double, q995 double")
+
+
 @query("K4_psi", f"with {_TAGGED}, {_PSI} select feature, round(psi, 6) as psi from psi")
 def _(v):
     return drift.psi(drift.by_feature(_tagged(v))).withColumn("psi", rounded(F.col("psi")))

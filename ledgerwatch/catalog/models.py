@@ -242,6 +242,24 @@ def _(v):
         "hash", rounded(F.col("value")).alias("value"))
 
 
+@query("O6_chi_square_pvalue", """
+    with recursive c as (select event_type, user_id % 7 as part, count(*) as n from events group by 1, 2),
+         r as (select event_type, sum(n) as rn from c group by 1), k as (select part, sum(n) as kn from c group by 1),
+         t as (select sum(n) as total from c),
+         e as (select coalesce(c.n, 0) as n, rn * kn / total as e from r cross join k cross join t
+               left join c on c.event_type = r.event_type and c.part = k.part),
+         s as (select sum((n - e) * (n - e) / e) as x, (select (count(distinct event_type) - 1) * (count(distinct part) - 1) from c) as d from e),
+         -- of an even number of degrees: a Poisson sum
+         sums(i, term, total) as (select 0, exp(-x / 2), exp(-x / 2) from s union all
+               select i + 1, term * x / 2 / (i + 1), total + term * x / 2 / (i + 1) from sums, s where i + 1 < d / 2)
+    select round(x, 4) as statistic, cast(d as bigint) as degrees, round((select max(total) from sums), 8) as p_value from s""")
+def _(v):
+    """Event types by a part of the users: 24 degrees of freedom."""
+    found = extras.chi_square_test(v.events.withColumn("part", F.col("user_id") % 7), "event_type", "part")
+    return found.select(rounded(F.col("statistic"), 4).alias("statistic"), F.col("degrees").cast("bigint").alias("degrees"),
+                        rounded(F.col("p_value"), 8).alias("p_value"))
+
+
 @query("O6_chi_square", """
     with c as (select event_type, user_id, count(*) as n from events group by 1, 2),
          r as (select event_type, sum(n) as rn from c group by 1),

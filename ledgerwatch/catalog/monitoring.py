@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.catalog.registry import query
 from ledgerwatch.functions.features import BASE_FEATURES, with_extended_features
 from ledgerwatch.functions.numeric import rounded
-from ledgerwatch.operators import long_series, monitor, series
+from ledgerwatch.operators import long_series, monitor, series, sketches
 from ledgerwatch.operators.buffer import live_entries, live_by_severity
 from ledgerwatch.operators.ordered import running_total
 
@@ -440,6 +440,45 @@ def _(v):
     return monitor.request_metrics(v.request_log).withColumn("avg_seconds", rounded(F.col("avg_seconds")))
 
 
+_ENDPOINT = """'/' || array_to_string(list_transform(
+                  list_filter(string_split(path, '/'), lambda x: x <> ''),
+                  lambda x: case when length(x) = 36 and length(x) - length(replace(x, '-', '')) = 4
+                                      then '{id}' when starts_with(x, '0x') then '{hash}'
+                                 when regexp_full_match(x, '[0-9]+') then '{id}' else x end), '/')"""
+
+
+def _windows(v):
+    return sketches.latency_sketches(v.request_log, "1 hour")
+
+
+@query("P7_latency_percentiles", """
+    with r as (select method, """ + _ENDPOINT + """ as endpoint, duration_s from request_log where duration_s is not null)
+    select method, endpoint, share, count(*) as values, true as within_error
+    from r, (values (0.5e0), (0.95e0), (0.99e0)) s(share) group by all""")
+def _(v):
+    """Percentiles of each endpoint from merged hourly sketches, by the rank that each has among all values."""
+    merged = sketches.merged_sketches(_windows(v), ["method", "endpoint"])
+    wide = sketches.percentiles(merged)
+    found = wide.select("method", "endpoint", "values", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("share"), F.col(c).alias("q")) for s, c in zip(sketches.PERCENTILES, ("p50", "p95", "p99"))])))
+    log = v.request_log.select("method", monitor.endpoint(F.col("path")).alias("endpoint"), F.col("duration_s").cast("double").alias("x"))
+    ranked = log.where("x is not null").join(found, ["method", "endpoint"]).groupBy("method", "endpoint", "values", "share").agg(
+        F.avg((F.col("x") < F.col("q")).cast("int")).alias("below"), F.avg((F.col("x") <= F.col("q")).cast("int")).alias("upto"))
+    error = F.lit(sketches.rank_error())
+    return ranked.select("method", "endpoint", "share", "values",
+                         ((F.col("below") <= F.col("share") + error) & (F.col("upto") >= F.col("share") - error)).alias("within_error"))
+
+
+@query("P7_merged_windows", """
+    with r as (select method, """ + _ENDPOINT + """ as endpoint, time_bucket(interval '1 day', ts) as window_start, duration_s
+               from request_log where duration_s is not null)
+    select method, endpoint, window_start, count(*) as values, min(duration_s) as lowest, max(duration_s) as highest from r group by all""")
+def _(v):
+    """Days from merged hours: the number of values and the extremes, which sketches keep exactly."""
+    days = sketches.merged_sketches(_windows(v), ["method", "endpoint"], "1 day")
+    return sketches.percentiles(days, (0.0, 1.0)).withColumnsRenamed({"p0": "lowest", "p100": "highest"})
+
+
 @query("P8_fixed_window_audit", """
     with w as (select id, ip, ts, epoch_us(ts) // 1000000 as s, epoch_us(ts) // 1000000 // 86400 as win
                from request_log),

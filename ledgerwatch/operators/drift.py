@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +109,54 @@ def ks_pvalue(statistic: Column, n_reference: Column, n_detection: Column) -> Co
     return F.when(x < 0.2, F.lit(1.0)).otherwise(p)
 
 
+#: Rows a side up to which the exact law is counted.
+EXACT_ROWS = 10_000
+
+
+def outside_probability(m: int, n: int, distance: int) -> float:
+    """Share of the orders of m and n values in which i n - j m reaches ``distance`` in size somewhere.
+
+    A path over the lattice takes i of m and j of n values; coming from its end, the last step was
+    one of the first kind with probability i / (i + j). So each lattice point has the chance
+    that a random path to it has been outside, and that of the end is the p-value: sums of
+    positive terms, exact also where it is small. One diagonal at a time.
+    """
+    if distance <= 0:
+        return 1.0
+    i = np.arange(m + 1)
+    chance = np.zeros(m + 1)  # of the points (i, k - i) of diagonal k
+    for k in range(1, m + n + 1):
+        lo, hi = max(0, k - n), min(m, k)
+        here = i[lo : hi + 1]
+        left = np.zeros(len(here))
+        left[here > 0] = chance[here[here > 0] - 1]
+        stay = np.where(k - here > 0, chance[lo : hi + 1], 0.0)
+        value = (left * here + stay * (k - here)) / k
+        value[np.abs(here * n - (k - here) * m) >= distance] = 1.0
+        chance[lo : hi + 1] = value
+    return float(chance[m])
+
+
+def ks_pvalue_exact(ks: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Add ``ks_pvalue`` to statistics: the exact two-sample law where neither side has more than
+    ``exact_rows`` rows, else the asymptotic series.
+
+    The exact law holds without ties between the samples; with ties it is an upper bound, as the
+    asymptotic one is. A row of statistics is worked on by itself, at m times n additions.
+    """
+    small = (F.col("n_reference") <= exact_rows) & (F.col("n_detection") <= exact_rows)
+
+    @F.pandas_udf("double")
+    def law(statistic: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([
+            outside_probability(int(a), int(b), round(d * a * b)) if a <= exact_rows and b <= exact_rows else None
+            for d, a, b in zip(statistic, m, n)], dtype="float64")
+
+    series = ks_pvalue(F.col("ks_statistic"), F.col("n_reference"), F.col("n_detection"))
+    exact = law(F.col("ks_statistic"), F.col("n_reference").cast("long"), F.col("n_detection").cast("long"))
+    return ks.withColumn("_exact", exact).withColumn("ks_pvalue", F.when(small, F.col("_exact")).otherwise(series)).drop("_exact")
+
+
 def psi(long_rows: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     """Population stability index per feature over equal-width bins of the reference.
 

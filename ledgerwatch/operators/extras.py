@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwatch.functions.gamma import chi_square_pvalue
 from ledgerwatch.functions.numeric import num
 
 
@@ -76,7 +77,8 @@ def chi_square(df: DataFrame, left: str, right: str) -> DataFrame:
     """Pearson's statistic of the contingency table of two categories.
 
     Only cells that occur are listed; the absent ones add their expected counts, which sum to
-    the total less the expected counts of the present ones. No pairs are generated.
+    the total less the expected counts of the present ones. No pairs are generated. With one
+    category only on a side there are no degrees of freedom and no p-value.
     """
     cells = df.groupBy(left, right).agg(F.count(F.lit(1)).alias("n"))
     rows = cells.groupBy(left).agg(F.sum("n").alias("row_n"))
@@ -92,3 +94,8 @@ def chi_square(df: DataFrame, left: str, right: str) -> DataFrame:
             F.sum("n").cast("bigint").alias("n"),
         )
     )
+
+
+def chi_square_test(df: DataFrame, left: str, right: str) -> DataFrame:
+    """``chi_square`` with its p-value."""
+    return chi_square(df, left, right).withColumn("p_value", chi_square_pvalue(F.col("statistic"), F.col("degrees")))

@@ -15,7 +15,9 @@ import numpy as np
 #: Partial autocorrelations of a start stay within this.
 INSIDE = 0.98
 #: Steps of the search at most, lengths tried in each, and the gain that ends it.
-ROUNDS, TRIED, GAIN = 60, 10, 1e-9
+ROUNDS, TRIED, GAIN = 40, 8, 1e-7
+#: Change of the covariance below which it counts as settled.
+SETTLED = 1e-13
 #: Series in one block, by length, so that little is padded.
 BLOCK = 64
 
@@ -55,19 +57,25 @@ def filtered(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray,
     noise = shock[:, :, None] * shock[:, None, :]
     kron = np.einsum("bij,bkl->bikjl", move, move).reshape(b, m * m, m * m)
     cov = np.linalg.solve(np.eye(m * m) - kron, noise.reshape(b, m * m, 1)).reshape(b, m, m)
-    state, logs, squares, errors = np.zeros((b, m)), np.zeros(b), np.zeros(b), np.zeros((b, n))
-    turned = move.transpose(0, 2, 1)
+    logs, squares, errors = np.zeros(b), np.zeros(b), np.zeros((n, b))
+    turned, first = move.transpose(0, 2, 1), np.zeros((m, b))
+    first[:p] = ar.T
+    state, steady, over_time, present = np.zeros((m, b)), False, np.ascontiguousarray(w.T), ~np.isnan(w.T)
     for t in range(n):
-        here = ~np.isnan(w[:, t])
-        error = np.where(here, w[:, t] - state[:, 0], 0.0)
-        spread = np.maximum(cov[:, 0, 0], 1e-300)
-        errors[:, t] = error
-        logs += np.where(here, np.log(spread), 0.0)
+        if not steady:  # the covariance settles soon, and is the same from then on
+            spread = np.maximum(cov[:, 0, 0], 1e-300)
+            gain, size = (cov[:, :, 0] / spread[:, None]).T.copy(), np.log(spread)
+            after = move @ (cov - gain.T[:, :, None] * cov[:, None, 0, :]) @ turned + noise
+            steady, cov = bool(np.abs(after - cov).max() < SETTLED), after
+        here = present[t]
+        error = np.where(here, over_time[t] - state[0], 0.0)
+        errors[t] = error
+        logs += size * here
         squares += error * error / spread
-        gain = cov[:, :, 0] / spread[:, None]
-        state = (move @ (state + gain * error[:, None])[:, :, None])[:, :, 0]
-        cov = move @ (cov - gain[:, :, None] * cov[:, None, 0, :]) @ turned + noise
-    points = np.sum(~np.isnan(w), axis=1)
+        seen = state + gain * error
+        state = first * seen[0]
+        state[:-1] += seen[1:]
+    errors, points = errors.T, present.sum(axis=0)
     variance = squares / points
     with np.errstate(divide="ignore"):
         value = -0.5 * (points * (np.log(2 * np.pi * variance) + 1) + logs)

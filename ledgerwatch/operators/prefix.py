@@ -125,47 +125,63 @@ def exact_quantiles(
     )
 
 
-#: Parts of a range in one pass, and values that may come to the driver.
-PARTS, FEW = 1024, 100_000
+#: Cuts of a part in one pass, and distinct values that may come to the driver.
+CUTS, FEW = 64, 100_000
+#: Precision of the approximate cuts: a part between two of them holds at most 1/64 + 2/10000 of the rows.
+_PRECISION = 10_000
 
 
 def exact_quantile(df: DataFrame, value: str, share: float) -> float | None:
     """The quantile of a whole stored column, exact at any size, without a sort or a shuffle of rows.
 
-    Each pass counts the rows in parts of the range that holds the wanted place, and goes on
-    with one part; the last few distinct values come to the driver. The rows are read once a
-    pass (three passes for 10^9 rows), so ``df`` should be stored. Null and NaN don't count;
-    without values the answer is None.
+    Each pass cuts the rows that may hold the wanted place at approximate quantiles, counts the
+    rows at each cut and between two, and goes on between two; the last few rows come to the
+    driver by distinct value. Cuts are values of the column, so neither infinities nor skew keep a
+    part from shrinking: every pass leaves a sixtieth of the rows, three passes 10^5 of 2 * 10^10. Two
+    scans a pass, so ``df`` should be stored. Null and NaN don't count; without values the
+    answer is None. Between an infinity and another value lies that infinity, between both NaN.
     """
     if not 0 <= share <= 1:
         raise ValueError("share must be between 0 and 1")
     rows = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    whole = rows.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    if not whole["n"]:
+    n = rows.count()
+    if not n:
         return None
-    place = share * (whole["n"] - 1)
-    low = _order_statistic(rows, math.floor(place), whole)
+    place = share * (n - 1)
+    low = _order_statistic(rows, math.floor(place), n)
     if place == math.floor(place):
         return low
-    high = _order_statistic(rows, math.ceil(place), whole)
-    return low + (high - low) * (place - math.floor(place))
-
-
-def _order_statistic(rows: DataFrame, rank: int, whole) -> float:
-    """The value with ``rank`` values before it."""
-    before, n, lo, hi = 0, whole["n"], whole["lo"], whole["hi"]
-    while lo < hi:
-        inside = rows.where(F.col("x").between(lo, hi))
-        if n <= FEW:
-            steps = [(r["x"], r["x"], r["n"]) for r in inside.groupBy("x").agg(F.count("x").alias("n")).collect()]
-        else:
-            width = hi / PARTS - lo / PARTS
-            part = F.least(F.floor((F.col("x") - lo) / F.lit(width)), F.lit(PARTS - 1))
-            found = inside.groupBy(part.alias("part")).agg(
-                F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-            steps = [(r["lo"], r["hi"], r["n"]) for r in found]
-        for lo, hi, n in sorted(steps):
-            if rank < before + n:
+    high = _order_statistic(rows, math.ceil(place), n)
+    return low if low == high else low + (high - low) * (place - math.floor(place))
+
+
+def _order_statistic(rows: DataFrame, rank: int, n: int) -> float:
+    """The value with ``rank`` values before it, among ``n``."""
+    inside = rows
+    while n > FEW:
+        cuts = _cuts(inside)
+        listed = F.lit(cuts)
+        # Even places are the gaps before each cut, odd ones the cuts themselves.
+        below = F.size(F.filter(listed, lambda c: c < F.col("x")))
+        place = 2 * below + F.array_contains(listed, F.col("x")).cast("int")
+        for at, here in sorted((r["at"], r["n"]) for r in inside.groupBy(place.alias("at")).agg(F.count("x").alias("n")).collect()):
+            if rank < here:
                 break
-            before += n
-    return lo
+            rank -= here
+        if at % 2:
+            return cuts[at // 2]
+        n = here
+        if at // 2 > 0:
+            inside = inside.where(F.col("x") > F.lit(cuts[at // 2 - 1]))
+        if at // 2 < len(cuts):
+            inside = inside.where(F.col("x") < F.lit(cuts[at // 2]))
+    for r in sorted(inside.groupBy("x").agg(F.count("x").alias("n")).collect(), key=lambda r: r["x"]):
+        if rank < r["n"]:
+            return r["x"]
+        rank -= r["n"]
+    raise RuntimeError("the rows changed between two passes")
+
+
+def _cuts(rows: DataFrame) -> list[float]:
+    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    return sorted(set(rows.agg(F.percentile_approx("x", shares, F.lit(_PRECISION)).alias("c")).first()["c"]))

@@ -17,7 +17,7 @@ from ledgerwatch.functions.features import BASE_FEATURES
 from ledgerwatch.functions.numeric import num
 from ledgerwatch.operators import likelihood
 from ledgerwatch.operators.ordered import HOT_ROWS, with_preceding_rows
-from ledgerwatch.session import require_columns
+from ledgerwatch.session import python_tasks, require_columns
 
 
 def daily_series(
@@ -180,6 +180,11 @@ def _fits(values: Sequence, order: tuple[int, int, int], method: str) -> list[tu
     return out
 
 
+def _dealt(arrays: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
+    """The search for a likelihood takes long for its few bytes, so it gets all tasks there are."""
+    return arrays if method == "least_squares" else arrays.repartition(python_tasks(arrays.sparkSession), *keys)
+
+
 def check_method(method: str) -> None:
     if method not in ("least_squares", "likelihood"):
         raise ValueError(f"unknown method: {method}")
@@ -241,7 +246,7 @@ def fit_arima(
                               *more[: len(extra)]])
             yield pd.DataFrame(found, columns=schema.names)
 
-    return _as_arrays(rows, keys).mapInPandas(fit, schema)
+    return _dealt(_as_arrays(rows, keys), keys, method).mapInPandas(fit, schema)
 
 
 def forecast(
@@ -267,7 +272,7 @@ def forecast(
                 found.append([*row[:-1], [] if one is None else list(map(float, forecast_from(y, order, steps, *one[:4])))])
             yield pd.DataFrame(found, columns=ahead_schema.names)
 
-    found = _as_arrays(rows, keys).mapInPandas(ahead, ahead_schema)
+    found = _dealt(_as_arrays(rows, keys), keys, method).mapInPandas(ahead, ahead_schema)
     return found.select(*keys, "last", F.posexplode("ahead").alias("_at", "forecast")).select(
         *keys, (F.col("_at") + 1).cast(IntegerType()).alias("step"),
         F.date_add("last", F.col("_at") + 1).alias("day"), "forecast",
