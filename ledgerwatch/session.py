@@ -96,16 +96,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     back as it is, without a shuffle.
     """
     tasks, files = python_tasks(df.sparkSession), df.inputFiles()
-    if len(files) >= tasks or _file_bytes(df.sparkSession, files) >= tasks * SCAN_BYTES:
+    if len(files) >= tasks or file_bytes(df.sparkSession, files) >= tasks * SCAN_BYTES:
         return df
     return df.repartition(tasks, *keys)
 
 
-def _file_bytes(spark: SparkSession, files: list[str]) -> int:
-    """Size of a few files, at most one per task."""
+def file_bytes(spark: SparkSession, files: list[str]) -> int:
+    """Size of some files; of many, from those of every so-manieth."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
-    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    some = files[:: 1 + len(files) // 1000]
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in some]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) * len(files) // max(1, len(some))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
