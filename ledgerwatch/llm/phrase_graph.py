@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerwatch.llm.common import ragged, range_hashes, text_of
-from ledgerwatch.session import materialise, python_tasks, require_columns
+from ledgerwatch.session import file_bytes, materialise, python_tasks, require_columns
 
 #: Words of an edge.
 EDGE = 4
@@ -38,8 +38,10 @@ EDGE = 4
 TEXT_BYTES, ROWS = 2 << 20, 1 << 20
 #: Level of compression.
 LEVEL = 5
-#: Buckets for each task of the next stage; only one is in memory at a time.
-BUCKETS = 6
+#: Bytes of input files for each task that adds up, and buckets for each of those; only one is in memory at a time.
+TASK_BYTES, BUCKETS = 16 << 20, 6
+#: Tasks at most; beyond, a task has more buckets.
+MOST_TASKS = 20_000
 #: Rows (texts or packed tables) that pass to Python at a time.
 BATCH = 256
 #: Ways of a word or a pair in the joins of parts.
@@ -230,7 +232,7 @@ def _counted(grams: DataFrame, size: int, least: int, buckets: int) -> DataFrame
 
     The last level (size 1) also gives each language's number of words, as a phrase of size 0.
     """
-    tasks = python_tasks(grams.sparkSession)
+    tasks = max(1, min(MOST_TASKS, buckets // BUCKETS))
 
     def run(batches):
         def frequent(lang, names, counts, only=None):
@@ -307,7 +309,7 @@ def counts(df: DataFrame, text_col: str, lang_col: str | None = None, least: int
     require_columns(df, text_col, *([lang_col] if lang_col else []))
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")) if lang_col else F.lit("und")
     rows = df.select(lang.alias("lang"), text_of(text_col).alias("text"))
-    buckets = BUCKETS * python_tasks(df.sparkSession)
+    buckets = BUCKETS * max(python_tasks(df.sparkSession), file_bytes(df.sparkSession, df.inputFiles()) // TASK_BYTES)
     grams, levels = _text_grams(rows, buckets), []
     for size in range(EDGE - 1, 0, -1):
         level = _counted(grams, size, least, buckets)
