@@ -1,6 +1,7 @@
 """Queries: lookups over stored tables, joins."""
 
 import hashlib
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from ledgerwatch.catalog.registry import query
 from ledgerwatch.functions.numeric import rounded
 from ledgerwatch.operators import joins, lookup
+from ledgerwatch.session import new_path
+from ledgerwatch.sources import tables
 
 AS_OF = datetime(1998, 1, 1)
 
@@ -282,3 +285,53 @@ def _(v):
     return both.select("metric", *[
         rounded(F.col(c)).alias(c) for c in ("model1", "model2", "difference", "percent_change")
     ])
+
+
+def _bucketed(v, tx, buckets: int = 8):
+    name = f"tx_{uuid.uuid4().hex}"
+    tables.save_bucketed(tx, name, new_path(v.spark, "bucketed"), buckets)
+    return name
+
+
+@query("A7_insert_into_buckets", """
+    with firsts as (select hash, min(timestamp) as timestamp from tx group by 1),
+    stored as (select hash from firsts where timestamp < timestamp '1996-01-01')
+    select (select count(*) from firsts where hash not in (select hash from stored)) as inserted,
+           (select count(*) from firsts) as rows, (select count(distinct hash) from tx) as hashes""")
+def _(v):
+    """Two batches into a table bucketed by hash; the second brings all rows, most of them stored already."""
+    first = v.tx.groupBy("hash").agg(F.min(F.struct("timestamp", *[c for c in v.tx.columns if c not in ("hash", "timestamp")])).alias("r"))
+    first = first.select("hash", "r.*").select(*v.tx.columns)
+    name = _bucketed(v, first.where(F.col("timestamp") < F.lit("1996-01-01").cast("timestamp")))
+    inserted = tables.insert_absent(v.tx.union(v.tx), name)
+    return v.spark.table(name).agg(
+        F.lit(inserted).cast("bigint").alias("inserted"), F.count(F.lit(1)).alias("rows"), F.count_distinct("hash").alias("hashes"))
+
+
+@query("J1_anomaly_with_bucketed_transaction", """
+    select a.tx_hash, a.severity, t.value, t.gas, t.from_address, t.timestamp
+    from anomalies a left join tx t on a.tx_hash = t.hash""")
+def _(v):
+    return joins.with_transaction(v.anomalies, v.spark.table(_bucketed(v, v.tx))).select(
+        "tx_hash", "severity", "value", "gas", "from_address", "timestamp")
+
+
+def _lookup_table(v):
+    path = new_path(v.spark, "lookup")
+    tables.write_lookup(v.tx, path, "year", distinct=20_000, group_bytes=256 << 10, files=8)
+    return tables.read_transactions(v.spark, path).drop("period")
+
+
+@query("Q1_by_hash_skipping", """
+    select hash, from_address, value, timestamp from tx where hash = '0x' || md5('5979|1616|79|6')""")
+def _(v):
+    found = lookup.by_hash(_lookup_table(v), "0x" + hashlib.md5(b"5979|1616|79|6").hexdigest())
+    return found.select("hash", "from_address", "value", "timestamp")
+
+
+@query("Q2_by_address_skipping", f"""
+    select hash, timestamp, value from tx
+    where from_address = '{_address(42)}' or to_address = '{_address(42)}'
+    order by timestamp desc, hash limit 50 offset 10""")
+def _(v):
+    return lookup.by_address(_lookup_table(v), _address(42), None, skip=10, limit=50).select("hash", "timestamp", "value")

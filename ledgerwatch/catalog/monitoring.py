@@ -138,15 +138,15 @@ def _(v):
     return ahead.withColumn("forecast", rounded(F.col("forecast"), 2))
 
 
-@query("F2_likelihood", f"""
-    with {_MANY}, v as (select from_address, day, value, value - lag(value) over (partition by from_address order by day) as d
-                        from filled where value is not null)
+@query("F2_likelihood", """
+    with m as (select from_address, date_trunc('month', timestamp)::date as day, sum(value) as value from tx group by 1, 2),
+    v as (select *, value - lag(value) over (partition by from_address order by day) as d from m)
     select from_address, count(*) as points, true as never_below_its_start from v group by 1
-    having count(*) >= 20 and max(d) > min(d)""")
+    having count(*) >= 12 and max(d) > min(d)""")
 def _(v):
-    """ARMA(1, 1) of the differences by exact likelihood, for all addresses with enough days."""
-    dense = series.daily_series(v.tx, ["from_address"])
-    fitted = series.fit_arima(dense, ["from_address"], (1, 1, 1), "likelihood").where("points >= 20 and loglik is not null")
+    """ARMA(1, 1) of the differences of monthly totals by exact likelihood, for all addresses with a year of months."""
+    months = v.tx.groupBy("from_address", F.trunc("timestamp", "month").alias("day")).agg(F.sum("value").alias("value"))
+    fitted = series.fit_arima(months, ["from_address"], (1, 1, 1), "likelihood").where("points >= 12 and loglik is not null")
     return fitted.select("from_address", "points", (F.col("loglik") >= F.col("start_loglik")).alias("never_below_its_start"))
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerwatch.functions.checks import require, require_count
 from ledgerwatch.functions.numeric import as_double, unix_timestamp
 from ledgerwatch.schemas import RAW_TRANSACTION
-from ledgerwatch.session import require_columns
+from ledgerwatch.session import materialise, require_columns
 
 _GRAINS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 
@@ -81,3 +84,88 @@ def absent_rows(new: DataFrame, stored: DataFrame, key: str = "hash", order: str
     rest = [c for c in new.columns if c not in (key, order)]
     first = new.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_r")).select(key, "_r.*")
     return first.join(stored.select(key), key, "left_anti").select(*new.columns)
+
+
+# -- tables bucketed by hash ------------------------------------------------------------------
+
+
+def save_bucketed(tx: DataFrame, name: str, path: str, buckets: int, key: str = "hash") -> DataFrame:
+    """Store a table in buckets of a key, so that joins on it never shuffle the stored side.
+
+    The files lie below ``path``, in the shared folder or the warehouse; ``open_bucketed`` finds
+    them again in another session. A bucket should hold what one task can read at a time.
+    """
+    require_columns(tx, key)
+    require_count("buckets", buckets, 1)
+    tx.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return tx.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, schema: StructType, buckets: int, key: str = "hash") -> DataFrame:
+    """A stored bucketed table by its name; registered anew where this session's catalog lacks it."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        spark.sql(f"create table {name} ({columns}) using parquet clustered by (`{key}`) sorted by (`{key}`) "
+                  f"into {buckets} buckets location '{path}'")
+    return spark.table(name)
+
+
+def buckets_of(spark: SparkSession, name: str) -> int:
+    """Number of buckets of a table."""
+    rows = spark.sql(f"describe extended {name}").where("col_name = 'Num Buckets'").collect()
+    require(bool(rows), ValueError, f"{name} is not bucketed")
+    return int(rows[0]["data_type"])
+
+
+@contextmanager
+def partitions_of(spark: SparkSession, name: str):
+    """Shuffles inside this block make as many partitions as a table has buckets."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(buckets_of(spark, name)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def insert_absent(new: DataFrame, name: str, key: str = "hash", order: str = "timestamp") -> int:
+    """Append the rows of a batch whose key a bucketed table lacks, one row per key; their number.
+
+    The batch is shuffled once, to the table's buckets and after a partial aggregate; the stored
+    keys are read where they lie. Only the key column of the table is read.
+    """
+    spark, written = new.sparkSession, Observation("insert")
+    with partitions_of(spark, name):
+        fresh = absent_rows(new, spark.table(name), key, order).select(*spark.table(name).columns)
+        # The join reads the files that the append adds to, so the rows are stored first.
+        fresh = materialise(fresh.observe(written, F.count(F.lit(1)).alias("rows")), "insert")
+        rows = int(written.get["rows"])
+        if rows:
+            fresh.repartition(buckets_of(spark, name), key).write.insertInto(name)
+    return rows
+
+
+# -- tables for lookups -----------------------------------------------------------------------
+
+#: Columns that single rows are looked up by.
+LOOKUP_COLUMNS = ("hash", "from_address", "to_address")
+
+
+def write_lookup(
+    tx: DataFrame, path: str, grain: str = "day", ts: str = "timestamp", columns: Sequence[str] = LOOKUP_COLUMNS,
+    cluster: str = "from_address", distinct: int = 1_000_000, group_bytes: int = 64 << 20, files: int | None = None,
+) -> None:
+    """Store a table partitioned by time whose lookups by some columns skip most row groups.
+
+    Within a period rows are clustered by ranges of one column (its minima and maxima tell), and
+    every row group has a Bloom filter of each lookup column, sized for ``distinct`` values a group.
+    ``read_transactions`` reads it; ``lookup.by_hash`` and ``by_address`` need no change, as their
+    conditions reach the scan.
+    """
+    require_columns(tx, ts, cluster, *columns)
+    dated = tx.withColumn("period", F.date_format(F.col(ts), _GRAINS[grain]))
+    ranged = dated.repartitionByRange(*([files] if files else []), "period", cluster)
+    writer = ranged.sortWithinPartitions("period", cluster, *[c for c in columns if c != cluster]).write.mode("append").partitionBy("period")
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(distinct))
+    writer.option("parquet.block.size", str(group_bytes)).parquet(path)
