@@ -126,7 +126,7 @@ def shape(word: str) -> str:
         return "hex"
     if _dotted(inner):
         return f"9 . {inner.count('.')}"
-    parts = ["9" + _size(len(r)) if r[0].isdigit() else ("X" if r.isupper() else "x") if r[0].isalpha() else r for r in _runs(inner)[:16]]
+    parts = ["9" + _size(len(r)) if r[0].isdigit() else ("X" if r.isupper() else "x") if r[0].isalpha() else r for r in _runs(inner)]
     return " ".join(parts)
 
 
@@ -168,11 +168,11 @@ class Field:
         return self
 
 
-def _encode(field: Field, rows: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.ndarray]:
+def _encode(field: Field, rows: list[tuple[str, list[Span]]], most_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Types and labels of labelled texts, padded to one length on the right and by one word on the left."""
     types, labels = [], []
     for text, spans in rows:
-        words, labelled = list(_words(text))[:MOST_WORDS], []
+        words, labelled = list(_words(text))[:most_words], []
         for m in words:
             a, b = core(m[0])
             a, b = a + m.start(), b + m.start()
@@ -187,8 +187,8 @@ def _encode(field: Field, rows: list[tuple[str, list[Span]]]) -> tuple[np.ndarra
 
 
 def train(rows: list[tuple[str, list[Span]]], steps: int = 160, rate: float = 0.2, shrink: float = 1e-5,
-          shrink_trans: float = 0.01) -> Field:
-    """Fit the field to labelled texts (at most ``MOST_ROWS``, each of up to ``MOST_WORDS`` words).
+          shrink_trans: float = 0.01, most_words: int = MOST_WORDS) -> Field:
+    """Fit the field to labelled texts (at most ``MOST_ROWS``, each of up to ``most_words`` words).
 
     A row is a text and its spans ``(start, kind number, end)``. Words that stand next to a
     span three times at least, and mostly there, count as cues and are shapes of their own.
@@ -211,7 +211,7 @@ def train(rows: list[tuple[str, list[Span]]], steps: int = 160, rate: float = 0.
     field = Field(names, cues)
     if not rows:
         return field.finish()
-    types, labels = _encode(field, rows)
+    types, labels = _encode(field, rows, most_words)
     before, after = np.pad(types, ((0, 0), (1, 0)))[:, :-1], np.pad(types, ((0, 0), (0, 1)))[:, 1:]
     # Forget the shape of every seventh word now and then, so that classes alone are learned too.
     unknown = np.where((np.arange(types.size).reshape(types.shape) % 7 == 3) & (types > 0), CLASSES + types % CLASSES, types)

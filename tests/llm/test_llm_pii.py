@@ -150,3 +150,11 @@ def test_digest_of_the_query(spark):
 
 def test_no_rows_to_learn_from():
     assert C.field_spans(C.train([]), ["a b 1"]) == [[]]
+
+
+def test_long_words_differ_by_all_their_runs():
+    """The shape of a word has all its runs, also behind the sixteenth."""
+    start = "1a-" * 12
+    assert C.shape(start + "@x") != C.shape(start + "9") != C.shape(start + "b")
+    text = "word " + "1a-" * 50_000 + "z end"
+    assert C.all_spans(C.pattern_spans(text), C.field_spans(C.standard_field(), [text])[0]) is not None

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerwatch.llm import byte_bpe, containment, pii_crf, simhash_ring, toxicity_gru
@@ -101,3 +102,16 @@ def test_odd_documents(spark):
     assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == 3
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0) if "text" in docs.columns else docs, SF).count() == 0
+
+
+def test_one_id_on_two_texts(spark):
+    """Each text counts in its own group: no copy survives, no text is lost."""
+    rnd = random.Random(2)
+    a, b, c = (" ".join(f"w{rnd.randrange(900)}" for _ in range(120)) for _ in range(3))
+    rows = [(3, a, "en"), (7, a, "en"), (7, b, "en"), (7, b, "de"), (9, b, "en"), (None, c, "en"), (None, c, "fr"), (None, a, "en"), (None, "", "en"), (None, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("component", F.lit("x")).withColumn("fp", F.lit(1))
+    for order in (docs, docs.orderBy(F.desc("text"), "lang")):
+        kept = corpus_pipeline.one_of_each_group(spark, order, SF)
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id, r.text or "", r.lang) for r in kept.collect()), key=str)
+        assert got == sorted([(3, a, "en"), (7, b, "de"), (None, c, "en"), (None, "", "en")], key=str)
