@@ -1,11 +1,12 @@
 """License notices by conditional compression.
 
-Around every word that a notice must have, the words of the paragraph, whatever its lines,
-are compared with each template: the words that the text adds inside the notice, lacks or
-replaces are counted and reported, and a notice with too many of them is no match. What is
-found is compressed alone and with the template as a raw Zstandard dictionary; the template
-must save enough bytes, unless the wording is the same, and of equal wordings the one that
-saves more wins. The text before and after a notice is searched again until nothing is found.
+Candidates are the words of a paragraph, whatever its lines, around a template's rarest words:
+so many that a notice with all the differences allowed still has one of them. The part of a
+candidate that templates may account for is compressed alone and with each template as a raw
+Zstandard dictionary, and the templates are ranked by the bytes they save. Those that save
+most or nearly so are the winners, and exact wording differences confirm one: words that the text adds inside the notice, lacks or
+replaces are counted and reported, and with too many of them it is no match. The notice by
+itself must save enough bytes too. The text before and after it is searched again until nothing is found.
 """
 
 from __future__ import annotations
@@ -40,20 +41,26 @@ TEMPLATES = {
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC0-1.0": "Released into the public domain under CC0 1.0.",
     "all-rights-reserved": "All rights reserved.",
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-GPL-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "SPDX-GPL-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
 }
 
-#: A text with none of these words cannot be near any template: each has one of them. Line ends and comment marks may stand between.
-_cue = re.compile(r"licen[sc]e|\bunder\b|rights\W+reserved|public\W+domain|permission\W+is\W+hereby|redistribution|source\W+code\W+form|\bCC\b", re.I)
 _paragraph_end = re.compile(r"\n[^\S\n]*\n")
 _words = re.compile(r"\w+(?:[.-]\w+)*").finditer
 
+#: Templates that save this share of the most that any saves are winners; the wording decides among them.
+WINNERS = 0.9
 #: Least bytes saved, as a share of the template's own; most wording differences by template word.
 LEAST_SAVED, MOST_CHANGED = 0.4, 0.25
 
 
 def _plain(text: str) -> bytes:
-    """What is compressed: lower case, single spaces."""
-    return " ".join(text.lower().split()).encode()
+    """What is compressed: the words in lower case, a space between; marks and line ends don't matter."""
+    return " ".join(m[0].lower() for m in _words(text)).encode()
 
 
 class Scanner:
@@ -64,12 +71,29 @@ class Scanner:
         self.words = {k: [m[0].lower() for m in _words(t)] for k, t in templates.items()}
         self.counts = {k: Counter(w) for k, w in self.words.items()}
         self.most = {k: int(MOST_CHANGED * len(w)) for k, w in self.words.items()}
+        self.cue = self._cues()
         #: Words that a notice can span, so that all of it is within reach of any word in it.
         self.reach = max((len(w) + self.most[k] for k, w in self.words.items()), default=0)
         self.packers, self.seen = None, {}
 
+    def _cues(self) -> re.Pattern:
+        """Any of the words that a notice cannot lack all of: each template's rarest, one more than may be missing.
+
+        Rare is what few templates have, then what is long.
+        """
+        held = Counter(w for words in self.words.values() for w in set(words))
+        cues = {w for k, words in self.words.items() for w in sorted(set(words), key=lambda w: (held[w], -len(w), w))[: self._least_cues(k)]}
+        if not cues:
+            return re.compile(r"(?!)")
+        return re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(cues, key=lambda w: (-len(w), w))) + r")(?!\w)", re.I)
+
+    def _least_cues(self, name: str) -> int:
+        """How many of a template's rarest different words a notice cannot lack: those that occur more often count so."""
+        rare = sorted(self.counts[name].values())
+        return next((n for n in range(1, len(rare) + 1) if sum(rare[:n]) > self.most[name]), len(rare))
+
     def __getstate__(self):
-        return self.__dict__ | {"packers": None, "seen": {}, "alone": None, "sizes": None}
+        return self.__dict__ | {"packers": None, "seen": {}, "alone": None, "sizes": None, "frame": None}
 
     def savings(self, block: str) -> list[tuple[int, str, int, int]]:
         """``(bytes saved, template, bytes alone, bytes given the template)``, best first."""
@@ -77,6 +101,7 @@ class Scanner:
             raw = lambda t: zstandard.ZstdCompressionDict(_plain(t), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False)
             self.packers = {k: zstandard.ZstdCompressor(level=19, dict_data=raw(t), write_content_size=False) for k, t in self.templates.items()}
+            self.frame = len(self.alone.compress(b""))  # bytes of an empty frame, which no template can save
             self.sizes = {k: len(self.alone.compress(_plain(t))) for k, t in self.templates.items()}
         data = _plain(block)
         alone = len(self.alone.compress(data))
@@ -114,27 +139,31 @@ class Scanner:
         if notice not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[notice] = {k: (place, alone, given, saved >= LEAST_SAVED * min(alone, self.sizes[k]))
+            self.seen[notice] = {k: (place, alone, given, saved >= LEAST_SAVED * (min(alone, self.sizes[k]) - self.frame))
                                  for place, (saved, k, alone, given) in enumerate(self.savings(notice))}
         return self.seen[notice][name]
 
     def match(self, text: str, spans: list[tuple[int, int]], have: list[str]):
         """The best notice among some words of a text: its rank, first and last word and what is reported; or None."""
-        best, there = None, Counter(have)
-        for name, want in self.words.items():
+        there, confirmed = Counter(have), {}
+        for name in self.words:
             found = self.differences(have, name) if self.enough(there, name) else None
             if found is None:
                 continue
             lacking, added, first, last = found
             start, end = spans[first][0], spans[last][1]
-            stop = min(len(text), end + 1)  # a full stop belongs to the notice's wording
-            place, alone, given, enough = self.saved(text[start : stop if not text[end:stop].isspace() else end], name)
-            if not enough and lacking + added:
-                continue
-            rank = (lacking + added, -len(want), place)
-            if best is None or rank < best[0]:
-                best = (rank, first, last, (name, lacking, added, start, end, alone, given))
-        return best
+            _, alone, given, enough = self.saved(text[start:end], name)
+            if enough:
+                confirmed[name] = (first, last, (name, lacking, added, start, end, alone, given))
+        if not confirmed:
+            return None
+        # All that the templates may account for, compressed with each: those that save most are the winners.
+        block = text[min(n[3] for _, _, n in confirmed.values()) : max(n[4] for _, _, n in confirmed.values())]
+        ranked = [(saved, name) for saved, name, _, _ in self.savings(block) if name in confirmed]
+        winners = [(sum(confirmed[name][2][1:3]), -saved, name) for saved, name in ranked if saved >= WINNERS * ranked[0][0]]
+        off, saved, name = min(winners)
+        first, last, notice = confirmed[name]
+        return (saved, off, name), first, last, notice
 
     def near(self, text: str, spans: list[tuple[int, int]], have: list[str]):
         """Notices among some words of a text; what stands before and after one is searched again."""
@@ -149,14 +178,14 @@ class Scanner:
     def scan(self, text: str):
         """Every notice of a whole text: ``(template, lacking, put in, start, end, alone, given)`` in order, none inside another.
 
-        Where two overlap, the one with fewer differences stays, then the longer template.
+        Where two overlap, the one that saved more bytes stays, then that with fewer differences.
         """
-        if not _cue.search(text):
+        if not self.cue.search(text):
             return []
         out, at = [], 0
         for m in (*_paragraph_end.finditer(text), None):
             end = m.start() if m else len(text)
-            if _cue.search(text, at, end):
+            if self.cue.search(text, at, end):
                 out += self._in(text, at, end)
             at = m.end() if m else end
         return out
@@ -167,7 +196,7 @@ class Scanner:
         starts = [a for a, _ in spans]
         have = [text[a:b].lower() for a, b in spans]
         found, done = {}, -1  # by place and template; the last word with all of its reach searched
-        for cue in _cue.finditer(text, at, end):
+        for cue in self.cue.finditer(text, at, end):
             first, last = bisect_right(starts, cue.start()) - 1, bisect_left(starts, cue.end())
             if last <= done:
                 continue
@@ -189,8 +218,10 @@ FOUND = "id long, license string, start long, end long, words_lacking long, word
 def scan(df: DataFrame, id_col: str, text_col: str, templates: dict[str, str] | None = None) -> DataFrame:
     """License notices of every whole text, a row each, with place (code points) and wording differences.
 
-    Null and empty texts have none; null ids stay; repeated rows each give their rows; other
-    columns are ignored; of equal matches the longer template wins, then the first by name.
+    ``templates`` are notices by name; texts are searched for those that are given. Null and empty
+    texts have none; null ids stay; repeated rows each give their rows; other columns are ignored; an
+    empty table gives no rows; whole texts of any length are read, a paragraph at a time. Of templates
+    with equal savings and differences the first by name wins.
     """
     get = send(df.sparkSession, Scanner(TEMPLATES if templates is None else templates))
 

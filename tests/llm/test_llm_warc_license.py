@@ -170,6 +170,42 @@ def test_templates_save_bytes():
     assert name.startswith("Apache") and saved == alone - given > 0.5 * alone
 
 
+def test_compression_decides(monkeypatch):
+    """Without the savings another template wins, and what merely shares words passes or fails otherwise."""
+    text = L.TEMPLATES["Apache-2.0-header"]
+    assert [g[0] for g in L.Scanner(L.TEMPLATES).scan(text)] == ["Apache-2.0-header"]
+    plain = L.Scanner.savings
+    monkeypatch.setattr(L.Scanner, "savings", lambda self, block: sorted((9, k, a, n) for _, k, a, n in plain(self, block)))
+    assert [g[0] for g in L.Scanner(L.TEMPLATES).scan(text)] != ["Apache-2.0-header"]
+    monkeypatch.setattr(L.Scanner, "savings", lambda self, block: sorted((0, k, a, n) for _, k, a, n in plain(self, block)))
+    assert L.Scanner(L.TEMPLATES).scan(text) == []
+
+
+def test_given_templates_and_changed_notices():
+    """Templates of the caller are found by their own words; changed, wrapped and nested notices with a recall of 0.9 and more."""
+    own = {"own": "Confidential property of the author, do not copy or share.", "other": "Anyone may use these recipes for whatever they like, at home or in public kitchens."}
+    text = "x\n# Confidential property of the author,\n# do not copy or share.\n\ny"
+    assert [g[:3] for g in L.Scanner(own).scan(text)] == [("own", 0, 0)]
+    assert L.Scanner({}).scan(text) == [] == L.Scanner(L.TEMPLATES).scan("a property of the author")
+    rnd, hits, n, wrong = random.Random(5), 0, 0, 0
+    templates = {k: t for k, t in (L.TEMPLATES | own).items() if len(L.Scanner({k: t}).words[k]) >= 8}
+    scanner = L.Scanner(templates)
+    for name in templates:
+        for _ in range(25):
+            words = templates[name].split()
+            for _ in range(rnd.randrange(1, max(2, scanner.most[name] // 2 + 1))):
+                at = rnd.randrange(len(words))
+                words[at : at + rnd.choice((0, 1))] = rnd.choice(([], ["indeed"]))
+            body, gap = "", 0
+            for w in words:  # wrapped, with marks of a comment
+                gap = rnd.randrange(9)
+                body += w + (" " if gap else "\n * ")
+            filler = " ".join(f"word{rnd.randrange(99)}" for _ in range(rnd.randrange(80)))
+            found = [g[0] for g in scanner.scan(f"{filler}\n{body}, {filler}")]
+            n, hits, wrong = n + 1, hits + (name in found), wrong + any(f != name and not f.startswith(("GPL", "LGPL", "AGPL", "Apache")) for f in found)
+    assert hits >= 0.9 * n and wrong <= 0.02 * n
+
+
 def test_documents_against_wording_alone(spark):
     from ledgerwatch.llm.queries import QUERIES
 
