@@ -257,9 +257,9 @@ class ProgressKeeper(StreamingQueryListener):
         report = event.progress
         if report.name != self.name:
             return
-        seen = report.observedMetrics.get("records")
+        seen, arrived = (report.observedMetrics.get(n) for n in ("records", "arrived"))
         text = json.dumps({
-            "batch_id": report.batchId, "reported_at": report.timestamp, "input_rows": report.numInputRows,
+            "batch_id": report.batchId, "reported_at": report.timestamp, "input_rows": report.numInputRows if arrived is None else arrived["rows"],
             "good": None if seen is None else seen["good"], "bad": None if seen is None else seen["bad"],
             "millis": report.durationMs.get("triggerExecution"), "lag": sum(
                 max(0, end - at) for _, _, at, end in kafka_offsets(json.loads(report.json)))})
@@ -290,7 +290,9 @@ def start(
 
     Rows that wait for a model stay waiting for the next run; ``drain`` scores them too.
     """
-    records = unique_good(parsed(messages, arrived), delay).observe(
+    # Good and bad rows take two ways, so the source is read twice and would be counted twice.
+    arrivals = parsed(messages, arrived).observe("arrived", F.count(F.lit(1)).alias("rows"))
+    records = unique_good(arrivals, delay).observe(
         "records", F.count_if(F.col("reason").isNull()).alias("good"), F.count_if(F.col("reason").isNotNull()).alias("bad"))
     writer = records.writeStream.foreachBatch(scorer).option(
         "checkpointLocation", scorer.paths.checkpoint
