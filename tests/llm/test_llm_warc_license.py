@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import struct
+from datetime import datetime, timezone
 from difflib import SequenceMatcher
 
 import pytest
@@ -9,7 +10,7 @@ import zstandard
 from pyarrow import fs
 
 from ledgerwatch.llm import license_scan as L, warc_zst as W
-from ledgerwatch.llm.common import shared_folder
+from ledgerwatch.llm.common import file_system, shared_folder
 from ledgerwatch.session import materialise
 
 
@@ -100,6 +101,47 @@ def test_two_attempts_do_not_clash(spark, tmp_path):
         assert W.read(spark, f"file://{inner}", manifest, payloads=False).count() == 30
 
 
+def test_archives_roll_and_records_follow_the_standard(spark):
+    rows = pages(200) + [(7, "again", None), (7, "again", None), (None, "n", "y" * 200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = shared_folder(spark, "test-warc-roll")
+    when = datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc)
+    W_SAMPLE, W.SAMPLE_RECORDS = W.SAMPLE_RECORDS, 10
+    try:
+        manifest = materialise(W.write(df, "page_id", "url", "html", folder, when, archive_bytes=4000), "test-warc-roll")
+    finally:
+        W.SAMPLE_RECORDS = W_SAMPLE
+    names = [r.name for r in manifest.collect()]
+    assert len(names) > 3 and sum(r.records for r in manifest.collect()) == len(rows)
+    got = W.read(spark, folder, manifest, payloads=False).collect()
+    assert sorted(map(str, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got))) == sorted(map(str, plain_records(rows)))
+    url_of, ids = {i: u for i, u, _ in rows}, []
+    system, inner = file_system(folder)
+    for name in names:
+        with system.open_input_stream(f"{inner}/{name}") as stream:
+            for raw in W.read_archive(stream):
+                head, _, rest = raw.partition(b"\r\n\r\n")
+                first, *lines = head.decode().split("\r\n")
+                fields = dict(x.split(": ", 1) for x in lines)
+                assert first == "WARC/1.1" and len(fields) == len(lines)
+                ids.append(fields["WARC-Record-ID"])
+                assert fields["WARC-Date"] == "2024-05-06T07:08:09Z" and ids[-1].startswith("<urn:uuid:")
+                assert fields["Content-Type"] == "application/http;msgtype=response" and rest.startswith(b"HTTP/1.1 200 OK\r\n")
+                assert len(rest) == int(fields["Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
+                if fields["WARC-Type"] == "revisit":
+                    assert fields["WARC-Refers-To-Target-URI"] == url_of[int(fields["X-Refers-To-Page-ID"])]
+                    assert fields["WARC-Refers-To-Date"] == fields["WARC-Date"] and fields["WARC-Profile"] == W.PROFILE
+    assert len(set(ids)) == len(rows)  # also of pages that come twice or without an id
+
+
+def test_payload_of_many_pages_is_dealt_over_slices(spark):
+    rows = [(i, f"u{i}", "z" * 150) for i in range(100)] + [(100 + i, f"u{i}", f"{i % 5}" * 120) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.refers_to, r.refers_url) for r in W.revisits(df, "page_id", "url", "html", hot_rows=7).collect()}
+    want = {(i, r, f"u{r if r < 100 else r - 100}") for i, _, _, kind, r in plain_records(rows) if kind == "revisit"}
+    assert got == want and len(want) == 99 + 15
+
+
 # License notices.
 
 def plain_scan(line):
