@@ -1,8 +1,11 @@
 """Token ids in files whose document boundaries are Elias-Fano coded.
 
-A file holds one run of documents in ascending id order: a header, the document ids, the
-boundaries, then all token ids behind one another in the fewest whole bytes (2 or 4). The
-end offset of each document is split into ``low`` bits, stored as they are, and the rest,
+A file holds one run of documents in ascending id order: all token ids behind one another in
+the fewest whole bytes (2 or 4), the document ids, the boundaries, and a footer with their
+sizes. Ids go to the file as they are made; what is kept until its end is an id and a length
+for each document. A file ends at ``FILE_IDS`` ids or ``FILE_DOCS`` documents.
+
+The end offset of each document is split into ``low`` bits, stored as they are, and the rest,
 stored in unary in a bit vector; every 256th set bit's place is kept as a 32-bit sample, and
 ``select`` finds any offset from there. That is about two bits a document plus ``low``, and
 no table of 64-bit offsets anywhere.
@@ -23,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerwatch.llm.common import (
     byte_blocks, file_system, ids_and_texts, per_row_task, ragged, range_hashes, shared_folder, unique_name, worker_value,
 )
-from ledgerwatch.session import materialise
+from ledgerwatch.session import file_bytes, materialise
 
-MAGIC = b"EFTOKEN1"
-HEADER = "<8sBBxxxxxxQQQQQ"  # magic, id width, low bits, documents, ids, bytes of the three parts
+MAGIC = b"EFTOKEN2"
+FOOTER = "<QQQQQBBxxxxxx8s"  # documents, ids, bytes of document ids and of low and high bits, id width, low bits, magic
 SAMPLE = 256
 BLOCK_IDS = 1 << 20
+#: Where a file ends and the next one of its task begins, and input bytes of a task.
+FILE_IDS, FILE_DOCS, TASK_BYTES = 1 << 28, 1 << 20, 64 << 20
 #: Pieces that the library encodes in one call, and pieces and their bytes that a worker keeps.
 TOGETHER, KEPT_PIECES, KEPT_BYTES = 4096, 1_000_000, 64 << 20
 #: Pieces that make one text for the library.
@@ -87,18 +92,43 @@ class EliasFano:
         return self.low.nbytes + self.high.nbytes + self.samples.nbytes
 
 
+class TokenWriter:
+    """A file being written; ``close`` adds document ids, boundaries and footer."""
+
+    def __init__(self, system, path: str, width: int):
+        self.out, self.width = system.open_output_stream(path), width
+        self.known, self.names, self.lengths = [], [], []
+        self.n_docs = self.n_ids = 0
+
+    def add(self, doc_ids: list, lengths: np.ndarray, ids: bytes) -> None:
+        """Some documents: their ids, the number of token ids of each, and these in ``width`` bytes each."""
+        self.known.append(np.array([x is not None for x in doc_ids], bool))
+        self.names.append(np.array([0 if x is None else x for x in doc_ids], "<i8"))
+        self.lengths.append(np.asarray(lengths, np.int64))
+        self.n_docs += len(doc_ids)
+        self.n_ids += int(self.lengths[-1].sum())
+        self.out.write(ids)
+
+    def full(self) -> bool:
+        return self.n_ids >= FILE_IDS or self.n_docs >= FILE_DOCS
+
+    def close(self) -> int:
+        """End the file; gives the bytes of its boundaries."""
+        known, names, lengths = (np.concatenate(x) for x in (self.known, self.names, self.lengths))
+        ef = EliasFano.of(np.cumsum(lengths))
+        packed = zlib.compress(np.packbits(known).tobytes() + np.diff(names, prepend=0).astype("<i8").tobytes(), 1)
+        for x in (packed, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes()):
+            self.out.write(x)
+        self.out.write(struct.pack(FOOTER, ef.n, self.n_ids, len(packed), len(ef.low), len(ef.high), self.width, ef.low_bits, MAGIC))
+        self.out.close()
+        return ef.n_bytes()
+
+
 def write_file(system, path: str, doc_ids: list, parts: list[bytes], lengths: np.ndarray, width: int) -> int:
     """Write one file; ``parts`` are the ids in ``width`` bytes each, ``lengths`` the ids of each document."""
-    ef = EliasFano.of(np.cumsum(lengths, dtype=np.int64))
-    known = np.array([x is not None for x in doc_ids], bool)
-    ids = np.array([0 if x is None else x for x in doc_ids], "<i8")
-    names = zlib.compress(np.packbits(known).tobytes() + np.diff(ids, prepend=0).astype("<i8").tobytes(), 1)
-    bounds = ef.low.tobytes() + ef.high.tobytes()
-    with system.open_output_stream(path) as f:
-        f.write(struct.pack(HEADER, MAGIC, width, ef.low_bits, ef.n, int(lengths.sum()), len(names), len(ef.low), len(ef.high)))
-        for x in (names, bounds, ef.samples.tobytes(), *parts):
-            f.write(x)
-    return ef.n_bytes()
+    out = TokenWriter(system, path, width)
+    out.add(doc_ids, lengths, b"".join(parts))
+    return out.close()
 
 
 class TokenFile:
@@ -106,21 +136,25 @@ class TokenFile:
 
     def __init__(self, system, path: str):
         self.file = system.open_input_file(path)
-        magic, self.width, low_bits, self.n, self.n_ids, a, b, c = struct.unpack(HEADER, self.file.read(struct.calcsize(HEADER)))
-        if magic != MAGIC:
+        foot = self.file.size() - struct.calcsize(FOOTER)
+        if foot < 0:
             raise ValueError(f"{path} is not a token file")
+        self.file.seek(foot)
+        self.n, self.n_ids, a, b, c, self.width, low_bits, magic = struct.unpack(FOOTER, self.file.read(struct.calcsize(FOOTER)))
+        samples = -(-self.n // SAMPLE)
+        if magic != MAGIC or self.n_ids * self.width + a + b + c + 4 * samples != foot:
+            raise ValueError(f"{path} is not a token file")
+        self.file.seek(self.n_ids * self.width)
         names = zlib.decompress(self.file.read(a))
         known = np.unpackbits(np.frombuffer(names[: (self.n + 7) // 8], np.uint8))[: self.n]
         self.doc_ids = np.cumsum(np.frombuffer(names[(self.n + 7) // 8 :], "<i8"))
         self.known = known.astype(bool)
         low, high = (np.frombuffer(self.file.read(k), np.uint8) for k in (b, c))
-        samples = -(-self.n // SAMPLE)
         self.ends = EliasFano(self.n, low_bits, low, high, np.frombuffer(self.file.read(4 * samples), "<u4"))
-        self.base = struct.calcsize(HEADER) + a + b + c + 4 * samples
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids at the offsets ``start`` to ``stop``."""
-        self.file.seek(self.base + start * self.width)
+        self.file.seek(start * self.width)
         return np.frombuffer(self.file.read((stop - start) * self.width), f"<u{self.width}").astype("<u4")
 
     def ids(self, i: int) -> np.ndarray:
@@ -312,11 +346,13 @@ def write(df: DataFrame, id_col: str, text_col: str, vocabulary: str, folder: st
     """Encode every whole text, add ``end_id`` and write files in ascending id order.
 
     ``vocabulary`` is a file of the tokenizers library with a byte-level pre-tokenizer. Gives
-    the manifest, a row per file: ``part, name, n_docs, n_ids, bound_bytes``. Null texts are
-    empty and hold the end id alone; null ids come first; repeated ids each keep their place
-    (ordered by text), other columns are ignored, and an empty table gives no file. With
-    ``added``, strings of added tokens in a text get their ids, as is the library's default;
-    else those of special tokens are ordinary text.
+    the manifest, a row per file: ``part, file, name, n_docs, n_ids, bound_bytes``; files follow
+    one another by part and file. Null texts are empty and hold the end id alone; null ids come
+    first; repeated ids each keep their place (ordered by text), other columns are ignored, and
+    an empty table gives no file. Rows of one id (or none) may be dealt over several tasks by how
+    their texts begin; a task holds a block of texts, and an id and a length for each document of
+    a file. With ``added``, strings of added tokens in a text get their ids, as is the library's
+    default; else those of special tokens are ordinary text.
     """
     spark = df.sparkSession
     with open(vocabulary, "rb") as f:
@@ -326,25 +362,33 @@ def write(df: DataFrame, id_col: str, text_col: str, vocabulary: str, folder: st
         pieces = worker_value(f"pieces {added} {vocabulary}", lambda: Pieces(sent.value, added))
         if end_id >> 8 * pieces.width:
             raise ValueError(f"end_id {end_id} doesn't fit into {pieces.width} bytes")
-        names, parts, lengths = [], [], []
+        system, inner = file_system(folder)
+        part, n_files, name, out = TaskContext.get().partitionId(), 0, None, None
+
+        def ended():
+            row = {"part": part, "file": n_files, "name": name, "n_docs": out.n_docs, "n_ids": out.n_ids, "bound_bytes": out.close()}
+            return pa.RecordBatch.from_pylist([row], kinds)
+
         for ids, data, offsets in byte_blocks(batches, 2 << 20):
+            if not ids:
+                continue
+            if out is None:
+                name = unique_name(part, ".eft")
+                out = TokenWriter(system, f"{inner}/{name}", pieces.width)
             coded, sizes = pieces.encode(data, offsets, end_id)
-            names += ids
-            lengths.append(sizes)
-            parts.append(coded.tobytes())
-        if not names:
-            return
-        system, inner = file_system(folder)
-        part = TaskContext.get().partitionId()
-        name = unique_name(part, ".eft")
-        sizes = np.concatenate(lengths)
-        bound = write_file(system, f"{inner}/{name}", names, parts, sizes, pieces.width)
-        yield pa.RecordBatch.from_pydict({
-            "part": [part], "name": [name], "n_docs": [len(names)], "n_ids": [int(sizes.sum())], "bound_bytes": [bound],
-        }, pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bound_bytes", pa.int64())]))
+            out.add(ids, sizes, coded.tobytes())
+            if out.full():
+                yield ended()
+                n_files, out = n_files + 1, None
+        if out is not None:
+            yield ended()
 
-    rows = ids_and_texts(df, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
-    return rows.mapInArrow(run, "part int, name string, n_docs long, n_ids long, bound_bytes long")
+    kinds = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bound_bytes", pa.int64())])
+    rows = ids_and_texts(df, id_col, text_col)
+    tasks = file_bytes(spark, df.inputFiles()) // TASK_BYTES
+    more = [tasks] if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    rows = rows.repartitionByRange(*more, "id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
+    return rows.mapInArrow(run, "part int, file int, name string, n_docs long, n_ids long, bound_bytes long")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -359,7 +403,7 @@ def checksums(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
 
 def _walk(spark, folder, manifest, column, made, kind) -> DataFrame:
     files, base = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r.part):  # a row per file
+    for r in sorted(manifest.collect(), key=lambda r: (r.part, r.file)):  # a row per file
         files.append((r.name, base))
         base += r.n_ids
     if not files:

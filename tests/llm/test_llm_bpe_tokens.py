@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from ledgerwatch.llm import byte_bpe, token_file
-from ledgerwatch.llm.common import shared_folder
+from ledgerwatch.llm.common import byte_blocks, shared_folder
 from ledgerwatch.session import materialise
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -141,6 +141,43 @@ def test_token_files(spark):
     assert token_file.round_trip(df.limit(0), "doc_id", "text", VOCABULARY).count() == 0
 
 
+def test_files_roll_and_one_id_is_dealt_over_tasks(spark, monkeypatch):
+    """Many rows of one id, of none, and copies; the files follow one another in order of id and text."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 5, 5, 5, 9]), " ".join(rnd.choice(["a", "bc", "the"]) for _ in range(rnd.randrange(40)))) for _ in range(600)] + [(5, "same")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    folder = shared_folder(spark, "test-tokens-roll")
+    monkeypatch.setattr(token_file, "FILE_DOCS", 25)
+    monkeypatch.setattr(token_file, "byte_blocks", lambda batches, _: plain_blocks(batches, 200))
+    plain_blocks = byte_blocks
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would be one task
+    try:
+        manifest = materialise(token_file.write(df, "doc_id", "text", VOCABULARY, folder), "test-manifest")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.collect()
+    assert len(files) > 12 and len({r.part for r in files}) > 3 and sum(r.n_docs for r in files) == len(rows)
+    got = sorted(token_file.read(spark, folder, manifest).collect(), key=lambda r: r.start)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    library, start = Tokenizer.from_file(VOCABULARY), 0
+    for r, (i, text) in zip(got, order, strict=True):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert (r.id, r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()) == (i, start, ids)
+        start += len(ids)
+
+
+def test_damaged_file_is_noticed(tmp_path):
+    from pyarrow import fs
+
+    system = fs.LocalFileSystem()
+    token_file.write_file(system, f"{tmp_path}/x.eft", [1, 2], [np.arange(7, dtype="<u2").tobytes()], np.array([3, 4]), 2)
+    raw = (tmp_path / "x.eft").read_bytes()
+    for bad in (raw[:-1], raw[:20], b"", raw[:6] + raw[8:]):
+        (tmp_path / "y.eft").write_bytes(bad)
+        with pytest.raises(ValueError):
+            token_file.TokenFile(system, f"{tmp_path}/y.eft")
+
+
 def test_pieces_against_the_library(monkeypatch):
     """Any texts, many pieces to one call, a small store that forgets, and hashes that collide."""
     library = Tokenizer.from_file(VOCABULARY)
