@@ -6,7 +6,9 @@ chain of l segments differs in at most floor(l * t / m) bits. Candidates are fou
 first two steps of the chain at once: the first segment equal and, within the second step's
 budget, at most one bit in the next. The key of a start is both segments; each fingerprint is
 stored under its own key and asks under the keys with one bit of the second segment turned.
-Longer chains and at last all 64 bits are then compared inside a key.
+All 64 bits are then compared inside a key (with two bits, three segments, that is the only
+longer chain). A key with more than ``MOST_TOGETHER`` rows is cut further: the bits in which its
+rows differ are dealt into ``max_bits + 1`` segments, of which one must be equal, and so on.
 
 Equal fingerprints are one node, so copies cost nothing. Inside a key only as many links
 leave as join its members, never all pairs. Components come from label spreading with
@@ -26,6 +28,7 @@ from ledgerwatch.session import materialise
 BITS = 64
 SEED = 42
 BLOCK = 1 << 15
+MOST_TOGETHER = 1 << 12
 
 
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
@@ -85,8 +88,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _joined(fps: list[int], asks: list[bool], max_bits: int) -> list[tuple[int, int]]:
+def _joined(fps: np.ndarray, asks: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that join what lies within ``max_bits`` among the rows of one key, none twice over."""
+    fps, asks = np.asarray(fps, np.int64), np.asarray(asks, bool)
     root: dict[int, int] = {}
 
     def find(x):
@@ -94,19 +98,45 @@ def _joined(fps: list[int], asks: list[bool], max_bits: int) -> list[tuple[int,
             root[x] = x = root[root[x]]
         return x
 
-    links, stored = [], [f for f, a in zip(fps, asks) if not a]
-    array = np.array(fps, np.int64).view(np.uint64)
-    for f in stored:
-        near = np.flatnonzero(np.bitwise_count(array ^ np.int64(f).view(np.uint64)) <= max_bits) if len(fps) > 32 else [
-            j for j, g in enumerate(fps) if ((f ^ g) & 0xFFFFFFFFFFFFFFFF).bit_count() <= max_bits]
-        for j in near:
-            g = fps[j]
-            if g != f and (a := find(f)) != (b := find(g)):
-                root[max(a, b)] = min(a, b)
-                links.append((f, g))
+    links = []
+    for part in _parts(fps.view(np.uint64), np.arange(len(fps)), max_bits):
+        near_fps, values = fps[part], fps[part].tolist()
+        for f in fps[part[~asks[part]]].tolist():
+            near = np.flatnonzero(np.bitwise_count((near_fps ^ f).view(np.uint64)) <= max_bits).tolist() if len(values) > 32 else [
+                j for j, g in enumerate(values) if ((f ^ g) & 0xFFFFFFFFFFFFFFFF).bit_count() <= max_bits]
+            for j in near:
+                g = values[j]
+                if g != f and (a := find(f)) != (b := find(g)):
+                    root[max(a, b)] = min(a, b)
+                    links.append((f, g))
     return links
 
 
+def _parts(fps: np.ndarray, rows: np.ndarray, max_bits: int):
+    """Rows in parts of at most ``MOST_TOGETHER``, any two within ``max_bits`` together in one of them.
+
+    Equal values can't be told apart further and make a part of any size; a key has none but
+    what is both stored and asked.
+    """
+    if len(rows) <= MOST_TOGETHER:
+        yield rows
+        return
+    own = fps[rows]
+    differ = int(np.bitwise_or.reduce(own ^ own[0]))
+    bits = [b for b in range(BITS) if differ >> b & 1]
+    if len(bits) <= max_bits:
+        yield rows
+        return
+    for k in range(max_bits + 1):
+        mask = sum(1 << b for b in bits[k :: max_bits + 1])
+        at = own & np.uint64(mask)
+        order = np.argsort(at, kind="stable")
+        edges = np.flatnonzero(np.diff(at[order])) + 1
+        for part in np.split(rows[order], edges):
+            if len(part) > 1:
+                yield from _parts(fps, part, max_bits)
+
+
 def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     """``a, b``: links that join all fingerprints within ``max_bits`` of each other.
 
@@ -115,14 +145,18 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     """
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        rest = None
+        held = []
         for batch in _with_end(batches):
             if batch is not None:
                 now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-                rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
-            if rest is None or not len(rest[0]):
+                if not len(now[0]):
+                    continue
+                held.append(now)
+                if all(held[0][i][0] == now[i][-1] for i in (0, 1)):
+                    continue  # one key so far: joined when it ends
+            if not held:
                 continue
-            start, key, fp, asks = rest
+            start, key, fp, asks = (np.concatenate(x) for x in zip(*held))
             edge = np.flatnonzero((key[1:] != key[:-1]) | (start[1:] != start[:-1])) + 1
             last = len(key) if batch is None else int(edge[-1]) if len(edge) else 0
             bounds = np.concatenate(([0], edge[edge < last], [last])) if last else np.zeros(1, np.int64)
@@ -131,10 +165,10 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
                 found = []
                 for g in np.flatnonzero((np.diff(bounds) > 1) & (stored > 0)):
                     rows = slice(bounds[g], bounds[g + 1])
-                    found += _joined(fp[rows].tolist(), asks[rows].tolist(), max_bits)
+                    found += _joined(fp[rows], asks[rows], max_bits)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=schema)
-            rest = [x[last:] for x in rest]
+            held = [[x[last:] for x in (start, key, fp, asks)]] if last < len(key) else []
 
     keyed = distinct.select("fp", F.inline(_keys(F.col("fp"), max_bits)))
     dealt = keyed.select("start", "key", "fp", "asks").repartition("start", "key").sortWithinPartitions("start", "key")

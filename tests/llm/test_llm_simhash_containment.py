@@ -86,6 +86,30 @@ def test_other_distances(spark):
         assert len(set(got.values())) == len(set(want))
 
 
+def test_hot_keys_are_cut_and_lose_nothing(spark, monkeypatch):
+    """Thousands of fingerprints with one key, in many batches; parts of at most 50 rows."""
+    rnd = random.Random(6)
+    fps = {rnd.getrandbits(20) << 43 | 5 for _ in range(700)} | {rnd.getrandbits(64) for _ in range(50)}
+    for x in rnd.sample(sorted(fps), 200):
+        fps.add(x ^ sum(1 << b for b in rnd.sample(range(43, 63), rnd.choice((1, 2, 3)))))
+    fps = sorted(fps)
+    monkeypatch.setattr(simhash_ring, "MOST_TOGETHER", 50)
+    signed = np.array([simhash_ring._signed(f) for f in fps], np.int64)
+    parts = list(simhash_ring._parts(signed.view(np.uint64), np.arange(len(fps)), 2))
+    assert max(map(len, parts)) <= 50 and len(parts) > 30
+    nodes = spark.createDataFrame([(int(f),) for f in signed], "fp long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {r.fp: r.label for r in simhash_ring.components(nodes, simhash_ring.links(nodes, 2)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups, theirs = {}, {}
+    for s, w in zip(signed.tolist(), plain_groups(fps)):
+        groups.setdefault(w, set()).add(s)
+        theirs.setdefault(got[s], set()).add(s)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, theirs.values()))
+
+
 def test_rows_of_one_key_leave_few_links():
     rnd = random.Random(2)
     fps = sorted({sum(1 << b for b in range(12) if rnd.random() < 0.5) for _ in range(2000)})
