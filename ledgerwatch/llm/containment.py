@@ -8,23 +8,30 @@ holds one of the signature's hashes: the search loses nothing, for texts of any
 pass over a text looks its shingles up among the signatures; candidates are then verified
 with the exact shingles.
 
-The items are a stated query set. They are sent to the tasks in blocks of at most
-``BLOCK_BYTES`` of text, each block against all texts, so no broadcast grows beyond that.
+The items are a stated query set. Tasks build an index for each block of at most
+``BLOCK_BYTES`` of their text and write it below the shared folder; the driver sees the names
+of these files alone. One pass over the texts reads them: a worker holds ``KEPT_BLOCKS``
+indexes at most, and with more blocks takes every batch of texts through all of them. So
+nothing is broadcast, and neither memory nor the number of passes grows with the items.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerwatch.llm.common import ids_and_texts, send, text_blocks
+from ledgerwatch.llm.common import file_system, ids_and_texts, shared_folder, unique_name, worker_value
+from ledgerwatch.session import materialise, require_columns
 
 BLOCK_BYTES = 4 << 20
+KEPT_BLOCKS = 4
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 FOUND = "id long, item long, n_shingles long, n_shared long, containment double, first_word long, last_word long"
@@ -113,17 +120,60 @@ def _runs(known: np.ndarray, length: int) -> np.ndarray:
     return total[length:] - total[: len(total) - length] == length
 
 
-def blocks(items: DataFrame, item_col: str, text_col: str):
-    """Items in blocks of at most ``BLOCK_BYTES`` of text (a longer item alone), read one by one."""
-    block, held = [], 0
-    for r in ids_and_texts(items, item_col, text_col).dropDuplicates().orderBy("id", "text").toLocalIterator():
-        if block and held + len(r.text) * 4 > BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-        block.append((r.id, r.text))
-        held += len(r.text) * 4
-    if block:
-        yield block
+def blocks(items: DataFrame, item_col: str, text_col: str, size: int = 5, least: float = 0.8) -> list[str]:
+    """Files of indexes, one for each block of at most ``BLOCK_BYTES`` of text (a longer item alone).
+
+    Repeated items are dropped before the shuffle, tasks take whole blocks, and a file counts
+    only if the manifest of the finished tasks names it. Items without a word are in no file.
+    """
+    spark, limit = items.sparkSession, BLOCK_BYTES
+    texts = ids_and_texts(items, item_col, text_col)
+    weight = (texts.agg(F.sum(4 * F.length("text").cast("long")).alias("n")).first().n or 0)
+    folder = shared_folder(spark, "item-blocks")
+
+    def run(batches):
+        names, block, held = [], [], 0
+
+        def write():
+            index = Index(block, size, least)
+            if index.items:
+                name = f"{folder}/{unique_name(len(names), '.index')}"
+                system, inner = file_system(name)
+                with system.open_output_stream(inner) as out:
+                    out.write(pickle.dumps(index.__dict__, pickle.HIGHEST_PROTOCOL))
+                names.append(name)
+
+        for batch in batches:
+            for item, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "text"))):
+                if block and held + len(text) * 4 > limit:
+                    write()
+                    block, held = [], 0
+                block.append((item, text))
+                held += len(text) * 4
+        if block:
+            write()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
+
+    dealt = texts.dropDuplicates().repartition(max(1, math.ceil(weight / limit)), "id", "text")
+    return [r.file for r in materialise(dealt.mapInArrow(run, "file string"), "item-files").orderBy("file").collect()]
+
+
+def _indexes(files: list[str]) -> Iterator[Index]:
+    """The indexes in turn; a worker keeps the first few, so with few blocks it reads each file once."""
+    kept = worker_value("containment-blocks", dict)
+    for name in list(kept.keys() - set(files)):
+        del kept[name]
+    for name in files:
+        index = kept.get(name)
+        if index is None:
+            system, inner = file_system(name)
+            with system.open_input_stream(inner) as stream:
+                state = pickle.loads(stream.read())
+            index = Index.__new__(Index)
+            index.__dict__.update(state)
+            if len(kept) < KEPT_BLOCKS - 1 or len(files) <= KEPT_BLOCKS:
+                kept[name] = index
+        yield index
 
 
 def contained(df: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str,
@@ -140,40 +190,44 @@ def contained(df: DataFrame, id_col: str, text_col: str, items: DataFrame, item_
     if size < 1 or not 0 < least <= 1:
         raise ValueError("size must be positive and least above 0 and at most 1")
     spark, texts = df.sparkSession, ids_and_texts(df, id_col, text_col)
-    out = None
-    for block in blocks(items, item_col, item_text):
-        sent = send(spark, Index(block, size, least))
-
-        def run(batches, sent=sent):
-            index = sent()
-            for ids, block_texts in text_blocks(batches):
-                rows = [(i, item, n, k, k / n, a, b) for i, t in zip(ids, block_texts) for item, n, k, a, b in index.find(t)]
+    files = blocks(items, item_col, item_text, size, least)
+    if not files:
+        return spark.createDataFrame([], FOUND)
+
+    def run(batches):
+        kinds = (pa.int64(),) * 4 + (pa.float64(),) + (pa.int64(),) * 2
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("id")).to_pylist()
+            held = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            for index in _indexes(files):
+                rows = [(i, item, n, k, k / n, a, b) for i, t in zip(ids, held) for item, n, k, a, b in index.find(t)]
                 if rows:
-                    kinds = (pa.int64(),) * 4 + (pa.float64(),) + (pa.int64(),) * 2
-                    names = [c.split()[0] for c in FOUND.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
-        part = texts.mapInArrow(run, FOUND)
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], FOUND) if out is None else out
+    return texts.mapInArrow(run, FOUND)
 
 
 def clean_rows(df: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text: str,
                size: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``df`` whose text contains no item, all columns as they are.
 
-    One pass without a shuffle: each task tests its rows and keeps the clean ones.
+    One pass without a shuffle: each task tests its rows and keeps the clean ones. Null and
+    empty texts hold no item and stay; repeated rows stay or go alike; without rows or items
+    ``df`` comes back as it is; other columns, whatever their names, are not looked at.
     """
-    spark, out = df.sparkSession, df
-    for block in blocks(items, item_col, item_text):
-        sent = send(spark, Index(block, size, least))
-
-        def run(batches, sent=sent):
-            index = sent()
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                keep = [next(index.find(t or ""), None) is None for t in texts]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(run, df.schema)
-    return out
+    require_columns(df, text_col)
+    files = blocks(items, item_col, item_text, size, least)
+    if not files:
+        return df
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            clean = np.ones(len(texts), bool)
+            for index in _indexes(files):
+                for at in np.flatnonzero(clean):
+                    clean[at] = next(index.find(texts[at] or ""), None) is None
+            yield batch.filter(pa.array(clean))
+
+    return df.mapInArrow(run, df.schema)

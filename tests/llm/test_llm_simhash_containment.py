@@ -191,7 +191,12 @@ def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(containment, "BLOCK_BYTES", 300)
     items = [(k, f"alpha{k} beta{k} gamma{k} delta{k} eps{k} zeta{k}") for k in range(40)]
     it = spark.createDataFrame(items, "item_id long, text string")
-    assert len(list(containment.blocks(it, "item_id", "text"))) > 5
+    files = containment.blocks(it, "item_id", "text")
+    assert len(files) > containment.KEPT_BLOCKS  # so the workers can't keep them all
+    repeated = containment.blocks(it.union(it).union(it), "item_id", "text")
+    held = [sorted(i for i, _ in index.items) for index in containment._indexes(repeated)]
+    assert sorted(i for h in held for i in h) == list(range(40))
+    assert containment.blocks(it.selectExpr("item_id", "' . ' as text"), "item_id", "text") == []
     df = spark.createDataFrame([(k, "start " + t + " end") for k, t in items] + [(99, "nothing")], "doc_id long, text string")
     assert {(r.id, r.item) for r in containment.contained(df, "doc_id", "text", it, "item_id", "text").collect()} == {(k, k) for k, _ in items}
     assert [r.doc_id for r in containment.clean_rows(df, "text", it, "item_id", "text").collect()] == [99]
