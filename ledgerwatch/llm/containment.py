@@ -154,8 +154,8 @@ def blocks(items: DataFrame, item_col: str, text_col: str, size: int = 5, least:
             write()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
 
-    dealt = texts.dropDuplicates().repartition(max(1, math.ceil(weight / limit)), "id", "text")
-    return [r.file for r in materialise(dealt.mapInArrow(run, "file string"), "item-files").orderBy("file").collect()]
+    dealt = texts.dropDuplicates().repartition(max(1, math.ceil(weight / limit)))  # by bytes alone: no more tasks than blocks
+    return sorted(r.file for r in materialise(dealt.mapInArrow(run, "file string"), "item-files").collect())
 
 
 def _indexes(files: list[str]) -> Iterator[Index]:
