@@ -185,7 +185,8 @@ def contained(df: DataFrame, id_col: str, text_col: str, items: DataFrame, item_
     n_shingles, n_shared, containment, first_word, last_word`` (positions, from 0, of the
     outermost shared shingles in the text). Null texts are empty; empty items are in no
     text; repeated rows of the texts each give their pairs, repeated items give one; null
-    ids and items stay null; other columns are ignored.
+    ids and items stay null; other columns are ignored. An empty table on either side gives no
+    row; a long text is read whole, in time linear in its words.
     """
     if size < 1 or not 0 < least <= 1:
         raise ValueError("size must be positive and least above 0 and at most 1")
