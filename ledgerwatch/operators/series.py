@@ -21,13 +21,17 @@ from ledgerwatch.session import python_tasks, require_columns
 
 
 def daily_series(
-    df: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp", value: str = "value",
+    df: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp", value: str = "value", runs: bool = False,
 ) -> DataFrame:
     """Dense daily sums per key: (keys, day, value).
 
     A day that sums to zero counts as missing and takes the last value before it; days
     before the first value stay null. Rows shrink to one per key and day before any window,
     and the spine runs from each key's own first to its own last day.
+
+    With ``runs`` the same series has one row per day with transactions and a column ``days``:
+    the value holds on that many days from ``day`` on. Fits, forecasts and slopes take both
+    forms; runs keep millions of sparse series from growing to a row per day.
     """
     require_columns(df, ts, value, *keys)
     keys = list(keys) or ["_series"]
@@ -45,6 +49,9 @@ def daily_series(
         ).alias("value"),
         F.lead("day").over(window).alias("_next"),
     )
+    if runs:
+        days = F.coalesce(F.datediff("_next", "day"), F.lit(1))
+        return filled.withColumn("days", days).drop("_next", "_series")
     until = F.coalesce(F.date_sub("_next", 1), F.col("day"))
     dense = filled.withColumn("day", F.explode(F.sequence(F.col("day"), until)))
     return dense.drop("_next", "_series")
@@ -132,10 +139,18 @@ def _fit(y: np.ndarray, order: tuple[int, int, int]):
 
 
 def _least_squares(w: np.ndarray, residuals: np.ndarray, mean: float, p: int, q: int, start: int):
-    x = np.hstack([_lagged(w, p, start), _lagged(residuals, q, start)])
-    beta = np.linalg.lstsq(x, w[start:], rcond=None)[0]
-    errors = np.zeros(len(w))
-    errors[start:] = w[start:] - x @ beta
+    # Where all lags are zero, as where a value holds for long, a row says nothing of the coefficients.
+    told = np.zeros(len(w) + start, bool)
+    for column, lags in ((w, p), (residuals, q)):
+        at = np.flatnonzero(column)
+        for k in range(1, lags + 1):
+            told[at + k] = True
+    rows = np.flatnonzero(told[start: len(w)]) + start
+    x = np.column_stack([w[rows - k] for k in range(1, p + 1)] + [residuals[rows - k] for k in range(1, q + 1)])
+    beta = np.linalg.lstsq(x, w[rows], rcond=np.finfo(float).eps * max(len(w) - start, p + q))[0]
+    errors = w.copy()
+    errors[:start] = 0
+    errors[rows] -= x @ beta
     return mean, beta[:p], beta[p:], errors, float(np.mean(errors[start:] ** 2))
 
 
@@ -145,8 +160,9 @@ def forecast_from(
 ) -> np.ndarray:
     """The next values from the last ones, the coefficients and the last errors."""
     _, d, _ = order
+    y = y[-(max(len(ar), len(ma)) + d + 1):]  # no more is looked back on
     w = list((np.diff(y, n=d) if d else y) - mean)
-    e = list(errors)
+    e = list(errors[-len(ma):]) if len(ma) else []
     for _ in range(steps):
         back = sum(c * w[-k] for k, c in enumerate(ar, 1) if k <= len(w))
         shock = sum(c * e[-k] for k, c in enumerate(ma, 1) if k <= len(e))
@@ -197,16 +213,34 @@ def _grouped(series: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[st
 
 
 def _as_arrays(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per series: its last day and its values in day order.
+    """One row per series: its last day, its values in day order and the days each holds (null: one).
 
-    An array is as long as the series has days, whatever the number of transactions.
+    An array is as long as the series has rows, whatever the number of transactions; runs are
+    drawn out to days where a series is fitted, a few at a time.
     """
-    points = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("day", "value"))))
-    return series.groupBy(*keys).agg(F.max("day").alias("last"), points.alias("_p")).select(
-        *keys, "last", F.transform("_p", lambda p: p["value"]).alias("y")
+    held = "days" in series.columns
+    last = F.max(F.date_add("day", F.col("days") - 1) if held else F.col("day"))
+    kept = F.struct("day", "value", *(["days"] if held else []))
+    points = F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), kept)))
+    return series.groupBy(*keys).agg(last.alias("last"), points.alias("_p")).select(
+        *keys, "last", (F.col("_p.days") if held else F.lit(None).cast("array<int>")).alias("days"), F.col("_p.value").alias("y")
     )
 
 
+#: Series drawn out to days at a time; a search for likelihoods does well with many.
+_AT_ONCE = {"least_squares": 256, "likelihood": 4096}
+
+
+def _fitted(batches, order: tuple[int, int, int], method: str):
+    """For each row of ``_as_arrays``: (its keys and last day, its values day by day, the fit or None)."""
+    for pdf in batches:
+        rows = list(pdf.itertuples(index=False, name=None))
+        for at in range(0, len(rows), _AT_ONCE[method]):
+            part = rows[at : at + _AT_ONCE[method]]
+            ys = [np.asarray(r[-1], float) if r[-2] is None else np.repeat(np.asarray(r[-1], float), r[-2]) for r in part]
+            yield [(r[:-2], y, one) for r, y, one in zip(part, ys, _fits(ys, order, method))]
+
+
 def _enough(y: np.ndarray, order: tuple[int, int, int]) -> bool:
     """Points for all coefficients, and two differences at least where lags are fitted."""
     p, d, q = order
@@ -234,15 +268,14 @@ def fit_arima(
     ])
 
     def fit(batches):
-        for pdf in batches:
+        for part in _fitted(batches, order, method):
             found = []
-            listed = list(pdf.itertuples(index=False, name=None))
-            for row, one in zip(listed, _fits([r[-1] for r in listed], order, method)):
+            for row, y, one in part:
                 if one is None:
-                    found.append([*row[:-2], len(row[-1]), "insufficient"] + [None] * (4 + len(extra)))
+                    found.append([*row[:-1], len(y), "insufficient"] + [None] * (4 + len(extra)))
                     continue
                 constant, ar, ma, _, sigma2, *more = one
-                found.append([*row[:-2], len(row[-1]), "ok", constant, list(map(float, ar)), list(map(float, ma)), sigma2,
+                found.append([*row[:-1], len(y), "ok", constant, list(map(float, ar)), list(map(float, ma)), sigma2,
                               *more[: len(extra)]])
             yield pd.DataFrame(found, columns=schema.names)
 
@@ -264,12 +297,8 @@ def forecast(
     ])
 
     def ahead(batches):
-        for pdf in batches:
-            found = []
-            listed = list(pdf.itertuples(index=False, name=None))
-            for row, one in zip(listed, _fits([r[-1] for r in listed], order, method)):
-                y = np.asarray(row[-1], float)
-                found.append([*row[:-1], [] if one is None else list(map(float, forecast_from(y, order, steps, *one[:4])))])
+        for part in _fitted(batches, order, method):
+            found = [[*row, [] if one is None else list(map(float, forecast_from(y, order, steps, *one[:4])))] for row, y, one in part]
             yield pd.DataFrame(found, columns=ahead_schema.names)
 
     found = _dealt(_as_arrays(rows, keys), keys, method).mapInPandas(ahead, ahead_schema)
@@ -280,10 +309,23 @@ def forecast(
 
 
 def ar1_slopes(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """First-order slope of each series by regression on the day before, without Python."""
+    """First-order slope of each series by regression on the day before, without Python.
+
+    A run of equal days counts as often as it has pairs, so it is not drawn out. Sums are of
+    differences to the first value: a series that never changes has none, and a null slope.
+    """
     rows, keys = _grouped(series.where(F.col("value").isNotNull()), keys)
     window = Window.partitionBy(*keys).orderBy("day")
-    pairs = rows.withColumn("before", F.lag("value").over(window)).where("before is not null")
-    return pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pairs"), F.regr_slope("value", "before").alias("slope")
-    )
+    held = F.col("days") if "days" in series.columns else F.lit(1)
+    start = F.first("value").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    pairs = rows.select(
+        *keys, (held - 1).alias("_same"), (F.col("value") - start).alias("_y"), (F.lag("value").over(window) - start).alias("_x"))
+    step, same = F.col("_x").isNotNull().cast("int"), F.col("_same")
+    x, y = F.coalesce("_x", F.lit(0.0)), F.col("_y")
+    n = F.sum(step + same)
+    sums = pairs.groupBy(*keys).agg(
+        n.cast("bigint").alias("pairs"), F.sum(x + same * y).alias("_sx"), F.sum(step * y + same * y).alias("_sy"),
+        F.sum(x * x + same * y * y).alias("_sxx"), F.sum(x * y + same * y * y).alias("_sxy")).where("pairs > 0")
+    spread = F.col("_sxx") - F.col("_sx") * F.col("_sx") / F.col("pairs")
+    slope = (F.col("_sxy") - F.col("_sx") * F.col("_sy") / F.col("pairs")) / F.when(spread != 0, spread)
+    return sums.select(*keys, "pairs", slope.alias("slope"))

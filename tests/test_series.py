@@ -70,3 +70,58 @@ def test_six_points_have_coefficients(frame):
     x = np.column_stack([w[6 - k : len(w) - k] for k in range(1, 6)])
     assert fitted.ar == pytest.approx(np.linalg.lstsq(x, w[6:], rcond=None)[0].tolist())
     assert series.forecast(six, steps=2).count() == 2
+
+
+def _sparse(frame):
+    """Four addresses with gaps, a leading zero, a day without change and a null."""
+    rng = np.random.default_rng(3)
+    rows = [(k, datetime(2024, 1, 1) + timedelta(days=int(d)), float(v))
+            for k in "abc" for d, v in zip(np.cumsum(rng.integers(1, 9, 30)), rng.uniform(1, 100, 30))]
+    rows += [("a", datetime(2023, 12, 30), 0.0), ("b", datetime(2024, 9, 9), 0.0), ("d", datetime(2024, 1, 1), 3.0),
+             ("d", datetime(2024, 1, 8), 3.0), ("e", datetime(2024, 1, 1), None), (None, datetime(2024, 1, 1), 1.0), (None, datetime(2024, 1, 9), 2.0)]
+    return frame(rows, "k string, timestamp timestamp, value double")
+
+
+def test_runs_are_the_dense_series(frame):
+    tx = _sparse(frame)
+    dense, runs = series.daily_series(tx, ["k"]), series.daily_series(tx, ["k"], runs=True)
+    drawn = runs.selectExpr("k", "explode(sequence(day, date_add(day, days - 1))) as day", "value")
+    assert drawn.exceptAll(dense).count() == dense.exceptAll(drawn).count() == 0
+    assert runs.count() < dense.count()
+
+
+@pytest.mark.parametrize("order", [(5, 1, 0), (1, 1, 1), (2, 0, 0)])
+def test_fits_and_forecasts_of_runs(frame, order):
+    tx = _sparse(frame)
+    dense, runs = series.daily_series(tx, ["k"]), series.daily_series(tx, ["k"], runs=True)
+    for one, other in zip(*[sorted(series.fit_arima(x, ["k"], order).collect(), key=str) for x in (dense, runs)], strict=True):
+        assert one == other
+    for one, other in zip(*[sorted(series.forecast(x, ["k"], order, 3).collect(), key=str) for x in (dense, runs)], strict=True):
+        assert one == other
+
+
+def test_runs_are_not_drawn_out_before_a_fit(frame):
+    """A series of two days a century apart stays two rows up to the fit."""
+    tx = frame([("a", datetime(1924, 1, 1), 1.0), ("a", datetime(2024, 1, 1), 2.0)], "k string, timestamp timestamp, value double")
+    runs = series.daily_series(tx, ["k"], runs=True)
+    assert runs.count() == 2
+    assert "Generate" not in series.fit_arima(runs, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert series.fit_arima(runs, ["k"]).first().points == 36526
+
+
+def test_slopes_of_runs(frame):
+    tx = _sparse(frame)
+    dense, runs = series.daily_series(tx, ["k"]), series.daily_series(tx, ["k"], runs=True)
+    values = {}
+    for r in dense.where("value is not null").orderBy("day").collect():
+        values.setdefault(r.k, []).append(r.value)
+    for rows in (dense, runs):
+        found = {r.k: r for r in series.ar1_slopes(rows, ["k"]).collect()}
+        assert set(found) == {k for k, y in values.items() if len(y) > 1}
+        for k, r in found.items():
+            x, y = np.array(values[k][:-1]), np.array(values[k][1:])
+            assert r.pairs == len(x)
+            if np.ptp(x) == 0:
+                assert r.slope is None
+            else:
+                assert r.slope == pytest.approx(np.polyfit(x, y, 1)[0])
