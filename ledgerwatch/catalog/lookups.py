@@ -287,9 +287,9 @@ def _(v):
     ])
 
 
-def _bucketed(v, tx, buckets: int = 8):
+def _bucketed(v, tx):
     name = f"tx_{uuid.uuid4().hex}"
-    tables.save_bucketed(tx, name, new_path(v.spark, "bucketed"), buckets)
+    tables.save_bucketed(tx, name, new_path(v.spark, "bucketed"), tables.buckets_for(v.tx))
     return name
 
 

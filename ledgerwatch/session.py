@@ -109,6 +109,11 @@ def file_bytes(spark: SparkSession, files: list[str]) -> int:
     return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) * len(files) // max(1, len(some))
 
 
+def parts_by_bytes(df: DataFrame, part_bytes: int, least: int = 1) -> int:
+    """Parts to store a result in, so that each comes from about ``part_bytes`` of its input files."""
+    return max(least, -(-file_bytes(df.sparkSession, df.inputFiles()) // part_bytes))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a result to the shared folder and read it back: survives executor loss."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from ledgerwatch.functions.checks import require, require_count
 from ledgerwatch.functions.numeric import as_double, unix_timestamp
 from ledgerwatch.schemas import RAW_TRANSACTION
-from ledgerwatch.session import materialise, require_columns
+from ledgerwatch.session import materialise, parts_by_bytes, require_columns
 
 _GRAINS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 
@@ -89,11 +89,17 @@ def absent_rows(new: DataFrame, stored: DataFrame, key: str = "hash", order: str
 # -- tables bucketed by hash ------------------------------------------------------------------
 
 
+#: Bytes of input files to a bucket or a file of a stored table. Hashes and addresses take
+#: several times the bytes of the keys they are made of.
+PART_BYTES = 8 << 20
+
+
 def save_bucketed(tx: DataFrame, name: str, path: str, buckets: int, key: str = "hash") -> DataFrame:
     """Store a table in buckets of a key, so that joins on it never shuffle the stored side.
 
     The files lie below ``path``, in the shared folder or the warehouse; ``open_bucketed`` finds
-    them again in another session. A bucket should hold what one task can read at a time.
+    them again in another session. A bucket should hold what one task can read at a time;
+    ``buckets_for`` says how many that makes.
     """
     require_columns(tx, key)
     require_count("buckets", buckets, 1)
@@ -101,6 +107,11 @@ def save_bucketed(tx: DataFrame, name: str, path: str, buckets: int, key: str =
     return tx.sparkSession.table(name)
 
 
+def buckets_for(tx: DataFrame, least: int = 8, part_bytes: int = PART_BYTES) -> int:
+    """Buckets for a table and all that its input holds: their size stays the same as it grows."""
+    return parts_by_bytes(tx, part_bytes, least)
+
+
 def open_bucketed(spark: SparkSession, name: str, path: str, schema: StructType, buckets: int, key: str = "hash") -> DataFrame:
     """A stored bucketed table by its name; registered anew where this session's catalog lacks it."""
     if not spark.catalog.tableExists(name):
@@ -160,11 +171,12 @@ def write_lookup(
     Within a period rows are clustered by ranges of one column (its minima and maxima tell), and
     every row group has a Bloom filter of each lookup column, sized for ``distinct`` values a group.
     ``read_transactions`` reads it; ``lookup.by_hash`` and ``by_address`` need no change, as their
-    conditions reach the scan.
+    conditions reach the scan. ``files`` is the least number of parts; more input makes more.
     """
     require_columns(tx, ts, cluster, *columns)
     dated = tx.withColumn("period", F.date_format(F.col(ts), _GRAINS[grain]))
-    ranged = dated.repartitionByRange(*([files] if files else []), "period", cluster)
+    parts = parts_by_bytes(tx, PART_BYTES, files or 0)
+    ranged = dated.repartitionByRange(*([parts] if parts else []), "period", cluster)
     writer = ranged.sortWithinPartitions("period", cluster, *[c for c in columns if c != cluster]).write.mode("append").partitionBy("period")
     for c in columns:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(distinct))
