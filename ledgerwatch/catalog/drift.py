@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.catalog.registry import query
 from ledgerwatch.functions.numeric import rounded
 from ledgerwatch.operators import drift, evaluate, prefix
+from ledgerwatch.session import materialise
 
 PERIODS = drift.Periods(datetime(1998, 1, 1))
 
@@ -211,7 +212,8 @@ def _(v):
     select round(quantile_cont(value, 0.37), 6) as q37, round(quantile_cont(value, 0.995), 6) as q995 from tx""")
 def _(v):
     """One column of the whole table, by passes that cut at its own values."""
-    found = [round(prefix.exact_quantile(v.tx, "value", s), 6) for s in (0.37, 0.995)]
+    column = materialise(v.tx.select("value"), "column")  # the passes would join the tables each time
+    found = [round(prefix.exact_quantile(column, "value", s), 6) for s in (0.37, 0.995)]
     return v.spark.createDataFrame([tuple(found)], "q37 double, q995 double")
 
 
