@@ -1,5 +1,6 @@
 """Queries: forest fitting, scoring, tuning, storage, retraining."""
 
+import uuid
 from datetime import datetime
 
 import numpy as np
@@ -10,7 +11,8 @@ from ledgerwatch.functions.features import BASE_FEATURES, value_per_gas
 from ledgerwatch.functions.numeric import rounded
 from ledgerwatch.operators import extras, forest, joins
 from ledgerwatch.operators.evaluate import anomaly_evaluation
-from ledgerwatch.session import new_path, spread
+from ledgerwatch.session import new_path, python_tasks, spread
+from ledgerwatch.sources import tables
 
 PREDICT_FEATURES = (*BASE_FEATURES, "value_per_gas")
 
@@ -116,7 +118,10 @@ def _(v):
 
 
 def _predicted(v):
-    tx = _with_ratio(_tx(v, "timestamp"))
+    rows = _with_ratio(v.tx.select("hash", *BASE_FEATURES, "timestamp"))
+    # Stored by hash once: the fit reads it several times, the joins with predictions shuffle those alone.
+    buckets = tables.buckets_for(v.tx, python_tasks(v.spark))
+    tx = tables.save_bucketed(rows, f"predict_{uuid.uuid4().hex}", new_path(v.spark, "predict"), buckets)
     model = forest.fit(tx, PREDICT_FEATURES)
     known = v.anomalies.select(
         F.col("tx_hash").alias("hash"), F.lit(True).alias("is_anomaly"), "confidence",
