@@ -19,7 +19,7 @@ ROUNDS, TRIED, GAIN = 40, 8, 1e-7
 #: Change of the covariance below which it counts as settled.
 SETTLED = 1e-13
 #: Series in one block, by length, so that little is padded.
-BLOCK = 64
+BLOCK = 1024
 
 
 def from_partial(r: np.ndarray) -> np.ndarray:
@@ -58,14 +58,18 @@ def filtered(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray,
     kron = np.einsum("bij,bkl->bikjl", move, move).reshape(b, m * m, m * m)
     cov = np.linalg.solve(np.eye(m * m) - kron, noise.reshape(b, m * m, 1)).reshape(b, m, m)
     logs, squares, errors = np.zeros(b), np.zeros(b), np.zeros((n, b))
-    turned, first = move.transpose(0, 2, 1), np.zeros((m, b))
+    first, noise, cov = np.zeros((m, b)), noise.transpose(1, 2, 0).copy(), cov.transpose(1, 2, 0).copy()
     first[:p] = ar.T
     state, steady, over_time, present = np.zeros((m, b)), False, np.ascontiguousarray(w.T), ~np.isnan(w.T)
     for t in range(n):
         if not steady:  # the covariance settles soon, and is the same from then on
-            spread = np.maximum(cov[:, 0, 0], 1e-300)
-            gain, size = (cov[:, :, 0] / spread[:, None]).T.copy(), np.log(spread)
-            after = move @ (cov - gain.T[:, :, None] * cov[:, None, 0, :]) @ turned + noise
+            spread = np.maximum(cov[0, 0], 1e-300)
+            gain, size = cov[:, 0] / spread, np.log(spread)
+            known = cov - gain[:, None] * cov[0]
+            half = first[:, None] * known[0]  # a move is the first column and a shift by one
+            half[:-1] += known[1:]
+            after = half[:, 0, None] * first + noise
+            after[:, :-1] += half[:, 1:]
             steady, cov = bool(np.abs(after - cov).max() < SETTLED), after
         here = present[t]
         error = np.where(here, over_time[t] - state[0], 0.0)
@@ -106,9 +110,9 @@ def _block(series, starts) -> list[dict]:
     for i, s in enumerate(series):
         w[i, : len(s)] = s / scale[i]
 
-    def values(u):  # (size, trials, k)
+    def values(u, rows=slice(None)):  # (rows, trials, k)
         flat = u.reshape(-1, k)
-        return filtered(np.repeat(w, u.shape[1], axis=0), *_coefficients(flat, p))[0].reshape(size, u.shape[1])
+        return filtered(np.repeat(w[rows], u.shape[1], axis=0), *_coefficients(flat, p))[0].reshape(len(u), u.shape[1])
 
     u = np.array([np.arctanh(np.concatenate([to_partial(ar), -to_partial(-np.asarray(ma, float))])) for ar, ma in starts]).reshape(size, k)
     best = first = values(u[:, None])[:, 0]
@@ -127,37 +131,41 @@ def _climbed(values, u: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.nd
     step, lengths = 1e-5, 0.5 ** np.arange(TRIED)
     about = np.concatenate([np.eye(k), -np.eye(k)]) * step
 
-    def slope(u):
-        f = values(u[:, None] + about)
+    def slope(u, rows):
+        f = values(u[:, None] + about, rows)
         return (f[:, :k] - f[:, k:]) / (2 * step)
 
-    inverse = np.repeat(np.eye(k)[None], size, axis=0)
-    g, live = slope(u), np.isfinite(best)
-    fresh = np.ones(size, bool)
+    u, best, live = u.copy(), best.copy(), np.isfinite(best)
+    inverse, fresh = np.repeat(np.eye(k)[None], size, axis=0), np.ones(size, bool)
+    g = np.zeros((size, k))
+    if live.any():
+        g[live] = slope(u[live], live)
     for _ in range(ROUNDS):
-        way = np.einsum("sij,sj->si", inverse, g)
+        rows = np.flatnonzero(live)  # a series that has ended costs no more
+        if not len(rows):
+            break
+        way = np.einsum("sij,sj->si", inverse[rows], g[rows])
         reach = np.abs(way).max(axis=1, keepdims=True)
         way = np.where(reach > 1, way / np.maximum(reach, 1e-300), way)
-        f = values(u[:, None] + lengths[None, :, None] * way[:, None])
+        f = values(u[rows, None] + lengths[None, :, None] * way[:, None], rows)
         f = np.where(np.isfinite(f), f, -np.inf)
         at = f.argmax(axis=1)
-        new = f[np.arange(size), at]
-        better = live & (new > best)
+        new = f[np.arange(len(rows)), at]
+        better = new > best[rows]
         moved = np.where(better[:, None], lengths[at][:, None] * way, 0.0)
-        gain = np.where(better, new - best, 0.0)
-        u, best = u + moved, np.where(better, new, best)
-        now = slope(u)
-        change = g - now  # of the negative likelihood's slope
+        gain = np.where(better, new - best[rows], 0.0)
+        u[rows] += moved
+        best[rows] = np.where(better, new, best[rows])
+        now = slope(u[rows], rows)
+        change = g[rows] - now  # of the negative likelihood's slope
         along = np.einsum("si,si->s", moved, change)
         ok = better & (along > 1e-12)
         rho = np.where(ok, 1 / np.where(ok, along, 1), 0.0)
         left = np.eye(k) - rho[:, None, None] * moved[:, :, None] * change[:, None, :]
-        inverse = np.where(ok[:, None, None], left @ inverse @ left.transpose(0, 2, 1) + rho[:, None, None] * moved[:, :, None] * moved[:, None, :], inverse)
-        stuck = live & ~better
-        inverse[stuck] = np.eye(k)  # once more along the slope itself
-        live = live & ~(stuck & fresh) & ~(better & (gain < GAIN))
-        fresh = stuck
-        g = now
-        if not live.any():
-            break
+        turned = left @ inverse[rows] @ left.transpose(0, 2, 1) + rho[:, None, None] * moved[:, :, None] * moved[:, None, :]
+        once_more = np.where(better[:, None, None], inverse[rows], np.eye(k))  # along the slope itself
+        inverse[rows] = np.where(ok[:, None, None], turned, once_more)
+        live[rows] = ~(~better & fresh[rows]) & ~(better & (gain < GAIN))
+        fresh[rows] = ~better
+        g[rows] = now
     return u, best
