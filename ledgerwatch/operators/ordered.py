@@ -53,6 +53,8 @@ def with_row_slices(
     slices = F.least(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(MOST_SLICES)).cast("int")
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     hot = counted.select(*keys, slices.alias("_slices"), (F.lit(DRAWN) * slices / F.col("_n")).alias("_share"))
+    if not hot.take(1):  # nothing is cut, so no row is drawn and none is carried over
+        return df.withColumn("_slice", F.lit(None).cast("bigint"))
     narrow = df.select(*dict.fromkeys([*keys, *order]))
     if keys:
         drawn = join_nullsafe(narrow, hot, keys, "inner")
