@@ -409,15 +409,14 @@ def permutation_importance(
     The numbering runs per slice of the order, so there is no global sort, and one join serves
     all features: each is replaced by the partner's value in turn.
     """
-    from ledgerwatch.operators.ordered import row_numbers
+    from ledgerwatch.operators.ordered import hashed_row_numbers
 
     features = list(forest.features)
     rows = materialise(_feature_rows(df, features, key), "importance-rows")
 
     def numbered(salt: int, columns: list[Column]) -> DataFrame:
-        hashed = rows.withColumn("_h", unit_hash(F.col("_key"), F.lit(seed + salt)))
-        placed = row_numbers(hashed, [], ["_h", "_key"], "_at")
-        return placed.select("_at", *columns)
+        at = unit_hash(F.col("_key"), F.lit(seed + salt))
+        return hashed_row_numbers(rows, at, "_key", "_at").select("_at", *columns)
 
     own = numbered(1, [F.col(f) for f in features])
     partner = numbered(2, [F.col(f).alias(f"p_{f}") for f in features])
