@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -290,6 +290,60 @@ def score_arrays(x: np.ndarray, arrays: tuple) -> np.ndarray:
     return -np.exp2(-_mean_path(x, feature, value, path) / max(expected_path(rows), 1e-12))
 
 
+#: Cells of a tree's table at most; a tree of more is walked.
+CELLS = 1 << 17
+
+
+class Cells:
+    """Trees as tables: a tree's splits cut every feature into ranges, and each cell has one leaf.
+
+    A value's place among all splits of its feature is found once, its range in a tree is looked up,
+    and the ranges together address the cell. Paths are summed tree by tree, as a walk does.
+    """
+
+    def __init__(self, arrays: tuple) -> None:
+        self.arrays = arrays
+        _, feature, value, path = arrays
+        width = int(feature.max(initial=0)) + 1
+        used = np.isfinite(value)
+        self.splits = [np.unique(value[used & (feature == f)]) for f in range(width)]
+        self.trees = []
+        for t in range(len(feature)):
+            own = [np.unique(value[t][used[t] & (feature[t] == f)]) for f in range(width)]
+            sizes = [len(s) + 1 for s in own]
+            if math.prod(sizes) > CELLS:
+                self.trees.append(None)
+                continue
+            cells = np.stack(np.meshgrid(*[np.append(s, np.inf) for s in own], indexing="ij"), -1).reshape(-1, width)
+            strides = [math.prod(sizes[f + 1:]) for f in range(width)]
+            places = [np.searchsorted(o, np.append(s, np.inf)) * n for o, s, n in zip(own, self.splits, strides)]
+            self.trees.append((places, _mean_path(cells, feature[t : t + 1], value[t : t + 1], path[t : t + 1])))
+
+    def moved_scores(self, x: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
+        """The scores of a block, and those with one feature after the other taken from ``other``."""
+        rows, feature, value, path = self.arrays
+        width = x.shape[1]
+        variants = [x]
+        for f in range(width):
+            variants.append(x.copy())
+            variants[-1][:, f] = other[:, f]
+        here, there = ([np.searchsorted(s, block[:, f]) for f, s in enumerate(self.splits)] for block in (x, other))
+        totals = [np.zeros(len(x)) for _ in variants]
+        for t, tree in enumerate(self.trees):
+            if tree is None:
+                for total, v in zip(totals, variants):
+                    total += _mean_path(v, feature[t : t + 1], value[t : t + 1], path[t : t + 1])
+                continue
+            places, leaf = tree
+            mine = [np.take(p, r) for p, r in zip(places, here)]
+            cell = sum(mine[1:], mine[0])
+            base = np.take(leaf, cell)
+            totals[0] += base
+            for f, total in enumerate(totals[1:]):
+                total += np.take(leaf, cell - mine[f] + np.take(places[f], there[f])) if f < len(mine) else base
+        return [-np.exp2(-(total / len(feature)) / max(expected_path(rows), 1e-12)) for total in totals]
+
+
 def score(df: DataFrame, forest: Forest, name: str = "anomaly_score") -> DataFrame:
     """Add the score; a row with a missing feature gets null."""
     require_columns(df, *forest.features)
@@ -424,14 +478,12 @@ def permutation_importance(
     width = len(features)
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def changes(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in columns])
-        base, out = score_arrays(x[:, :width], shared.value), []
-        for i in range(width):
-            moved = x[:, :width].copy()
-            moved[:, i] = x[:, width + i]
-            out.append(np.abs(base - score_arrays(moved, shared.value)))
-        return pd.Series(list(np.column_stack(out)))
+    def changes(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        cells = Cells(shared.value)  # once a task
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(float) for c in columns])
+            base, *moved = cells.moved_scores(x[:, :width], x[:, width:])
+            yield pd.Series(list(np.column_stack([np.abs(base - m) for m in moved])))
 
     paired = own.join(partner, "_at").select(
         changes.asNondeterministic()(*features, *[f"p_{f}" for f in features]).alias("change")

@@ -119,3 +119,32 @@ def test_finished_series_are_left_out_of_the_search(monkeypatch):
     for one, found in zip(series, together):
         alone = likelihood.maximised([one], starts[:1])[0]
         assert found["loglik"] == pytest.approx(alone["loglik"], abs=1e-6) and found["loglik"] >= found["start_loglik"]
+
+
+@pytest.mark.parametrize("limit", [1 << 17, 40])
+def test_cells_give_the_scores_of_a_walk(monkeypatch, limit):
+    """To the last bit, for values on the splits and beyond; trees of too many cells are walked."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    sample = rng.normal(size=(64, 3)) * [1, 0, 100]
+    nodes = pd.DataFrame([(0, t, *n) for t in range(9) for n in forest._grow(sample[t:], 6, rng)], columns=forest._NODE_SCHEMA.names)
+    arrays = (64, *forest._heaps(nodes, 6))
+    x, other = rng.normal(size=(500, 3)) * [1, 1, 100], rng.normal(size=(500, 3)) * [1, 1, 100]
+    x[:50, 0] = rng.choice(arrays[2][(arrays[1] == 0) & np.isfinite(arrays[2])], 50)
+    x[50], x[51], x[52] = np.inf, -np.inf, np.nan
+    monkeypatch.setattr(forest, "CELLS", limit)
+    found = forest.Cells(arrays).moved_scores(x, other)
+    for f, got in enumerate(found):
+        want = x.copy()
+        if f:
+            want[:, f - 1] = other[:, f - 1]
+        assert np.array_equal(got, forest.score_arrays(want, arrays))
+
+
+def test_the_walk_is_not_repeated_for_every_feature(monkeypatch):
+    """Blocks are scored from tables: no walk after these are made."""
+    arrays = (4, np.array([[0, 1, 0]], np.int32), np.array([[3.0, 4.0, 6.0]]), np.array([[1.5, 2.0, 3.0, 1.0]]))
+    cells = forest.Cells(arrays)
+    monkeypatch.setattr(forest, "_mean_path", None)
+    assert len(cells.moved_scores(np.ones((5, 2)), np.full((5, 2), 9.0))) == 3
