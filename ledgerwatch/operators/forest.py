@@ -26,8 +26,10 @@ from ledgerwatch.functions.checks import require, require_number
 from ledgerwatch.functions.features import BASE_FEATURES
 from ledgerwatch.functions.hashing import unit_hash
 from ledgerwatch.functions.numeric import num
+from ledgerwatch.operators.extras import merge_moments
+from ledgerwatch.operators.leaf_boxes import BLOCK, LeafBoxes
 from ledgerwatch.operators.prefix import exact_quantile
-from ledgerwatch.session import materialise, python_tasks, require_columns
+from ledgerwatch.session import materialise, parts_by_bytes, python_tasks, require_columns
 
 TREES = 100
 ROWS_PER_TREE = 256
@@ -376,6 +378,54 @@ def score_many(df: DataFrame, forests: Sequence[Forest], name: str = "scores") -
     return df.withColumn(name, walked(*[F.col(f).cast("double") for f in features]))
 
 
+_MOMENTS = "feature string, n bigint, mean double, m2 double, lo double, hi double"
+
+
+def _blocks(batches: Iterator[pd.DataFrame], rows: int = BLOCK) -> Iterator[np.ndarray]:
+    """The batches of a task, put together to blocks of about so many rows."""
+    held, size = [], 0
+    for pdf in batches:
+        held.append(pdf.to_numpy(float))
+        size += len(pdf)
+        if size >= rows:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
+def score_moments(df: DataFrame, forests: Sequence[Forest]) -> DataFrame:
+    """Moments of the scores of every forest (same features), named by its number; rows have all features.
+
+    Rows that lie close together share most of the work (``leaf_boxes``), so they are dealt to the
+    tasks in the order of their features, rows equal in all of them by where they were read.
+    """
+    features = list(forests[0].features)
+    shared = df.sparkSession.sparkContext.broadcast([f.arrays for f in forests])
+    names = [str(i) for i in range(len(forests))]
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        boxes = None  # once a task, if it has rows
+        norm = np.array([[max(expected_path(rows), 1e-12)] for rows, *_ in shared.value])
+        for x in _blocks(batches):
+            boxes = boxes or LeafBoxes(shared.value, len(features), _mean_path)
+            n, mean, m2 = 0, np.zeros(len(names)), np.zeros(len(names))
+            lo, hi = np.full(len(names), np.inf), np.full(len(names), -np.inf)
+            for rows, paths in boxes.mean_paths(x):
+                scores = -np.exp2(-paths / norm)
+                here = scores.mean(axis=1)
+                gap, both = here - mean, n + len(rows)
+                m2 += ((scores - here[:, None]) ** 2).sum(axis=1) + gap * gap * n * len(rows) / both
+                mean += gap * len(rows) / both
+                lo, hi, n = np.minimum(lo, scores.min(axis=1)), np.maximum(hi, scores.max(axis=1)), both
+            yield pd.DataFrame({"feature": names, "n": n, "mean": mean, "m2": m2, "lo": lo, "hi": hi})
+
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.spark_partition_id().alias("_part"))
+    parts = parts_by_bytes(df, 32 << 20, python_tasks(df.sparkSession))
+    near = rows.repartitionByRange(parts, *features, "_part").select(*features)
+    return merge_moments(near.mapInPandas(moments, _MOMENTS))
+
+
 def labelled(scored: DataFrame, forest: Forest) -> DataFrame:
     """Add confidence and label to scores; an anomaly lies strictly below the threshold."""
     if forest.threshold is None:
@@ -438,14 +488,9 @@ def tune(
     """
     specs = trial_specs(trials, seed)
     forests = fit_trials(df, specs, features, contamination, seed, key)
-    rows = _feature_rows(df, features, key)
-    scored = score_many(rows, forests)
-    spread = scored.agg(*[
-        F.var_pop(F.element_at("scores", i + 1)).alias(f"t{i}") for i in range(len(specs))
-    ]).first()
-    table = [
-        (i, s.trees, s.rows, float(spread[f"t{i}"] or 0.0)) for i, s in enumerate(specs)
-    ]
+    moments = score_moments(_feature_rows(df, features, key), forests).collect()
+    spread = {int(r["feature"]): r["m2"] / r["n"] for r in moments}
+    table = [(i, s.trees, s.rows, spread[i]) for i, s in enumerate(specs)]
     best = max(table, key=lambda row: (row[3], -row[0]))[0]
     trial_table = df.sparkSession.createDataFrame(
         [(*row, row[0] == best) for row in table],
