@@ -37,13 +37,15 @@ def text_of(name: str) -> Column:
 def worker_value(key: str, make: Callable[[], object]):
     """A value that a Python worker process makes once and keeps for its later tasks.
 
-    This package travels to the workers by value, so its own module variables start anew
-    with each task.
+    Workers outlive an operator, so a worker holds one value at a time: what the operator
+    before kept is let go when the next one asks for its own. This package travels to the
+    workers by value, so its own module variables start anew with each task.
     """
-    kept = sys.modules.setdefault("_ledgerwatch_worker", types.ModuleType("_ledgerwatch_worker"))
-    if key not in kept.__dict__:
-        kept.__dict__[key] = make()
-    return kept.__dict__[key]
+    kept = sys.modules.setdefault("_ledgerwatch_worker", types.SimpleNamespace()).__dict__
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:

@@ -1,4 +1,7 @@
 import random
+import sys
+import types
+import weakref
 
 import numpy as np
 import public_tokenizers as P
@@ -115,3 +118,24 @@ def test_one_id_on_two_texts(spark):
         assert kept.columns == docs.columns
         got = sorted(((r.doc_id, r.text or "", r.lang) for r in kept.collect()), key=str)
         assert got == sorted([(3, a, "en"), (7, b, "de"), (None, c, "en"), (None, "", "en")], key=str)
+
+
+class Value:
+    """An object that can be watched."""
+
+
+def test_a_worker_holds_the_value_of_one_operator(monkeypatch):
+    from ledgerwatch.llm.common import worker_value
+
+    monkeypatch.setitem(sys.modules, "_ledgerwatch_worker", types.SimpleNamespace())
+    made = []
+
+    def value(key):
+        return worker_value(key, lambda: made.append(key) or [key])
+
+    first = weakref.ref(kept := Value())
+    assert worker_value("large", lambda: kept) is kept
+    del kept
+    assert first() is not None and value("a") is value("a") and made == ["a"]
+    assert first() is None  # let go when another operator's value was made
+    assert value("b") == ["b"] and value("a") == ["a"] and made == ["a", "b", "a"]
