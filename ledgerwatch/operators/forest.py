@@ -144,18 +144,18 @@ def tree_nodes(
     pool_size = share * total
     pool = _feature_rows(df, features, key).where(unit_hash(F.col("_key"), F.lit(seed)) < share)
 
-    def member(trial: int, spec: Spec) -> Column:
+    def trees_of(trial: int, spec: Spec) -> Column:
         p = min(1.0, OVERDRAW * spec.rows / pool_size)
-        chosen = F.filter(
+        return F.transform(
             F.sequence(F.lit(0), F.lit(spec.trees - 1)),
-            lambda t: unit_hash(F.col("_key"), F.lit(seed + 1), F.lit(trial), t) < p,
+            lambda t: F.struct(F.lit(trial).alias("trial"), t.alias("tree"), F.lit(p).alias("_p")),
         )
-        return F.transform(chosen, lambda t: F.struct(F.lit(trial).alias("trial"), t.alias("tree")))
 
-    # One rule at every size: each tree draws from the pool by a hash of its own.
-    drawn = pool.withColumn(
-        "_t", F.explode(F.concat(*[member(i, s) for i, s in enumerate(specs)]))
-    ).select("_t.trial", "_t.tree", "_key", *features)
+    # One rule at every size: each tree draws from the pool by a hash of its own. A join with
+    # the trees, as its condition is compiled; a lambda over them is not.
+    every = df.sparkSession.range(1).select(F.inline(F.concat(*[trees_of(i, s) for i, s in enumerate(specs)])))
+    chosen = unit_hash(F.col("_key"), F.lit(seed + 1), F.col("trial"), F.col("tree")) < F.col("_p")
+    drawn = pool.join(every, chosen).select("trial", "tree", "_key", *features)
     drawn = drawn.select(
         "trial", "tree", *features,
         F.xxhash64("_key", F.lit(seed + 2), "trial", "tree").alias("_order"),
