@@ -320,6 +320,13 @@ def counts(df: DataFrame, text_col: str, lang_col: str | None = None, least: int
     return found.where("size > 0").union(total)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that sorts both sides. Spark takes a stored table for as large as its compressed files
+    and an explode for no larger than its input, so it would broadcast tables many times its bound.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _head(words: str, n: int):
     return F.substring_index(words, " ", n)
 
@@ -338,13 +345,14 @@ def paths(counted: DataFrame) -> DataFrame:
     nodes = counted.where(f"size = {EDGE - 1}").select("lang", F.col("phrase").alias("node"), "f")
     ends = edges.select("lang", "f", F.col("phrase").alias("from"), _head("phrase", -(EDGE - 1)).alias("node"))
     begins = edges.select("lang", "f", F.col("phrase").alias("to"), _head("phrase", EDGE - 1).alias("node"))
-    links = ends.join(nodes, ["lang", "node", "f"]).join(begins, ["lang", "node", "f"]).select("lang", F.col("to").alias("phrase"), F.col("from").alias("head"))
-    at = edges.join(links, ["lang", "phrase"], "left").select(
+    links = _merged(_merged(ends, nodes, ["lang", "node", "f"]), begins, ["lang", "node", "f"]).select(
+        "lang", F.col("to").alias("phrase"), F.col("from").alias("head"))
+    at = _merged(edges, links, ["lang", "phrase"], "left").select(
         "lang", "phrase", "f", F.coalesce("head", "phrase").alias("head"), F.when(F.col("head").isNull(), 0).otherwise(1).cast("long").alias("steps"))
     at = materialise(at, "phrase-paths")
     while True:
         above = at.select("lang", F.col("phrase").alias("head"), F.col("head").alias("_head"), F.col("steps").alias("_steps"))
-        at = materialise(at.join(above, ["lang", "head"]).select(
+        at = materialise(_merged(at, above, ["lang", "head"]).select(
             "lang", "phrase", "f", F.col("_head").alias("head"), (F.col("steps") + F.col("_steps")).alias("steps"),
             (F.col("_steps") > 0).alias("moved")), "phrase-paths")
         if at.where("moved").isEmpty():
@@ -379,7 +387,7 @@ def collocations(df: DataFrame, text_col: str, lang_col: str | None = None, leas
     within = candidates.where("size > 2").select("lang", F.col("a").alias("_f"), F.explode(F.array(
         F.expr("substring_index(phrase, ' ', size - 1)"), F.expr("substring_index(phrase, ' ', 1 - size)"))).alias("phrase"))
     longest = within.groupBy("lang", "phrase").agg(F.max("_f").alias("_f"))
-    candidates = candidates.join(longest, ["lang", "phrase"], "left").where(
+    candidates = _merged(candidates, longest, ["lang", "phrase"], "left").where(
         f"_f is null or 100 * cast(_f as decimal(20, 0)) < {covered} * cast(a as decimal(20, 0))").drop("_f")
     cuts = candidates.withColumn("k", F.explode(F.expr("sequence(1, size - 1)")))
     cuts = cuts.withColumns({"left": F.expr("substring_index(phrase, ' ', k)"), "right": F.expr("substring_index(phrase, ' ', k - size)")})
@@ -390,7 +398,7 @@ def collocations(df: DataFrame, text_col: str, lang_col: str | None = None, leas
 
     def with_part(rows, part, n, name):
         salted = rows.withColumn("salt", F.when(F.expr(n) < 3, some).otherwise(0))
-        return salted.join(parts.withColumnsRenamed({"part": part, "f": name}), ["lang", part, "salt"]).drop("salt")
+        return _merged(salted, parts.withColumnsRenamed({"part": part, "f": name}), ["lang", part, "salt"]).drop("salt")
 
     cuts = with_part(with_part(cuts, "left", "k", "l"), "right", "size - k", "r")
     cuts = cuts.withColumn("score", F.expr("(2000000 * cast(a as decimal(20, 0))) div (cast(l as decimal(20, 0)) + r)"))
@@ -399,4 +407,4 @@ def collocations(df: DataFrame, text_col: str, lang_col: str | None = None, leas
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     totals = counted.where("size = 0").select("lang", F.col("f").alias("n"))
-    return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return _merged(first, totals, ["lang"]).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

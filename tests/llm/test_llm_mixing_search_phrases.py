@@ -92,6 +92,16 @@ def test_paths_are_passages(spark):
     assert found == {"p q r s t u v w": 8, "k l m n": 6, "l m n o": 6, "a b c d": 10, "b c d e f": 5, "b c d x y": 5}
 
 
+def test_phrases_broadcast_no_table(spark, monkeypatch):
+    """A stored table is far larger than its files, and parts come in copies: no join may send one to the driver."""
+    plans, store = [], phrase_graph.materialise
+    monkeypatch.setattr(phrase_graph, "materialise", lambda df, label: plans.append(df) or store(df, label))
+    rows = rows_of(["a b c d e f. g h. a b", "a b c d e f; g h i"] * 6, lang=lambda i: "en" if i % 3 else "de")
+    plans.append(phrase_graph.collocations(spark.createDataFrame(rows, DOCS), "text", "lang", least=3, top=10))
+    texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert sum("SortMergeJoin" in t for t in texts) >= 3 and not any("Broadcast" in t for t in texts)
+
+
 def test_phrases_of_empty_tables(spark):
     assert phrase_rows(spark, []) == []
     assert phrase_rows(spark, rows_of([None, "", "only once"]), least=2) == []
