@@ -300,10 +300,14 @@ def _bucketed(v, tx):
            (select count(*) from firsts) as rows, (select count(distinct hash) from tx) as hashes""")
 def _(v):
     """Two batches into a table bucketed by hash; the second brings all rows, most of them stored already."""
-    first = v.tx.groupBy("hash").agg(F.min(F.struct("timestamp", *[c for c in v.tx.columns if c not in ("hash", "timestamp")])).alias("r"))
-    first = first.select("hash", "r.*").select(*v.tx.columns)
-    name = _bucketed(v, first.where(F.col("timestamp") < F.lit("1996-01-01").cast("timestamp")))
-    inserted = tables.insert_absent(v.tx.union(v.tx), name)
+    early = F.col("timestamp") < F.lit("1996-01-01").cast("timestamp")
+    # A hash with an early row has one as its first, unless it has a row without time, which comes before.
+    some = v.tx.where(early | F.col("timestamp").isNull())
+    first = some.groupBy("hash").agg(F.min(F.struct("timestamp", *[c for c in v.tx.columns if c not in ("hash", "timestamp")])).alias("r"))
+    buckets = tables.buckets_for(v.tx)
+    with tables.filling(v.spark, buckets):
+        name = _bucketed(v, first.select("hash", "r.*").select(*v.tx.columns).where(early))
+    inserted = tables.insert_absent(v.tx.union(v.tx), name, rounds=tables.rounds_for(buckets))
     return v.spark.table(name).agg(
         F.lit(inserted).cast("bigint").alias("inserted"), F.count(F.lit(1)).alias("rows"), F.count_distinct("hash").alias("hashes"))
 

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from ledgerwatch.functions.checks import require, require_count
 from ledgerwatch.functions.numeric import as_double, unix_timestamp
 from ledgerwatch.schemas import RAW_TRANSACTION
-from ledgerwatch.session import materialise, parts_by_bytes, require_columns
+from ledgerwatch.session import parts_by_bytes, require_columns
 
 _GRAINS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 
@@ -92,6 +92,8 @@ def absent_rows(new: DataFrame, stored: DataFrame, key: str = "hash", order: str
 #: Bytes of input files to a bucket or a file of a stored table. Hashes and addresses take
 #: several times the bytes of the keys they are made of.
 PART_BYTES = 8 << 20
+#: Buckets that one round of inserts fills at most.
+ROUND_BUCKETS = 128
 
 
 def save_bucketed(tx: DataFrame, name: str, path: str, buckets: int, key: str = "hash") -> DataFrame:
@@ -129,30 +131,59 @@ def buckets_of(spark: SparkSession, name: str) -> int:
 
 
 @contextmanager
-def partitions_of(spark: SparkSession, name: str):
-    """Shuffles inside this block make as many partitions as a table has buckets."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(buckets_of(spark, name)))
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def partitions_of(spark: SparkSession, name: str):
+    """Shuffles inside this block make as many partitions as a table has buckets."""
+    return _settings(spark, {"spark.sql.shuffle.partitions": str(buckets_of(spark, name))})
+
 
+def filling(spark: SparkSession, buckets: int):
+    """Rows grouped by a table's key and written to its buckets inside this block are shuffled once.
 
-def insert_absent(new: DataFrame, name: str, key: str = "hash", order: str = "timestamp") -> int:
+    The files of the shuffles go with the write; otherwise they stay until the driver happens to
+    collect its garbage.
+    """
+    return _settings(spark, {"spark.sql.shuffle.partitions": str(buckets),
+                             "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+                             "spark.sql.parquet.compression.codec": "zstd"})
+
+
+def rounds_for(buckets: int) -> int:
+    """Rounds of inserts, so that the files of one round's shuffles stay the same size as the table grows."""
+    return -(-buckets // ROUND_BUCKETS)
+
+
+def insert_absent(new: DataFrame, name: str, key: str = "hash", order: str = "timestamp", rounds: int = 1) -> int:
     """Append the rows of a batch whose key a bucketed table lacks, one row per key; their number.
 
     The batch is shuffled once, to the table's buckets and after a partial aggregate; the stored
-    keys are read where they lie. Only the key column of the table is read.
+    keys are read where they lie. Only the key column of the table is read, from the files that
+    it had before; what is appended is written from the join, without a copy.
+
+    A large batch takes several ``rounds``: each reads the whole batch, which must give the same
+    rows every time, shuffles the rows of a range of buckets and removes the files of its shuffles.
+    A run that ends between two rounds leaves whole buckets; the same batch then adds the rest.
     """
-    spark, written = new.sparkSession, Observation("insert")
-    with partitions_of(spark, name):
-        fresh = absent_rows(new, spark.table(name), key, order).select(*spark.table(name).columns)
-        # The join reads the files that the append adds to, so the rows are stored first.
-        fresh = materialise(fresh.observe(written, F.count(F.lit(1)).alias("rows")), "insert")
-        rows = int(written.get["rows"])
-        if rows:
-            fresh.repartition(buckets_of(spark, name), key).write.insertInto(name)
+    require_count("rounds", rounds, 1)
+    spark, rows, buckets = new.sparkSession, 0, buckets_of(new.sparkSession, name)
+    with filling(spark, buckets):
+        for k in range(rounds):
+            written, stored = Observation(f"insert {k}"), spark.table(name)
+            bucket = F.pmod(F.hash(key), F.lit(buckets))
+            part = new if rounds == 1 else new.where((bucket >= buckets * k // rounds) & (bucket < buckets * (k + 1) // rounds))
+            fresh = absent_rows(part, stored.hint("merge"), key, order).select(*stored.columns)
+            fresh.observe(written, F.count(F.lit(1)).alias("rows")).repartition(buckets, key).write.insertInto(name)
+            rows += int(written.get["rows"])
     return rows
 
 

@@ -59,6 +59,23 @@ def test_bucketed_queries_take_more_buckets_for_more_input(spark, folder, monkey
     assert catalog.all_queries()[name](spark, folder).count() > 0 and found == [11]
 
 
+def test_batches_of_hashes_that_repeat(spark, tmp_path, monkeypatch):
+    """Of a repeated hash the earliest row counts, one without time before all; in one round or several."""
+    days = [None, datetime(1995, 5, 1), datetime(1995, 6, 1), datetime(1996, 1, 1), datetime(1997, 1, 1)]
+    rng = np.random.default_rng(3)
+    lines = [(k, k, 1, 1, days[int(rng.integers(0, 5))], 1.0, 1.0, 0.05, "F", "R") for k in range(80) for _ in range(1 + k % 3)]
+    spark.createDataFrame([(k, 1, 4.0) for k in range(80)], ORDERS).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, LINES).write.parquet(str(tmp_path / "lineitem.parquet"))
+    first = {}
+    for k, *_, at in (r[:5] for r in lines):
+        first[k] = min(first.get(k, datetime.max), at or datetime.min)
+    inserted = sum(not datetime.min < at < datetime(1996, 1, 1) for at in first.values())
+    assert 0 < inserted < 80
+    for at_most in (tables.ROUND_BUCKETS, 3):
+        monkeypatch.setattr(tables, "ROUND_BUCKETS", at_most)
+        assert tuple(catalog.all_queries()["A7_insert_into_buckets"](spark, str(tmp_path)).first()) == (inserted, 80, 80)
+
+
 def test_the_quantile_of_a_column_joins_once(spark, folder, monkeypatch):
     plans, exact = [], prefix.exact_quantile
 

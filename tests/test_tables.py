@@ -1,11 +1,14 @@
 """Bucketed tables and lookups that skip row groups."""
 
 import hashlib
+import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerwatch import session
 from ledgerwatch.operators import joins, lookup
 from ledgerwatch.sources import tables
 
@@ -85,3 +88,47 @@ def test_lookups_skip_row_groups(spark, tmp_path):
         assert scanned <= 0.2 * 40_000, scanned
     page = lookup.by_address(stored, some[1], None, 3, 20).select("hash").collect()
     assert page == lookup.by_address(tx, some[1], None, 3, 20).select("hash").collect()
+
+
+def test_inserts_in_rounds_equal_one(spark, tmp_path):
+    """Also for repeated hashes, whose earliest row counts, and for rows without hash or time."""
+    early, late = rows(150, 60), [(*r[:7], r[7] + timedelta(days=1)) for r in rows(150, 60)]
+    odd = [(None, *r[1:]) for r in rows(3, 400)] + [(*r[:7], None) for r in rows(20, 100)]
+    found = []
+    for rounds in (1, 4):
+        name, path = f"tx_rounds_{rounds}", str(tmp_path / str(rounds))
+        tables.save_bucketed(spark.createDataFrame(rows(100), SCHEMA), name, path, 6)
+        inserted = tables.insert_absent(spark.createDataFrame(late + early + odd + early, SCHEMA), name, rounds=rounds)
+        found.append((inserted, sorted(map(str, spark.table(name).collect()))))
+        assert inserted == 111 and spark.table(name).where("timestamp is null").count() == 20
+        assert spark.table(name).where("timestamp > '2024-01-02'").count() == 0
+        spark.sql(f"drop table {name}")
+    assert found[0] == found[1]
+    with pytest.raises(ValueError):
+        tables.insert_absent(spark.createDataFrame(early, SCHEMA), "any", rounds=0)
+    assert [tables.rounds_for(n) for n in (1, tables.ROUND_BUCKETS, tables.ROUND_BUCKETS + 1, 10 * tables.ROUND_BUCKETS)] == [1, 1, 2, 10]
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+
+def test_inserts_leave_no_copies(spark, tmp_path, monkeypatch):
+    """Neither files of their shuffles nor a second copy of the rows, and these are shuffled once."""
+    tables.save_bucketed(spark.createDataFrame(rows(100), SCHEMA), "tx_lean", str(tmp_path / "tx"), 4)
+    before, shared = shuffle_files(spark), os.listdir(session.shared_dir(spark))
+    seen, absent = [], tables.absent_rows
+    monkeypatch.setattr(tables, "absent_rows", lambda new, *rest: seen.append(absent(new, *rest)) or seen[0])
+    assert tables.insert_absent(spark.createDataFrame(rows(200, 60), SCHEMA), "tx_lean") == 160
+    with tables.partitions_of(spark, "tx_lean"):
+        assert exchanges(seen[0].repartition(4, "hash")) == 1
+    left = None
+    for _ in range(50):  # they are removed in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and os.listdir(session.shared_dir(spark)) == shared
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
+    spark.sql("drop table tx_lean")
